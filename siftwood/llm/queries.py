@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing
+from . import chat, jaccard, langid, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +87,31 @@ from (select *, unnest(range(1, n + 1))::int copy_no from counts where n > 0)
 """
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
-ORACLES = {"op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs, size=4, num=85, den=100)
+
+
+OP10_SQL = """
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') w
+  from documents),
+shingles as (
+  select distinct doc_id, array_to_string(case when len(w) < 4 then w else w[i:i+3] end, ' ') s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+overlap as (select a.doc_id x, b.doc_id y, count(*) m from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from overlap join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * m >= 85 * (a.n + b.n - m)),
+edges as (select x, y from links union select y, x from links),
+reach(node, id) as (
+  select doc_id, doc_id from documents
+  union
+  select r.node, e.y from reach r join edges e on e.x = r.id)
+select d.doc_id, coalesce(s.n, 0)::bigint n_shingles, r.c component_id
+from documents d left join sizes s using (doc_id) join (select node, min(id) c from reach group by 1) r on r.node = d.doc_id
+"""
+
+
+QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
+ORACLES = {"op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
