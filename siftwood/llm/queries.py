@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing
+from . import chat, decontaminate, jaccard, langid, mixing, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -140,5 +140,9 @@ from words w left join hit h on h.doc_id = w.id left join items i on i.doc_id =
 """
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_table(_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {"op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
