@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, mixing, token_ids
+from . import chat, decontaminate, jaccard, langid, lm, mixing, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,5 +144,11 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_table(_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", langid.in_fold(F.col("doc_id"), 5, 1).alias("held_out"))
+    out = lm.score_texts(docs)
+    return out.withColumn("base_score", F.round("base_score", 6)).withColumn("score", F.round("score", 6))
+
+
+QUERIES = {"op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
