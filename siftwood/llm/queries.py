@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, lm, mixing, token_ids
+from . import chat, decontaminate, html_text, jaccard, langid, lm, mixing, token_ids, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,5 +150,24 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("base_score", F.round("base_score", 6)).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {"op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
-ORACLES = {"op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+with p as (select page_id, sha256(coalesce(html, '')) payload_digest, strlen(coalesce(html, ''))::bigint payload_bytes from pages),
+f as (select payload_digest, min(page_id) first from p where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when first is null or first = page_id then 'response' else 'revisit' end record_type,
+  case when first <> page_id then first end refers_to
+from p left join f using (payload_digest)
+"""
+
+
+QUERIES = {"op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
+ORACLES = {"op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}

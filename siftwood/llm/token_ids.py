@@ -24,7 +24,7 @@ ROUNDS, MAX_RULES, LEAST_COUNT = 4, 15_000, 16
 #: Every this many symbols the expanded position is stored.
 SAMPLE = 1024
 #: Words whose ids a worker remembers, and longer pieces that it doesn't.
-MEMORY, LONGEST_PIECE = 1_500_000, 64
+MEMORY, LONGEST_PIECE = 1_000_000, 64
 MAGIC = b"SWRP1\n"
 
 # White space runs in which cutting before a space could split a piece of the tokenizer's pattern.
@@ -328,7 +328,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         before[r.part], total = total, total + r.n
     offsets = spark.sparkContext.broadcast(before)
     running = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(running), F.lit(0))).repartition(F.col("path"))
+    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(running), F.lit(0))).repartition(files.readers(manifest.count()), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -80,6 +80,25 @@ def test_signatures_miss_no_pair(share):
         assert np.array_equal(x, y) or len(np.intersect1d(sign(x), sign(y)))
 
 
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    from siftwood.llm import common
+
+    texts = [b"one Two three", None, b"", b" two  THREE\n", b"x" * 70 + b" two " + b"y " * 40]
+    plain = [list(h) for h in common.WordHashes().texts(texts)]
+    monkeypatch.setattr(common, "PIECE", 16)
+    assert [list(h) for h in common.WordHashes().texts(texts)] == plain
+    assert plain[0][1:] == plain[3] and plain[1] == plain[2] == [] and plain[4][1] == plain[0][1] and len(plain[4]) == 42
+
+
+def test_sketches_bound_the_intersection():
+    rng = np.random.default_rng(9)
+    for n, m in ((10, 12), (500, 450), (3000, 70), (70_000, 60_000)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: min(n, m) // 2], rng.integers(0, 1 << 63, m - min(n, m) // 2).astype(np.uint64)]))
+        bound = jaccard.most_common(jaccard.sketch(x), len(x), jaccard.sketch(y), len(y))
+        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
