@@ -1,32 +1,62 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline over documents: language, near duplicates, benchmark passages, mixture, token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwood.llm import langid, mixing
+from siftwood.llm import decontaminate, jaccard, langid, mixing, token_ids
 from siftwood.llm.common import saved, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Shingles of this many words link documents at this similarity (percent).
+SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those that the classifier rejects go."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those that the nearest-centroid classifier rejects go."""
+    docs = docs.select(*COLUMNS)
     model = langid.train(docs)
-    out = langid.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return out.filter("not rejected").select(*COLUMNS)
+    return langid.identify(docs, model, keep=COLUMNS).filter("not rejected").select(*COLUMNS)
 
 
-def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id. Rows that repeat its id and text fall together."""
+    docs = docs.select(*COLUMNS)
+    groups = jaccard.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY, 100)
+    copies = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(docs.select(*COLUMNS), benchmark, keep=COLUMNS).filter("n_hit = 0").select(*COLUMNS)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, or left out, so that sources meet their target weights, in shuffled order."""
     return mixing.poisson_mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
-STAGES = [("language ID", language), ("mixing", mixing_weights)]
+def token_id_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in binary shards; a row per document of what is read back from them."""
+    return token_ids.token_table(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", source_mixture),
+    ("token-ID output", token_id_shards),
+]
+#: SQL can express neither the classifier nor the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again as the next one's input."""
     docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = saved(stage(spark, docs, sf_dir), f"{work}/stage{k}")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,22 +50,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each computed once; emptied when it grows past a bound."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        if len(self) > self.LIMIT:
-            self.clear()
-        return out
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (an xor-multiply finaliser)."""
     x = x ^ (x >> np.uint64(32))
@@ -75,6 +59,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_MULTIPLIER = 0x9FB21C651E98DF25  # odd, so that it has an inverse modulo 2**64
+_SPREAD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, np.uint64)
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
+
+
+class WordHashes:
+    """64-bit hashes of the lower-case (A-Z) words between ASCII white space, for many texts at once.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over the whole piece and
+    divided by the power of its place, so it depends on the word alone.
+    """
+
+    def __init__(self):
+        self.power, self.inverse = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.power):
+            n = max(n, PIECE + PIECE // 4)
+            for name, base in (("power", _MULTIPLIER), ("inverse", pow(_MULTIPLIER, -1, 1 << 64))):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, starts) of the words of a piece."""
+        if not data:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        b = np.frombuffer(data.lower(), np.uint8)
+        self._grow(len(b) + 1)
+        white = np.ones(len(b) + 2, bool)
+        white[1:-1] = _WHITE[b]
+        edge = np.flatnonzero(white[1:] != white[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_SPREAD[b] * self.power[: len(b)], out=total[1:])
+        return mixed((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+    def texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The word hashes of each text, in order; short texts are hashed together, long ones in pieces."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j] or b"") < PIECE):
+                size += len(texts[j] or b"") + 1
+                j += 1
+            if j == i + 1 and size > PIECE:
+                parts, text, a = [], texts[i], 0
+                while a < len(text):
+                    cut = max(text.rfind(c, a, a + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if a + PIECE < len(text) else len(text)
+                    cut = cut if cut > a else min([x for x in (text.find(c, a + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x > 0], default=len(text))
+                    parts.append(self.of(text[a:cut])[0])
+                    a = cut + 1
+                yield np.concatenate(parts)
+            else:
+                part = [x or b"" for x in texts[i:j]]
+                h, starts = self.of(b" ".join(part))
+                ends = np.cumsum([len(x) + 1 for x in part])
+                yield from np.split(h, np.searchsorted(starts, ends[:-1]))
+            i = j
+
+
 _PACK = zstandard.ZstdCompressor(level=1)
 _UNPACK = zstandard.ZstdDecompressor()
 

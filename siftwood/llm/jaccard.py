@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, arrow_rows, connected, mixed, packed, packed_sorted, saved, shared_dir, unpacked, unpacked_sorted
 
 #: A token in more documents than this counts as frequent.
-FREQUENT = 100
+FREQUENT = 32
 #: The most frequent fingerprints that are held as frequent (4 bytes each, broadcast).
-MOST_FREQUENT = 1 << 19
+MOST_FREQUENT = 1 << 20
 #: Ranges of fingerprints that are counted apart.
 RANGES = 256
 #: Shingles gathered before their fingerprints are sent to the ranges.
@@ -33,32 +33,44 @@ BLOCK = 256
 FILTER_BITS = 1 << 23
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-case (A-Z) words between ASCII white space."""
-    return text.lower().split() if text else []
-
-
 class Shingler:
     """Sets of hashed shingles of whole texts."""
 
     def __init__(self, size: int):
         self.size, self.hashes = size, WordHashes()
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = self.hashes.of(words)
-        n, k = len(h), self.size
-        if n < k:
-            out = np.array([0x9E3779B97F4A7C15 + n], np.uint64)
-            for x in h:
-                out = mixed(out * np.uint64(0x100000001B3) + x)
-            return out
-        out = h[: n - k + 1].copy()
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        return [self._set(h) for h in self.hashes.texts(texts)]
+
+    def _set(self, h: np.ndarray) -> np.ndarray:
+        """Distinct runs of `size` word hashes, ascending; a shorter text is one run."""
+        n, k = len(h), min(self.size, len(h))
+        if not n:
+            return h
+        out = h[: n - k + 1] + np.uint64(k)
         for j in range(1, k):
-            out = mixed(out) + h[j : n - k + 1 + j]
-        return np.unique(mixed(out))
+            out = out * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(29)
+            out += h[j : n - k + 1 + j]
+        out = mixed(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of tokens in hashed bins, a power of two of them near a quarter of the set's size."""
+    bins = max(16, min(1 << 13, 1 << max(0, len(tokens) // 4).bit_length()))
+    return np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype("<u2" if len(tokens) < 1 << 16 else "<u4").tobytes()
+
+
+def most_common(x: bytes, nx: int, y: bytes, ny: int) -> int:
+    """An upper bound for the size of the intersection of two sets, from their sketches."""
+    a, b = (np.frombuffer(v, "<u2" if n < 1 << 16 else "<u4").astype(np.int64) for v, n in ((x, nx), (y, ny)))
+    while len(a) > len(b):
+        a = a.reshape(2, -1).sum(0)
+    while len(b) > len(a):
+        b = b.reshape(2, -1).sum(0)
+    return int(np.minimum(a, b).sum())
 
 
 def _ceil(n: int, num: int, den: int) -> int:
@@ -114,20 +126,33 @@ class Signatures:
         return np.unique(np.concatenate(out))
 
 
+def _digest(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
 def _bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _counts(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs (or the sum of its weights)."""
+    order = None if weights is None else np.argsort(values, kind="stable")
+    values = np.sort(values) if order is None else values[order]
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    total = np.diff(np.append(at, len(values))) if order is None else np.add.reduceat(weights[order], at) if len(at) else np.zeros(0, np.int64)
+    return values[at], total
+
+
 def profiles(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and digest of every set (range null), and fingerprints for counting (range, payload)."""
+    """doc_id, n, digest and sketch of every set (range null), and fingerprints for counting (range, payload)."""
+    names = ["doc_id", "n", "digest", "sketch", "range", "payload"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, held, count = Shingler(size), [], 0
-        names = ["doc_id", "n", "digest", "range", "payload"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
         def flush():
-            fp, times = np.unique(np.concatenate(held), return_counts=True)
+            fp, times = _counts(np.concatenate(held))
             cuts = np.searchsorted(fp, (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(32)) // np.uint64(RANGES))
             rows = []
             for r, (f, t) in enumerate(zip(np.split(fp, cuts), np.split(times, cuts), strict=True)):
@@ -135,25 +160,22 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
                     a, b = packed_sorted(f), packed(t.astype(np.uint32))
                     rows.append((r, len(a).to_bytes(4, "little") + a + b))
             none = [None] * len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([none, none, none, [r for r, _ in rows], [x for _, x in rows]], kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([none, none, none, none, [r for r, _ in rows], [x for _, x in rows]], kinds, strict=True)], names=names)
 
         for b in batches:
-            n, digest = [], []
-            for text in _bytes(b.column("text")):
-                tokens = shingle(text)
-                n.append(len(tokens))
-                digest.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63))
-                held.append((tokens >> np.uint64(32)).astype(np.uint32))
-                count += len(tokens)
-                if count >= FLUSH:
-                    yield flush()
-                    held, count = [], 0
-            none = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=names)
+            sets = shingle(_bytes(b.column("text")))
+            n = [len(x) for x in sets]
+            columns = [b.column("doc_id"), pa.array(n, pa.int32()), pa.array([_digest(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            held += [(x >> np.uint64(32)).astype(np.uint32) for x in sets]
+            count += sum(n)
+            if count >= FLUSH:
+                yield flush()
+                held, count = [], 0
         if count:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest long, range int, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest long, sketch binary, range int, payload binary")
 
 
 def frequent_tokens(rows: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
@@ -165,11 +187,7 @@ def frequent_tokens(rows: DataFrame, least: int = FREQUENT, most: int = MOST_FRE
             size = int.from_bytes(x[:4], "little")
             fps.append(unpacked_sorted(x[4 : 4 + size], np.uint32))
             times.append(unpacked(x[4 + size :], np.uint32))
-        fp, times = np.concatenate(fps), np.concatenate(times)
-        order = np.argsort(fp)
-        fp, times = fp[order], times[order].astype(np.int64)
-        at = np.flatnonzero(np.diff(fp, prepend=fp[:1] + np.uint32(1)))
-        total, fp = np.add.reduceat(times, at), fp[at]
+        fp, total = _counts(np.concatenate(fps), np.concatenate(times).astype(np.int64))
         keep = total > least
         return pa.table({"fp": fp[keep].astype(np.int64), "df": total[keep]})
 
@@ -185,22 +203,11 @@ def postings(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(size), Signatures(num, den, shared.value)
         for b in batches:
-            ids, sigs, ns, digests, size_now = [], [], [], [], 0
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), _bytes(b.column("text")), strict=True):
-                tokens = shingle(text)
-                s = sign(tokens)
-                if doc_id is None or not len(s):
-                    continue
-                sigs.append(s)
-                ids.append(np.full(len(s), doc_id, np.int64))
-                ns.append(np.full(len(s), len(tokens), np.int32))
-                digests.append(np.full(len(s), xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63), np.int64))
-                size_now += len(s)
-                if size_now > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([v.view(np.int64) for v in sigs], digests, ns, ids)], names=["sig", "digest", "n", "doc_id"])
-                    ids, sigs, ns, digests, size_now = [], [], [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([v.view(np.int64) for v in sigs], digests, ns, ids)], names=["sig", "digest", "n", "doc_id"])
+            rows = [(i, x, sign(x)) for i, x in zip(b.column("doc_id").to_pylist(), shingle(_bytes(b.column("text"))), strict=True) if i is not None and len(x)]
+            if rows:
+                width = [len(s) for *_, s in rows]
+                columns = [np.concatenate([s for *_, s in rows]).view(np.int64), np.repeat([_digest(x) for _, x, _ in rows], width), np.repeat(np.array([len(x) for _, x, _ in rows], np.int32), width), np.repeat([i for i, *_ in rows], width)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "digest", "n", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "sig long, digest long, n int, doc_id long")
 
@@ -237,11 +244,26 @@ def _sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
             texts = b.column("text").cast(pa.binary())
             for i in range(0, len(take), 64):
                 part = take[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array([shingle(texts[int(j)].as_py()).tobytes() for j in part], pa.binary())], names=["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array([x.tobytes() for x in shingle(texts.take(pa.array(part)).to_pylist())], pa.binary())], names=["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
 
 
+def promising(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for the threshold; no pair that reaches it is lost."""
+    side = lambda c: base.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).filter(F.col(c).isNotNull()).dropDuplicates([c])
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            na, nb = x.column("na").to_pylist(), x.column("nb").to_pylist()
+            bound = [most_common(s, i, t, j) for s, i, t, j in zip(x.column("sa").to_pylist(), na, x.column("sb").to_pylist(), nb, strict=True)]
+            keep = pa.array([den * m >= num * (i + j - m) for m, i, j in zip(bound, na, nb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(keep)
+
+    return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, work: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Blocks of members meet one copy of their leader a."""
     members = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("salt"), F.lit(1).alias("member"))
@@ -289,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     arrow_rows(spark)
     work = shared_dir(spark)
     rows = saved(profiles(docs, size), f"{work}/profiles")
-    base = rows.filter("range is null").select("doc_id", "n", "digest")
+    base = rows.filter("range is null").select("doc_id", "n", "digest", "sketch")
     frequent = frequent_tokens(rows)
     fits = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
 
@@ -301,7 +323,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
 
     stars = posts.filter(F.col("id") != F.col("lead")).filter(fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     stars = saved(stars, f"{work}/stars")
-    links = saved(verified(stars, docs, size, num, den, f"{work}/v1"), f"{work}/links1")
+    hopeful = saved(promising(stars, base, num, den), f"{work}/hopeful1")
+    links = saved(verified(hopeful, docs, size, num, den, f"{work}/v1"), f"{work}/links1")
     parts = saved(connected(links, f"{work}/c1"), f"{work}/parts1")
 
     open_rows = posts.select("sig", "id", "n").join(parts, F.col("id") == F.col("node"), "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
@@ -310,7 +333,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     a, b = open_rows.alias("a"), open_rows.alias("b")
     rest = a.join(b, F.col("a.sig") == F.col("b.sig")).filter((F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & fits(F.col("a.n"), F.col("b.n")))
     rest = rest.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = saved(rest, f"{work}/rest")
+    rest = saved(promising(rest, base, num, den), f"{work}/rest")
     if not rest.isEmpty():
         more = saved(verified(rest, docs, size, num, den, f"{work}/v2"), f"{work}/links2")
         parts = saved(connected(links.union(more), f"{work}/c2"), f"{work}/parts2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, jaccard, langid, lm, mixing, token_ids, warc
+from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, token_ids, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,5 +169,26 @@ from p left join f using (payload_digest)
 """
 
 
-QUERIES = {"op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
-ORACLES = {"op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP1_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) n from embeddings),
+links as (
+  select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(node, id) as (
+  select vec_id, vec_id from v
+  union
+  select r.node, l.y from reach r join links l on l.x = r.id),
+comp as (select node, min(id) c from reach group by 1),
+degree as (select x, count(*) n from links group by 1)
+select vec_id, coalesce(d.n, 0)::bigint n_links, c component_id, vec_id = c kept
+from v join comp on node = vec_id left join degree d on d.x = vec_id
+"""
+
+
+QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
+ORACLES = {"op1_embedding_neardup": OP1_SQL, "op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
