@@ -1,4 +1,693 @@
 """Named queries of the library over the driver's tables, each with the SQL it must equal."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwood.functions import text as T
+from siftwood.operators import documents, merge, peers, postings, records, search, sketches, snapshot, transfers, trust
+from siftwood.session import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+NOW = "2024-02-01 00:00:00"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _hash(prefix: str, column: str) -> F.Column:
+    return F.sha1(F.concat(F.lit(prefix), F.col(column).cast("string")).cast("binary"))
+
+
+def torrents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(_hash("p", "p_partkey").alias("infohash"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_brand").alias("signed_by"))
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of publishers: one a supplier and part; two in three name the part, one in five knows its size."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").cast("long").alias("seeders"))
+    rows = rows.join(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    named, sized = (F.col("l_suppkey") + F.col("l_partkey")) % 3 > 0, (F.col("l_suppkey") + F.col("l_partkey")) % 5 == 0
+    return rows.select(
+        F.col("l_suppkey").alias("publisher"), _hash("p", "l_partkey").alias("infohash"), F.col("l_partkey").alias("part"), F.when(named, F.col("p_name")).otherwise("").alias("name"),
+        F.when(sized, F.col("p_size")).otherwise(0).cast("long").alias("size"), "seeders", F.lit(0).cast("long").alias("files"),
+    )
+
+
+HITS = """hits as (
+  select l_suppkey publisher, sha1('p' || l_partkey) infohash, l_partkey part, case when (l_suppkey + l_partkey) % 3 > 0 then p_name else '' end as name,
+    case when (l_suppkey + l_partkey) % 5 = 0 then p_size else 0 end::bigint size, seeders, 0::bigint files
+  from (select l_suppkey, l_partkey, max(l_quantity)::bigint seeders from lineitem group by all) join part on p_partkey = l_partkey)"""
+
+
+def feedback(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "returned").when(F.col("event_type") == "purchase", "confirmed").when(F.col("event_type") == "error", "flagged")
+    return table(spark, d, "events").select(F.col("user_id").alias("publisher"), kind.alias("kind"), F.lit(1).alias("n"), "ts", "event_id").filter("kind is not null")
+
+
+COUNTERS = """counters as (
+  select user_id publisher, count(*) filter (where event_type = 'view') r, count(*) filter (where event_type = 'purchase') c, count(*) filter (where event_type = 'error') f,
+    min(ts) first_seen, max(ts) last_updated
+  from events where event_type in ('view', 'purchase', 'error') group by 1),
+scores as (select *, greatest(0.0, least(1.0, case when r = 0 and c = 0 and f = 0 then 0.5 else (greatest(c - f, 0) + 2.5::double) / (greatest(r, 1) + 5.0::double) end)) score from counters)"""
+
+_list = lambda words: ", ".join(f"'{w}'" for w in words)
+KEYWORDS = rf"""list_filter(regexp_split_to_array(lower(coalesce({{0}}, '')), '[^\p{{{{L}}}}\p{{{{Nd}}}}]+'), lambda w: strlen(w) >= 3 and w not in ({_list(T.KEYWORD_STOP_WORDS + T.EXTENSION_WORDS)}))"""
+ANALYSED = rf"""list_filter(regexp_split_to_array(lower(coalesce({{0}}, '')), '[^\p{{{{L}}}}\p{{{{Nd}}}}]+'), lambda w: w <> '' and w not in ({_list(T.SEARCH_STOP_WORDS)}))"""
+
+
+# Tokens and statistics.
+
+
+@query("tokenize_names", f"select p_partkey, array_to_string(list_sort(list_distinct({KEYWORDS.format('p_name')})), ' ') keywords from part")
+def tokenize_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.sorted_keywords(F.col("p_name")), " ").alias("keywords"))
+
+
+@query("tokenize_documents", f"select doc_id, len(list_distinct({KEYWORDS.format('text')}))::bigint n, sha1(array_to_string(list_sort(list_distinct({KEYWORDS.format('text')})), ' ')) digest from documents")
+def tokenize_documents(spark, d):
+    words = T.keywords(F.col("text"), None)
+    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n"), F.sha1(F.array_join(F.array_sort(words), " ").cast("binary")).alias("digest"))
+
+
+@query("top_terms", f"""
+with t as (select doc_id, unnest({KEYWORDS.format('text')}) term from documents)
+select term, count(distinct doc_id) df, count(*) cf from t group by 1 order by 2 desc, 1 limit 50""")
+def top_terms(spark, d):
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), T.WORD_BREAK), lambda w: (F.octet_length(w) >= T.MIN_TOKEN_BYTES) & ~w.isin(T.KEYWORD_STOP_WORDS + T.EXTENSION_WORDS))
+    index = table(spark, d, "documents").select(words.alias("text_terms"))
+    return search.vocabulary(index, "text").orderBy(F.desc("df"), "term").limit(50)
+
+
+@query("postings", f"""
+with t as (select doc_id, unnest(w) term, unnest(range(len(w))) pos from (select doc_id, {ANALYSED.format('text')} w from documents))
+select doc_id, term, count(*) tf, array_to_string(list(pos order by pos), ',') positions from t group by 1, 2""")
+def all_postings(spark, d):
+    index = search.indexed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"])
+    return search.postings(index, "doc_id", "text").withColumn("positions", F.array_join("positions", ","))
+
+
+def _content(spark, d):
+    chunks = table(spark, d, "documents").select(_hash("", "doc_id").alias("infohash"), "text")
+    return documents.mixed(torrents(spark, d).select("infohash", "name"), chunks)
+
+
+@query("index_stats", """
+select (select count(*) from part) + (select count(*) from documents) doc_count, (select count(*) from part) torrent_count, (select count(*) from documents) content_count,
+  (select sum(strlen(text)) from documents)::bigint corpus_text_bytes, 1000000::bigint index_bytes, 1000000::double / (select sum(strlen(text)) from documents) ratio""")
+def index_stats(spark, d):
+    return documents.statistics(_content(spark, d), 1_000_000)
+
+
+# Search.
+
+
+def _index(spark, d):
+    return search.indexed(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id", ["text"], ["lang", "source"])
+
+
+def _search(name: str, q: str, where: str, parts: list[tuple[str, float]], limit: int = 20) -> None:
+    """Register a search with SQL that states its match and the BM25 of its scored parts."""
+    score = " + ".join(f"{b} * ln(1 + (n - df{i} + 0.5::double) / (df{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for i, (_, b) in enumerate(parts)) or "0"
+    sql = f"""
+with a as (select doc_id, lang, source, {ANALYSED.format('text')} w from documents),
+c as (select *, len(w) len, {', '.join(f'({x})::double n{i}' for i, (x, _) in enumerate(parts))} from a),
+s as (select count(*)::double n, avg(len) mean, {', '.join(f'count(*) filter (where n{i} > 0)::double df{i}' for i in range(len(parts)))} from c)
+select doc_id, round({score}, 6) score from c, s where {where} order by 2 desc, 1 limit {limit}"""
+    query(name, sql)(lambda spark, d: search.search(_index(spark, d), q, "doc_id", ["text"], ["lang", "source"], limit))
+
+
+_n = lambda w: f"len(list_filter(w, lambda t: t = '{w}'))"
+_search("search_bm25", "whole that from", "n0 > 0 or n1 > 0", [(_n("whole"), 1.0), (_n("from"), 1.0)])
+_search("search_must_not", "+from -which den", "n0 > 0 and not list_contains(w, 'which')", [(_n("from"), 1.0), (_n("den"), 1.0)])
+_search("search_phrase", '"from which"', "n0 > 0", [("len(list_filter(range(1, len(w)), lambda i: w[i] = 'from' and w[i + 1] = 'which'))", 1.0)])
+_search("search_fuzzy", "thtion~1", "n0 > 0", [("len(list_filter(w, lambda t: levenshtein(t, 'thtion') <= 1))", 1.0)])
+_search("search_boost", "die^3 que", "n0 > 0 or n1 > 0", [(_n("die"), 3.0), (_n("que"), 1.0)])
+
+
+@query("search_fielded", f"""
+with a as (select doc_id, {ANALYSED.format('text')} w from documents where lower(lang) = 'de'), b as (select doc_id, {ANALYSED.format('text')} w from documents),
+s as (select count(*)::double n, avg(len(w)) mean, count(*) filter (where list_contains(w, 'und'))::double df from b)
+select doc_id, round(1.0 + ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean)), 6) score
+from (select doc_id, len(w) len, len(list_filter(w, lambda t: t = 'und'))::double tf from a), s where tf > 0 order by 2 desc, 1 limit 20""")
+def search_fielded(spark, d):
+    return search.search(_index(spark, d), "+lang:de +text:und", "doc_id", ["text"], ["lang", "source"])
+
+
+@query("search_total", f"select count(*) total from documents where list_contains({ANALYSED.format('text')}, 'from')")
+def search_total(spark, d):
+    return search.total_hits(_index(spark, d), "from", ["text"])
+
+
+@query("search_signed_by", f"""
+select p_partkey id, count(*) over () total from part where lower(p_brand) = 'brand#11' and list_contains({ANALYSED.format('p_name')}, (select min(w) from (select unnest({ANALYSED.format('p_name')}) w from part)))""")
+def search_signed_by(spark, d):
+    rows = torrents(spark, d)
+    index = search.indexed(rows, "id", ["name"], ["signed_by"])
+    word = index.select(F.explode("name_terms").alias("w")).agg(F.min("w")).first()[0]
+    found = search.matches(index, f"+{word}", ["name"], ["signed_by"], F.lower("signed_by") == "brand#11")
+    return found.select("id", F.expr("count(*) over ()").alias("total")) if word else found.select("id", F.lit(0).cast("long").alias("total"))
+
+
+@query("highlight", None)
+def highlights(spark, d):
+    out = search.search(_index(spark, d), "whole from", "doc_id", ["text"], with_highlights=True)
+    return out.select("doc_id", "score", F.element_at("fragments", "text").alias("fragments"))
+
+
+# Merging.
+
+
+@query("lookup_merge", f"""
+with {HITS}
+select infohash, coalesce(arg_min(name, (publisher, name, size)) filter (where name <> ''), '') as name, max(seeders) seeders, coalesce(arg_min(size, (publisher, name, size)) filter (where size <> 0), 0) size,
+  0::bigint files, array_to_string(list_sort(list_distinct(list(publisher))), ',') sources, (ord % 7 = 0) known_good, round(greatest(0.0, least(1.0, 0.5 + least((count(distinct publisher) - 1) * 0.05::double, 0.2) + case when ord % 7 = 0 then 0.25 else 0.0 end)), 6) score
+from (select *, part ord from hits) group by infohash, ord""")
+def lookup_merge(spark, d):
+    known = torrents(spark, d).filter("id % 7 = 0")
+    return merge.merge_lookup(hits(spark, d), None, known).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("lookup_rank", f"""
+with {HITS}, {COUNTERS}
+select infohash, coalesce(arg_min(name, (publisher, name, size)) filter (where name <> ''), '') as name, count(distinct h.publisher)::int n_sources,
+  round(greatest(0.0, least(1.0, avg(coalesce(s.score, 0.5)) + least((count(distinct h.publisher) - 1) * 0.05::double, 0.2))), 6) score
+from hits h left join scores s using (publisher) group by infohash order by 4 desc, 3 desc, 2, 1 limit 100""")
+def lookup_rank(spark, d):
+    c = trust.counters(feedback(spark, d)).withColumn("score", trust.score(F.col("returned"), F.col("confirmed"), F.col("flagged")))
+    merged = merge.merge_lookup(hits(spark, d), c)
+    return merge.ranked_lookup(merged, 100).select("infohash", "name", F.size("sources").alias("n_sources"), "score")
+
+
+@query("lookup_keyword", f"""
+with {HITS}, h as (select *, unnest(list_distinct({KEYWORDS.format('p_name')})) keyword from hits join part on p_partkey = part)
+select keyword, publisher, count(*) n from h where publisher % 2 = 0 and keyword in (select min(keyword) from h) group by 1, 2""")
+def lookup_keyword(spark, d):
+    names = hits(spark, d).drop("name").join(table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name")), "part")
+    rows = postings.hits_of(names)
+    wanted = rows.agg(F.min("keyword").alias("keyword"))
+    active = table(spark, d, "supplier").select(F.col("s_suppkey").alias("publisher")).filter("publisher % 2 = 0")
+    return merge.fan_out(wanted, active, rows).groupBy("keyword", "publisher").agg(F.count("*").alias("n"))
+
+
+@query("swarm_merge", f"""
+with {HITS}
+select infohash, coalesce(arg_min(name, (publisher, name, size)) filter (where name <> ''), '') as name, coalesce(arg_min(size, (publisher, name, size)) filter (where size <> 0), 0) size, max(seeders) seeders,
+  least(sum(seeders * 20), 1000)::bigint score, string_agg('f' || publisher, ',' order by publisher) matches, count(distinct publisher) n_sources
+from hits group by infohash order by score desc, seeders desc, infohash limit 200""")
+def swarm_merge(spark, d):
+    rows = hits(spark, d).withColumnRenamed("publisher", "peer").withColumn("rank", F.col("seeders") * 20).withColumn("matches", F.array(F.concat(F.lit("f"), F.col("peer").cast("string"))))
+    out = merge.ranked_swarm(merge.merge_swarm(rows), 200)
+    return out.withColumn("matches", F.array_join("matches", ",")).withColumn("n_sources", F.size("sources").cast("long")).drop("sources")
+
+
+@query("swarm_compact", """
+with h as (select o_orderkey position, o_custkey c, case when o_orderkey % 3 = 0 then 'torrent' else 'content' end doc_type, o_totalprice / 1000000 score, o_orderstatus from orders)
+select sha1('c' || c) infohash, arg_min(trunc(score * 1000)::bigint, position) "rank", coalesce(arg_min(o_orderstatus, position) filter (where doc_type = 'torrent'), '') as name, 0::bigint size,
+  coalesce(string_agg('f' || position, ',' order by position) filter (where doc_type = 'content'), '') matches
+from h group by c""")
+def swarm_compact(spark, d):
+    o, content = table(spark, d, "orders"), F.col("o_orderkey") % 3 != 0
+    rows = o.select(F.col("o_orderkey").alias("position"), _hash("c", "o_custkey").alias("infohash"), F.when(content, "content").otherwise("torrent").alias("doc_type"), F.when(content, "").otherwise(F.col("o_orderstatus")).alias("name"), F.lit(0).cast("long").alias("size"), (F.col("o_totalprice") / 1000000).alias("score"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file_path"))
+    return merge.compact_hits(rows).withColumn("matches", F.array_join("matches", ","))
+
+
+@query("union_layers", f"""
+with {HITS}
+select infohash, score, layer from (
+  select infohash, score, layer, row_number() over (partition by infohash order by score desc, p) r from (
+    select sha1('p' || p_partkey) infohash, p_size::double score, 'local' layer, 0 p from part
+    union all select infohash, max(seeders)::double, 'swarm', 1 from hits group by 1)) where r = 1""")
+def union_layers(spark, d):
+    local = torrents(spark, d).select("infohash", F.col("size").cast("double").alias("score"))
+    swarm = hits(spark, d).groupBy("infohash").agg(F.max("seeders").cast("double").alias("score"))
+    return merge.layered({"local": local, "swarm": swarm}, dedupe=True).select("infohash", "score", "layer")
+
+
+@query("query_admission", """
+select event_id, case when user_id % 11 = 0 then 'not_sharing' when length(trim(event_type)) < 2 then 'too_short' when event_type like '%f%' and user_id % 2 = 0 then 'no_file_hits'
+  when event_type like '%c%' and user_id % 3 = 0 then 'no_content_hits' end code, case when value between 1 and 100 then floor(value)::int else 50 end as most
+from events""")
+def query_admission(spark, d):
+    e = table(spark, d, "events")
+    u, kind = F.col("user_id"), F.col("event_type")
+    limit = F.when(F.col("value").between(1, 100), F.floor("value").cast("int")).otherwise(0)
+    return e.select("event_id", merge.admission_code(kind, kind, u % 11 != 0, u % 2 != 0, u % 3 != 0).alias("code"), merge.answer_limit(limit).alias("most"))
+
+
+@query("swarm_counts", """
+select count(distinct c_custkey) asked, count(*) filter (where o_orderkey % 4 > 0) responded, count(*) filter (where o_orderkey % 4 = 0) rejected
+from customer left join (select * from orders where o_totalprice <= 150000) on o_custkey = c_custkey where o_orderkey is not null or o_orderkey is null""")
+def swarm_counts(spark, d):
+    targets = table(spark, d, "customer").select(F.col("c_custkey").alias("peer"))
+    answers = table(spark, d, "orders").select(F.col("o_custkey").alias("peer"), F.col("o_totalprice").alias("latency_ms"), (F.col("o_orderkey") % 4 == 0).alias("rejected"))
+    return merge.swarm_counts(targets, answers, 150_000)
+
+
+@query("silent_targets", "select c_custkey peer from customer where c_custkey not in (select o_custkey from orders)")
+def silent_targets(spark, d):
+    return merge.silent_targets(table(spark, d, "customer").select(F.col("c_custkey").alias("peer")), table(spark, d, "orders").select(F.col("o_custkey").alias("peer")))
+
+
+# Trust.
+
+
+def _scored(spark, d):
+    c = trust.counters(feedback(spark, d))
+    return c.withColumn("score", trust.score(F.col("returned"), F.col("confirmed"), F.col("flagged")))
+
+
+@query("reputation_scores", f"with {COUNTERS} select publisher, r returned, c confirmed, f flagged, first_seen, last_updated, round(score, 9) score from scores")
+def reputation_scores(spark, d):
+    return _scored(spark, d).withColumn("score", F.round("score", 9))
+
+
+@query("reputation_top", f"with {COUNTERS} select publisher, round(score, 9) score from scores order by score desc, publisher limit 10")
+def reputation_top(spark, d):
+    return trust.ranked(_scored(spark, d)).select("publisher", F.round("score", 9).alias("score"))
+
+
+@query("reputation_threshold_filter", f"with {COUNTERS} select publisher from scores where score >= 0.6")
+def reputation_threshold_filter(spark, d):
+    return trust.trusted_enough(_scored(spark, d), 0.6).select("publisher")
+
+
+@query("seed_decay", f"""
+with {COUNTERS}
+select publisher, round(greatest(0.0, least(1.0, score + 0.45 * pow(0.5, greatest(epoch(timestamp '{NOW}')::bigint - floor(epoch(first_seen))::bigint, 0) / (90 * 86400.0::double)))), 6) score from scores where publisher % 4 = 0""")
+def seed_decay(spark, d):
+    now = F.lit(NOW).cast("timestamp")
+    c = trust.counters(feedback(spark, d)).filter("publisher % 4 = 0")
+    return c.select("publisher", F.round(trust.score(F.col("returned"), F.col("confirmed"), F.col("flagged"), F.col("first_seen"), now), 6).alias("score"))
+
+
+@query("source_attribution", f"with {HITS} select infohash, string_agg(distinct publisher, ',' order by publisher) sources from hits group by 1")
+def source_attribution(spark, d):
+    return trust.sources(hits(spark, d)).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("flag_fallback", f"""
+with {HITS}, marks as (select sha1('p' || (user_id * 17)) infohash from events where event_type = 'error'),
+direct as (select publisher, count(*) n from marks m join hits h using (infohash) group by 1),
+lost as (select count(*) n from marks where infohash not in (select infohash from hits))
+select s_suppkey publisher, coalesce(d.n, 0) + l.n n from supplier left join direct d on publisher = s_suppkey, lost l where coalesce(d.n, 0) + l.n > 0""")
+def flag_fallback(spark, d):
+    marks = table(spark, d, "events").filter("event_type = 'error'").select(F.sha1(F.concat(F.lit("p"), (F.col("user_id") * 17).cast("string")).cast("binary")).alias("infohash"))
+    return trust.attributed(marks, hits(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("publisher")))
+
+
+def _endorsements(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("endorser"), F.col("l_suppkey").alias("candidate"), (F.col("l_linenumber") <= 2).alias("announced"))
+
+
+ADMITTED = f"""{COUNTERS},
+edges as (select distinct o_custkey e, l_suppkey c from orders join lineitem on o_orderkey = l_orderkey where o_custkey <> l_suppkey and l_linenumber <= 2),
+strong as (select edges.c, count(*) n from edges left join scores on publisher = e where coalesce(score, 0.5) >= 0.5 group by 1 having count(*) >= 3),
+chosen as (
+  select s_suppkey publisher, 'anchor' reason, 0 p, 0 n from supplier where s_suppkey <= 3
+  union all select c, 'endorsed', 1, n from strong
+  union all select s_suppkey, 'policy', 2, 0 from supplier left join scores on publisher = s_suppkey where coalesce(score, 0.0) >= 0.3),
+admitted as (select publisher, reason from (select *, row_number() over (partition by publisher order by p) r from chosen) where r = 1 order by p, n desc, publisher limit 100)"""
+
+
+def _admitted(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("publisher"))
+    return trust.admitted(s.filter("publisher <= 3"), _endorsements(spark, d), s, _scored(spark, d), True)
+
+
+@query("endorsement_admission", f"with {ADMITTED} select publisher, reason from admitted")
+def endorsement_admission(spark, d):
+    return _admitted(spark, d)
+
+
+@query("admission_pending", f"with {ADMITTED} select publisher from (select l_suppkey publisher from lineitem union select s_suppkey from supplier) where publisher not in (select publisher from admitted)")
+def admission_pending(spark, d):
+    return trust.pending(_endorsements(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("publisher")), _admitted(spark, d))
+
+
+@query("trusted_publishers", "select p_partkey id, lower(p_brand) in (select lower(p_brand) from part where p_partkey <= 20) trusted from part")
+def trusted_publishers(spark, d):
+    rows = torrents(spark, d)
+    return trust.is_trusted(rows, rows.filter("id <= 20").select(F.col("signed_by").alias("publisher"))).select("id", "trusted")
+
+
+# Posting lists.
+
+
+def _names(spark, d):
+    n = hits(spark, d).drop("name").join(table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name")), "part")
+    return postings.hits_of(n.withColumn("seq", F.col("part")))
+
+
+BOUNDED = f"""{HITS},
+h as (select publisher, infohash, part seq, p_name as name, seeders, size, unnest(list_distinct({KEYWORDS.format('p_name')})) keyword from hits join part on p_partkey = part),
+sized as (select *, 29 + 3 + length(strlen(name)::varchar) + 1 + strlen(name) + case when seeders <> 0 then 5 + length(seeders::varchar) else 0 end + case when size <> 0 then 6 + length(size::varchar) else 0 end bytes from h),
+used as (select *, sum(bytes) over (partition by publisher, keyword order by seq desc, infohash desc rows unbounded preceding) + 26 used from sized),
+bounded as (select * from used where used <= 1000)"""
+
+
+@query("posting_budget", f"with {BOUNDED} select publisher, keyword, count(*) n, max(used)::bigint bytes, string_agg(seq::varchar, ',' order by seq) parts from bounded group by 1, 2")
+def posting_budget(spark, d):
+    out = postings.as_lists(postings.bounded_lists(_names(spark, d)))
+    return out.select("publisher", "keyword", F.size("hits").cast("long").alias("n"), "bytes", F.array_join(F.transform("hits", lambda h: h.place.cast("string")), ",").alias("parts"))
+
+
+@query("publisher_status", f"with {BOUNDED} select publisher, count(distinct keyword) keywords, count(*)::bigint hits from bounded group by 1")
+def publisher_status(spark, d):
+    return postings.publisher_status(postings.bounded_lists(_names(spark, d)))
+
+
+@query("keyword_shards", f"with {BOUNDED} select publisher, keyword, shard, count(*) n from (select *, ((row_number() over (partition by publisher, keyword order by seq desc, infohash) - 1) // 20)::int shard from h) group by 1, 2, 3")
+def keyword_shards(spark, d):
+    return postings.shards(_names(spark, d), 20).groupBy("publisher", "keyword", "shard").agg(F.count("*").alias("n"))
+
+
+@query("publish_due", f"with l as (select user_id, max(ts) last_published from events group by 1) select user_id keyword from l where floor(epoch(timestamp '2024-01-30 00:00:00'))::bigint - floor(epoch(last_published))::bigint >= 3300")
+def publish_due(spark, d):
+    m = table(spark, d, "events").groupBy(F.col("user_id").alias("keyword")).agg(F.max("ts").alias("last_published"))
+    return postings.due(m, F.lit("2024-01-30 00:00:00").cast("timestamp")).select("keyword")
+
+
+@query("mutable_items", "select user_id k, arg_max(event_id, (ts, event_id)) v, count(*) seq from events group by 1")
+def mutable_items(spark, d):
+    w = F.expr("row_number() over (partition by user_id order by ts, event_id)")
+    store = table(spark, d, "events").select(F.col("user_id").alias("pk"), F.lit("index").alias("salt"), F.col("event_id").alias("value"), w.cast("long").alias("seq"))
+    return postings.get(store, store).select(F.col("pk").alias("k"), F.col("value").alias("v"), "seq")
+
+
+# Upserts, caps, deletes.
+
+
+@query("upsert_latest", "select user_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(value, (ts, event_id)) as value from events group by 1")
+def upsert_latest(spark, d):
+    return documents.latest(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
+@query("fifo_capacity", "select user_id from (select user_id, min(ts) t from events group by 1) order by t desc, user_id limit 20")
+def fifo_capacity(spark, d):
+    first = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("t"))
+    return documents.capped(first, [F.desc("t"), F.col("user_id")], 20).select("user_id")
+
+
+@query("lru_capacity", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) r from events) where r <= 3")
+def lru_capacity(spark, d):
+    return documents.first_in(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.col("event_id")], 3).select("user_id", "event_id")
+
+
+@query("ttl_prune", "select event_id from events where ts >= timestamp '2024-01-20 00:00:00'")
+def ttl_prune(spark, d):
+    return table(spark, d, "events").filter(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@query("delete_by_query", f"select doc_id from documents where not list_contains({ANALYSED.format('text')}, 'from')")
+def delete_by_query(spark, d):
+    index = _index(spark, d)
+    return documents.deleted(index, search.matches(index, "from", ["text"]), ["doc_id"]).select("doc_id")
+
+
+# Records.
+
+
+def _records(spark, d, keep=None):
+    docs = table(spark, d, "documents") if keep is None else table(spark, d, "documents").filter(keep)
+    kw = F.explode(T.keywords(F.col("text")))
+    pk = F.sha2(F.coalesce("source", F.lit("")).cast("binary"), 256)
+    return docs.select(F.unhex(pk).alias("pk"), kw.alias("kw"), F.unhex(_hash("", "doc_id")).alias("ih"), F.col("n_chars").alias("t"), F.lit(0).cast("long").alias("pow"), F.rpad(F.lit("s"), 64, "s").cast("binary").alias("sig"), F.col("doc_id").alias("seq")).filter(F.octet_length("kw") <= 64)
+
+
+RECORDS = rf"""words as (select doc_id, source, n_chars, {KEYWORDS.format('text')} w from documents),
+tokens as (select doc_id, source, n_chars, unnest(w) kw, unnest(range(len(w))) p from words),
+firsts as (select doc_id, source, n_chars, kw, min(p) p from tokens group by all),
+records as (
+  select unhex(sha256(coalesce(source, ''))) pk, kw, unhex(sha1(doc_id::varchar)) ih, n_chars t, doc_id seq
+  from (select *, row_number() over (partition by doc_id order by p) r from firsts) where r <= 8 and strlen(kw) <= 64)"""
+ID = "sha256(pk || encode(kw) || ih || unhex(regexp_replace(printf('%016x', t), '(..)(..)(..)(..)(..)(..)(..)(..)', '\\8\\7\\6\\5\\4\\3\\2\\1')))"
+
+
+@query("record_identity_dedupe", f"with {RECORDS} select {ID} id, max(seq) seq from records group by 1")
+def record_identity_dedupe(spark, d):
+    return records.distinct_records(_records(spark, d)).select("id", "seq")
+
+
+@query("record_filter", f"with {RECORDS} select lower(hex(ih)) ih, kw, t from records where t >= 1000 and kw[1:2] = 'th' and pk in (select unhex(sha256('src1')))")
+def record_filter(spark, d):
+    import hashlib
+
+    rows = records.selected(_records(spark, d), [hashlib.sha256(b"src1").hexdigest(), "bad"], 1000, "th")
+    return rows.select(F.lower(F.hex("ih")).alias("ih"), "kw", "t")
+
+
+@query("prefix_range", f"with {RECORDS} select kw, lower(hex(ih)) ih, t from records where kw[1:3] = 'ent'")
+def prefix_range(spark, d):
+    return records.selected(records.well_formed(_records(spark, d)), prefix="ent").select("kw", F.lower(F.hex("ih")).alias("ih"), "t")
+
+
+def _ids(spark, d, keep):
+    r = _records(spark, d, keep)
+    return r.select(records.identity(F.col("pk"), F.col("kw"), F.col("ih"), F.col("t")).alias("id")).distinct()
+
+
+@query("set_diff_both", f"""
+with {RECORDS}, a as (select distinct {ID} id from records where seq % 10 < 7), b as (select distinct {ID} id from records where seq % 10 > 2)
+select id, 'added' side from b where id not in (select id from a) union all select id, 'removed' from a where id not in (select id from b)""")
+def set_diff_both(spark, d):
+    return sketches.set_difference(_ids(spark, d, "doc_id % 10 < 7"), _ids(spark, d, "doc_id % 10 > 2"))
+
+
+@query("need_and_missing", f"""
+with {RECORDS}, a as (select distinct {ID} id from records where seq % 10 < 7), b as (select distinct {ID} id from records where seq % 10 > 2)
+select id, 'found' state from b where id in (select id from a) union all select id, 'missing' from b where id not in (select id from a)""")
+def need_and_missing(spark, d):
+    found, missing = sketches.answered_needs(_ids(spark, d, "doc_id % 10 > 2"), _ids(spark, d, "doc_id % 10 < 7"))
+    return found.withColumn("state", F.lit("found")).unionByName(missing.withColumn("state", F.lit("missing")))
+
+
+@query("riblt_reconcile", f"""
+with {RECORDS}, a as (select distinct {ID} id from records where seq % 100 < 97), b as (select distinct {ID} id from records where seq % 100 > 2)
+select id, 'added' side from b where id not in (select id from a) union all select id, 'removed' from a where id not in (select id from b)""")
+def riblt_reconcile(spark, d):
+    binary = lambda keep: _ids(spark, d, keep).select(F.unhex("id").alias("id"))
+    added, removed, _ = sketches.reconciled(binary("doc_id % 100 < 97"), binary("doc_id % 100 > 2"), batch=500, budget=6000)
+    rows = [(x.hex(), "added") for x in added] + [(x.hex(), "removed") for x in removed]
+    return spark.createDataFrame(rows, "id string, side string")
+
+
+@query("riblt_symbols", None)
+def riblt_symbols(spark, d):
+    return sketches.symbols(_ids(spark, d, "doc_id % 10 < 7").select(F.unhex("id").alias("id")), 0, 64)
+
+
+@query("bloom_flag", "select doc_id from documents where doc_id in (select doc_id from labels where quality = 1) order by 1")
+def bloom_flag(spark, d):
+    """Documents that may be known good, by a filter, and then are by an exact semi-join."""
+    item = F.col("doc_id").cast("string").cast("binary")
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    bits, k = sketches.bloom_size(max(1, good.count()), 0.01)
+    words = sketches.bloom_array(sketches.bloom_words(good.select(item.alias("item")), bits, k), bits)
+    maybe = table(spark, d, "documents").select("doc_id").filter(sketches.bloom_test(words, bits, k)(item))
+    return maybe.join(good, "doc_id", "left_semi")
+
+
+@query("bloom_estimate", None)
+def bloom_estimate(spark, d):
+    good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").cast("binary").alias("item"))
+    return sketches.bloom_estimate(sketches.bloom_words(good, 96_000, 7), 96_000, 7)
+
+
+@query("sign_verify", "select item_id t from benchmark where item_id % 4 = 0")
+def sign_verify(spark, d):
+    rows = table(spark, d, "benchmark").filter("item_id % 4 = 0").select(F.lit("benchmark").alias("kw"), F.unhex(_hash("", "item_id")).alias("ih"), F.col("item_id").alias("t"))
+    return records.verified(records.signed(rows, bytes(range(32)), bits=4), min_bits=4).select("t")
+
+
+@query("pow_filter", f"with {RECORDS} select seq, kw from records where substr(sha256(pk || encode(kw) || ih || unhex(regexp_replace(printf('%016x', t), '(..)(..)(..)(..)(..)(..)(..)(..)', '\\8\\7\\6\\5\\4\\3\\2\\1')) || unhex('00')), 1, 1) = '0'")
+def pow_filter(spark, d):
+    return records.verified(_records(spark, d), min_bits=4, signatures=False).select("seq", "kw")
+
+
+# Files and transfers.
+
+
+def _files(spark, d):
+    return table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("infohash"), F.col("doc_id").cast("int").alias("file_index"), F.col("n_chars").alias("length"))
+
+
+SPANS = """files as (select coalesce(source, '') infohash, doc_id::int file_index, n_chars length from documents),
+offsets as (select *, coalesce(sum(length) over (partition by infohash order by file_index rows between unbounded preceding and 1 preceding), 0)::bigint "offset" from files),
+spans as (select *, "offset" // 16384 piece_begin, case when length > 0 then ("offset" + length - 1) // 16384 + 1 else "offset" // 16384 end piece_end from offsets)"""
+
+
+@query("file_piece_span", f"with {SPANS} select infohash, file_index, length, \"offset\", piece_begin, piece_end from spans")
+def file_piece_span(spark, d):
+    return transfers.file_spans(_files(spark, d), 16384)
+
+
+@query("file_completion", f"""
+with {SPANS}, arrived as (select 'src' || (user_id % 20) infohash, event_id % 40 piece, min(ts) ts from events group by 1, 2),
+got as (select s.infohash, file_index, count(*) got, max(ts) completed_at from spans s join arrived a on a.infohash = s.infohash and a.piece >= piece_begin and a.piece < piece_end group by 1, 2)
+select s.infohash, s.file_index, completed_at from spans s left join got using (infohash, file_index) where coalesce(got, 0) = piece_end - piece_begin""")
+def file_completion(spark, d):
+    arrived = table(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("infohash"), (F.col("event_id") % 40).alias("piece"), "ts")
+    return transfers.completed_files(transfers.file_spans(_files(spark, d), 16384), arrived)
+
+
+@query("transfer_rate", """
+with s as (select user_id, ts, event_id, epoch_ms(ts) ms, round(value * 1000)::bigint bytes from events),
+l as (select *, ms - lag(ms) over w dt, greatest(bytes - lag(bytes) over w, 0) moved from s window w as (partition by user_id order by ts, event_id))
+select user_id infohash, event_id, round(case when dt is null then 0.0 else moved * 1000.0::double / dt end, 4) rate from l where dt is null or dt >= 100""")
+def transfer_rate(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("infohash"), F.struct("ts", "event_id").alias("_o"), "ts", "event_id", F.round(F.col("value") * 1000).cast("long").alias("bytes"))
+    return transfers.rates(e).select("infohash", "event_id", F.round("rate", 4).alias("rate"))
+
+
+@query("queue_promotion", "select o_orderkey infohash from orders where o_orderstatus = 'P' order by o_orderdate, o_orderkey limit 12")
+def queue_promotion(spark, d):
+    q = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("infohash"), F.col("o_orderdate").alias("queue_order"))
+    return transfers.promoted(q, 3, 15).select("infohash")
+
+
+@query("status_rollup", """
+with r as (select case when o_orderkey % 13 = 0 then 'paused' when o_orderkey % 7 = 0 then 'queued' when o_orderstatus = 'P' then 'fetching metadata' when o_orderstatus = 'F' and o_custkey % 2 = 0 then 'seeding'
+  when o_orderstatus = 'F' then 'complete' when o_custkey % 5 = 0 then 'stalled' else 'downloading' end status, o_orderkey % 100 down, o_custkey % 50 up, o_orderkey % 3 = 0 signed, o_orderkey % 6 = 0 trusted from orders)
+select status, count(*) n, sum(down)::bigint down_rate, sum(up)::bigint up_rate, count(*) filter (where signed) signed, count(*) filter (where trusted) trusted from r group by 1""")
+def status_rollup(spark, d):
+    k, c, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    rows = table(spark, d, "orders").select(transfers.status(s != "P", k % 13 == 0, k % 7 == 0, s == "F", c % 2 == 0, c % 5).alias("status"), (k % 100).alias("down_rate"), (c % 50).alias("up_rate"), F.when(k % 3 == 0, "x").alias("signed_by"), (k % 6 == 0).alias("trusted"))
+    return transfers.dashboard(rows)
+
+
+@query("pipeline_counters", """
+select user_id infohash, count(*) filter (where event_type in ('view', 'click')) extracted, count(*) filter (where event_type = 'signup') skipped, count(*) filter (where event_type = 'error') failed,
+  count(*) filter (where event_type in ('view', 'click', 'signup', 'error')) processed from events group by 1""")
+def pipeline_counters(spark, d):
+    kind = F.when(F.col("event_type").isin("view", "click"), "extracted").when(F.col("event_type") == "signup", "skipped").when(F.col("event_type") == "error", "failed")
+    return transfers.outcome_counts(table(spark, d, "events").select(F.col("user_id").alias("infohash"), kind.alias("outcome")))
+
+
+# Peers.
+
+
+@query("capabilities", "select c_custkey peer, array_to_string(list_filter(['share_local', 'share_swarm', 'file_hits', 'content_hits', 'layer_d_publisher', 'companion_publisher', 'companion_subscriber', 'snippet_highlight', 'regtest', 'set_reconciliation'], lambda x, i: (c_custkey >> (i - 1)) & 1 = 1), ',') names from customer")
+def capabilities(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("peer"), F.array_join(peers.capabilities(F.col("c_custkey")), ",").alias("names"))
+
+
+@query("peer_counts", "select count(*) known, count(*) filter (where c_custkey % 2 = 1) capable from customer")
+def peer_counts(spark, d):
+    return peers.peer_counts(table(spark, d, "customer").select(F.col("c_custkey").alias("services")))
+
+
+def _charges(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "bad_bencode").when(F.col("event_type") == "click", "rate_limited").otherwise("none")
+    return peers.charged(e.select(F.col("user_id").cast("string").alias("peer"), "ts", kind.alias("offence")))
+
+
+@query("misbehavior_ban", """
+with t as (select user_id::varchar peer, ts, sum(p) over (partition by user_id order by ts, p rows unbounded preceding) total from (select *, case event_type when 'error' then 20 when 'click' then 5 else 0 end p from events))
+select peer, min(ts) banned_at, min(ts) + interval 24 hours as until from t where total >= 100 group by 1""")
+def misbehavior_ban(spark, d):
+    return trust.running_ban(_charges(spark, d))
+
+
+@query("bans_with_expiry", None)
+def bans_with_expiry(spark, d):
+    return peers.bans(_charges(spark, d))
+
+
+@query("token_bucket", None)
+def token_bucket(spark, d):
+    return peers.rate_limited(table(spark, d, "events").select(F.col("user_id").cast("string").alias("peer"), "ts"), refill=0.0005, burst=3.0)
+
+
+BOOK = """book as (
+  select user_id peer, min(ts) first_seen, max(ts) last_used, count(*) filter (where event_type = 'purchase') > 0 tried, max(ts) filter (where event_type = 'purchase') last_ok from events group by 1),
+counted as (select b.peer, first_seen, last_used, tried, count(*) filter (where event_type = 'error' and (last_ok is null or ts > last_ok)) failures from book b join events on user_id = peer group by all)"""
+
+
+def _book(spark, d):
+    ok = F.when(F.col("event_type") == "purchase", True).when(F.col("event_type") == "error", False)
+    return peers.peer_book(table(spark, d, "events").select(F.col("user_id").alias("peer"), "ts", ok.alias("ok")), 40, 30)
+
+
+@query("peer_book", f"""
+with {BOOK} select * from (select peer, first_seen, last_used, tried, failures from counted where tried order by last_used desc, peer limit 30)
+union all select * from (select peer, first_seen, last_used, tried, failures from counted where not tried order by first_seen desc, peer limit 40)""")
+def peer_book(spark, d):
+    return _book(spark, d)
+
+
+@query("query_targets", f"""
+with {BOOK}, kept as (select * from (select * from counted where tried order by last_used desc, peer limit 30) union all select * from (select * from counted where not tried order by first_seen desc, peer limit 40))
+select peer from kept where tried union all select peer from (select peer from kept where not tried order by first_seen, peer limit 2)""")
+def query_targets(spark, d):
+    return peers.targets(_book(spark, d)).select("peer")
+
+
+# Snapshots.
+
+
+def _snapshot(spark, d):
+    c = table(spark, d, "conversations")
+    parents = c.groupBy("conv_id").agg(F.count("*").alias("n")).select(_hash("c", "conv_id").alias("infohash"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("name"), F.col("n").alias("size"), F.lit(0).cast("long").alias("added_at"), F.array(F.lit("user"), F.lit("assistant"), F.lit("empty")).alias("file_paths"))
+    index = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(9)
+    content = c.select(_hash("c", "conv_id").alias("infohash"), index.alias("file_index"), F.lit(1).cast("long").alias("file_size"), F.lit("text/plain").alias("mime"), F.lit("plaintext").alias("extractor"), F.col("turn").cast("int").alias("chunk_index"), "text", F.lit(0).cast("long").alias("offset"))
+    return snapshot.nested(parents, content, max_chunks=3)
+
+
+@query("nested_snapshot", """
+with c as (select conv_id, role, turn, text, row_number() over (partition by conv_id, role order by turn) - 1 i from conversations where role in ('user', 'assistant'))
+select sha1('c' || conv_id) infohash, case role when 'user' then 0 else 1 end file_index, role as path, i::int chunk_index, text, 0::bigint "offset" from c where i < 3""")
+def nested_snapshot(spark, d):
+    return snapshot.flattened(_snapshot(spark, d))
+
+
+@query("snapshot_shape", "select count(distinct conv_id) torrents, 3 * count(distinct conv_id) files from conversations")
+def snapshot_shape(spark, d):
+    return _snapshot(spark, d).agg(F.count("*").alias("torrents"), F.sum(F.size("files")).alias("files"))
+
+
+# Text of files, and windows over events.
+
+
+@query("html_text", None)
+def html_text(spark, d):
+    text = F.udf(T.html_text, "string", useArrow=True)
+    return table(spark, d, "pages").select("page_id", text("html").alias("text"))
+
+
+@query("chunk_documents", None)
+def chunk_documents(spark, d):
+    cut = F.udf(lambda t: [{"text": x, "offset": o} for x, o in T.chunks(t)], "array<struct<text:string,offset:bigint>>", useArrow=True)
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", F.col("c.text").alias("text"), F.col("c.offset").alias("offset"))
+
+
+@query("subtitle_text", "select conv_id, string_agg(regexp_replace(replace(text, chr(10), ' '), '^[ ]+|[ ]+$', '', 'g'), chr(10) order by turn) text from conversations group by 1")
+def subtitle_text(spark, d):
+    c = table(spark, d, "conversations")
+    cue = F.concat(F.lit("1\n00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(",000 --> 00:01:00,000\n<i>"), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("</i>\n\n"))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))), lambda x: x.cue), "").alias("file"))
+    return files.select("conv_id", F.udf(T.subtitle_text, "string", useArrow=True)("file").alias("text"))
+
+
+@query("event_windows", "select time_bucket(interval 1 hour, ts) start, event_type, count(*) n, round(sum(value), 6) total from events group by 1, 2")
+def event_windows(spark, d):
+    from siftwood.streaming.state import windowed_counts
+
+    return windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 6))
+
+
+@query("human_sizes", "select p_partkey, case when s >= 1048576 then printf('%.1f MiB', round(s / 1048576.0::double, 1)) when s >= 1024 then printf('%.1f KiB', round(s / 1024.0::double, 1)) else printf('%d B', s) end shown from (select p_partkey, p_size::bigint * p_partkey s from part)")
+def human_sizes(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.human_bytes(F.col("p_size").cast("long") * F.col("p_partkey")).alias("shown"))
