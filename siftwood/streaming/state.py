@@ -15,7 +15,7 @@ from siftwood.sources.extractors import extracted
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """Chunks of files as they appear in a folder; the bound on files of a batch is the back-pressure."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
     return extracted(rows)
 
 
