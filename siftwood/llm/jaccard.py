@@ -29,6 +29,10 @@ RANGES = 256
 FLUSH = 3_000_000
 #: Members that are verified against one copy of their leader.
 BLOCK = 256
+#: Rows of a bucket that meet in one piece of a task.
+MEETING = 512
+#: Bins of the sketches, and first signatures, that such a row carries.
+FOLDED, FIRSTS = 128, 8
 #: Bits of the filter for documents that verification needs.
 FILTER_BITS = 1 << 23
 
@@ -58,19 +62,46 @@ class Shingler:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Counts of tokens in hashed bins, a power of two of them near a quarter of the set's size."""
-    bins = max(16, min(1 << 13, 1 << max(0, len(tokens) // 4).bit_length()))
-    return np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype("<u2" if len(tokens) < 1 << 16 else "<u4").tobytes()
-
-
-def most_common(x: bytes, nx: int, y: bytes, ny: int) -> int:
-    """An upper bound for the size of the intersection of two sets, from their sketches."""
-    a, b = (np.frombuffer(v, "<u2" if n < 1 << 16 else "<u4").astype(np.int64) for v, n in ((x, nx), (y, ny)))
-    while len(a) > len(b):
-        a = a.reshape(2, -1).sum(0)
-    while len(b) > len(a):
-        b = b.reshape(2, -1).sum(0)
-    return int(np.minimum(a, b).sum())
+    """Counts of tokens in hashed bins, a power of two of them from the set's size on; empty if a byte can't hold one."""
+    bins = min(1 << 15, 1 << max(4, (len(tokens) - 1).bit_length()))
+    count = np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return count.astype(np.uint8).tobytes() if len(tokens) and count.max() < 256 else b""
+
+
+def folded(x: bytes, bins: int) -> bytes:
+    """A sketch of at most so many bins; empty if a byte can't hold one."""
+    if len(x) <= bins:
+        return x
+    count = np.frombuffer(x, np.uint8).reshape(-1, bins).sum(0, dtype=np.int64)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+class Sketches:
+    """Sketches of several sets, for upper bounds of intersections."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.bins = np.array([len(x) for x in sketches], np.int64)
+        self.place, self.rows = np.zeros(len(sketches), np.int64), {}
+        for b in np.unique(self.bins):
+            at = np.flatnonzero(self.bins == b)
+            self.place[at] = np.arange(len(at))
+            self.rows[int(b)] = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(len(at), -1) if b else None
+
+    def bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The most tokens that sets x and y can share; the largest number where a sketch is missing."""
+        out = np.full(len(x), np.iinfo(np.int64).max // 1000)
+        kind = self.bins[x] * (1 << 20) + self.bins[y]
+        for k in np.unique(kind):
+            p, q = int(k) >> 20, int(k) & ((1 << 20) - 1)
+            if not p or not q:
+                continue
+            at, low = np.flatnonzero(kind == k), min(p, q)
+            for i in range(0, len(at), step := max(1, (1 << 22) // max(p, q))):
+                part = at[i : i + step]
+                a, b = self.rows[p][self.place[x[part]]], self.rows[q][self.place[y[part]]]
+                a, b = (v if v.shape[1] == low else v.reshape(len(v), -1, low).sum(1, dtype=np.uint16) for v in (a, b))
+                out[part] = np.minimum(a, b).sum(1, dtype=np.int64)
+        return out
 
 
 def _ceil(n: int, num: int, den: int) -> int:
@@ -256,14 +287,79 @@ def promising(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            na, nb = x.column("na").to_pylist(), x.column("nb").to_pylist()
-            bound = [most_common(s, i, t, j) for s, i, t, j in zip(x.column("sa").to_pylist(), na, x.column("sb").to_pylist(), nb, strict=True)]
-            keep = pa.array([den * m >= num * (i + j - m) for m, i, j in zip(bound, na, nb, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(keep)
+            na, nb, n = x.column("na").to_numpy().astype(np.int64), x.column("nb").to_numpy().astype(np.int64), len(x)
+            most = Sketches(x.column("sa").to_pylist() + x.column("sb").to_pylist()).bound(np.arange(n), np.arange(n, 2 * n))
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(pa.array(den * most >= num * (na + nb - most)))
 
     return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: str) -> DataFrame:
+    """Distinct pairs (a, b) of one bucket that lie in different parts and that sizes and sketches leave room for.
+
+    open_rows: sig, id, n, part. Buckets are cut into blocks that meet pairwise, and a task compares
+    folded sketches of the blocks that it holds, so only pairs that may be links leave it. A row
+    carries its document's first signatures: a pair that shares an earlier one of them is left to
+    that bucket, so few pairs leave twice.
+    """
+    sketches = base.select(F.col("doc_id").alias("id"), "sketch").filter("id is not null").dropDuplicates(["id"])
+    facts = open_rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRSTS).alias("firsts")).join(sketches, "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("firsts"), pa.array([folded(v, FOLDED) for v in x.column("sketch").to_pylist()], pa.binary())], names=["id", "firsts", "sketch"])
+
+    facts = saved(facts.select("id", "firsts", "sketch").mapInArrow(fold, "id long, firsts array<long>, sketch binary"), work)
+    rows = open_rows.withColumn("blocks", F.ceil(F.expr("count(*) over (partition by sig)") / MEETING).cast("int")).join(facts, "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "sig"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    keys = ["sig", "left", "right"]
+    rows = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).select(*keys, "block", "id", "n", "part", "firsts", "sketch")
+
+    def meet(t: pa.Table) -> pa.RecordBatch:
+        key = [t.column(k).to_numpy() for k in keys]
+        block, ids, n, part = (t.column(k).to_numpy().astype(np.int64) for k in ("block", "id", "n", "part"))
+        group = np.cumsum(np.concatenate([[False], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+        apart, known, out = key[1] != key[2], Sketches(t.column("sketch").to_pylist()), []
+        firsts = np.full((len(t), FIRSTS), np.iinfo(np.int64).max)
+        for i, x in enumerate(t.column("firsts").to_pylist()):
+            firsts[i, : len(x)] = x
+        firsts[firsts >= key[0][:, None]] = np.iinfo(np.int64).max  # only earlier ones
+        for gap in range(1, int(np.bincount(group).max(initial=0))):
+            x = np.flatnonzero(group[gap:] == group[:-gap])
+            y = x + gap
+            keep = (part[x] != part[y]) & (~apart[x] | (block[x] != block[y])) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+            x, y = x[keep], y[keep]
+            most = known.bound(x, y)
+            keep = den * most >= num * (n[x] + n[y] - most)
+            x, y = x[keep], y[keep]
+            shared = (firsts[x][:, :, None] == firsts[y][:, None, :]) & (firsts[x] != np.iinfo(np.int64).max)[:, :, None]
+            keep = ~shared.any((1, 2))
+            out.append(np.stack([np.minimum(ids[x[keep]], ids[y[keep]]), np.maximum(ids[x[keep]], ids[y[keep]])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) < 8 * MEETING:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = np.ones(len(t), bool)
+            for k in keys:
+                v = t.column(k).to_numpy()
+                last &= v == v[-1]
+            cut = int(np.argmax(last))  # the last group may go on
+            if cut:
+                yield meet(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield meet(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, work: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Blocks of members meet one copy of their leader a."""
     members = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("salt"), F.lit(1).alias("member"))
@@ -330,9 +426,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     open_rows = posts.select("sig", "id", "n").join(parts, F.col("id") == F.col("node"), "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
     spread = "over (partition by sig)"
     open_rows = saved(open_rows.withColumn("lo", F.expr(f"min(part) {spread}")).withColumn("hi", F.expr(f"max(part) {spread}")).filter("lo <> hi").select("sig", "id", "n", "part"), f"{work}/open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    rest = a.join(b, F.col("a.sig") == F.col("b.sig")).filter((F.col("a.id") < F.col("b.id")) & (F.col("a.part") != F.col("b.part")) & fits(F.col("a.n"), F.col("b.n")))
-    rest = rest.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = crossing(open_rows, base, num, den, f"{work}/facts").join(stars, ["a", "b"], "left_anti")
     rest = saved(promising(rest, base, num, den), f"{work}/rest")
     if not rest.isEmpty():
         more = saved(verified(rest, docs, size, num, den, f"{work}/v2"), f"{work}/links2")
