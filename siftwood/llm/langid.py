@@ -19,8 +19,9 @@ DIMS = 1 << 13
 SAMPLE_PER_LANG, MAX_LANGS = 400, 400
 #: Centroids per language.
 CENTROIDS = 4
-#: A document is rejected beyond its centroid's training radius by more than this cosine distance.
-MARGIN = 0.1
+#: A document is rejected beyond its centroid's training radius plus this cosine distance, and not below
+#: LEAST_RADIUS: short clean texts have few n-grams and lie far out, other scripts lie near 1.
+MARGIN, LEAST_RADIUS = 0.1, 0.92
 
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[: 0x80] = [c if chr(c).isalpha() else 32 for c in range(0x80)]
@@ -122,7 +123,7 @@ def fitted(texts: list[str], langs: list[str], centroids: int = CENTROIDS, margi
         widest = max(float(x.max()) for x in far if len(x))
         parts.append(c)
         owner += [j] * len(c)
-        radius += [min(0.99, widest + margin)] * len(c)
+        radius += [min(0.99, max(LEAST_RADIUS, widest + margin))] * len(c)
     model.centroids, model.owner, model.radius = np.concatenate(parts), np.array(owner), np.array(radius)
     return model
 
