@@ -98,12 +98,13 @@ def bloom_from(data: bytes) -> tuple[np.ndarray, int, int]:
     return np.frombuffer(data, "<u8", n, 24).astype(np.uint64), bits, k
 
 
-def contributes(keys: np.ndarray, symbol: int) -> np.ndarray:
-    """Which keys take part in a symbol: a share of 2**-(1 + symbol mod 12), by a splitmix finaliser."""
-    z = keys + np.uint64(symbol * MIX[0] % (1 << 64))
+def contributes(keys: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Which keys take part in a symbol: a share of 2**-(1 + symbol mod 12), by a splitmix finaliser. One of both may be an array."""
+    symbol = np.asarray(symbol).astype(np.uint64)
+    z = keys + symbol * np.array(MIX[0], np.uint64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[1])
     z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[2])
-    return (z ^ (z >> np.uint64(31))) % np.uint64(1 << (1 + symbol % LEVELS)) == 0
+    return (z ^ (z >> np.uint64(31))) % (np.uint64(1) << (np.uint64(1) + symbol % np.uint64(LEVELS))) == 0
 
 
 def symbols(ids: DataFrame, first: int, count: int) -> DataFrame:
@@ -140,14 +141,13 @@ def peeled(diff: np.ndarray) -> tuple[list[bytes], list[bytes], bool]:
         for s in np.flatnonzero(np.abs(count) == 1):
             item = rest[s, 1:].astype("<u8").tobytes()
             key = fnv([item])
-            if abs(count[s]) != 1 or key[0] != rest[s, 0] or not contributes(key, int(s))[0] or item in found:
+            if abs(count[s]) != 1 or key[0] != rest[s, 0] or not contributes(key, s)[0] or item in found:
                 continue
             sign = int(count[s])
             found[item], progress = sign, True
-            for j in range(len(count)):
-                if contributes(key, j)[0]:
-                    count[j] -= sign
-                    rest[j] ^= np.concatenate([key, np.frombuffer(item, "<u8").astype(np.uint64)])
+            on = contributes(key, np.arange(len(count)))
+            count[on] -= sign
+            rest[on] ^= np.concatenate([key, np.frombuffer(item, "<u8").astype(np.uint64)])
     done = not count.any() and not rest.any()
     return sorted(x for x, s in found.items() if s > 0), sorted(x for x, s in found.items() if s < 0), done
 

@@ -542,7 +542,7 @@ def file_completion(spark, d):
 
 
 @query("transfer_rate", """
-with s as (select user_id, ts, event_id, epoch_ms(ts) ms, floor(value * 1000)::bigint bytes from events),
+with s as (select user_id, ts, event_id, epoch_us(ts) // 1000 ms, floor(value * 1000)::bigint bytes from events),
 l as (select *, ms - lag(ms) over w dt, greatest(bytes - lag(bytes) over w, 0) moved from s window w as (partition by user_id order by ts, event_id))
 select user_id infohash, event_id, round(case when dt is null then 0.0 else moved * 1000.0::double / dt end, 4) rate from l where dt is null or dt >= 100""")
 def transfer_rate(spark, d):
