@@ -477,9 +477,8 @@ with {RECORDS}, a as (select distinct {ID} id from records where seq % 100 < 97)
 select id, 'added' side from b where id not in (select id from a) union all select id, 'removed' from a where id not in (select id from b)""")
 def riblt_reconcile(spark, d):
     binary = lambda keep: _ids(spark, d, keep).select(F.unhex("id").alias("id"))
-    added, removed, _ = sketches.reconciled(binary("doc_id % 100 < 97"), binary("doc_id % 100 > 2"), batch=500, budget=6000)
-    rows = [(x.hex(), "added") for x in added] + [(x.hex(), "removed") for x in removed]
-    return spark.createDataFrame(rows, "id string, side string")
+    diff = sketches.reconciled_ranges(binary("doc_id % 100 < 97"), binary("doc_id % 100 > 2"))
+    return diff.select(F.lower(F.hex("id")).alias("id"), "side")
 
 
 @query("riblt_symbols", None)

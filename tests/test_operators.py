@@ -105,6 +105,15 @@ def test_reconciliation(spark, shared, remote, local):
     assert sorted(bytes(d.id) for d in diff if d.side == "added") == added
 
 
+@pytest.mark.parametrize("shared,remote,local,ranges", [(3000, 60, 50, None), (200, 2500, 3000, None), (20, 900, 900, 1), (5, 0, 0, None), (0, 3, 0, None), (0, 0, 0, None)])
+def test_reconciliation_of_any_size(spark, shared, remote, local, ranges):
+    ids = lambda kind, n: [(sketches.element(f"{kind}{i}"),) for i in range(n)]
+    common, r, x = ids("s", shared), ids("r", remote), ids("l", local)
+    a, b = spark.createDataFrame(common + x + x[:2], "id binary"), spark.createDataFrame(common + r, "id binary")
+    got = sorted((bytes(d.id), d.side) for d in sketches.reconciled_ranges(a, b, ranges).collect())
+    assert got == sorted([(i, "added") for (i,) in r] + [(i, "removed") for (i,) in x])
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     parents = spark.createDataFrame([(A, "n", 3, 0, ["x", "y"]), (B, "m", 1, 0, None)], "infohash string, name string, size long, added_at long, file_paths array<string>")
     content = spark.createDataFrame([(A, 1, 7, "t", "e", 1, "two", 9), (A, 1, 7, "t", "e", 0, "one", 0), (A, 5, 7, "t", "e", 0, "lost", 0)], "infohash string, file_index int, file_size long, mime string, extractor string, chunk_index int, text string, offset long")
