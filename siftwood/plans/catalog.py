@@ -420,7 +420,7 @@ def delete_by_query(spark, d):
 
 def _records(spark, d, keep=None):
     docs = table(spark, d, "documents") if keep is None else table(spark, d, "documents").filter(keep)
-    kw = F.explode(T.keywords(F.col("text")))
+    kw = F.explode(T.keywords(F.col("text"), None))
     pk = F.sha2(F.coalesce("source", F.lit("")).cast("binary"), 256)
     return docs.select(F.unhex(pk).alias("pk"), kw.alias("kw"), F.unhex(_hash("", "doc_id")).alias("ih"), F.col("n_chars").alias("t"), F.lit(0).cast("long").alias("pow"), F.rpad(F.lit("s"), 64, "s").cast("binary").alias("sig"), F.col("doc_id").alias("seq")).filter(F.octet_length("kw") <= 64)
 
