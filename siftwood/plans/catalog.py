@@ -641,7 +641,7 @@ def _snapshot(spark, d):
     parents = c.groupBy("conv_id").agg(F.count("*").alias("n")).select(_hash("c", "conv_id").alias("infohash"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("name"), F.col("n").alias("size"), F.lit(0).cast("long").alias("added_at"), F.array(F.lit("user"), F.lit("assistant"), F.lit("empty")).alias("file_paths"))
     index = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(9)
     content = c.select(_hash("c", "conv_id").alias("infohash"), index.alias("file_index"), F.lit(1).cast("long").alias("file_size"), F.lit("text/plain").alias("mime"), F.lit("plaintext").alias("extractor"), F.col("turn").cast("int").alias("chunk_index"), "text", F.lit(0).cast("long").alias("offset"))
-    return snapshot.nested(parents, content, max_chunks=3)
+    return snapshot.nested(parents, content)
 
 
 @query("nested_snapshot", """
