@@ -21,11 +21,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows that repeat its id and text fall together."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY, 100)
-    copies = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates: the one with the smallest id (null comes last), then the smallest text, source and so on.
+
+    Rows are told apart by a hash of id and text (another one if two rows ever collide), so rows of a null
+    or repeated id are compared like all others, and of equal rows one stays.
+    """
+    docs, same, seed = docs.select(*COLUMNS), F.struct("doc_id", F.sha2("text", 256)), 0
+    keyed = docs.withColumn("_row", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    while not keyed.groupBy("_row").agg((F.min(same) == F.max(same)).alias("one")).filter("not one").isEmpty():
+        seed += 1
+        keyed = docs.withColumn("_row", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    groups = jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY, 100)
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.isnull("doc_id").alias("_last"), "doc_id", "text", *[c for c in COLUMNS if c not in ("doc_id", "text")]))
+    return keyed.join(groups, "_row").groupBy("component_id").agg(first.alias("r")).select(*[F.col("r")[c].alias(c) for c in COLUMNS])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

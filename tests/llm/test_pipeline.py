@@ -35,3 +35,16 @@ def test_stages(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(want.tobytes()))
         at += len(want)
     assert [r.doc_id for r in sorted(rows[5], key=lambda r: r.start)] == sorted(ids[4])
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " more", "quite another text of a few words only"
+    rows = [
+        (5, text, "en", "a", 1), (5, text, "en", "a", 1), (5, text, "en", "a", 1), (None, text, "en", "a", 1), (None, near, "en", "a", 1), (7, near, "en", "b", 1),
+        (None, other, "en", "b", 1), (None, other, "en", "b", 1), (8, "one of a kind", "en", "c", 1), (8, "another of its id", "en", "c", 1), (9, "", "en", "c", 1), (9, None, "en", "c", 1), (10, "", "en", "c", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
+    want = [(5, text), (None, other), (8, "one of a kind"), (8, "another of its id"), (9, ""), (9, None), (10, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
