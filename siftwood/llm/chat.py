@@ -76,13 +76,13 @@ def format_trees(tree: DataFrame, per_tree: int | None = 1) -> DataFrame:
     scores the mean of its nodes' scores (null: 0); branches rank by score, then by leaf id, and
     the first per_tree stay (None: all). Returns tree_id, leaf, rank, score, n_turns, formatted
     (the conversation with marked, escaped turns) and loss_spans (1-based start and length, in code
-    points of formatted, of every assistant text). Null roles and texts are empty. An empty table
-    gives no rows. Extra columns are ignored. Control strings inside texts and roles are escaped
+    points of formatted, of every assistant text). Rows of a null tree_id make one tree. Null roles
+    and texts are empty. An empty table gives no rows. Extra columns are ignored. Control strings inside texts and roles are escaped
     reversibly; read_turns() and loss_text() undo it.
     """
     work = shared_dir(tree.sparkSession)
-    tree = tree.select("tree_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    paths = branches(tree, work)
+    tree = tree.select(F.struct(F.col("tree_id").alias("id")).alias("tree_id"), "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    paths = branches(tree, work)  # tree ids are structs here: joins match those that hold a null
     scores = tree.select("tree_id", "node_id", "score")
     ranked = paths.join(scores, ["tree_id", "node_id"]).groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf")))
@@ -102,7 +102,7 @@ def format_trees(tree: DataFrame, per_tree: int | None = 1) -> DataFrame:
         ),
         lambda s: s.spans,
     )
-    return joined.select("tree_id", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"), F.concat_ws("", F.transform("turns", lambda t: t.turn)).alias("formatted"), ends.alias("loss_spans"))
+    return joined.select(F.col("tree_id.id").alias("tree_id"), "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"), F.concat_ws("", F.transform("turns", lambda t: t.turn)).alias("formatted"), ends.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -38,10 +38,14 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
+def _nulls_last(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 class Patterns:
     """The windows of benchmark items as word-id sequences, deduplicated, with their items."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
@@ -50,7 +54,7 @@ class Patterns:
                 for i in range(max(1, len(w) - window + 1)):
                     owners.setdefault(tuple(w[i : i + window]), set()).add(item)
         self.windows = list(owners)
-        self.owners = [sorted(owners[x]) for x in self.windows]
+        self.owners = [sorted(owners[x], key=_nulls_last) for x in self.windows]
         self.length = np.array([len(x) for x in self.windows], np.int64)
         self.shortest, self.longest = (int(self.length.min()), int(self.length.max())) if len(self.length) else (0, 0)
         self.table = np.zeros((len(self.windows), self.longest), np.int64)
@@ -203,17 +207,17 @@ class Shard:
                 spans[i][-1] = (spans[i][-1][0], max(b, spans[i][-1][1]))
             else:
                 spans[i].append((a, b))
-        return [sorted(set(x)) for x in items], spans
+        return [sorted(set(x), key=_nulls_last) for x in items], spans
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes | None]]]:
     """The benchmark in blocks of bounded size, in order of item_id."""
-    rows = benchmark.filter("text is not null and item_id is not null").select("item_id", F.col("text").cast("binary").alias("text"))
+    rows = benchmark.filter("text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block_bytes) + 1
     for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield sorted((r.item_id, bytes(r.text)) for r in part.toLocalIterator())
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)) == k)
+        yield sorted(((r.item_id, bytes(r.text)) for r in part.toLocalIterator()), key=lambda x: (_nulls_last(x[0]), x[1]))
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -256,8 +260,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     Returns the columns in keep (default doc_id) with n_words, n_hit (words inside any occurrence),
     items (sorted item_ids with an occurring window) and spans (merged removal spans of words, end
     exclusive). Null and empty texts have no words, and items without words have no window. Equal
-    items count each. An empty benchmark hits nothing. Columns named like the new ones are
-    replaced. A benchmark beyond block_bytes is searched in blocks, one pass over the documents
+    items count each; those of a null item_id hit as all others and are one null, the last, in items.
+    An empty benchmark hits nothing. Columns named like the new ones are replaced. A benchmark beyond block_bytes is searched in blocks, one pass over the documents
     each; then doc_id must be unique, and results are merged by it.
     """
     new = ("n_words", "n_hit", "items", "spans")

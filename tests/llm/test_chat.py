@@ -34,3 +34,10 @@ def test_long_chain_ties_and_cycles(spark):
     with pytest.raises(ValueError):
         chat.format_trees(loop)
     assert chat.format_trees(loop.filter("false")).collect() == []
+
+
+def test_null_conversation(spark):
+    turns = spark.createDataFrame([(None, 1, "assistant", "b"), (None, 0, "user", "a"), (4, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    out = chat.format_trees(chat.linear_tree(turns)).select("tree_id", "n_turns", chat.read_turns(F.col("formatted")).alias("t"))
+    assert {(r.tree_id, r.n_turns, tuple(x.text for x in r.t)) for r in out.collect()} == {(None, 2, ("a", "b")), (4, 1, ("c",))}
+    assert dict(out.dtypes)["tree_id"] == "bigint"

@@ -58,3 +58,11 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit) for r in dc.contamination(docs, none).collect()] == [(2, 0)]
     assert dc.contamination(docs.filter("false"), none).collect() == []
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8])
+def test_items_without_id_hit(spark, block_bytes):
+    bench = spark.createDataFrame([(None, "one two"), (None, "six seven"), (3, "one two"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two y"), (2, "six seven"), (3, "none")], "doc_id long, text string")
+    out = dc.contamination(docs, bench, block_bytes=block_bytes)
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in out.collect()} == {1: (2, [3, None]), 2: (2, [None]), 3: (0, [])}
