@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from .common import arrow_rows
 
 # Tag names of HTML, by what they do here.
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|head|select|textarea|button"
+RAW = frozenset("script style textarea iframe".split())
+SKIPPED = RAW | frozenset("noscript template svg math object canvas head select button".split())
+HEAD = frozenset("html head meta link base basefont bgsound".split())
+HIDDEN = frozenset("title script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 NESTED = BLOCKS - frozenset("p hr li dt dd tr td th thead tbody tfoot html body h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
@@ -27,9 +30,10 @@ MARKS = frozenset(
 )
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=skip)\s*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_WHITE = re.compile(r"\s*+")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_aside", "marked", "heading", "item")
@@ -54,6 +58,53 @@ def _is_marked(attrs: str) -> bool:
     return any(x in MARKS for part in re.split(r"[\s_]+|(?<=[a-z])(?=[A-Z])", names) for x in re.split(r"[^a-z0-9]+", part.lower()))
 
 
+@lru_cache(64)
+def _tags(tag: str) -> re.Pattern:
+    """Start and end tags of a name; group 1 is filled at the end tags."""
+    return re.compile(rf"<(?:(/){tag}(?:[\s/][^>]*+)?+|{tag}(?:[\s/](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?+)>", re.I)
+
+
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?:[\s/][^>]*+)?+>", re.I)
+
+
+class _Skips:
+    """Where skipped elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, {}
+
+    def end(self, m: re.Match) -> int:
+        """The end of the element whose start tag is m. One without an end tag is its start tag alone, but raw text goes on to the end of the page."""
+        tag = m["tag"].lower()
+        if tag == "head":
+            return self._head(m.end())
+        if tag in RAW:
+            x = _raw_end(tag).search(self.page, m.end())
+            return x.end() if x else len(self.page)
+        if tag not in self.ends:
+            self.ends[tag], started = {}, []
+            for x in _tags(tag).finditer(self.page):
+                if not x[1]:
+                    if not (tag in ("svg", "math") and x[0].endswith("/>")):
+                        started.append(x.start())
+                elif started:
+                    self.ends[tag][started.pop()] = x.end()
+        return self.ends[tag].get(m.start(), m.end())
+
+    def _head(self, at: int) -> int:
+        """The end of a head: its end tag, or else what comes before the first text or tag of the body."""
+        while m := _TOKEN.match(self.page, at + len(_WHITE.match(self.page, at)[0])):
+            tag = (m["tag"] or "").lower()
+            if m["end"] and tag in ("body", "html", "br") or tag and not m["end"] and tag not in HEAD | HIDDEN:
+                return at
+            at = self.end(m) if tag in HIDDEN and not m["end"] else m.end()
+            if m["end"] and tag == "head":
+                return at
+        return at
+
+
 def text_blocks(page: str) -> list[Block]:
     """The text blocks of a whole page in order, with what encloses them."""
     blocks: list[Block] = []
@@ -72,7 +123,8 @@ def text_blocks(page: str) -> list[Block]:
                 blocks.append(Block(text, words, min(linked, words), main, aside, marked, heading, item, label))
             parts = []
 
-    for m in _TOKEN.finditer(page):
+    skips = _Skips(page)
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append((page[at : m.start()], in_link))
         at = m.end()
@@ -80,7 +132,9 @@ def text_blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "a":
+        if tag in SKIPPED and not m["end"]:
+            at = skips.end(m)
+        elif tag == "a":
             in_link = not m["end"]
         elif tag == "br":
             parts.append((" ", False))

@@ -41,3 +41,17 @@ def test_tables(spark):
     df = spark.createDataFrame([(1, "u", "<article>a</article>", "old"), (1, "u", None, "old"), (None, None, "", "old")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in h.extract(df).collect()) == ["", "", "a"]
     assert h.extract(df.filter("false")).collect() == []
+
+
+def test_elements_without_end_tags():
+    body = "<article><p>One.</p>{}<p>Two.</p></article>"
+    for head in ("<head><title>T</title><meta charset=u><script>a('<p>')</script>", "<head><title>T</title></head>", "<HEAD lang='>'><!-- x --><link href=a><noscript>n</noscript>", "<head>"):
+        for start in ("<body class=x>", ""):
+            assert h.main_text(f"<!DOCTYPE html><html>{head}\n{start}{body.format('')}") == "One.\n\nTwo.", (head, start)
+    assert h.main_text("<head><title>T</title>" + body.format("<head>")) == "One.\n\nTwo."
+    for inside in ("<svg width='1'/>", "<math />", "<svg/><svg><text>no</text></svg>", "<svg><svg/><text>no</text></svg>", "<svg><svg></svg>no</svg>", "<button>", "<canvas>", "<object data=a>", "<noscript>", "<template>", "<select>", "<svg>", "<button>no</button>", "<script>no</script>", "<script>x = \"<script y\"; '</script>", "<svg-icon></svg-icon>"):
+        assert h.main_text(body.format(inside)) == "One.\n\nTwo.", inside
+    assert h.main_text(body.format("<button>")[:-10] + "<button>no</button></article>") == "One.\n\nTwo."
+    assert h.main_text(body.format("<script>")) == h.main_text(body.format("<style>")) == "One."
+    assert h.main_text("<article><p>One.</p>" + "<button><svg><title>" * 20000 + "<p>Two.</p>") == "One.\n\nTwo."
+    assert h.main_text("<head>" + "<title><noscript>" * 20000 + "<article><p>Two.</p>") == "Two."
