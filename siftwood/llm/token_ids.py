@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from .common import arrow_rows, saved, shared_dir
 
 #: Ids of a shard, at least, but for the last of a partition.
 SHARD_IDS = 4_000_000
-#: Rounds of pair replacement, rules in all (symbols stay below 2**16 with a vocabulary of 50,257), least pair count.
+#: Rounds of pair replacement that share out the rules, rules in all (symbols stay below 2**16 with a vocabulary of 50,257), least pair count.
 ROUNDS, MAX_RULES, LEAST_COUNT = 4, 15_000, 16
 #: Every this many symbols the expanded position is stored.
 SAMPLE = 1024
@@ -147,14 +148,15 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
     """(symbols, rules): ids below `first` with frequent neighbouring pairs replaced by nonterminals first, first + 1, ...
 
     Each round counts all pairs, gives the most frequent ones a rule each and replaces them from
-    left to right; rules may hold nonterminals of earlier rounds. rules[k] is the pair of symbol
+    left to right; rules may hold nonterminals of earlier rounds. The first rounds share out the rules;
+    more follow until no pair is left that occurs `least` times, or no rule. rules[k] is the pair of symbol
     first + k.
     """
     wide = first + max_rules > 1 << 16
     kind, shift, spread, down = (np.uint64, 32, 0x9E3779B97F4A7C15, 44) if wide else (np.uint32, 16, 0x9E3779B1, 12)
     s, rules = ids.astype(kind), []
-    for r in range(rounds):
-        room = (max_rules - len(rules)) // (rounds - r)
+    for r in count_from(0):
+        room = (max_rules - len(rules)) // max(1, rounds - r)
         if len(s) < 2 or room <= 0:
             break
         key = (s[:-1] << kind(shift)) | s[1:]

@@ -36,6 +36,13 @@ def test_re_pair_round_trip():
     assert np.array_equal(t.decoded(symbols, t.expansions(rules, 70_000)), np.tile(np.arange(8), 1000))
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    ids = np.tile(np.arange(8, dtype=np.uint32), 1000)
+    symbols, rules = t.re_pair(ids, 1000)
+    assert np.array_equal(t.decoded(symbols, t.expansions(rules, 1000)), ids)
+    assert len(symbols) <= 32 and max(np.unique(symbols[:-1] * 2000 + symbols[1:], return_counts=True)[1]) < 2 * t.LEAST_COUNT
+
+
 def test_table(spark, encoder, tmp_path):
     docs = [(i, x) for i, x in enumerate(ODD)] + [(100, "the cat " * 4000), (101, None), (102, "the cat"), (102, "the cat"), (None, "no id")]
     df = spark.createDataFrame([(i, x, 1) for i, x in docs], "doc_id long, text string, start int").repartition(3)
