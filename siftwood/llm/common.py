@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +19,20 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1024
 
 
+@lru_cache(1)
+def _local_dir(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="siftwood-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests in local mode) a temporary folder takes its place.
+    Only where that setting is missing and all runs in one process (tests) a temporary folder takes its
+    place; a cluster without the setting raises ValueError.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siftwood-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dir(spark.sparkContext.master)
     return f"{base.rstrip('/')}/siftwood-{uuid.uuid4().hex}"
 
 
@@ -50,6 +59,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@lru_cache(1)
+def _trim():
+    """Return free heap pages to the system, where the C library can."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda: None
+    return lambda: trim(0)
+
+
+def tidy(run):
+    """A mapInArrow function after which the worker gives its memory back, as idle workers live on beside the next stage's."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()()
+
+    return go
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (an xor-multiply finaliser)."""
     x = x ^ (x >> np.uint64(32))
@@ -150,20 +182,42 @@ def unpacked_sorted(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(unpacked(data, dtype), dtype=dtype)
 
 
-def connected(edges: DataFrame, work: str) -> DataFrame:
+#: Pieces into which the rows of a dealt join are cut, and the least rows of a piece.
+PIECES, LEAST_PIECE = 10_000, 64
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of rows with facts, one row a key, where single keys may hold a large share of rows.
+
+    facts.count says how many rows a key has, of total. Keys of more rows than a piece, at most
+    PIECES of them, are dealt to several pieces and their facts repeated once a piece, so facts grow
+    by 2 * PIECES rows at most and no task meets a whole hot key.
+    """
+    piece = max(LEAST_PIECE, -(-total // PIECES))
+    hot = facts.filter(F.col(count) > piece).select(*keys, F.ceil(F.col(count) / piece).cast("int").alias("_n"))
+    n = F.coalesce("_n", F.lit(1))
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.pmod(F.monotonically_increasing_id(), n).cast("int")).drop("_n")
+    n = F.greatest(F.lit(1), F.ceil(F.col(count) / piece).cast("int"))
+    n = F.when(F.col(count) > piece, n).otherwise(F.lit(1))
+    right = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.join(right, [*keys, "_piece"]).drop("_piece")
+
+
+def connected(edges: DataFrame, work: str, rounds: int = 200) -> DataFrame:
     """Connected components of edges (a, b longs): rows (node, component), component being the smallest node.
 
     Each round points every node at the neighbour that comes first in a hashed order and
     contracts the edges; hashed order shortens chains by a constant share a round, so the rounds
     grow as the logarithm of the longest path. Joins are plain equi-joins whose hot keys the
     adaptive planner can split; minima are combined before the shuffle. Self links only name a
-    node. An empty input gives an empty result.
+    node. An empty input gives an empty result. Work tables of a round are deleted when the next one is
+    written. Should `rounds` not be enough, which no graph that fits a cluster needs, it raises RuntimeError.
     """
     spark = edges.sparkSession
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     now = saved(edges.select("a", "b").distinct(), f"{work}/edges0")
     labels = saved(now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("label", F.col("node")), f"{work}/labels0")
-    for k in range(1, 200):
+    for k in range(1, rounds + 2):
         now = now.filter("a <> b")
         both = now.union(now.select("b", "a").toDF("a", "b"))
         first = saved(
@@ -172,8 +226,12 @@ def connected(edges: DataFrame, work: str) -> DataFrame:
         )
         if first.isEmpty():
             break
+        if k > rounds:
+            raise RuntimeError("components are not complete after all rounds")
         labels = saved(labels.join(first, labels.label == first.a, "left").select("node", F.coalesce("p", "label").alias("label")), f"{work}/labels{k}")
         second = first.toDF("b", "q")
         now = saved(now.join(first, "a").join(second, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct(), f"{work}/edges{k}")
+        for old in (f"edges{k - 1}", f"labels{k - 1}", f"first{k}"):
+            removed(spark, f"{work}/{old}")
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

@@ -17,24 +17,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_rows, connected, mixed, packed, packed_sorted, saved, shared_dir, unpacked, unpacked_sorted
+from .common import WordHashes, arrow_rows, connected, dealt_join, mixed, packed, packed_sorted, removed, saved, shared_dir, tidy, unpacked, unpacked_sorted
 
 #: A token in more documents than this counts as frequent.
 FREQUENT = 32
 #: The most frequent fingerprints that are held as frequent (4 bytes each, broadcast).
 MOST_FREQUENT = 1 << 20
-#: Ranges of fingerprints that are counted apart.
-RANGES = 256
+#: Ranges of fingerprints that are counted apart, each with a counter for every fingerprint of it (8 MB).
+RANGES = 4096
 #: Shingles gathered before their fingerprints are sent to the ranges.
-FLUSH = 3_000_000
+FLUSH = 6_000_000
 #: Members that are verified against one copy of their leader.
 BLOCK = 256
 #: Rows of a bucket that meet in one piece of a task.
 MEETING = 512
 #: Bins of the sketches, and first signatures, that such a row carries.
 FOLDED, FIRSTS = 128, 8
-#: Bits of the filter for documents that verification needs.
-FILTER_BITS = 1 << 23
+#: Bits a document, and the least and most bits, of the filter for documents that verification needs.
+FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 class Shingler:
@@ -206,78 +206,96 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest long, sketch binary, range int, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n int, digest long, sketch binary, range int, payload binary")
 
 
 def frequent_tokens(rows: DataFrame, least: int = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Fingerprints in more than `least` sets, from less to more frequent; at most `most` of them, the most frequent."""
-
-    def count(table: pa.Table) -> pa.Table:
-        fps, times = [], []
-        for x in table.column("payload").to_pylist():
-            size = int.from_bytes(x[:4], "little")
-            fps.append(unpacked_sorted(x[4 : 4 + size], np.uint32))
-            times.append(unpacked(x[4 + size :], np.uint32))
-        fp, total = _counts(np.concatenate(fps), np.concatenate(times).astype(np.int64))
-        keep = total > least
-        return pa.table({"fp": fp[keep].astype(np.int64), "df": total[keep]})
-
-    counted = rows.filter("range is not null").select("range", "payload").groupBy("range").applyInArrow(count, "fp long, df long")
+    """Fingerprints in more than `least` sets, from less to more frequent; at most `most` of them, the most frequent.
+
+    A range adds its payloads one by one to its counters, so its memory is the same at any size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros((1 << 32) // RANGES, np.int64)
+
+        def found() -> pa.RecordBatch:
+            at = np.flatnonzero(total > least)
+            return pa.RecordBatch.from_arrays([pa.array(at + now * len(total)), pa.array(total[at])], names=["fp", "df"])
+
+        for b in batches:
+            for r, x in zip(b.column("range").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                if r != now:
+                    if now is not None:
+                        yield found()
+                        total[:] = 0
+                    now = r
+                size = int.from_bytes(x[:4], "little")
+                total[unpacked_sorted(x[4 : 4 + size], np.uint32) - np.uint32(now * len(total))] += unpacked(x[4 + size :], np.uint32)
+        if now is not None:
+            yield found()
+
+    payloads = rows.filter("range is not null").select("range", "payload").repartition("range").sortWithinPartitions("range")
+    counted = payloads.mapInArrow(tidy(run), "fp long, df long")
     top = counted.orderBy(F.desc("df"), "fp").limit(most).toPandas()  # bounded by `most`
     return top["fp"].to_numpy(np.uint32)[::-1].copy()
 
 
 def postings(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """Rows (sig, digest, n, doc_id): the prefix signatures of every set."""
+    """Rows (sig, digest, n, doc_id): the prefix signatures of every set, once a task for each distinct set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT * 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sign = Shingler(size), Signatures(num, den, shared.value)
+        shingle, sign, met = Shingler(size), Signatures(num, den, shared.value), set()
         for b in batches:
-            rows = [(i, x, sign(x)) for i, x in zip(b.column("doc_id").to_pylist(), shingle(_bytes(b.column("text"))), strict=True) if i is not None and len(x)]
+            rows = []
+            for i, x in zip(b.column("doc_id").to_pylist(), shingle(_bytes(b.column("text"))), strict=True):
+                if i is not None and len(x) and (k := (_digest(x), len(x))) not in met:
+                    met.add(k)
+                    rows.append((i, *k, sign(x)))
             if rows:
                 width = [len(s) for *_, s in rows]
-                columns = [np.concatenate([s for *_, s in rows]).view(np.int64), np.repeat([_digest(x) for _, x, _ in rows], width), np.repeat(np.array([len(x) for _, x, _ in rows], np.int32), width), np.repeat([i for i, *_ in rows], width)]
+                columns = [np.concatenate([s for *_, s in rows]).view(np.int64), np.repeat([d for _, d, *_ in rows], width), np.repeat(np.array([n for _, _, n, _ in rows], np.int32), width), np.repeat([i for i, *_ in rows], width)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["sig", "digest", "n", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, digest long, n int, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "sig long, digest long, n int, doc_id long")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit filter of FILTER_BITS bits over doc ids; a fixed size whatever the number of ids."""
+    """A bit filter over doc ids, packed; its bits follow their number, up to MOST_BITS (32 MB)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, FILTER_SHARE * ids.count() - 1).bit_length()))
 
     def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
-            at = mixed(b.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([packed(bits)], pa.binary())], names=["bits"])
+            at = np.unique(mixed(b.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            word, start = np.unique(at >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
 
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= unpacked(row.bits, np.uint8)
-    return total
+    words = ids.mapInArrow(tidy(run), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["value"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def _sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     """doc_id and token set of the documents that pass the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(packed(bits))
 
     def run(batches):
-        shingle = Shingler(size)
+        shingle, known = Shingler(size), unpacked(shared.value, np.uint8)
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             valid = np.asarray(b.column("doc_id").is_valid())
             key = np.where(valid, ids, 0).astype(np.int64)
-            at = mixed(key.view(np.uint64)) % np.uint64(FILTER_BITS)
-            hit = valid & (((shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) > 0)
+            at = mixed(key.view(np.uint64)) % np.uint64(8 * len(known))
+            hit = valid & (((known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) > 0)
             take = np.flatnonzero(hit)
             texts = b.column("text").cast(pa.binary())
             for i in range(0, len(take), 64):
                 part = take[i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array([x.tobytes() for x in shingle(texts.take(pa.array(part)).to_pylist())], pa.binary())], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, tokens binary")
 
 
 def promising(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
@@ -291,7 +309,7 @@ def promising(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFram
             most = Sketches(x.column("sa").to_pylist() + x.column("sb").to_pylist()).bound(np.arange(n), np.arange(n, 2 * n))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"]).filter(pa.array(den * most >= num * (na + nb - most)))
 
-    return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: str) -> DataFrame:
@@ -357,7 +375,7 @@ def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: st
         if held:
             yield meet(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, work: str) -> DataFrame:
@@ -397,7 +415,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     words; a shorter text is one shingle), component_id (the smallest doc_id reachable by links,
     itself included). Null and empty texts and texts without words have no shingles and link with
     nothing, not even each other. Repeated rows (one doc_id, equal text) fall together; doc_id
-    must otherwise be unique, and rows of a null doc_id keep a null component. Other columns are ignored.
+    must otherwise be unique. Rows of a null doc_id link with nothing but equal sets, and have a null
+    component where no other row is in it. Other columns are ignored.
 
     Equal sets meet by digest. Distinct sets that share a prefix signature are first compared with
     the bucket's smallest id; after components are drawn from those links, only pairs of one bucket
@@ -428,12 +447,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     open_rows = saved(open_rows.withColumn("lo", F.expr(f"min(part) {spread}")).withColumn("hi", F.expr(f"max(part) {spread}")).filter("lo <> hi").select("sig", "id", "n", "part"), f"{work}/open")
     rest = crossing(open_rows, base, num, den, f"{work}/facts").join(stars, ["a", "b"], "left_anti")
     rest = saved(promising(rest, base, num, den), f"{work}/rest")
+    for old in ("posts", "open", "facts", "hopeful1"):
+        removed(spark, f"{work}/{old}")
     if not rest.isEmpty():
         more = saved(verified(rest, docs, size, num, den, f"{work}/v2"), f"{work}/links2")
         parts = saved(connected(links.union(more), f"{work}/c2"), f"{work}/parts2")
 
-    classes = base.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    full = base.filter("n > 0").join(classes, ["digest", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    sets = base.filter("n > 0")
+    classes = sets.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    linked = base.join(parts, F.col("doc_id") == F.col("node")).select("digest", "n", "component").distinct()
+    classes = saved(classes.join(linked, ["digest", "n"], "left"), f"{work}/classes")
+    least = classes.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    classes = classes.join(least, "component", "left").select("digest", "n", F.coalesce("least", "first").alias("component_id"), "rows")
+    total = base.count()
+    full = dealt_join(sets.select("doc_id", "digest", "n"), classes, ["digest", "n"], "rows", total).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, packed, tidy, unpacked
 
 #: Hashed n-gram dimensions.
 DIMS = 1 << 13
@@ -19,9 +19,13 @@ DIMS = 1 << 13
 SAMPLE_PER_LANG, MAX_LANGS = 400, 400
 #: Centroids per language.
 CENTROIDS = 4
-#: A document is rejected beyond its centroid's training radius plus this cosine distance, and not below
-#: LEAST_RADIUS: short clean texts have few n-grams and lie far out, other scripts lie near 1.
-MARGIN, LEAST_RADIUS = 0.1, 0.92
+#: Rejection radii: this quantile of the cosine distances of labelled texts that the centroids weren't fitted
+#: on, plus this margin, by language and length class (powers of 4 of the n-grams); a class needs so many texts.
+QUANTILE, MARGIN, LEAST_TEXTS, CLASSES = 0.99, 0.1, 20, 16
+#: Beyond this distance a text of any length is rejected.
+FARTHEST = 0.95
+#: Parts of a language in which its sample is first sought, so that no task orders all its rows.
+SALTS = 64
 
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[: 0x80] = [c if chr(c).isalpha() else 32 for c in range(0x80)]
@@ -50,9 +54,15 @@ def ngram_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(at, minlength=len(texts) * DIMS).reshape(len(texts), DIMS)
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """The class of each row's number of n-grams."""
+    total = np.maximum(counts.sum(1), 1)
+    return np.minimum((np.log2(total) / 2).astype(np.int64), CLASSES - 1)
+
+
 @dataclass
 class LangModel:
-    """idf by dimension; unit centroids with their languages and rejection radii."""
+    """idf by dimension; unit centroids with their languages; rejection radii by language and length class."""
 
     langs: list[str]
     idf: np.ndarray
@@ -60,8 +70,9 @@ class LangModel:
     owner: np.ndarray
     radius: np.ndarray
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        v = np.log1p(ngram_counts(texts)).astype(np.float32) * self.idf
+    def vectors(self, counts: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF vectors of rows of n-gram counts."""
+        v = np.log1p(counts).astype(np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -75,12 +86,13 @@ class LangModel:
                 size += len(texts[use[stop]])
                 stop += 1
             part = use[start:stop]
-            cos = self.vectors([texts[i] for i in part]) @ self.centroids.T
+            counts = ngram_counts([texts[i] for i in part])
+            cos = self.vectors(counts) @ self.centroids.T
             best = cos.argmax(1)
             top = np.clip(cos[np.arange(len(part)), best], 0, 1)
             for i, k in zip(part, best, strict=True):
                 lang[i] = self.langs[self.owner[k]]
-            score[part], rejected[part] = np.round(top.astype(np.float64), 6), 1 - top > self.radius[best]
+            score[part], rejected[part] = np.round(top.astype(np.float64), 6), 1 - top > self.radius[self.owner[best], length_class(counts)]
             start = stop
         return lang, score, rejected
 
@@ -103,48 +115,104 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _centroids(model: LangModel, counts: np.ndarray, names: np.ndarray, k: int) -> None:
+    """Fit idf and centroids."""
+    seen = (counts > 0).sum(0)
+    model.idf = (np.log((1 + len(counts)) / (1 + seen)) + 1).astype(np.float32)
+    parts = [clustered(model.vectors(counts[names == j]), k) for j in range(len(model.langs)) if (names == j).any()]
+    here = [j for j in range(len(model.langs)) if (names == j).any()]
+    model.centroids = np.concatenate(parts)
+    model.owner = np.repeat(here, [len(c) for c in parts])
+
+
+def _radii(distance: np.ndarray, kind: np.ndarray, names: np.ndarray, langs: int, margin: float) -> np.ndarray:
+    """Radii by language and class. A class with too few texts takes all languages' texts; one that still has
+    too few takes the radius of the next longer class, or of the next shorter one beyond the longest; shorter
+    classes never have smaller radii than longer ones."""
+    out = np.full((langs, CLASSES), np.nan)
+    for j in range(langs):
+        for c in range(CLASSES):
+            near = distance[(kind == c) & (names == j)]
+            near = near if len(near) >= LEAST_TEXTS else distance[kind == c]
+            if len(near) >= LEAST_TEXTS:
+                out[j, c] = np.quantile(near, QUANTILE) + margin
+        known = np.flatnonzero(~np.isnan(out[j]))
+        if not len(known):
+            out[j] = 1.0
+            continue
+        out[j, known[-1] + 1 :] = out[j, known[-1]]
+        out[j, : known[0]] = 1.0  # too short to be judged
+        for c in range(CLASSES - 2, -1, -1):
+            out[j, c] = out[j, c + 1] if np.isnan(out[j, c]) else max(out[j, c], out[j, c + 1])
+    return np.minimum(out, FARTHEST)
+
+
+def fitted_counts(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS, margin: float = MARGIN) -> LangModel:
+    """Fit the model on rows of n-gram counts of labelled texts.
+
+    Radii come from two halves: each is measured against centroids fitted on the other one. The
+    centroids that predict are then fitted on all rows.
+    """
+    names = sorted(set(langs))
+    model = LangModel(names, np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.full((len(names), CLASSES), FARTHEST))
+    if not names:
+        return model
+    own = np.array([names.index(x) for x in langs])
+    half, distance = np.zeros(len(own), bool), np.full(len(own), np.nan)
+    for j in range(len(names)):
+        half[np.flatnonzero(own == j)[::2]] = True
+    for part in (half, ~half):
+        if not part.any() or part.all():
+            continue
+        _centroids(model, counts[part], own[part], centroids)
+        cos = model.vectors(counts[~part]) @ model.centroids.T
+        cos[model.owner[None, :] != own[~part][:, None]] = -1
+        distance[~part] = 1 - cos.max(1, initial=-1)
+    measured = ~np.isnan(distance) & (distance <= 1)
+    model.radius = _radii(distance[measured], length_class(counts)[measured], own[measured], len(names), margin)
+    _centroids(model, counts, own, centroids)
+    return model
+
+
 def fitted(texts: list[str], langs: list[str], centroids: int = CENTROIDS, margin: float = MARGIN) -> LangModel:
     """Fit the model on labelled texts."""
     rows = [(t, x) for t, x in zip(texts, langs, strict=True) if has_letter(t)]
-    names = sorted({x for _, x in rows})
-    if not rows:
-        return LangModel([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    seen, model = np.zeros(DIMS), LangModel(names, np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    for i in range(0, len(rows), 64):
-        seen += (ngram_counts([t for t, _ in rows[i : i + 64]]) > 0).sum(0)
-    model.idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
-    parts, owner, radius = [], [], []
-    for j, name in enumerate(names):
-        own = [t for t, x in rows if x == name]
-        v = np.concatenate([model.vectors(own[i : i + 64]) for i in range(0, len(own), 64)])
-        c = clustered(v, centroids)
-        cos = v @ c.T
-        far = [1 - cos[cos.argmax(1) == i, i] for i in range(len(c))]
-        widest = max(float(x.max()) for x in far if len(x))
-        parts.append(c)
-        owner += [j] * len(c)
-        radius += [min(0.99, max(LEAST_RADIUS, widest + margin))] * len(c)
-    model.centroids, model.owner, model.radius = np.concatenate(parts), np.array(owner), np.array(radius)
-    return model
+    counts = np.concatenate([ngram_counts([t]) for t, _ in rows]) if rows else np.zeros((0, DIMS))
+    return fitted_counts(counts, [x for _, x in rows], centroids, margin)
+
+
+def _labelled_counts(rows: DataFrame) -> DataFrame:
+    """doc_id, lang and the packed n-gram counts of rows(doc_id, text, lang) whose text has a letter; texts stay in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(d, x, packed(ngram_counts([t])[0].astype(np.uint32))) for d, t, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.binary())], names=["doc_id", "lang", "counts"])
+
+    return rows.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, counts binary")
 
 
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> LangModel:
     """Fit on at most per_lang documents of each of at most MAX_LANGS languages.
 
     labelled: doc_id, text, lang. The sample is the documents of a language with the smallest hash
-    of doc_id, found from narrow columns; only their texts reach the driver.
+    of doc_id, found from narrow columns, first in parts of each language; of rows that repeat a
+    doc_id and language one stays. Whole texts are counted in the tasks, and only the n-gram counts,
+    of a size that doesn't depend on the text, reach the driver.
     """
-    named = labelled.filter("lang is not null and text is not null and doc_id is not null")
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = named.select("doc_id", "lang", key.alias("h")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
-    chosen = ids.orderBy("r", "lang").limit(per_lang * MAX_LANGS).select("doc_id", "lang", "h").collect()
+    arrow_rows(labelled.sparkSession)
+    named = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
+    rows = named.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        rows = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
+    chosen = rows.orderBy("r", "lang").limit(per_lang * MAX_LANGS).select("doc_id", "lang").collect()
     if not chosen:
-        return fitted([], [])
+        return fitted_counts(np.zeros((0, DIMS)), [])
     picks = labelled.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in chosen], "doc_id long, lang string").distinct()
-    rows = named.join(F.broadcast(picks), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()  # as bounded as picks
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    return fitted([r.text for r in rows], [r.lang for r in rows], centroids)
+    counted = _labelled_counts(named.join(F.broadcast(picks), ["doc_id", "lang"])).groupBy("doc_id", "lang").agg(F.min("counts").alias("counts")).collect()  # a row for each pick
+    counted.sort(key=lambda r: (r.doc_id, r.lang))
+    return fitted_counts(np.stack([unpacked(r.counts, np.uint32) for r in counted]) if counted else np.zeros((0, DIMS)), [r.lang for r in counted], centroids)
 
 
 def identify(docs: DataFrame, model: LangModel, keep: list[str] | None = None) -> DataFrame:
@@ -152,8 +220,8 @@ def identify(docs: DataFrame, model: LangModel, keep: list[str] | None = None) -
 
     lang_pred is the language of the nearest centroid, `und` if text is null, empty or has no
     letter; score is the cosine to that centroid (0 to 1, 0 for und). rejected is true for und
-    and where the cosine distance exceeds the centroid's radius, the largest distance met in
-    training plus a margin. Equal texts get equal rows; ties go to the language that sorts first.
+    and where the cosine distance exceeds the radius of that language for texts of that length: a
+    high quantile of the distances of labelled texts outside the fit, plus a margin. Equal texts get equal rows; ties go to the language that sorts first.
     Columns of docs named like the new ones are left out of keep.
     """
     arrow_rows(docs.sparkSession)
@@ -167,7 +235,7 @@ def identify(docs: DataFrame, model: LangModel, keep: list[str] | None = None) -
             kept = [b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:

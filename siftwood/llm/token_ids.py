@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import arrow_rows, saved, shared_dir
+from .common import arrow_rows, saved, shared_dir, tidy
 
 #: Ids of a shard, at least, but for the last of a partition.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 #: Rounds of pair replacement that share out the rules, rules in all (symbols stay below 2**16 with a vocabulary of 50,257), least pair count.
 ROUNDS, MAX_RULES, LEAST_COUNT = 4, 15_000, 16
 #: Every this many symbols the expanded position is stored.
 SAMPLE = 1024
 #: Words whose ids a worker remembers, and longer pieces that it doesn't.
-MEMORY, LONGEST_PIECE = 1_000_000, 64
+MEMORY, LONGEST_PIECE = 250_000, 64
 MAGIC = b"SWRP1\n"
 
 # White space runs in which cutting before a space could split a piece of the tokenizer's pattern.
@@ -162,7 +162,8 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
         key = (s[:-1] << kind(shift)) | s[1:]
         bucket = ((key * kind(spread)) >> kind(down)).astype(np.int64)
         count = np.bincount(bucket, minlength=1 << 20)
-        cut = max(least, int(np.partition(count, -2 * room)[-2 * room]))  # pairs of rarer buckets are rarer still
+        above = np.cumsum(np.bincount(np.minimum(count, 1 << 12))[::-1])[::-1]  # buckets of at least so many pairs
+        cut = max(least, int(np.flatnonzero(above >= 2 * room).max(initial=0)))  # pairs of rarer buckets are rarer still
         at = np.flatnonzero((count >= cut)[bucket])
         sort = np.sort(key[at])
         where = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(sort) else np.zeros(0, np.int64)
@@ -318,7 +319,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             yield flush()
 
     rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return saved(rows.mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long"), f"{folder}/_manifest")
+    return saved(rows.mapInArrow(tidy(run), "part int, seq int, path string, n_docs long, n_ids long"), f"{folder}/_manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -345,7 +346,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(starts + base), pa.array(a["doc_sizes"].astype(np.int64)), pa.array(crc, pa.int64()), pa.array([row["path"]] * n), pa.array(starts)], names=["doc_id", "start", "n_tokens", "ids_crc32", "path", "shard_start"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, path string, shard_start long")
+    return shards.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, path string, shard_start long")
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
