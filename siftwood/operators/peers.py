@@ -95,8 +95,10 @@ def peer_book(contacts: DataFrame, new_places: int = NEW_PLACES, tried_places: i
 
     Beyond its places the oldest new and the longest unused tried peers go: a top-k of each kind.
     """
-    book = contacts.groupBy("peer").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_used"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_ok"), F.collect_list(F.when(~F.col("ok"), F.col("ts"))).alias("_bad"))
-    book = book.select("peer", "first_seen", "last_used", F.col("last_ok").isNotNull().alias("tried"), F.size(F.filter("_bad", lambda t: F.col("last_ok").isNull() | (t > F.col("last_ok")))).cast("long").alias("failures"))
+    ok = contacts.groupBy("peer").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_used"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_ok"))
+    failed = contacts.filter(~F.col("ok")).select("peer", "ts").join(ok.select("peer", "last_ok"), "peer").filter(F.col("last_ok").isNull() | (F.col("ts") > F.col("last_ok")))
+    book = ok.join(failed.groupBy("peer").agg(F.count("*").alias("failures")), "peer", "left")
+    book = book.select("peer", "first_seen", "last_used", F.col("last_ok").isNotNull().alias("tried"), F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
     tried = book.filter("tried").orderBy(F.desc("last_used"), "peer").limit(tried_places)
     return tried.unionByName(book.filter("not tried").orderBy(F.desc("first_seen"), "peer").limit(new_places))
 

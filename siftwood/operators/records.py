@@ -274,6 +274,19 @@ def tree_find(data: bytes, prefix: str, page_size: int = 16 << 10) -> list[tuple
     return out
 
 
+def tree_query(records: DataFrame, prefix: str, seed: bytes = bytes(32), page_size: int = 16 << 10, min_bits: int = 0) -> DataFrame:
+    """Valid records whose keyword starts with prefix, from paged trees: one tree a range of keywords, built and read in its task."""
+    rows = in_order(well_formed(records)).select("pk", "kw", "ih", "t", "pow", "sig")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for f in frames for r in f.itertuples(index=False)]
+        if held:
+            tree = tree_file([(bytes(pk), kw, bytes(ih), int(t), int(p), bytes(sig)) for pk, kw, ih, t, p, sig in held], seed, 1, 0, page_size, min_bits)
+            yield pd.DataFrame(tree_find(tree, prefix, page_size), columns=["pk", "kw", "ih", "t", "pow", "sig"])
+
+    return rows.mapInPandas(run, _Q)
+
+
 def tree_records(data: bytes, page_size: int = 16 << 10) -> tuple[list[tuple], bool]:
     """All records of a paged tree in order, and whether they match its fingerprint."""
     facts, codes = trailer(data, page_size), []

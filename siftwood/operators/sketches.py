@@ -67,8 +67,14 @@ def bloom_array(words: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+#: Largest filter, in bits (32 MB), that is sent to every task; larger ones are met by a join.
+SENT_BITS = 1 << 28
+
+
 def bloom_test(words: np.ndarray, bits: int, k: int):
-    """A column function: whether an item may be in the filter."""
+    """A column function: whether an item may be in the filter. Filters above SENT_BITS raise ValueError; bloom_flagged() takes any."""
+    if bits > SENT_BITS:
+        raise ValueError("filter is too large to be sent to tasks")
 
     @pandas_udf("boolean")
     def test(item: pd.Series) -> pd.Series:
@@ -80,6 +86,24 @@ def bloom_test(words: np.ndarray, bits: int, k: int):
     return test
 
 
+def bloom_flagged(items: DataFrame, filter_words: DataFrame, bits: int, k: int) -> DataFrame:
+    """items(item binary, ...) with maybe: whether the filter may hold the item. Null items are never held.
+
+    Filters up to SENT_BITS go to the tasks; of larger ones each probe meets its word by an equi-join.
+    """
+    if bits <= SENT_BITS:
+        return items.withColumn("maybe", bloom_test(bloom_array(filter_words, bits), bits, k)("item"))
+
+    @pandas_udf("array<long>")
+    def places(item: pd.Series) -> pd.Series:
+        return pd.Series(list(probes([bytes(x) if x is not None else b"" for x in item], bits, k).astype(np.int64)))
+
+    asked = items.select("item").distinct().filter("item is not null").select("item", F.explode(places("item")).alias("at"))
+    asked = asked.select("item", F.shiftright("at", 6).alias("word"), F.expr("at & 63").cast("int").alias("bit"))
+    held = asked.join(filter_words, "word", "left").groupBy("item").agg(F.min(F.expr("shiftright(coalesce(value, 0L), bit) & 1")).alias("held"))
+    return items.join(held, "item", "left").withColumn("maybe", F.coalesce(F.col("held") == 1, F.lit(False))).drop("held")
+
+
 def bloom_estimate(words: DataFrame, bits: int, k: int) -> DataFrame:
     """One row: set bits and the estimated number of items (infinite for a full filter)."""
     ones = F.coalesce(F.sum(F.bit_count("value")), F.lit(0))

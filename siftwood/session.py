@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,13 @@ def local_session(cpus: str = "*", name: str = "siftwood") -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; in local mode a temporary one may take its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siftwood-")
+    return f"{base.rstrip('/')}/siftwood-{uuid.uuid4().hex}"

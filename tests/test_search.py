@@ -40,3 +40,20 @@ def test_upsert_delete_statistics(spark, tmp_path):
     documents.write_index(mixed, str(tmp_path / "i"))
     assert documents.open_index(spark, str(tmp_path / "i"), documents.PARENTS).count() == 52
     assert documents.open_index(spark, str(tmp_path / "none"), documents.PARENTS).count() == 0
+
+
+def test_patterns_ranges_and_stored_index(spark, tmp_path):
+    rows = [(1, "red ring of the north", ["a/ring.txt", "b/Nord.pdf"], 10, "k1"), (2, "red red rings", ["c.txt"], 20, "k2"), (3, None, [], 30, None), (4, "Ring², naïve ring 24", ["ring"], None, "k1")]
+    docs = spark.createDataFrame(rows, "id long, name string, files array<string>, size long, signed_by string")
+    fields, exact = ["name", "files"], ["size", "signed_by"]
+    index = search.indexed(docs, "id", fields, exact)
+    search.write_index(docs, "id", fields, str(tmp_path), exact, ["name"])
+    want = {
+        "ring": [1, 4], "rin*": [1, 2, 4], "r?ng": [1, 4], "/r.*g/": [1, 4], "name:ring": [1, 4], "files:txt": [1, 2], "size:>=20": [2, 3], "+ring size:<20": [1, 4], "+size:>10 -red": [3], '"red red"': [2], '"red ring"': [1], "signed_by:K1": [1, 4],
+        "naïve": [4], "ring -naïve": [1], "size:<5": [], "+red +rings": [2], "rng~1": [1, 4], '"ring naïve"': [4], "nosuch:x": [], "nord": [1], '"naïve ring 24"^2': [4], "files:ring size:20": [1, 2, 4],
+    }
+    for q, ids in want.items():
+        one = search.search(index, q, "id", fields, exact, stored=["signed_by"]).collect()
+        two = search.search_index(spark, str(tmp_path), q, "id", fields, exact, stored=["name"]).collect()
+        assert sorted(r.id for r in one) == ids and [(r.id, r.score) for r in one] == [(r.id, r.score) for r in two], q
+    assert two[0].name and search.search(index, "ring", "id", fields, exact, limit=1, stored=["size", "signed_by"]).columns == ["id", "score", "size", "signed_by"]
