@@ -146,8 +146,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", langid.in_fold(F.col("doc_id"), 5, 1).alias("held_out"))
-    out = lm.score_texts(docs)
-    return out.withColumn("base_score", F.round("base_score", 6)).withColumn("score", F.round("score", 6))
+    return lm.score_texts(docs)
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
