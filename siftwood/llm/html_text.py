@@ -17,17 +17,19 @@ from .common import arrow_rows
 
 # Tag names of HTML, by what they do here.
 RAW = frozenset("script style textarea iframe".split())
-SKIPPED = RAW | frozenset("noscript template svg math object canvas head select button".split())
+SKIPPED = RAW | frozenset("noscript template svg annotation annotation-xml object canvas head select button".split())
 HEAD = frozenset("html head meta link base basefont bgsound".split())
 HIDDEN = frozenset("title script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 NESTED = BLOCKS - frozenset("p hr li dt dd tr td th thead tbody tfoot html body h1 h2 h3 h4 h5 h6".split())
 ASIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
 MAIN = frozenset("article main".split())
-# Words in class, id and role names that mark what surrounds an article.
-MARKS = frozenset(
+# Words in class, id and role names, by what they hint at; a name with a word of ABSENT hints at nothing.
+ASIDE_NAMES = frozenset(
     "ad ads adsense advert advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+MAIN_NAMES = frozenset("article body content entry main post story text".split())
+ABSENT = frozenset("free has hide no not with without".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)",
@@ -35,8 +37,12 @@ _TOKEN = re.compile(
 )
 _WHITE = re.compile(r"\s*+")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_aside", "marked", "heading", "item")
+_MAIN_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "around_words", "around_links", "in_main", "in_aside", "hint", "heading", "item")
+#: Seed and number of the labelled pages, least blocks of a leaf, depth of the tree.
+SEED, PAGES, LEAST_LEAF, DEPTH = 3, 600, 3, 12
+#: Words that a neighbour counts with at most: beyond it a paragraph is long.
+MANY = 60
 
 
 @dataclass
@@ -44,18 +50,27 @@ class Block:
     text: str
     words: int
     linked: int
+    around: int  # the element that holds the block with its neighbours
     in_main: bool
     in_aside: bool
-    marked: bool
+    hint: int
     heading: bool
     item: bool
     label: int | None = None
 
 
 @lru_cache(4096)
-def _is_marked(attrs: str) -> bool:
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
-    return any(x in MARKS for part in re.split(r"[\s_]+|(?<=[a-z])(?=[A-Z])", names) for x in re.split(r"[^a-z0-9]+", part.lower()))
+def _hint(attrs: str) -> int:
+    """What the names of an element hint at: -1 what surrounds an article, 1 an article, 0 nothing."""
+    out = 0
+    for name in " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).split():
+        parts = {x.lower() for x in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", name)}
+        if parts & ABSENT:
+            continue
+        if parts & ASIDE_NAMES:
+            return -1
+        out = out or int(bool(parts & MAIN_NAMES))
+    return out
 
 
 @lru_cache(64)
@@ -105,11 +120,32 @@ class _Skips:
         return at
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element that encloses blocks."""
+
+    tag: str = ""
+    number: int = 0
+    in_main: bool = False
+    in_aside: bool = False
+    hint: int = 0
+
+    def inner(self, tag: str, attrs: str, number: int) -> _Open:
+        main = tag in MAIN or bool(_MAIN_ROLE.search(attrs))
+        own = 0 if main or tag == "body" else _hint(attrs)  # an article's own names say nothing about it
+        aside = tag in ASIDE or tag == "header" and not self.in_main
+        return _Open(tag, number, self.in_main or main, self.in_aside or aside, _joined(self.hint, own))
+
+
+def _joined(outer: int, own: int) -> int:
+    return -1 if -1 in (outer, own) else own or outer
+
+
 def text_blocks(page: str) -> list[Block]:
     """The text blocks of a whole page in order, with what encloses them."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in main, in aside, marked
-    main = aside = marked = heading = item = False
+    stack = [_Open()]
+    number, hint, heading, item = 0, 0, False, False
     parts: list[tuple[str, bool]] = []
     in_link, label, at = False, None, 0
 
@@ -120,7 +156,8 @@ def text_blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(html.unescape(t).split()) for t, k in parts if k)
                 words = text.count(" ") + 1
-                blocks.append(Block(text, words, min(linked, words), main, aside, marked, heading, item, label))
+                top = stack[-1]
+                blocks.append(Block(text, words, min(linked, words), top.number, top.in_main, top.in_aside, hint, heading, item, label))
             parts = []
 
     skips = _Skips(page)
@@ -140,20 +177,18 @@ def text_blocks(page: str) -> list[Block]:
             parts.append((" ", False))
         elif tag in BLOCKS:
             close()
+            hint = stack[-1].hint
             if tag in NESTED:
                 if m["end"]:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), None)
                     if k is not None:
                         del stack[k:]
                 elif not m["attrs"].endswith("/"):
-                    up = stack[-1] if stack else ("", False, False, False)
-                    aside_here = tag in ASIDE or tag == "header" and not up[1]
-                    stack.append((tag, up[1] or tag in MAIN or "role=\"main\"" in m["attrs"], up[2] or aside_here, up[3] or _is_marked(m["attrs"])))
-                _, main, aside, marked = stack[-1] if stack else ("", False, False, False)
+                    number += 1
+                    stack.append(stack[-1].inner(tag, m["attrs"], number))
+                hint = stack[-1].hint
             elif not m["end"]:
-                marked = (stack[-1][3] if stack else False) or _is_marked(m["attrs"])
-            else:
-                marked = stack[-1][3] if stack else False
+                hint = _joined(hint, _hint(m["attrs"]))
             heading, item, in_link = not m["end"] and tag in ("h1", "h2", "h3", "h4", "h5", "h6"), not m["end"] and tag in ("li", "dt", "dd"), False
             x = re.search(r'data-y="(\d)"', m["attrs"]) if "data-y" in m["attrs"] else None
             label = int(x[1]) if x else None
@@ -163,22 +198,26 @@ def text_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """A row per block, in the order of FEATURES."""
+def features(blocks: list[Block], hints: bool = True) -> np.ndarray:
+    """A row per block, in the order of FEATURES: its words and link density, those of its neighbours and of all blocks of its element, and where it stands."""
     x = np.zeros((len(blocks), len(FEATURES)))
     if blocks:
         words = np.array([b.words for b in blocks], float)
-        links = np.array([b.linked for b in blocks], float) / words
-        x[:, 0], x[:, 1] = words, links
-        x[1:, 2], x[1:, 3], x[:-1, 4], x[:-1, 5] = words[:-1], links[:-1], words[1:], links[1:]
-        x[:, 6:] = [[b.in_main, b.in_aside, b.marked, b.heading, b.item] for b in blocks]
+        linked = np.array([b.linked for b in blocks], float)
+        links, few = linked / words, np.minimum(words, MANY)
+        x[:, 0], x[:, 1] = few, links
+        x[1:, 2], x[1:, 3], x[:-1, 4], x[:-1, 5] = few[:-1], links[:-1], few[1:], links[1:]
+        place = np.unique([b.around for b in blocks], return_inverse=True)[1]
+        total, in_links = np.bincount(place, words), np.bincount(place, linked)
+        x[:, 6], x[:, 7] = np.minimum(total, 4 * MANY)[place], (in_links / total)[place]
+        x[:, 8:] = [[b.in_main, b.in_aside, b.hint if hints else max(b.hint, 0), b.heading, b.item] for b in blocks]
     return x
 
 
 class Tree:
     """A binary classification tree by Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = DEPTH):
         self.share = float(y.mean()) if len(y) else 0.0
         self.feature = None
         if depth and 0 < self.share < 1:
@@ -193,6 +232,7 @@ class Tree:
         order = np.argsort(v, kind="stable")
         v, y = v[order], y[order]
         ends = np.flatnonzero(v[1:] > v[:-1])
+        ends = ends[(ends + 1 >= LEAST_LEAF) & (len(y) - ends - 1 >= LEAST_LEAF)]
         if not len(ends):
             return np.inf, f, 0.0
         n, ones, total = ends + 1, np.cumsum(y)[ends], y.sum()
@@ -210,40 +250,105 @@ class Tree:
         return out
 
 
-_LONG = "some plain words that follow each other and make up a longer paragraph of running text with a stop"
-#: The labelled table: small pages whose blocks say what they are (data-y: 1 main text, 0 not).
-LABELLED = [
-    f'<body><nav><ul><li data-y="0"><a href="/a">Home</a><li data-y="0"><a href="/b">All the news of today</a></ul></nav><div class="ad" data-y="0">{_LONG}</div><article><h1 data-y="1">A title</h1><p data-y="1">{_LONG} {_LONG}</p><p data-y="1">Short.</p><p data-y="1">One <a href="/c">link</a> here</p><ul><li data-y="1">An item of a list</ul><p data-y="1"><a href="/d">All link</a></p></article><footer data-y="0">All rights <a href="/e">reserved</a></footer>',
-    f'<body><header data-y="0">Site name</header><main><h1 data-y="1">Title</h1><p data-y="1">{_LONG}</p><p data-y="1">Yes</p><aside data-y="0">{_LONG}</aside><div class="comments"><p data-y="0">{_LONG}</p><p data-y="0">I agree</p></div></main><div class="cookie-notice" data-y="0">We use cookies. {_LONG}</div><footer><p data-y="0">{_LONG}</p><p data-y="0">Contact</p></footer>',
-    f'<body><div class="top"><p data-y="0"><a href="/1">One</a> <a href="/2">Two</a> <a href="/3">Three</a></p></div><div><h1 data-y="1">A heading of a story</h1><p data-y="1">{_LONG} {_LONG}</p><p data-y="1">A short end.</p><p data-y="1">{_LONG}</p></div><div class="sidebar"><p data-y="0">{_LONG} {_LONG}</p></div><form><p data-y="0">Your name and mail, please</p></form><div data-y="0"><a href="/x">Next page of this list</a></div><div data-y="0"><a href="/x">More</a> of it</div>',
-    f'<body><div data-y="0">Menu</div><div data-y="0"><a href="/m">Map</a></div><div><p data-y="1">{_LONG}</p><p data-y="1">{_LONG} {_LONG} {_LONG}</p><h2 data-y="1">Part two</h2><p data-y="1">{_LONG}</p></div><div id="related"><h3 data-y="0">Read on</h3><p data-y="0">{_LONG} <a href="/r">{_LONG}</a></p></div><div data-y="0">Imprint</div>',
-    f'<body><nav data-y="0">{_LONG} {_LONG}</nav><article><div class="share" data-y="0">Tell friends</div><header><h1 data-y="1">Title of it</h1></header><blockquote data-y="1">{_LONG}</blockquote><p data-y="1">a</p><form data-y="0">{_LONG}</form><div class="advert"><p data-y="0">{_LONG}</p></div><section id="comments"><p data-y="0">{_LONG} {_LONG}</p></section></article>',
-    '<body><article data-y="1">Alone</article>',
-    '<body><article><p data-y="1"><a href="/l">Linked</a></p></article>',
-    f'<body><nav><p data-y="0">Go</p></nav><main><p data-y="1">Word</p><p data-y="1">Two words</p></main><div class="banner"><p data-y="0">{_LONG}</p></div>',
-    f'<body><div data-y="0">Start</div><main><article><h2 data-y="1">One</h2><p data-y="1">{_LONG}</p><div class="newsletter" data-y="0">Get it by mail</div></article></main><aside><p data-y="0">{_LONG} {_LONG}</p></aside>',
-    f'<body><form><p data-y="0">{_LONG} {_LONG}</p></form><div><p data-y="1">{_LONG} {_LONG} {_LONG}</p></div>',
-]
+class _Pages:
+    """Small labelled pages made from a rule: every block says in data-y whether it is main text (1) or not (0).
+
+    Half of them name their parts by elements or classes, the others must be told by words and links alone.
+    """
+
+    def __init__(self, seed: int):
+        self.rng = np.random.Generator(np.random.PCG64(seed))
+
+    def one(self, *choices):
+        return choices[int(self.rng.integers(len(choices)))]
+
+    def text(self, least: int, most: int, links: float = 0.0) -> str:
+        """Words, a share of which stands in links of one to four words."""
+        n, out = int(self.rng.integers(least, most + 1)), []
+        while len(out) < n:
+            run = ["w" * int(self.rng.integers(1, 10)) for _ in range(int(self.rng.integers(1, 5)))][: n - len(out)]
+            if self.rng.random() < links:
+                run[0], run[-1] = "<a href=x>" + run[0], run[-1] + "</a>"
+            out += run
+        return " ".join(out)
+
+    def block(self, y: int, text: str, tag: str = "p", attrs: str = "") -> str:
+        return f'<{tag} {attrs} data-y="{y}">{text}</{tag}>'
+
+    def wrapped(self, inner: str, tag: str, attrs: str = "") -> str:
+        return f"<{tag} {attrs}>{inner}</{tag}>"
+
+    def links(self, named: bool) -> str:
+        """A menu or list of links."""
+        items = "".join(self.block(0, f"<a href=x>{self.text(1, 6)}</a>", self.one("li", "li", "p")) for _ in range(int(self.rng.integers(2, 9))))
+        return self.wrapped(items, *(self.one(("nav", ""), ("div", "class=menu"), ("ul", "id=nav")) if named else (self.one("ul", "div"), "")))
+
+    def teasers(self, named: bool) -> str:
+        """Short texts that mostly link elsewhere."""
+        items = "".join(self.block(0, f"<a href=x>{self.text(2, 14)}</a> {self.text(0, 10)}", "p") for _ in range(int(self.rng.integers(1, 5))))
+        return self.wrapped(items, *(self.one(("aside", ""), ("div", 'class="related-posts"'), ("section", "class=teaser")) if named else ("div", "")))
+
+    def notice(self, named: bool) -> str:
+        """An advert, a notice, a form or comments: long texts are named, others are a few words."""
+        if not named:
+            return self.wrapped(self.block(0, self.text(1, 6, self.one(0, 0, 0.5)), "p"), "div")
+        kind = self.one(("div", "class=ad"), ("div", 'class="cookie-notice"'), ("form", ""), ("section", "id=comments"), ("div", 'class="comment-list"'), ("aside", ""), ("div", "id=sidebar"), ("div", "role=complementary"))
+        return self.wrapped("".join(self.block(0, self.text(1, 80, self.one(0, 0.1))) for _ in range(int(self.rng.integers(1, 4)))), *kind)
+
+    def foot(self, named: bool) -> str:
+        return self.wrapped(self.block(0, self.text(1, 40 if named else 8, self.one(0, 0.4)), "p"), *(self.one(("footer", ""), ("div", "class=footer")) if named else ("div", "")))
+
+    def story(self, named: bool) -> str:
+        """An article: paragraphs of all lengths, at least one of them long where no element says that it is an article."""
+        parts = [self.block(1, self.text(1, 12), self.one("h1", "h2"))] if self.rng.random() < 0.8 else []
+        n = int(self.rng.integers(1, 7))
+        sizes = [int(self.rng.integers(1, 120)) if self.rng.random() < 0.6 else int(self.rng.integers(1, 10)) for _ in range(n)]
+        if not named:
+            sizes[int(self.rng.integers(n))] = 80
+        for size in sizes:
+            parts.append(self.block(1, self.text(max(1, size // 2), size, self.one(0, 0, 0.1, 0.2) if size > 8 else self.one(0, 0, 0, 1) if named else 0), self.one("p", "p", "p", "blockquote", "pre")))
+            if self.rng.random() < 0.15:
+                parts.append(self.wrapped("".join(self.block(1, self.text(2, 14), "li") for _ in range(3)), "ul"))
+            if named and self.rng.random() < 0.2:
+                parts.append(self.one(self.notice, self.teasers)(True))
+            if self.rng.random() < 0.1:
+                parts.append(self.block(1, self.text(1, 6), "h2") + self.block(1, self.text(15, 90)))
+        return self.wrapped("".join(parts), *(self.one(("article", ""), ("main", ""), ("article", 'class="related-post"'), ("div", 'class="post-content"')) if named else (self.one("div", "section"), "")))
+
+    def page(self) -> str:
+        named = bool(self.rng.random() < 0.5)
+        before = [self.one(self.links, self.links, self.teasers, self.notice)(named if self.rng.random() < 0.7 else True) for _ in range(int(self.rng.integers(0, 4)))]
+        after = [self.one(self.links, self.teasers, self.notice, self.foot)(named if self.rng.random() < 0.7 else True) for _ in range(int(self.rng.integers(0, 4)))]
+        return "<body>" + "".join([*before, self.story(named), *after])
+
+
+def labelled(seed: int = SEED, pages: int = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: features and labels of the blocks of small pages."""
+    make, x, y = _Pages(seed), [], []
+    for _ in range(pages):
+        blocks = text_blocks(make.page())
+        x.append(features(blocks))
+        y += [b.label for b in blocks]
+    return np.concatenate(x), np.array(y, float)
 
 
 @lru_cache(1)
 def trained() -> Tree:
     """The tree, trained on the labelled table."""
-    x, y = [], []
-    for page in LABELLED:
-        blocks = text_blocks(page)
-        keep = [b.label is not None for b in blocks]
-        x.append(features(blocks)[keep])
-        y += [b.label for b in blocks if b.label is not None]
-    return Tree(np.concatenate(x), np.array(y, float))
+    return Tree(*labelled())
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page: its content blocks, in order, joined by an empty line."""
+    """The main text of a page: its content blocks, in order, joined by an empty line.
+
+    Where nothing is left, names may have misled: the page is read again without those that hint at other things.
+    """
     blocks = text_blocks(page or "")
     if not blocks:
         return ""
     keep = trained().predict(features(blocks)) >= 0.5
+    if not keep.any():
+        keep = trained().predict(features(blocks, hints=False)) >= 0.5
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

@@ -55,3 +55,57 @@ def test_elements_without_end_tags():
     assert h.main_text(body.format("<script>")) == h.main_text(body.format("<style>")) == "One."
     assert h.main_text("<article><p>One.</p>" + "<button><svg><title>" * 20000 + "<p>Two.</p>") == "One.\n\nTwo."
     assert h.main_text("<head>" + "<title><noscript>" * 20000 + "<article><p>Two.</p>") == "Two."
+
+
+LONG = "This is a paragraph of plain running text that goes on for quite a while and says something about the matter at hand, as articles do."
+
+
+def test_names_and_short_blocks():
+    for open_tag, end in (('<div class="content ad-free">', "</div>"), ('<article class="related-post">', "</article>"), ('<div class="has-sidebar">', "</div>"), ('<main id="social">', "</main>"), ('<div class="postContent">', "</div>"), ("<div>", "</div>"), ('<div class="teaser">', "</div>")):
+        page = f"<body>{open_tag}<p>Yes.</p><p>{LONG}</p><p>{LONG}</p>{end}<footer>Imprint</footer>"
+        assert h.main_text(page) == f"Yes.\n\n{LONG}\n\n{LONG}", open_tag
+    assert h.main_text(f"<body><p>Yes.</p><p>{LONG}</p><p>{LONG}</p>") == f"Yes.\n\n{LONG}\n\n{LONG}"
+    teaser = "<div><p><a href=x>Another story that you may want to read</a> today</p></div>"
+    for where in (f"<body>{teaser}<div><p>{LONG}</p><p>{LONG}</p></div>", f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{teaser}"):
+        assert h.main_text(where) == f"{LONG}\n\n{LONG}"
+    for bad in ('<div class="comments">', '<section id="comment-list">', '<div class="sidebar-left">', '<div role="complementary">', "<aside>", "<form>", '<div class="cookieNotice">', '<ul class="nav">'):
+        tag = bad[1:].split()[0].strip(">")
+        assert h.main_text(f"<body><article><p>{LONG}</p></article>{bad}<p>{LONG}</p><p>{LONG}</p></{tag}>") == LONG, bad
+        assert h.main_text(f"<body><article><p>{LONG}</p>{bad}<p>{LONG}</p></{tag}></article>") == LONG, bad
+
+
+def test_inline_markup_stays():
+    assert h.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>") == "So x=1 holds."
+    assert h.main_text("<article><p>A <em>b</em><sup>2</sup> <code>c</code></p></article>") == "A b2 c"
+
+
+def test_tree_uses_words_and_links_and_holds_on_other_pages():
+    used = set()
+
+    def walk(tree):
+        if tree.feature is not None:
+            used.add(h.FEATURES[tree.feature])
+            walk(tree.low)
+            walk(tree.high)
+
+    walk(h.trained())
+    assert {"words", "links", "around_words", "around_links"} <= used and used & {"words_before", "words_after", "links_before", "links_after"}
+    x, y = h.labelled(seed=99, pages=300)
+    assert ((h.trained().predict(x) >= 0.5) == y).mean() >= 0.97
+
+
+def test_features_and_tree_equal_brute_force():
+    make = h._Pages(5)
+    for _ in range(20):
+        blocks = h.text_blocks(make.page())
+        x = h.features(blocks)
+        for i, b in enumerate(blocks):
+            near = lambda j: (min(blocks[j].words, h.MANY), blocks[j].linked / blocks[j].words) if 0 <= j < len(blocks) else (0, 0)  # noqa: E731, B023
+            own = [c for c in blocks if c.around == b.around]
+            total = sum(c.words for c in own)
+            want = [*near(i), *near(i - 1), *near(i + 1), min(total, 4 * h.MANY), sum(c.linked for c in own) / total, b.in_main, b.in_aside, b.hint, b.heading, b.item]
+            assert x[i].tolist() == [float(v) for v in want]
+            tree = h.trained()
+            while tree.feature is not None:
+                tree = tree.low if want[tree.feature] <= tree.cut else tree.high
+            assert h.trained().predict(x[i : i + 1])[0] == tree.share
