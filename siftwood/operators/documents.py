@@ -87,3 +87,8 @@ def first_in(rows: DataFrame, keys: list[str], order: list[Column], most: int) -
 def capped(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     """The first rows in a total order: a top-k per task, then one merge."""
     return rows.orderBy(*order).limit(most)
+
+
+def page_of(rows: DataFrame, order: list[Column], start: int = 0, size: int = 1000) -> DataFrame:
+    """Rows start to start + size of a total order."""
+    return rows.orderBy(*order).offset(start).limit(size)

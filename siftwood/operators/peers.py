@@ -113,3 +113,13 @@ def targets(book: DataFrame, feelers: int = FEELERS) -> DataFrame:
 def peer_counts(peers: DataFrame) -> DataFrame:
     """One row: known peers and those that answer searches."""
     return peers.agg(F.count("*").alias("known"), F.count_if(has(F.col("services"), "share_local")).alias("capable"))
+
+
+def state_rollup(peers: DataFrame, indexers: DataFrame, anchors: DataFrame, admitted: DataFrame, observed: DataFrame, cache: DataFrame, most: int) -> DataFrame:
+    """One row of the status page: known and capable peers, indexers, anchors, admitted and pending publishers, cached records up to `most`."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    waiting = observed.select("publisher").distinct().join(admitted.select("publisher"), "publisher", "left_anti")
+    out = peer_counts(peers).toDF("known_peers", "capable_peers")
+    for one in (count(indexers.select("publisher").distinct(), "indexers"), count(anchors.select("publisher").distinct(), "anchors"), count(admitted, "admitted"), count(waiting, "pending"), cache.agg(F.least(F.count("*"), F.lit(most)).cast("long").alias("cached_records"))):
+        out = out.join(one)  # tables of one row
+    return out

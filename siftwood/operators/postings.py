@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwood.functions import bencode
 from siftwood.functions.text import keywords
 
 #: Most encoded bytes of a posting list; minutes between two puts of a keyword.
@@ -89,3 +92,28 @@ def shards(hits: DataFrame, per_shard: int) -> DataFrame:
     """Postings of hot keywords dealt to numbered shards, newest first."""
     newest = Window.partitionBy("publisher", "keyword").orderBy(F.desc("seq"), "infohash")
     return hits.withColumn("shard", F.floor((F.row_number().over(newest) - 1) / per_shard).cast("int"))
+
+
+#: Salt under which a publisher's index pointer lies; most bytes of a stored value.
+INDEX_SALT, MOST_VALUE = hashlib.sha256(b"siftwood.index").hexdigest(), 1000
+
+
+def pointers(rows: DataFrame, now: int) -> DataFrame:
+    """Valid index pointers of rows(publisher, ih, commit, topics, next_pk binary, ts), with the bytes of their encoding.
+
+    ih has 20 bytes; the others have 32, or are null or empty and left out. A time of 0 or null is
+    now. Pointers above MOST_VALUE encoded bytes are refused as well.
+    """
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    rows = rows.filter(size("ih") == 20)
+    for c in ("commit", "topics", "next_pk"):
+        rows = rows.filter(size(c).isin(0, 32))
+    rows = rows.withColumn("ts", F.when(F.coalesce("ts", F.lit(0)) == 0, F.lit(now).cast("long")).otherwise(F.col("ts")))
+    field = lambda key, c: F.when(size(c) > 0, F.lit(len(bencode.encode(key)) + 35)).otherwise(0)
+    total = F.lit(2 + len(bencode.encode("ih")) + 23 + len(bencode.encode("ts")) + 2) + digits(F.col("ts")) + field("commit", "commit") + field("topics", "topics") + field("next_pk", "next_pk")
+    return rows.withColumn("bytes", total.cast("long")).filter(F.col("bytes") <= MOST_VALUE)
+
+
+def manifest_keywords(manifest: DataFrame) -> DataFrame:
+    """The manifest's keywords, ascending."""
+    return manifest.select("keyword").distinct().orderBy("keyword")

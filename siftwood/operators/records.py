@@ -150,6 +150,28 @@ def fingerprint(records: DataFrame) -> str:
     return h.hexdigest()
 
 
+def range_fingerprints(records: DataFrame) -> DataFrame:
+    """A row per range of the sorted records: range, first keyword, n, sha256 of its encoded records. Nothing but these rows leaves the tasks."""
+    rows = in_order(records).select("pk", "kw", "ih", "t", "pow", "sig").withColumn("range", F.spark_partition_id())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, n, first, number = hashlib.sha256(), 0, None, 0
+        for f in frames:
+            for r in f.itertuples(index=False):
+                h.update(encoded(bytes(r.pk), r.kw, bytes(r.ih), int(r.t), int(r.pow), bytes(r.sig)))
+                first, number, n = r.kw if first is None else first, int(r.range), n + 1
+        if n:
+            yield pd.DataFrame([(number, first, n, h.hexdigest())], columns=["range", "first", "n", "sha256"])
+
+    return rows.mapInPandas(run, "range int, first string, n long, sha256 string")
+
+
+def fingerprint_of_file(records: DataFrame) -> str:
+    """The fingerprint as one paged file of a small set has it."""
+    rows = [(bytes(r.pk), r.kw, bytes(r.ih), r.t, r.pow, bytes(r.sig)) for r in records.collect()]
+    return trailer(tree_file(rows, bytes(32), 1, 0))["fingerprint"].hex()
+
+
 # Fixed values of the paged file.
 MAGIC, PAGE_VERSION, HEADER = b"SNAGG\x00", 1, 16
 ROOT, INTERIOR, LEAF, TRAILER = 0x00, 0x01, 0x02, 0xFF

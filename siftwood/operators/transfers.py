@@ -83,3 +83,29 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """Extraction counters by infohash: processed is the sum of extracted, skipped and failed."""
     n = lambda kind: F.count_if(F.col("outcome") == kind).alias(kind)
     return outcomes.groupBy("infohash").agg(n("extracted"), n("skipped"), n("failed")).withColumn("processed", F.col("extracted") + F.col("skipped") + F.col("failed"))
+
+
+# Columns by which the list of transfers is sorted.
+SORTABLE = ("name", "status", "progress", "size", "peers", "down_rate", "up_rate", "indexing", "signed_by")
+
+
+def _sort_keys(column: str | None, desc: bool, key: str) -> list[Column]:
+    if column is None:
+        return [F.col(key).asc()]
+    if column not in SORTABLE:
+        raise ValueError(f"transfers can't be sorted by {column}")
+    keys = {"indexing": [F.col("indexing"), F.col("name")], "signed_by": [F.col("signed_by") == "", F.col("signed_by")]}.get(column, [F.col(column)])
+    return [*[k.desc() if desc else k.asc() for k in keys], F.col(key).asc()]
+
+
+def sorted_by(rows: DataFrame, column: str | None, desc: bool = False, key: str = "infohash") -> DataFrame:
+    """The list of transfers sorted by one of its columns, ties by key; None is the order of keys.
+
+    Those that are being indexed come last and are ordered by name; signed ones come first.
+    """
+    return rows.orderBy(*_sort_keys(column, desc, key))
+
+
+def numbered(rows: DataFrame, column: str | None, desc: bool = False, key: str = "infohash") -> DataFrame:
+    """A short list with place, its rank in that order."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*_sort_keys(column, desc, key))).cast("long"))

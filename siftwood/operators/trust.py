@@ -110,3 +110,8 @@ def running_ban(events: DataFrame, threshold: int = 100, hours: int = 24) -> Dat
     total = events.withColumn("total", F.sum("points").over(w))
     first = total.filter(F.col("total") >= threshold).groupBy("peer").agg(F.min("ts").alias("banned_at"))
     return first.withColumn("until", F.col("banned_at") + F.expr(f"interval {hours} hours"))
+
+
+def listed(trusted: DataFrame) -> DataFrame:
+    """The trust list by publisher."""
+    return trusted.orderBy("publisher")

@@ -194,7 +194,16 @@ def search_signed_by(spark, d):
     return found.select("id", F.expr("count(*) over ()").alias("total"))
 
 
-@query("highlight", None)
+_WORDS = "(?:whole|from)"
+
+
+@query("highlight", rf"""
+with a as (select doc_id, text, {ANALYSED.format('text')} w from documents),
+c as (select *, len(w) len, ({_n('whole')})::double n0, ({_n('from')})::double n1 from a),
+s as (select count(*)::double n, avg(len) mean, count(*) filter (where n0 > 0)::double df0, count(*) filter (where n1 > 0)::double df1 from c)
+select doc_id, round(ln(1 + (n - df0 + 0.5::double) / (df0 + 0.5)) * n0 * 2.2 / (n0 + 1.2 * (1 - 0.75 + 0.75 * len / mean)) + ln(1 + (n - df1 + 0.5::double) / (df1 + 0.5)) * n1 * 2.2 / (n1 + 1.2 * (1 - 0.75 + 0.75 * len / mean)), 6) score,
+  list_transform(regexp_extract_all(text, '(?is).{{0,80}}\b{_WORDS}\b.{{0,80}}'), lambda x: regexp_replace(x, '(?i)\b({_WORDS})\b', '<mark>\1</mark>', 'g')) fragments
+from c, s where n0 > 0 or n1 > 0 order by 2 desc, 1 limit 20""")
 def highlights(spark, d):
     out = search.search(_index(spark, d), "whole from", "doc_id", ["text"], with_highlights=True)
     return out.select("doc_id", "score", F.element_at("fragments", "text").alias("fragments"))
@@ -525,7 +534,20 @@ def riblt_reconcile(spark, d):
     return diff.select(F.lower(F.hex("id")).alias("id"), "side")
 
 
-@query("riblt_symbols", None)
+def _bits(x: str) -> str:
+    """A 64-bit pattern as a signed number."""
+    return f"case when ({x}) >= 9223372036854775808 then (({x})::hugeint - 18446744073709551616)::bigint else ({x})::bigint end"
+
+
+@query("riblt_symbols", rf"""
+with {RECORDS}, ids as (select distinct {ID} id from records where seq % 10 < 7),
+keyed as (select id, list_reduce(list_prepend({sketches.FNV_START}::uhugeint, list_transform(range(32), lambda i: ('0x' || id[2 * i + 1:2 * i + 2])::int::uhugeint)), lambda h, b: (xor(h, b) * {sketches.FNV_PRIME}::uhugeint) % 18446744073709551616::uhugeint) k from ids),
+z0 as (select s.range s, id, k, (k + s.range::uhugeint * {sketches.MIX[0]}::uhugeint) % 18446744073709551616::uhugeint z from keyed, range(64) s),
+z1 as (select s, id, k, (xor(z, z // 1073741824::uhugeint) * {sketches.MIX[1]}::uhugeint) % 18446744073709551616::uhugeint z from z0),
+z2 as (select s, id, k, (xor(z, z // 134217728::uhugeint) * {sketches.MIX[2]}::uhugeint) % 18446744073709551616::uhugeint z from z1),
+used as (select * from z2 where xor(z, z // 2147483648::uhugeint) % pow(2, 1 + s % 12)::uhugeint = 0),
+lanes as (select s, k, {', '.join(f"('0x' || list_aggregate(list_transform([7, 6, 5, 4, 3, 2, 1, 0], lambda i: id[2 * ({j} * 8 + i) + 1:2 * ({j} * 8 + i) + 2]), 'string_agg', ''))::ubigint l{j}" for j in range(4))} from used)
+select s symbol, count(*) n, {_bits('bit_xor(k::ubigint)')} key, {', '.join(f"{_bits(f'bit_xor(l{j})')} lane{j}" for j in range(4))} from lanes group by 1""")
 def riblt_symbols(spark, d):
     return sketches.symbols(_ids(spark, d, "doc_id % 10 < 7").select(F.unhex("id").alias("id")), 0, 64)
 
@@ -712,7 +734,11 @@ def snapshot_shape(spark, d):
 # Text of files, and windows over events.
 
 
-@query("html_text", None)
+@query("html_text", r"""
+with a as (select page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style)[^>]*>.*?</(script|style)>', '', 'g') t from pages),
+b as (select page_id, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') t from a),
+c as (select page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') t from b)
+select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from c""")
 def html_text(spark, d):
     text = F.udf(T.html_text, "string", useArrow=True)
     return table(spark, d, "pages").select("page_id", text("html").alias("text"))
@@ -743,3 +769,9 @@ def event_windows(spark, d):
 @query("human_sizes", "select p_partkey, case when s >= 1048576 then printf('%.1f MiB', round(s / 1048576.0::double, 1)) when s >= 1024 then printf('%.1f KiB', round(s / 1024.0::double, 1)) else printf('%d B', s) end shown from (select p_partkey, p_size::bigint * p_partkey s from part)")
 def human_sizes(spark, d):
     return table(spark, d, "part").select("p_partkey", T.human_bytes(F.col("p_size").cast("long") * F.col("p_partkey")).alias("shown"))
+
+
+from siftwood.plans import formats, state  # noqa: E402  they add queries of their own
+
+QUERIES.update(formats.queries() | state.QUERIES)
+ORACLES.update(formats.oracles() | state.ORACLES)

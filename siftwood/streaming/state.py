@@ -55,15 +55,14 @@ def limited_stream(requests: DataFrame, refill: float = REFILL, burst: float = B
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (burst, None)
-        for f in frames:
-            out = []
-            for ts in sorted(f.ts):
-                at = ts.timestamp()
-                tokens = min(burst, tokens + (max(0.0, at - last) * refill if last is not None else 0.0))
-                ok = tokens >= 1 - 1e-9
-                tokens, last = tokens - ok, at
-                out.append((key[0], ts, bool(ok)))
-            yield pd.DataFrame(out, columns=["peer", "ts", "allowed"])
+        out = []
+        for ts in sorted(ts for f in frames for ts in f.ts):  # a peer's requests of one batch
+            at = ts.timestamp()
+            tokens = min(burst, tokens + (max(0.0, at - last) * refill if last is not None else 0.0))
+            ok = tokens >= 1 - 1e-9
+            tokens, last = tokens - ok, at
+            out.append((key[0], ts, bool(ok)))
+        yield pd.DataFrame(out, columns=["peer", "ts", "allowed"])
         state.update((float(tokens), last))
 
     return requests.select("peer", "ts").groupBy("peer").applyInPandasWithState(run, "peer string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)

@@ -41,7 +41,7 @@ def tar():
 
 def exif():
     t = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHII", 0x010F, 2, 6, 60) + struct.pack("<HHII", 0x8825, 4, 1, 70)
-    t = t.ljust(60, b"\0") + b"Canon\0"
+    t = t.ljust(60, b"\0") + b"Lumix\0"
     t = t.ljust(70, b"\0") + struct.pack("<H", 4)
     for tag, kind, n, v in ((1, 2, 2, b"N\0\0\0"), (2, 5, 3, struct.pack("<I", 130)), (3, 2, 2, b"E\0\0\0"), (4, 5, 3, struct.pack("<I", 160))):
         t += struct.pack("<HHI", tag, kind, n) + v
@@ -51,9 +51,9 @@ def exif():
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
 
 
-ID3_BODY = b"TIT2" + struct.pack(">I", 5) + b"\0\0" + b"\3Song" + b"COMM" + struct.pack(">I", 9) + b"\0\0" + b"\0engd\0hey"
-PDF = b"%PDF-1.4\n1 0 obj<</Filter/FlateDecode>>stream\n" + zlib.compress(b"BT (Hello \\(PDF\\)) Tj T* <576f726c64> Tj ET") + b"\nendstream"
-OGG_BODY = b"OpusTags" + vorbis(b"title=Tune")
+ID3_BODY = b"TIT2" + struct.pack(">I", 5) + b"\0\0" + b"\3Reel" + b"COMM" + struct.pack(">I", 9) + b"\0\0" + b"\0engd\0hey"
+PDF = b"%PDF-1.4\n1 0 obj<</Filter/FlateDecode>>stream\n" + zlib.compress(b"BT (Tide \\(low\\)) Tj T* <5265656473> Tj ET") + b"\nendstream"
+OGG_BODY = b"OpusTags" + vorbis(b"title=Aire")
 CASES = {
     "a.txt": ("plaintext", b"hello", "hello"),
     "a.html": ("plaintext", b"<p>raw</p>", "<p>raw</p>"),
@@ -63,15 +63,15 @@ CASES = {
     "a.odt": ("odt", zipped(content_dot_xml='<o:c xmlns:o="u"><o:automatic-styles>no</o:automatic-styles><o:h>Head</o:h><o:p>a<o:s/>b</o:p></o:c>'), "Head\n\na b"),
     "a.odp": ("odp", zipped(content_dot_xml='<o:c xmlns:o="u"><o:p>slide</o:p></o:c>'), "slide"),
     "a.pptx": ("pptx", zipped(**{f"ppt__slides__slide{n}_dot_xml": f'<a:d xmlns:a="u"><a:p><a:t>s{n}</a:t></a:p></a:d>' for n in (10, 2)}), "s2\n\ns10"),
-    "a.pdf": ("pdf", PDF, "Hello (PDF)\nWorld"),
+    "a.pdf": ("pdf", PDF, "Tide (low)\nReeds"),
     "a.rtf": ("rtf", rb"{\rtf1{\fonttbl x;}Hello\par \u233?w\'e9 {\*\x no}end\ldblquote}", "Hello\néwé end“"),
     "a.fb2": ("fb2", b"<f><binary>no</binary><section><title><p>T</p></title><p>text</p></section></f>", "T\n\ntext"),
-    "a.mp3": ("id3", b"ID3\3\0\0" + bytes([0, 0, 0, len(ID3_BODY)]) + ID3_BODY, "Title: Song\nComment: hey"),
+    "a.mp3": ("id3", b"ID3\3\0\0" + bytes([0, 0, 0, len(ID3_BODY)]) + ID3_BODY, "Title: Reel\nComment: hey"),
     "a.flac": ("flac", b"fLaC\x84" + len(vorbis(b"ARTIST=Me")).to_bytes(3, "big") + vorbis(b"ARTIST=Me"), "Artist: Me"),
-    "a.ogg": ("ogg", b"OggS" + bytes(22) + bytes([1, len(OGG_BODY)]) + OGG_BODY, "Title: Tune"),
-    "a.mkv": ("mkv", bytes.fromhex("1a45dfa3") + b"\x80" + ebml("18538067", ebml("1549a966", ebml("7ba9", b"Film"))), "Title: Film"),
-    "a.mp4": ("mp4", atom(b"ftyp", b"isom") + atom(b"moov", atom(b"udta", atom(b"meta", bytes(4) + atom(b"ilst", atom(b"\xa9nam", atom(b"data", struct.pack(">II", 1, 0) + b"Clip")))))), "Title: Clip"),
-    "a.jpg": ("exif", exif(), "Camera make: Canon\nGPS: N48.5000, E2.2500"),
+    "a.ogg": ("ogg", b"OggS" + bytes(22) + bytes([1, len(OGG_BODY)]) + OGG_BODY, "Title: Aire"),
+    "a.mkv": ("mkv", bytes.fromhex("1a45dfa3") + b"\x80" + ebml("18538067", ebml("1549a966", ebml("7ba9", b"Mist"))), "Title: Mist"),
+    "a.mp4": ("mp4", atom(b"ftyp", b"isom") + atom(b"moov", atom(b"udta", atom(b"meta", bytes(4) + atom(b"ilst", atom(b"\xa9nam", atom(b"data", struct.pack(">II", 1, 0) + b"Rain")))))), "Title: Rain"),
+    "a.jpg": ("exif", exif(), "Camera make: Lumix\nGPS: N48.5000, E2.2500"),
     "a.zip": ("archive", zipped(b_dot_txt="", a_dot_txt=""), "a.txt\nb.txt"),
     "a.tgz": ("archive", tar(), "a/c.txt\nb.txt"),
 }

@@ -15,12 +15,12 @@ A, B = "a" * 40, "b" * 40
 
 
 def test_lookup_and_swarm_merge(spark):
-    rows = [(1, A, "Ubuntu 24.04", 6 << 30, 100, 0), (2, A, "", 0, 130, 0), (3, B, "Ubuntu Server", 0, 50, 0), (4, "short", "x", 1, 1, 1)]
+    rows = [(1, A, "River maps", 6 << 30, 100, 0), (2, A, "", 0, 130, 0), (3, B, "Harbour plans", 0, 50, 0), (4, "short", "x", 1, 1, 1)]
     hits = spark.createDataFrame(rows, "publisher long, infohash string, name string, size long, seeders long, files long")
     out = merge.ranked_lookup(merge.merge_lookup(hits), 10).collect()
-    assert [(r.infohash, r.name, r.seeders, r.sources, r.size) for r in out] == [(A, "Ubuntu 24.04", 130, [1, 2], 6 << 30), (B, "Ubuntu Server", 50, [3], 0)]
+    assert [(r.infohash, r.name, r.seeders, r.sources, r.size) for r in out] == [(A, "River maps", 130, [1, 2], 6 << 30), (B, "Harbour plans", 50, [3], 0)]
     assert out[0].score == pytest.approx(0.55)
-    rows = [(1, A, "Ubuntu 24.04", 6 << 30, 100, 500, ["f"]), (2, A, "", 0, 130, 400, []), (3, B, "Debian", 1 << 30, 10, 300, None)]
+    rows = [(1, A, "River maps", 6 << 30, 100, 500, ["f"]), (2, A, "", 0, 130, 400, []), (3, B, "Orchard", 1 << 30, 10, 300, None)]
     swarm = merge.ranked_swarm(merge.merge_swarm(spark.createDataFrame(rows, "peer long, infohash string, name string, size long, seeders long, rank long, matches array<string>")), 10).collect()
     assert [(r.infohash, r.score, r.seeders, r.sources) for r in swarm] == [(A, 900, 130, [1, 2]), (B, 300, 10, [3])]
 

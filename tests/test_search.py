@@ -8,11 +8,11 @@ from siftwood.operators import documents, search
 
 @pytest.fixture(scope="module")
 def index(spark):
-    rows = [("1" * 40, "ubuntu 24.04 desktop amd64 iso"), ("2" * 40, "debian bookworm netinst amd64 iso"), ("3" * 40, "alpine linux virt")]
+    rows = [("1" * 40, "river maps 1932 atlas coast9 ink"), ("2" * 40, "harbour plans netting coast9 ink"), ("3" * 40, "orchard notes pears")]
     return search.indexed(spark.createDataFrame(rows, "infohash string, name string"), "infohash", ["name"])
 
 
-@pytest.mark.parametrize("q,want", [("alpine", "3"), ("+alpine", "3"), ("iso -debian -alpine", "1"), ('"desktop amd64"', "1"), ('"amd64 desktop"', ""), ("name:bookworm", "2"), ("infohash:" + "2" * 40, "2"), ("+amd64 +netinst", "2"), ("ubunto~1", "1"), ("amd64", "12"), ("nosuch:x", "")])
+@pytest.mark.parametrize("q,want", [("orchard", "3"), ("+orchard", "3"), ("ink -harbour -orchard", "1"), ('"atlas coast9"', "1"), ('"coast9 atlas"', ""), ("name:plans", "2"), ("infohash:" + "2" * 40, "2"), ("+coast9 +netting", "2"), ("rivar~1", "1"), ("coast9", "12"), ("nosuch:x", "")])
 def test_queries(index, q, want):
     assert sorted(r.infohash[0] for r in search.search(index, q, "infohash", ["name"], ["infohash"]).collect()) == list(want)
 
@@ -20,9 +20,9 @@ def test_queries(index, q, want):
 def test_empty_query_boost_and_highlight(index):
     with pytest.raises(ValueError):
         search.parse("  ")
-    assert search.search(index, "ubuntu alpine^9", "infohash", ["name"]).first().infohash[0] == "3"
-    row = search.search(index, "ubuntu", "infohash", ["name"], with_highlights=True).first()
-    assert "<mark>ubuntu</mark>" in row.fragments["name"][0]
+    assert search.search(index, "river orchard^9", "infohash", ["name"]).first().infohash[0] == "3"
+    row = search.search(index, "river", "infohash", ["name"], with_highlights=True).first()
+    assert "<mark>river</mark>" in row.fragments["name"][0]
 
 
 def test_upsert_delete_statistics(spark, tmp_path):
