@@ -65,6 +65,7 @@ def branches(tree: DataFrame, work: str) -> DataFrame:
         far = up.select("tree_id", F.col("node_id").alias("from"), F.col("to").alias("node_id")).join(up, ["tree_id", "node_id"])
         up = saved(far.select("tree_id", F.col("from").alias("node_id"), "to"), f"{work}/up{k + 1}")
         removed(spark, f"{work}/paths{k}")
+        removed(spark, f"{work}/up{k}")
         k += 1
     return paths
 
@@ -82,6 +83,7 @@ def format_trees(tree: DataFrame, per_tree: int | None = 1) -> DataFrame:
     """
     work = shared_dir(tree.sparkSession)
     tree = tree.select(F.struct(F.col("tree_id").alias("id")).alias("tree_id"), "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    tree = saved(tree, f"{work}/tree")  # read again by each round, which take its narrow columns only
     paths = branches(tree, work)  # tree ids are structs here: joins match those that hold a null
     scores = tree.select("tree_id", "node_id", "score")
     ranked = paths.join(scores, ["tree_id", "node_id"]).groupBy("tree_id", "leaf").agg(F.avg("score").alias("score"))

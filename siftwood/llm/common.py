@@ -69,6 +69,12 @@ def _trim():
     return lambda: trim(0)
 
 
+def trim() -> None:
+    """Give free memory of this worker back."""
+    pa.default_memory_pool().release_unused()
+    _trim()()
+
+
 def tidy(run):
     """A mapInArrow function after which the worker gives its memory back, as idle workers live on beside the next stage's."""
 
@@ -76,8 +82,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            _trim()()
+            trim()
 
     return go
 

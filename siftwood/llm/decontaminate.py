@@ -9,7 +9,9 @@ searched backwards at once; occurrences are located through the samples and merg
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from . import files
+from .common import arrow_rows, shared_dir, tidy
 
 #: Words of a window; items of fewer words are one window.
 WINDOW = 10
@@ -25,10 +28,10 @@ WINDOW = 10
 SHARD_WORDS, SHARD_DOCS = 2_000_000, 20_000
 #: Every this many suffix positions are sampled.
 SAMPLE = 16
-#: Bytes of kept columns that a shard holds.
-SHARD_BYTES = 48 << 20
-#: Bytes of benchmark text that are searched in one pass over the documents.
-BLOCK_BYTES = 32 << 20
+#: Bytes of text that a shard holds.
+SHARD_BYTES = 24 << 20
+#: Bytes of benchmark text in a block.
+BLOCK_BYTES = 4 << 20
 
 _TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -43,23 +46,33 @@ def _nulls_last(item: int | None) -> tuple[bool, int]:
 
 
 class Patterns:
-    """The windows of benchmark items as word-id sequences, deduplicated, with their items."""
+    """The windows of benchmark items as word-id sequences, deduplicated, with their items, in arrays."""
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
+        rows, own, sizes, self.items = [], [], [], sorted({i for i, _ in items}, key=_nulls_last)
+        place = {i: k for k, i in enumerate(self.items)}
         for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
-            if w:
-                for i in range(max(1, len(w) - window + 1)):
-                    owners.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.windows = list(owners)
-        self.owners = [sorted(owners[x], key=_nulls_last) for x in self.windows]
-        self.length = np.array([len(x) for x in self.windows], np.int64)
+            w = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)], np.int32)
+            if len(w):
+                n, k = max(1, len(w) - window + 1), min(window, len(w))
+                run = np.zeros((n, window), np.int32)
+                run[:, :k] = np.lib.stride_tricks.sliding_window_view(w, k)
+                rows.append(run)
+                own.append(np.full(n, place[item], np.int64))
+                sizes.append(np.full(n, k, np.int64))
+        table = np.concatenate(rows) if rows else np.zeros((0, window), np.int32)
+        self.table, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        pairs = np.unique(np.stack([which.reshape(-1), np.concatenate(own)], 1), axis=0) if len(table) else np.zeros((0, 2), np.int64)
+        self.owner, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.table) + 1))
+        self.length = (self.table > 0).sum(1)
         self.shortest, self.longest = (int(self.length.min()), int(self.length.max())) if len(self.length) else (0, 0)
-        self.table = np.zeros((len(self.windows), self.longest), np.int64)
-        for i, x in enumerate(self.windows):
-            self.table[i, : len(x)] = x
+
+    def owners(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, item place): the items of windows, which being the place among the windows given."""
+        n = self.first[windows + 1] - self.first[windows]
+        which = np.repeat(np.arange(len(windows)), n)
+        return which, self.owner[np.repeat(self.first[windows] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -160,10 +173,9 @@ class Shard:
     """Documents gathered for one index."""
 
     def __init__(self, patterns: Patterns):
-        self.p, self.parts, self.places, self.n_words, self.docs, self.size = patterns, [], [], [], [], 0
+        self.p, self.parts, self.places, self.n_docs, self.size = patterns, [], [], 0, 0
 
-    def add(self, doc: object, text: bytes | None) -> None:
-        words = words_of(text)
+    def add(self, words: list[bytes]) -> None:
         get = self.p.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words)) if self.p.ids else np.zeros(len(words), np.int64)
         at = np.flatnonzero(ids)
@@ -178,14 +190,13 @@ class Shard:
                 run = np.append(ids, 0)[np.minimum(where, len(ids))]
                 run[np.cumsum(sizes + 1) - 1] = 0
                 self.parts.append(run)
-                self.places.append(np.stack([np.full(total, len(self.docs)), where]))
+                self.places.append(np.stack([np.full(total, self.n_docs), where]))
                 self.size += total
-        self.docs.append(doc)
-        self.n_words.append(len(words))
+        self.n_docs += 1
 
     def hits(self) -> tuple[list[list[int]], list[list[tuple[int, int]]]]:
         """By document: the items with an occurring window, and the merged spans of hit words [start, end)."""
-        items, spans = [[] for _ in self.docs], [[] for _ in self.docs]
+        items, spans = [[] for _ in range(self.n_docs)], [[] for _ in range(self.n_docs)]
         if not self.size:
             return items, spans
         separator = len(self.p.ids) + 1
@@ -199,92 +210,128 @@ class Shard:
         rows = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         at = index.locate(rows)
         d, first, last = doc[at], place[at], place[at] + self.p.length[which]
-        for i, w in set(zip(d.tolist(), which.tolist(), strict=True)):
-            items[i] += self.p.owners[w]
+        met = np.unique(np.stack([d, which], 1), axis=0)
+        of, owner = self.p.owners(met[:, 1])
+        met = np.unique(np.stack([met[of, 0], owner], 1), axis=0)
+        for i, k in met.tolist():
+            items[i].append(self.p.items[k])
         order = np.lexsort((first, d))
         for i, a, b in zip(d[order].tolist(), first[order].tolist(), last[order].tolist(), strict=True):
             if spans[i] and a <= spans[i][-1][1]:
                 spans[i][-1] = (spans[i][-1][0], max(b, spans[i][-1][1]))
             else:
                 spans[i].append((a, b))
-        return [sorted(set(x), key=_nulls_last) for x in items], spans
+        return items, spans
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes | None]]]:
-    """The benchmark in blocks of bounded size, in order of item_id."""
+def _pattern_files(benchmark: DataFrame, window: int, block_bytes: int, folder: str) -> list[str]:
+    """Files of Patterns, each of about block_bytes of benchmark text, made in tasks; a file name for each block of the benchmark."""
+    spark = benchmark.sparkSession
     rows = benchmark.filter("text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // block_bytes) + 1
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)) == k)
-        yield sorted(((r.item_id, bytes(r.text)) for r in part.toLocalIterator()), key=lambda x: (_nulls_last(x[0]), x[1]))
+    blocks = int(size // block_bytes) + 1
+    files.make_dir(folder)
+
+    def build(table: pa.Table) -> pa.Table:
+        path = f"{folder}/block-{table.column('block')[0].as_py():06d}"
+        items = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda x: (_nulls_last(x[0]), x[1]))
+        files.commit(path, pickle.dumps(Patterns(items, window)))
+        return pa.table({"path": [path]})
+
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", F.xxhash64("text")), F.lit(blocks)))
+    found = rows.groupBy("block").applyInArrow(build, "path string").collect()  # a name for each block
+    return sorted(r.path for r in found)
+
+
+@lru_cache(1)
+def _patterns(path: str) -> Patterns:
+    """The patterns of a file of this library's own work folder; a worker holds one at a time."""
+    return pickle.loads(files.read(path))
 
 
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def _scan(docs: DataFrame, names: list[str], patterns: Patterns) -> DataFrame:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted and merged spans."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(texts: list[bytes | None], paths: list[str]) -> tuple[list[int], list[list], list[list[tuple[int, int]]]]:
+    """By text: its words, the items with an occurring window, the merged spans. Blocks of the benchmark are searched one after another, each with indexes of bounded size."""
+    n_words, items, spans = [0] * len(texts), [set() for _ in texts], [[] for _ in texts]
+
+    def search(shard: Shard, first: int) -> None:
+        for i, (x, s) in enumerate(zip(*shard.hits(), strict=True)):
+            items[first + i] |= set(x)
+            spans[first + i] += s
+
+    for path in paths:
+        shard, first = Shard(_patterns(path)), 0
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            n_words[i] = len(words)
+            shard.add(words)
+            if shard.size >= SHARD_WORDS:
+                search(shard, first)
+                shard, first = Shard(_patterns(path)), i + 1
+        search(shard, first)
+    if not paths:
+        n_words = [len(words_of(t)) for t in texts]
+    return n_words, [sorted(x, key=_nulls_last) for x in items], [_merged(s) if len(paths) > 1 else s for s in spans]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Where benchmark windows occur in whole document texts.
+
+    Returns the columns in keep (default doc_id) with n_words, n_hit (words inside any occurrence),
+    items (sorted item_ids with an occurring window) and spans (merged removal spans of words, end
+    exclusive). Null and empty texts have no words, and items without words have no window. Equal
+    items count each; those of a null item_id hit as all others and are one null, the last, in items.
+    An empty benchmark hits nothing. Columns named like the new ones are replaced. Rows are
+    searched on their own, so repeated rows and ids are fine. The benchmark may have any size: it is
+    cut into blocks of block_bytes, and a run of documents is searched for one block after another,
+    so a task holds the windows of one block.
+    """
     arrow_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)  # BLOCK_BYTES of text at most
+    new = ("n_words", "n_hit", "items", "spans")
+    names = [c for c in (keep or ["doc_id"]) if c not in new]
+    paths = _pattern_files(benchmark, window, block_bytes, shared_dir(docs.sparkSession))
     schema = T.StructType([*docs.select(*names).schema, *T.StructType.fromDDL(f"n_words bigint, items array<bigint>, spans {SPANS}")])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(shard: Shard, kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, spans = shard.hits()
-            n, i = shard.n_words, 0
+        def out(texts: list[bytes | None], kept: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, items, spans = _hits(texts, paths)
+            i = 0
             for b in kept:
                 j = i + len(b)
                 spoken = pa.array([[{"start": x, "end": y} for x, y in s] for s in spans[i:j]], span_type)
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(n[i:j], pa.int64()), pa.array(items[i:j], pa.list_(pa.int64())), spoken], names=[*names, "n_words", "items", "spans"])
                 i = j
 
-        shard, kept, held = Shard(shared.value), [], 0
+        texts, kept, held = [], [], 0
         for b in batches:
-            for text in b.column("_text").cast(pa.binary()).to_pylist():
-                shard.add(None, text)
+            texts += b.column("_text").cast(pa.binary()).to_pylist()
             kept.append(b.select(names))
-            held += kept[-1].nbytes
-            if shard.size >= SHARD_WORDS or len(shard.docs) >= SHARD_DOCS or held >= SHARD_BYTES:
-                yield from out(shard, kept)
-                shard, kept, held = Shard(shared.value), [], 0
+            held += b.column("_text").nbytes
+            if len(texts) >= SHARD_DOCS or held >= SHARD_BYTES:
+                yield from out(texts, kept)
+                texts, kept, held = [], [], 0
         if kept:
-            yield from out(shard, kept)
-
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Where benchmark windows occur in whole document texts.
+            yield from out(texts, kept)
 
-    Returns the columns in keep (default doc_id) with n_words, n_hit (words inside any occurrence),
-    items (sorted item_ids with an occurring window) and spans (merged removal spans of words, end
-    exclusive). Null and empty texts have no words, and items without words have no window. Equal
-    items count each; those of a null item_id hit as all others and are one null, the last, in items.
-    An empty benchmark hits nothing. Columns named like the new ones are replaced. A benchmark beyond block_bytes is searched in blocks, one pass over the documents
-    each; then doc_id must be unique, and results are merged by it.
-    """
-    new = ("n_words", "n_hit", "items", "spans")
-    names = [c for c in (keep or ["doc_id"]) if c not in new]
-    found = [_scan(docs, names, Patterns(block, window)) for block in _blocks(benchmark, block_bytes)]
-    out = found[0]
-    for x in found[1:]:
-        x = x.select(F.col("doc_id").alias("_id"), F.col("items").alias("_i"), F.col("spans").alias("_s"))
-        out = out.join(x, out.doc_id.eqNullSafe(x._id))
-        out = out.withColumn("items", F.array_sort(F.array_union("items", "_i"))).withColumn("spans", _merged(F.concat("spans", "_s"))).drop("_id", "_i", "_s")
+    out = docs.select(*names, F.col("text").alias("_text")).mapInArrow(tidy(run), schema)
     width = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s.end - s.start).cast("long"))
     return out.select(*names, "n_words", width.alias("n_hit"), "items", "spans")
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted and merged spans."""
-    return F.aggregate(
-        F.array_sort(spans),
-        F.array().cast(SPANS),
-        lambda out, s: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1)).end >= s.start), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1)).start.alias("start"), F.greatest(F.try_element_at(out, F.lit(-1)).end, s.end).alias("end"))))).otherwise(F.concat(out, F.array(s))),
-    )
-
-
 def items_digest(items: Column) -> Column:
     """SHA-256 of the item ids, sorted as strings, joined by commas."""
     return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ","), 256)

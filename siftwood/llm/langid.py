@@ -24,8 +24,8 @@ CENTROIDS = 4
 QUANTILE, MARGIN, LEAST_TEXTS, CLASSES = 0.99, 0.1, 20, 16
 #: Beyond this distance a text of any length is rejected.
 FARTHEST = 0.95
-#: Parts of a language in which its sample is first sought, so that no task orders all its rows.
-SALTS = 64
+#: Rows of a language that are ordered to find its sample, as a multiple of it.
+SPARE = 4
 
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[: 0x80] = [c if chr(c).isalpha() else 32 for c in range(0x80)]
@@ -196,17 +196,18 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, centroids: int =
     """Fit on at most per_lang documents of each of at most MAX_LANGS languages.
 
     labelled: doc_id, text, lang. The sample is the documents of a language with the smallest hash
-    of doc_id, found from narrow columns, first in parts of each language; of rows that repeat a
-    doc_id and language one stays. Whole texts are counted in the tasks, and only the n-gram counts,
+    of doc_id, found from narrow columns: languages are counted, the largest MAX_LANGS stay, and only rows
+    whose hash lies below SPARE times the wanted share are ordered. Of rows that repeat a doc_id and
+    language one stays. Whole texts are counted in the tasks, and only the n-gram counts,
     of a size that doesn't depend on the text, reach the driver.
     """
     arrow_rows(labelled.sparkSession)
     named = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    rows = named.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
-    for keys in (["lang", "salt"], ["lang"]):
-        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
-        rows = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
-    chosen = rows.orderBy("r", "lang").limit(per_lang * MAX_LANGS).select("doc_id", "lang").collect()
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("ids"), "lang").limit(MAX_LANGS)
+    hashed = named.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).join(F.broadcast(sizes), "lang")
+    near = hashed.filter(F.pmod("h", F.lit(1 << 52)) <= F.lit(float(SPARE * per_lang << 52)) / F.col("ids")).distinct()
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("doc_id", "lang").collect()
     if not chosen:
         return fitted_counts(np.zeros((0, DIMS)), [])
     picks = labelled.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in chosen], "doc_id long, lang string").distinct()

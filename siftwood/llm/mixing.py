@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir
+from .common import dealt_join, saved, shared_dir
 
-#: Sources above this count are joined without a broadcast hint.
+#: Sources above this count aren't broadcast; rows of large sources are then dealt to several tasks.
 BROADCAST_SOURCES = 20_000
 #: Longest mean that one inversion draws; larger means are sums of draws.
 CHUNK = 32.0
@@ -21,7 +21,7 @@ def _uniform(*parts: Column) -> Column:
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
-    """One row per source: source_key, units (code points), rate, and the Poisson distribution function.
+    """One row per source: source_key, units (code points), rows, rate, and the Poisson distribution function.
 
     The target share of a source is its entry in `weights`, or units ** temperature if none are
     given (0: equal shares, 1: as found); sources missing from `weights` get share 0. rate is the
@@ -29,7 +29,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
     units has rate 1.
     """
     key = F.coalesce("source", F.lit(NO_SOURCE))
-    sums = docs.groupBy(key.alias("source_key")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("units"))
+    sums = docs.groupBy(key.alias("source_key")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("units"), F.count("*").alias("rows"))
     if weights is None:
         share = F.pow(F.col("units").cast("double"), F.lit(float(temperature)))
     else:
@@ -50,7 +50,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, t
         lambda s, k: F.struct((s.p * F.col("mean") / k).alias("p"), (s.c + s.p * F.col("mean") / k).alias("c"), F.concat(s.cdf, F.array(s.c + s.p * F.col("mean") / k)).alias("cdf")),
         lambda s: s.cdf,
     )
-    return out.select("source_key", "units", "rate", "draws", steps.alias("cdf"))
+    return out.select("source_key", "units", "rows", "rate", "draws", steps.alias("cdf"))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: int = 17) -> DataFrame:
@@ -64,11 +64,17 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     empty table stays empty. The table of rates is broadcast only if it is short.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    rates = repetition_rates(docs, weights, temperature, budget).select(F.col("source_key").alias("_key"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"))
-    short = rates.count() <= BROADCAST_SOURCES
+    rates = repetition_rates(docs, weights, temperature, budget).select(F.col("source_key").alias("_key"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"), F.col("rows").alias("_rows"))
+    known = rates.agg(F.count("*").alias("sources"), F.sum("_rows").alias("rows")).first()
+    short = known.sources <= BROADCAST_SOURCES
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, j: n + F.size(F.filter("_cdf", lambda c: c < _uniform(F.lit(str(seed)), name, j.cast("string")))))
-    drawn = docs.withColumn("_key", F.coalesce("source", F.lit(NO_SOURCE))).join(F.broadcast(rates) if short else rates, "_key").withColumn("_n", count)
+    draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda j: _uniform(F.lit(str(seed)), name, j.cast("string")))
+    keyed = docs.withColumn("_key", F.coalesce("source", F.lit(NO_SOURCE)))
+    drawn = keyed.join(F.broadcast(rates), "_key") if short else dealt_join(keyed, rates, ["_key"], "_rows", known.rows)
+    # Generators, so that numbers are drawn and compared once a row whatever later filters say.
+    drawn = drawn.select("*", F.inline(F.array(F.struct(draws.alias("_u")))))
+    count = F.aggregate("_u", F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c < u)))
+    drawn = drawn.select("*", F.inline(F.array(F.struct(count.alias("_n")))))
     copies = drawn.filter("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     mixed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), name, F.col("copy_no").cast("string"))))
-    return mixed.drop("_key", "_draws", "_cdf", "_n").repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "doc_id")
+    return mixed.drop("_key", "_draws", "_cdf", "_rows", "_u", "_n").repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "doc_id")

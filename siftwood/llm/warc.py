@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import arrow_rows, saved, shared_dir
+from .common import arrow_rows, dealt_join, removed, saved, shared_dir, tidy
 
 #: Compressed bytes after which a file is closed.
 ROLL_BYTES = 32 << 20
@@ -65,12 +65,16 @@ def info_record(name: str) -> bytes:
     return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", name)), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
 
 
-def marks(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, first) for pages whose payload, of LEAST_REVISIT bytes or more, occurs more than once."""
+def marks(pages: DataFrame, work: str) -> DataFrame:
+    """(page_id, digest, first) for pages whose payload, of LEAST_REVISIT bytes or more, occurs more than once.
+
+    Payloads are hashed once, to a narrow table; a payload of many pages is dealt to several tasks.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     narrow = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("page_id").isNotNull() & (F.col("n") >= LEAST_REVISIT))
+    narrow = saved(narrow.select("page_id", "digest"), work)
     groups = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    return narrow.select("page_id", "digest").join(groups.select("digest", "first"), "digest").select("page_id", "digest", "first")
+    return dealt_join(narrow, groups, ["digest"], "c", narrow.count()).select("page_id", "digest", "first")
 
 
 def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -86,7 +90,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> D
     arrow_rows(pages.sparkSession, 256)
     files.make_dir(folder)
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
-    known = marks(pages).distinct().select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first")
+    known = marks(pages, f"{folder}/_payloads").distinct().select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first")
     rows = rows.unionByName(known).repartitionByRange(F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +130,9 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> D
         if held:
             yield flush()
 
-    return saved(rows.mapInArrow(run, "path string, n_records long, n_bytes long, sha256 string"), f"{folder}/_manifest")
+    manifest = saved(rows.mapInArrow(tidy(run), "path string, n_records long, n_bytes long, sha256 string"), f"{folder}/_manifest")
+    removed(pages.sparkSession, f"{folder}/_payloads")
+    return manifest
 
 
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:

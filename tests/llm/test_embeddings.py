@@ -53,3 +53,33 @@ def test_agreement_matches_simulation():
 
 def test_empty_table(spark):
     assert em.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_recall_of_the_default_just_above_the_least_cosine(spark):
+    rng = np.random.default_rng(4)
+    n, dim = 3000, 64
+    base = rng.standard_normal((n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((n, dim))
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.92, (n, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([base, c * base + np.sqrt(1 - c * c) * other]))]
+    got = {r.vec_id: r for r in em.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[n + i].component_id == i and got[i].n_links == 1 for i in range(n))
+    print("recall", found / n)
+    assert found >= 0.96 * n and sum(r.n_links for r in got.values()) <= 2 * n
+
+
+def test_links_close_to_the_least_cosine_are_exact(spark):
+    rng = np.random.default_rng(9)
+    c = np.linspace(0.895, 0.905, 400)
+    rows = []
+    for i, x in enumerate(c):
+        a, b = rng.standard_normal((2, 32))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (x * a + np.sqrt(1 - x * x) * b).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in em.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999).collect()}
+    assert got == brute(rows)
