@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import WordHashes, arrow_rows, mixed, packed, packed_sorted, saved, shared_dir, shuffle_partitions, tidy, unpacked, unpacked_sorted
+from .common import WordHashes, arrow_rows, mixed, packed, packed_sorted, saved, shared_dir, shuffle_partitions, tidy, trim, unpacked, unpacked_sorted
 
 #: Weight of the unigram model, in observations of the context; discount of a trigram's count.
 MU, DISCOUNT = 20.0, 0.9
@@ -42,12 +42,14 @@ RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
 #: Tokens that one lane of the run takes, besides the two before them that bring it to its state.
 LANE = 512
 #: Hashes that no word is given on purpose: the end of a text, and what stands before its first word.
-END, START = np.uint64(0x7E57AB1E00000001), np.uint64(0x7E57AB1E00000002)
-_LOW = np.uint64(40)  # bits of a word in the key of a trigram, below its pair's place
+END, START = np.uint64(0x57AB1E00000001), np.uint64(0x57AB1E00000002)
+#: Bits of the hashes of words and pairs, and of a word behind a known pair: what the shuffle carries.
+HASH_BITS, BEHIND_BITS = 56, 32
+_HASH, _BEHIND, _LOW = np.uint64((1 << HASH_BITS) - 1), np.uint64((1 << BEHIND_BITS) - 1), np.uint64(BEHIND_BITS)
 
 
 def pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words) & _HASH
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +93,7 @@ class Grams:
         third = np.ones(len(words), bool)  # tokens with a pair of this text before them
         third[starts] = False
         self.at = np.flatnonzero(third)
-        self.trigrams, self.trigram = distinct(self.pair[self.at - 1].astype(np.uint64) << _LOW | words[self.at] >> np.uint64(24))
+        self.trigrams, self.trigram = distinct(self.pair[self.at - 1].astype(np.uint64) << _LOW | words[self.at] & _BEHIND)
 
 
 class Automaton:
@@ -173,7 +175,7 @@ class Automaton:
 
 def _edges(ranges: int) -> np.ndarray:
     """First keys of the ranges but the first."""
-    return np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    return np.array([(r << HASH_BITS) // ranges for r in range(1, ranges)], np.uint64)
 
 
 def _frame(*parts: bytes) -> bytes:
@@ -222,7 +224,7 @@ def _requests(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[r], cuts[r + 1]
                 i, j = first[a], first[b]
-                low = g.trigrams[i:j] & np.uint64((1 << 40) - 1)
+                low = (g.trigrams[i:j] & _BEHIND).astype(np.uint32)
                 grams[r] = _frame(packed_sorted(g.pairs[a:b]), packed(two[a:b]), packed(np.diff(first[a : b + 1]).astype(np.uint32)), packed(low), packed(three[i:j]))
             end = np.searchsorted(known, np.array([END])).astype(np.int64)
             files.commit(path, _dump(n=n, ids=np.array(ids, np.int64), missing=np.array(missing, np.uint8), held=np.array(held, np.uint8), known=known, place=place, end=end))
@@ -235,7 +237,7 @@ def _requests(docs: DataFrame, folder: str, ranges: int) -> DataFrame:
                 ids.append(doc_id or 0)
                 missing.append(doc_id is None)
                 held.append(bool(out))
-                texts.append(np.append(h, END))
+                texts.append(np.append(h & _HASH, END))
                 size += len(h) + 1
                 if size >= BLOCK_TOKENS:
                     yield flush()
@@ -274,11 +276,11 @@ def _answers(requests: DataFrame) -> DataFrame:
             cuts = np.cumsum([len(k) for k in keys])[:-1]
             sizes = [unpacked(x[2], np.uint32) for x in here]
             owner = [np.repeat(p, s).astype(np.uint64) for p, s in zip(np.split(place, cuts), sizes, strict=True)]
-            trigrams, three, at = _summed([p << _LOW | unpacked(x[3], np.uint64) for p, x in zip(owner, here, strict=True)], [unpacked(x[4], np.uint32) for x in here])
+            trigrams, three, at = _summed([p << _LOW | unpacked(x[3], np.uint32) for p, x in zip(owner, here, strict=True)], [unpacked(x[4], np.uint32) for x in here])
             after = np.bincount((trigrams[three > 0] >> _LOW).astype(np.int64), minlength=len(pairs))
-            two, after = (np.split(x[place].astype(np.uint32), cuts) for x in (two, after))
+            two, again = (np.split(x[place].astype(np.uint32), cuts) for x in (two, two - after))  # most pairs are always followed by another word
             three = np.split(three[at].astype(np.uint32), np.cumsum([len(p) for p in owner])[:-1])
-            found = iter(zip(two, after, three, strict=True))
+            found = iter(zip(two, again, three, strict=True))
             grams = [_frame(*map(packed, next(found))) if x else b"" for x in asked]
         rows = table.num_rows
         return pa.table({"path": table.column("path"), "range": table.column("range"), "words": pa.array(words, pa.binary()), "grams": pa.array(grams, pa.binary()), "n": pa.array([n] * rows, pa.int64()), "v": pa.array([v] * rows, pa.int64())})
@@ -300,7 +302,7 @@ def score_texts(docs: DataFrame, mu: float = MU, discount: float = DISCOUNT) ->
     in training), train_tokens, base_score (unigram log10 probability) and score (the model's). An
     empty table gives no rows; without training rows every token is unknown.
 
-    Words, and pairs, are told apart by 64-bit hashes, the words behind a pair by 40 bits. A range's n-grams
+    Words and pairs are told apart by HASH_BITS bits, the words behind a pair by BEHIND_BITS. A range's n-grams
     are held by one task: beyond MOST_RANGES * RANGE_BYTES of text (1 TB) their size grows with the corpus.
     """
     spark = docs.sparkSession
@@ -318,14 +320,15 @@ def score_texts(docs: DataFrame, mu: float = MU, discount: float = DISCOUNT) ->
         joined = lambda arrays: np.concatenate([np.zeros(0, np.uint32), *arrays]).astype(np.int64)
         words = joined(unpacked(x, np.uint32) for x in table.column("words").to_pylist() if x)
         grams = [[unpacked(y, np.uint32) for y in _parts(x)] for x in table.column("grams").to_pylist() if x]
-        two, after, three = (joined(x[i] for x in grams) for i in range(3))
+        two, again, three = (joined(x[i] for x in grams) for i in range(3))
         block = _load(files.read(table.column("path")[0].as_py()))
         length, place = block["n"], block["place"].astype(np.int64)
         starts = np.cumsum(length) - length
-        auto = Automaton(Grams(block["known"][place], starts), place, starts, words, two, after, three, int(words[block["end"][0]]), n, v, mu, discount)
+        auto = Automaton(Grams(block["known"][place], starts), place, starts, words, two, two - again, three, int(words[block["end"][0]]), n, v, mu, discount)
         known = np.add.reduceat((words[place] > 0).astype(np.int64), starts)
         rows = len(length)
         columns = [pa.array(block["ids"], mask=block["missing"].astype(bool)), pa.array(block["held"].astype(bool)), pa.array(length), pa.array(known), pa.array(np.full(rows, n, np.int64)), pa.array(np.add.reduceat(auto.root[place], starts)), pa.array(auto.scores(place, starts, length))]
+        trim()
         return pa.Table.from_arrays(columns, names=names)
 
     return answers.select("path", "range", "words", "grams").groupBy("path").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
