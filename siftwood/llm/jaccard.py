@@ -457,9 +457,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     classes = sets.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     linked = base.join(parts, F.col("doc_id") == F.col("node")).select("digest", "n", "component").distinct()
     classes = saved(classes.join(linked, ["digest", "n"], "left"), f"{work}/classes")
-    least = classes.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    classes = classes.join(least, "component", "left").select("digest", "n", F.coalesce("least", "first").alias("component_id"), "rows")
-    total = base.count()
+    total, many = base.count(), classes.filter("component is not null")
+    least = many.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
+    named = dealt_join(many, least, ["component"], "sets", many.count()).select("digest", "n", "component_id", "rows")
+    classes = saved(named.unionByName(classes.filter("component is null").select("digest", "n", F.col("first").alias("component_id"), "rows")), f"{work}/named")
     full = dealt_join(sets.select("doc_id", "digest", "n"), classes, ["digest", "n"], "rows", total).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = base.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(none)
