@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftwood.functions import bencode, ed25519
 from siftwood.operators import documents, snapshot
@@ -63,7 +64,7 @@ def crawled(samples: DataFrame, fetched: DataFrame) -> DataFrame:
             found = [metainfo_class(bytes(x) if x is not None else None) for x in f["raw"]]
             yield f[columns].assign(**{"class": [k for k, _ in found], "publisher": [p.hex() if p else None for _, p in found]})
 
-    return rows.select(*columns, "raw").mapInPandas(run, samples.schema.add("class", "string").add("publisher", "string"))
+    return rows.select(*columns, "raw").mapInPandas(run, StructType([*samples.schema]).add("class", "string").add("publisher", "string"))
 
 
 def outcomes(rows: DataFrame) -> DataFrame:

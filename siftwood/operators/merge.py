@@ -144,3 +144,12 @@ def swarm_counts(targets: DataFrame, answers: DataFrame, deadline_ms: int) -> Da
 def silent_targets(targets: DataFrame, answers: DataFrame) -> DataFrame:
     """Targets that didn't answer, whose failures go up by one."""
     return targets.join(answers.select("peer").distinct(), "peer", "left_anti")
+
+
+#: Results of a request over HTTP: default and most.
+HTTP_DEFAULT, HTTP_MOST = 50, 500
+
+
+def http_limit(asked: Column) -> Column:
+    """Results that a request over HTTP gets."""
+    return F.when(F.coalesce(asked, F.lit(0)) <= 0, F.lit(HTTP_DEFAULT)).otherwise(F.least(asked, F.lit(HTTP_MOST)))

@@ -317,3 +317,11 @@ def tree_records(data: bytes, page_size: int = 16 << 10) -> tuple[list[tuple], b
         if kind == LEAF:
             codes += [c for c, _ in _items(payload, 0)]
     return [decoded(c) for c in codes], hashlib.sha256(b"".join(codes)).digest() == facts["fingerprint"]
+
+
+def minted(names: DataFrame, seed: bytes, now: int) -> DataFrame:
+    """Signed records, without proof of work, of all keywords of names(infohash, name)."""
+    from siftwood.functions.text import keywords
+
+    rows = names.select(F.explode(keywords(F.col("name"), None)).alias("kw"), F.unhex("infohash").alias("ih"), F.lit(now).cast("long").alias("t"))
+    return signed(rows.filter(F.octet_length("kw") <= MAX_KEYWORD), seed)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StructType
 
 # Fixed values of the hashes and of the filter's file.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -268,3 +269,33 @@ def answered_needs(needs: DataFrame, records: DataFrame, key: str = "id") -> tup
 
 def element(label: str) -> bytes:
     return hashlib.sha256(label.encode()).digest()
+
+
+#: Most symbols, records and ids of one message of a session.
+SYMBOLS_SENT, RECORDS_SENT, IDS_SENT = 100, 500, 1000
+
+
+def messages(rows: DataFrame, most: int) -> DataFrame:
+    """rows dealt to messages of at most so many: with message, a number that is its own in each partition's range."""
+    columns = rows.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        first, n = TaskContext.get().partitionId() << 40, 0
+        for f in frames:
+            yield f.assign(message=first + (np.arange(n, n + len(f)) // most))[[*columns, "message"]]
+            n += len(f)
+
+    return rows.mapInPandas(run, StructType([*rows.schema]).add("message", "long"))
+
+
+def session(local: DataFrame, remote: DataFrame, records: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(asked, answered) of a session in which local fetches what only remote has.
+
+    asked: ids that local lacks, in messages of IDS_SENT; answered: the records of those ids, in
+    messages of RECORDS_SENT.
+    """
+    lacking = set_difference(local, remote, key).filter("side = 'added'").select(key)
+    found, _ = answered_needs(lacking, records, key)
+    return messages(lacking, IDS_SENT), messages(found, RECORDS_SENT)

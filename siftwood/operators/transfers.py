@@ -109,3 +109,11 @@ def sorted_by(rows: DataFrame, column: str | None, desc: bool = False, key: str
 def numbered(rows: DataFrame, column: str | None, desc: bool = False, key: str = "infohash") -> DataFrame:
     """A short list with place, its rank in that order."""
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*_sort_keys(column, desc, key))).cast("long"))
+
+
+def with_facts(rows: DataFrame, trusted: DataFrame, counters: DataFrame) -> DataFrame:
+    """Transfers (infohash, signed_by) with trusted_publisher and indexed_files, from the trust list and the extraction counters."""
+    names = trusted.select(F.lower("publisher").alias("_p")).distinct().withColumn("trusted_publisher", F.lit(True))
+    done = counters.select("infohash", F.col("extracted").alias("indexed_files"))
+    out = rows.join(names, F.lower("signed_by") == F.col("_p"), "left").drop("_p").join(done, "infohash", "left")
+    return out.withColumns({"trusted_publisher": F.coalesce("trusted_publisher", F.lit(False)), "indexed_files": F.coalesce("indexed_files", F.lit(0)).cast("long")})

@@ -115,3 +115,9 @@ def running_ban(events: DataFrame, threshold: int = 100, hours: int = 24) -> Dat
 def listed(trusted: DataFrame) -> DataFrame:
     """The trust list by publisher."""
     return trusted.orderBy("publisher")
+
+
+def admission_counts(anchors: DataFrame, admitted_rows: DataFrame, waiting: DataFrame) -> DataFrame:
+    """One row: anchors, admitted and pending publishers, each counted once."""
+    count = lambda df, name: df.agg(F.count_distinct("publisher").alias(name))
+    return count(anchors, "anchors").join(count(admitted_rows, "admitted")).join(count(waiting, "pending"))  # tables of one row

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwood.functions import bencode
 from siftwood.functions import text as T
-from siftwood.operators import crawl, documents, merge, peers, postings, records, snapshot, transfers, trust
+from siftwood.operators import crawl, documents, merge, peers, postings, records, sketches, snapshot, transfers, trust
 from siftwood.session import table, work_dir
 from siftwood.sources import extractors, tables
 from siftwood.streaming import state as streams
@@ -26,6 +26,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_list = ", ".join(f"'{w}'" for w in T.KEYWORD_STOP_WORDS + T.EXTENSION_WORDS)
+KEYWORDS = rf"""list_filter(regexp_split_to_array(lower(coalesce({{0}}, '')), '[^\p{{{{L}}}}\p{{{{Nd}}}}]+'), lambda w: strlen(w) >= 3 and w not in ({_list}))"""
+
+
 def _sha(prefix: str, column: str, kind=F.sha1):
     return kind(F.concat(F.lit(prefix), F.col(column).cast("string")).cast("binary"))
 
@@ -390,6 +394,56 @@ def records_fingerprint(spark, d):
     return found.agg(F.sum("n").alias("records"), F.lit(records.fingerprint_of_file(made) == whole).alias("same_as_one_file"))
 
 
+@query("http_limit", "select event_id, case when floor(value)::int - 20 <= 0 then 50 when (floor(value)::int - 20) * 10 > 500 then 500 else (floor(value)::int - 20) * 10 end as most from events")
+def http_limit(spark, d):
+    asked = (F.floor("value").cast("int") - 20) * 10
+    return table(spark, d, "events").select("event_id", merge.http_limit(asked).alias("most"))
+
+
+@query("admission_counts", "select count(*) filter (where s_suppkey < 3) anchors, count(*) filter (where s_suppkey % 2 = 0) admitted, (select count(*) from (select l_suppkey from lineitem union select s_suppkey from supplier) where l_suppkey % 2 = 1) pending from supplier")
+def admission_counts(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("publisher"))
+    admitted = s.filter("publisher % 2 = 0")
+    waiting = trust.pending(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("candidate")), s, admitted)
+    return trust.admission_counts(s.filter("publisher < 3"), admitted, waiting)
+
+
+@query("transfer_facts", "with c as (select user_id, count(*) filter (where event_type in ('view', 'click')) n from events group by 1) select p_partkey id, lower(p_brand) in ('brand#2', 'brand#3') trusted_publisher, coalesce(n, 0)::bigint indexed_files from part left join c on user_id = p_partkey")
+def transfer_facts(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("infohash"), F.col("p_brand").alias("signed_by"))
+    kind = F.when(F.col("event_type").isin("view", "click"), "extracted").otherwise("skipped")
+    counters = transfers.outcome_counts(table(spark, d, "events").select(F.col("user_id").alias("infohash"), kind.alias("outcome")))
+    return transfers.with_facts(rows, spark.createDataFrame([("Brand#2",), ("BRAND#3",)], "publisher string"), counters).select(F.col("infohash").alias("id"), "trusted_publisher", "indexed_files")
+
+
+@query("sync_session", "select 'asked' kind, count(*) n, true within from orders where o_orderkey % 10 > 6 union all select 'answered', count(*), true from orders where o_orderkey % 10 > 6")
+def sync_session(spark, d):
+    """What one side lacks is asked for and answered in messages of bounded size."""
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    asked, answered = sketches.session(ids.filter("id % 10 < 7"), ids.filter("id % 10 > 2"), table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"))
+    out = None
+    for kind, rows, most in (("asked", asked, sketches.IDS_SENT), ("answered", answered, sketches.RECORDS_SENT)):
+        one = rows.groupBy("message").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), (F.max("c") <= most).alias("within")).select(F.lit(kind).alias("kind"), "n", "within")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("metainfo_pieces", """
+with h as (select string_agg(hex(encode(html)), '' order by '/' || page_id) x from pages), p as (select unnest(range(0, (length(x) // 2 + 4095) // 4096)) piece, x from h)
+select piece, sha1(unhex(substr(x, piece * 8192 + 1, 8192))) sha1 from p""")
+def metainfo_pieces(spark, d):
+    """Pages as one torrent: pieces go over the bounds of files."""
+    files = table(spark, d, "pages").select(F.concat(F.lit("/"), F.col("page_id").cast("string")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return tables.metainfo_pieces(files, 4096)
+
+
+@query("minted_records", f"select kw, count(*) n from (select unnest(list_distinct({KEYWORDS.format('p_name')})) kw from part) group by 1")
+def minted_records(spark, d):
+    """A signed record of each keyword of each part's name."""
+    names = table(spark, d, "part").select(_sha("p", "p_partkey").alias("infohash"), F.col("p_name").alias("name"))
+    return records.well_formed(records.minted(names, bytes(range(32)), 7)).filter("t = 7 and pow = 0").groupBy("kw").agg(F.count("*").alias("n"))
+
+
 # Streams, each run to the end of its input.
 
 

@@ -34,6 +34,28 @@ def file_pieces(files: DataFrame, piece_length: int) -> DataFrame:
     return piece_hashes(files, piece_length)
 
 
+def metainfo_pieces(files: DataFrame, piece_length: int) -> DataFrame:
+    """files(path, content) laid end to end in order of path: piece, sha1. Pieces go over the bounds of files; one is built of the parts that lie in it."""
+    from siftwood.operators.transfers import file_pieces, file_spans
+
+    rows = files.select(F.lit("").alias("infohash"), F.col("path").alias("file_index"), F.octet_length("content").cast("long").alias("length"))
+    parts = file_pieces(file_spans(rows, piece_length)).select(F.col("file_index").alias("path"), "offset", "piece")
+    begin = F.greatest(F.lit(0), F.col("piece") * piece_length - F.col("offset"))
+    end = (F.col("piece") + 1) * piece_length - F.col("offset")
+    cut = parts.join(files.select("path", "content"), "path").select("piece", "offset", F.substring(F.col("content"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: F.hex(x.part)), ""))
+    return cut.groupBy("piece").agg(F.sha1(whole).alias("sha1"))
+
+
+def metainfo(files: DataFrame, name: str, piece_length: int) -> bytes:
+    """The bencoded info dictionary of files(path, content): a digest of 20 bytes a piece and a row a file reach the driver."""
+    from siftwood.functions import bencode
+
+    rows = files.select("path", F.octet_length("content").alias("n")).orderBy("path").collect()
+    pieces = b"".join(bytes.fromhex(r.sha1) for r in metainfo_pieces(files, piece_length).orderBy("piece").collect())
+    return bencode.encode({"files": [{"length": r.n, "path": r.path.strip("/").split("/")} for r in rows], "name": name, "piece length": piece_length, "pieces": pieces})
+
+
 def piece_length(total: int, least: int = 16 << 10, most: int = 4 << 20, pieces: int = 1500) -> int:
     """A power of two that cuts total bytes into about so many pieces."""
     size = least
