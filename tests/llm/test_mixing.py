@@ -46,3 +46,12 @@ def test_large_means_repeated_rows_and_empty_table(spark):
     assert {r.doc_id: r["count"] for r in out} == {5: 2 * expected(5, 100.0), None: expected("null", 100.0)}
     assert mixing.poisson_mix(df.filter("false")).collect() == []
     assert mixing.poisson_mix(df, {"other": 1.0}).collect() == []
+
+
+def test_many_sources_are_dealt(spark, monkeypatch):
+    rows = [(i, "x" * (1 + i % 5), "hot" if i % 3 == 0 else f"s{i % 40}", "") for i in range(900)] + [(1000, "a", None, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    key = lambda out: sorted((r.doc_id, r.copy_no, r.shuffle_key) for r in out.collect())
+    small = key(mixing.poisson_mix(df))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key(mixing.poisson_mix(df)) == small and len(small) > 500

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from siftwood.llm import token_ids
@@ -48,3 +49,39 @@ def test_one_row_of_each_group_stays(spark):
     got = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
     want = [(5, text), (None, other), (8, "one of a kind"), (8, "another of its id"), (9, ""), (9, None), (10, "")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, columns with clashing names, empty tables."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    some = real.first().text
+    rows = [(None, some, None, None, None), (-1, None, "en", "a", 0), (-2, "", "en", None, 0), (-2, "", "en", None, 0), (-3, some * 400, "en", "a", 9), (-4, "7 8 9", None, "a", 5), (-5, "\x00 \U0001f600", "zz", "b", 3)]
+    docs = real.union(spark.createDataFrame(rows, real.schema))
+    for c in ("_row", "rejected", "component_id", "n_hit", "copy_no", "start", "_u"):
+        docs = docs.withColumn(c, F.lit("x"))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for name, table, items in (("odd", docs, bench.withColumn("text", F.when(F.col("item_id") % 5 > 0, F.col("text")))), ("none", docs.filter("false"), bench), ("clean", docs, bench.filter("false"))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(cp.STAGES):
+            now = saved(stage(spark, now, folder), f"{folder}/stage{k}")
+            assert now.columns == (cp.COLUMNS if k < 4 else ["doc_id", "start", "n_tokens", "ids_crc32"])
+            if k == 0 and name != "none":
+                kept = [(r.doc_id, r.text) for r in now.collect()]
+                assert not {-1, -2, -4} & {i for i, _ in kept} and (-3, some * 400) in kept and (None, some) in kept
+            if k == 1 and name != "none":
+                texts = [r.text for r in now.collect()]
+                assert texts.count(some) == 0 and texts.count(some * 400) == 1  # of one group: the smallest id stays
+            if k < 4:
+                now = now.withColumn("n_words", F.lit("x")).withColumn("lang_pred", F.lit(1))
+        assert (now.count() == 0) == (name == "none")
+
+
+def test_run_keeps_only_the_last_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cp, "shared_dir", lambda s: f"file://{tmp_path}/w")
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    ids = sorted((r.start, r.n_tokens) for r in out.collect())
+    assert ids[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ids, ids[1:], strict=False))
+    assert sorted(p.name for p in (tmp_path / "w").iterdir() if p.name.startswith("stage")) == ["stage4"]
