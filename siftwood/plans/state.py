@@ -416,14 +416,14 @@ def transfer_facts(spark, d):
     return transfers.with_facts(rows, spark.createDataFrame([("Brand#2",), ("BRAND#3",)], "publisher string"), counters).select(F.col("infohash").alias("id"), "trusted_publisher", "indexed_files")
 
 
-@query("sync_session", "select 'asked' kind, count(*) n, true within from orders where o_orderkey % 10 > 6 union all select 'answered', count(*), true from orders where o_orderkey % 10 > 6")
+@query("sync_session", "select 'asked' kind, count(*) n, true in_bound from orders where o_orderkey % 10 > 6 union all select 'answered', count(*), true from orders where o_orderkey % 10 > 6")
 def sync_session(spark, d):
     """What one side lacks is asked for and answered in messages of bounded size."""
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     asked, answered = sketches.session(ids.filter("id % 10 < 7"), ids.filter("id % 10 > 2"), table(spark, d, "orders").withColumnRenamed("o_orderkey", "id"))
     out = None
     for kind, rows, most in (("asked", asked, sketches.IDS_SENT), ("answered", answered, sketches.RECORDS_SENT)):
-        one = rows.groupBy("message").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), (F.max("c") <= most).alias("within")).select(F.lit(kind).alias("kind"), "n", "within")
+        one = rows.groupBy("message").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), (F.max("c") <= most).alias("in_bound")).select(F.lit(kind).alias("kind"), "n", "in_bound")
         out = one if out is None else out.union(one)
     return out
 
