@@ -80,7 +80,8 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
 
 
 def test_run_keeps_only_the_last_table(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(cp, "shared_dir", lambda s: f"file://{tmp_path}/w")
+    names = iter(["w", *map(str, range(99))])
+    monkeypatch.setattr(cp, "shared_dir", lambda s: f"file://{tmp_path}/{next(names)}")
     out = cp.run(spark, "/root/testdata/sf0.001")
     ids = sorted((r.start, r.n_tokens) for r in out.collect())
     assert ids[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ids, ids[1:], strict=False))
