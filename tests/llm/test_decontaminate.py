@@ -66,3 +66,14 @@ def test_items_without_id_hit(spark, block_bytes):
     docs = spark.createDataFrame([(1, "x one two y"), (2, "six seven"), (3, "none")], "doc_id long, text string")
     out = dc.contamination(docs, bench, block_bytes=block_bytes)
     assert {r.doc_id: (r.n_hit, list(r["items"])) for r in out.collect()} == {1: (2, [3, None]), 2: (2, [None]), 3: (0, [])}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_repeated_and_null_ids_in_blocks(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(dc, "SHARD_WORDS", 40)
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}w{k}" for k in range(12))) for i in range(6)], "item_id long, text string")
+    item = lambda i, n=12: " ".join(f"b{i}w{k}" for k in range(n))
+    rows = [(1, f"x {item(0)} y {item(3)}"), (1, item(1, 9)), (1, f"x {item(0)} y {item(3)}"), (None, item(2)), (None, "clean"), (7, f"{item(4)} {item(4)} " * 50)]
+    docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, spans string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), [tuple(s) for s in r.spans]) for r in dc.contamination(docs, bench, block_bytes=block_bytes).collect())
+    assert got == sorted([("1", 26, 24, [0, 3], [(1, 13), (14, 26)]), ("1", 26, 24, [0, 3], [(1, 13), (14, 26)]), ("1", 9, 0, [], []), ("None", 12, 12, [2], [(0, 12)]), ("None", 1, 0, [], []), ("7", 1200, 1200, [4], [(0, 1200)])])
