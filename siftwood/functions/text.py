@@ -23,8 +23,7 @@ CHUNK_BYTES = 2048
 def keywords(name: Column, most: int | None = MAX_KEYWORDS) -> Column:
     """Distinct keywords of a name in order of first occurrence; most=None keeps all. Null gives none."""
     words = F.split(F.lower(F.coalesce(name, F.lit(""))), WORD_BREAK)
-    banned = F.array(*[F.lit(w) for w in KEYWORD_STOP_WORDS + EXTENSION_WORDS])
-    kept = F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= MIN_TOKEN_BYTES) & ~F.array_contains(banned, w)))
+    kept = F.array_distinct(F.filter(words, lambda w: (F.octet_length(w) >= MIN_TOKEN_BYTES) & ~w.isin(KEYWORD_STOP_WORDS + EXTENSION_WORDS)))
     return kept if most is None else F.slice(kept, 1, most)
 
 
@@ -34,8 +33,7 @@ def sorted_keywords(name: Column) -> Column:
 
 def analysed(text: Column) -> Column:
     """Search terms of a text, in order: lower-case words without stop words."""
-    stop = F.array(*[F.lit(w) for w in SEARCH_STOP_WORDS])
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: (w != "") & ~F.array_contains(stop, w))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: ~w.isin(["", *SEARCH_STOP_WORDS]))
 
 
 def keyword_salt(keyword: Column, shard: Column | int = 0) -> Column:

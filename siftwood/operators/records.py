@@ -19,7 +19,8 @@ MAX_KEYWORD, MAX_RECORD = 64, 256
 
 def le64(n: Column) -> Column:
     """Eight bytes of a long, the lowest first."""
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(8)]))
+    digits = F.lpad(F.hex(n), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)]))
 
 
 def identity(pk: Column, kw: Column, ih: Column, t: Column) -> Column:

@@ -256,9 +256,9 @@ def reconciled_ranges(local: DataFrame, remote: DataFrame, ranges: int | None =
 
 
 def set_difference(local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
-    """Rows (key, side): added (only remote) and removed (only local)."""
-    a, b = local.select(key).distinct(), remote.select(key).distinct()
-    return b.join(a, key, "left_anti").withColumn("side", F.lit("added")).unionByName(a.join(b, key, "left_anti").withColumn("side", F.lit("removed")))
+    """Rows (key, side): added (only remote) and removed (only local). Each side is read once, and keys are combined before the one shuffle; nulls are no keys."""
+    both = local.select(key, F.lit(1).alias("_s")).union(remote.select(key, F.lit(2).alias("_s"))).filter(F.col(key).isNotNull())
+    return both.groupBy(key).agg(F.bit_or("_s").alias("_s")).filter("_s < 3").select(key, F.when(F.col("_s") == 2, "added").otherwise("removed").alias("side"))
 
 
 def answered_needs(needs: DataFrame, records: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -507,7 +507,7 @@ def paged_tree(spark, d):
 
 def _ids(spark, d, keep):
     r = _records(spark, d, keep)
-    return r.select(records.identity(F.col("pk"), F.col("kw"), F.col("ih"), F.col("t")).alias("id")).distinct()
+    return r.select(records.identity(F.col("pk"), F.col("kw"), F.col("ih"), F.col("t")).alias("id"))
 
 
 @query("set_diff_both", f"""
