@@ -19,25 +19,29 @@ from . import files
 from .common import arrow_rows, saved, shared_dir, tidy
 
 #: Ids of a shard, at least, but for the last of a partition.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: Rounds of pair replacement that share out the rules, rules in all (symbols stay below 2**16 with a vocabulary of 50,257), least pair count.
 ROUNDS, MAX_RULES, LEAST_COUNT = 4, 15_000, 16
 #: Every this many symbols the expanded position is stored.
 SAMPLE = 1024
 #: Words whose ids a worker remembers, and longer pieces that it doesn't.
-MEMORY, LONGEST_PIECE = 250_000, 64
+MEMORY, LONGEST_PIECE = 200_000, 64
+#: Shards that a task reads back.
+READ_FILES = 6
 MAGIC = b"SWRP1\n"
 
 # White space runs in which cutting before a space could split a piece of the tokenizer's pattern.
 _RUN = re.compile(r"\s \s|\s \Z")
+_TWO = re.compile(r"\s\s")
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering those of frequent pieces.
 
-    A byte-level BPE of this pattern never joins what stands before a space with the word behind
-    it, save in longer runs of white space, so the ids of a text are those of its pieces. Texts
-    with such runs are encoded whole.
+    A byte-level BPE of this pattern never joins what stands before a space, or a line feed, with the
+    word behind it, save in longer runs of white space, so the ids of a text are those of its pieces.
+    Texts without two white-space characters in a row are cut at both, others at spaces, if none of their
+    runs is such, or else encoded whole. A piece that starts with a line feed has no space before it.
     """
 
     _made: dict = {}
@@ -48,7 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.opens = np.array([x.startswith("\u0120") for x in names])  # the byte-level sign of a space
+        self.opens = np.array([x.startswith(("\u0120", "\u010a")) for x in names])  # the byte-level signs of a space and a line feed
         self._clear()
 
     @classmethod
@@ -69,47 +73,66 @@ class Encoder:
 
         self.places, self.new = Places(), []
         self.flat, self.starts, self.sizes, self.used, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
+        self.met = np.zeros(1 << 14, np.uint32)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met again, at most half of MEMORY: those met most."""
+        met = self.met[: self.held]
+        order = np.argsort(met, kind="stable")[::-1][: MEMORY // 2]
+        keep = np.sort(order[met[order] > 1])
+        words, sizes = list(self.places), self.sizes[keep]
+        kept = " ".join([words[i] for i in keep.tolist()])  # no piece holds a space; made again below, side by side in memory
+        del words
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        again = met[keep] // 2
+        self._clear()
+        self.places.update(zip(kept.split(" ") if len(keep) else [], range(len(keep)), strict=True))
+        self._hold(flat, ends - sizes, sizes)
+        self.met[: self.held] = again
+
+    def _hold(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Add the ids of pieces, behind those that are held; starts count from there."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.held + len(sizes) > len(self.starts):
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.held : self.held + len(sizes)] = self.used + starts
+        self.sizes[self.held : self.held + len(sizes)] = sizes
+        self.used, self.held = self.used + len(flat), self.held + len(sizes)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of " word" for all words, and how many each has."""
+    def _pieces(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of all pieces one after another, and how many each has: those without white space inside many at a time."""
         ids, sizes = [], []
-        for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
-            x = self._plain([" " + " ".join(part)])[0]
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            whole = [w if w[:1] == "\n" else " " + w for w in part]
+            text = "".join(whole)
+            plain = len(text.split()) == len(part) and "" not in part
+            x = self._plain([text])[0] if plain else np.zeros(0, np.uint32)
             n = np.diff(np.append(np.flatnonzero(self.opens[x]), len(x)))
             if len(n) != len(part):
-                each = self._plain([" " + w for w in part])
+                each = self._plain(whole)
                 x, n = np.concatenate(each), np.array([len(y) for y in each])
             ids.append(x)
             sizes.append(n)
-        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+        return [np.concatenate(ids), np.concatenate(sizes).astype(np.int64)]
 
     def _learn(self) -> None:
-        """Encode the pieces met for the first time: those without white space many at a time."""
+        """Encode the pieces met for the first time; those with white space inside come last, so that they don't hold up the others."""
         if not self.new:
             return
-        simple = np.array([w.split() == [w] for w in self.new])
-        ids, sizes = self._pieces([w for w, x in zip(self.new, simple, strict=True) if x])
-        others = self._plain([" " + w for w, x in zip(self.new, simple, strict=True) if not x])
-        size = np.zeros(len(simple), np.int64)
-        size[simple], size[~simple] = sizes, [len(x) for x in others]
-        ends = np.cumsum(sizes)
-        starts = np.zeros(len(simple), np.int64)
-        starts[simple] = self.used + ends - sizes
-        more = np.array([len(x) for x in others], np.int64)
-        starts[~simple] = self.used + len(ids) + np.cumsum(more) - more
-        flat = np.concatenate([ids, *others]).astype(np.uint32)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.held + len(size) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[self.held : self.held + len(size)] = starts
-        self.sizes[self.held : self.held + len(size)] = size
-        self.used, self.held = self.used + len(flat), self.held + len(size)
+        inside = np.array([w[1:].split() != [w[1:]] if len(w) > 1 else not w.strip() for w in self.new]) if len(" ".join(self.new).split()) != len(self.new) or "" in self.new else np.zeros(len(self.new), bool)
+        order = np.argsort(inside, kind="stable")
+        flat, size = self._pieces([self.new[i] for i in order.tolist()])
+        ends = np.cumsum(size)
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], sizes[order] = ends - size, size
+        self._hold(flat, starts, sizes)
         self.new.clear()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -119,7 +142,10 @@ class Encoder:
             if not t:
                 out[i] = np.zeros(0, np.uint32)
                 continue
-            pieces = t.split(" ") if not _RUN.search(t) else [t]
+            if not _TWO.search(t) and not t[-1].isspace() and t[0] != "\n":
+                pieces = t.replace("\n", " \n").split(" ")
+            else:
+                pieces = t.split(" ") if " \n" not in t and not _RUN.search(t) else [t]
             if len(pieces) == 1 or max(map(len, pieces)) > LONGEST_PIECE:
                 continue
             split.append((i, len(words), len(words) + len(pieces) - 1, pieces[0]))
@@ -139,57 +165,86 @@ class Encoder:
             ends = np.concatenate([[0], ends])
             for (i, a, b, _), head in zip(split, heads, strict=True):
                 out[i] = np.concatenate([head, ids[ends[a] : ends[b]]])
+            self.met[: self.held] += np.bincount(at, minlength=self.held).astype(np.uint32)
             if len(self.places) > MEMORY:
-                self._clear()
+                self._forget()
         return out
 
 
 def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int = MAX_RULES, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): ids below `first` with frequent neighbouring pairs replaced by nonterminals first, first + 1, ...
 
-    Each round counts all pairs, gives the most frequent ones a rule each and replaces them from
+    Each round counts pairs, gives the most frequent ones a rule each and replaces them from
     left to right; rules may hold nonterminals of earlier rounds. The first rounds share out the rules;
-    more follow until no pair is left that occurs `least` times, or no rule. rules[k] is the pair of symbol
-    first + k.
+    more follow until no pair is left that occurs `least` times, or no rule. Once a round has replaced
+    all frequent pairs, only pairs with a symbol of the round before can have become frequent, and
+    just these are counted. rules[k] is the pair of symbol first + k.
     """
     wide = first + max_rules > 1 << 16
     kind, shift, spread, down = (np.uint64, 32, 0x9E3779B97F4A7C15, 44) if wide else (np.uint32, 16, 0x9E3779B1, 12)
-    s, rules = ids.astype(kind), []
+    home = lambda keys: ((keys * kind(spread)) >> kind(down)).astype(np.int64)
+    s, rules, fresh = ids.astype(kind), [], None
     for r in count_from(0):
         room = (max_rules - len(rules)) // max(1, rounds - r)
         if len(s) < 2 or room <= 0:
             break
-        key = (s[:-1] << kind(shift)) | s[1:]
-        bucket = ((key * kind(spread)) >> kind(down)).astype(np.int64)
-        count = np.bincount(bucket, minlength=1 << 20)
-        above = np.cumsum(np.bincount(np.minimum(count, 1 << 12))[::-1])[::-1]  # buckets of at least so many pairs
-        cut = max(least, int(np.flatnonzero(above >= 2 * room).max(initial=0)))  # pairs of rarer buckets are rarer still
-        at = np.flatnonzero((count >= cut)[bucket])
-        sort = np.sort(key[at])
+        if fresh is None:
+            key = (s[:-1] << kind(shift)) | s[1:]
+            bucket = home(key)
+            count = np.bincount(bucket, minlength=1 << 20)
+            above = np.cumsum(np.bincount(np.minimum(count, 1 << 12))[::-1])[::-1]  # buckets of at least so many pairs
+            cut = max(least, int(np.flatnonzero(above >= 2 * room).max(initial=0)))  # pairs of rarer buckets are rarer still
+            at = np.flatnonzero((count >= cut)[bucket])
+            key, bucket = key[at], bucket[at]
+        else:
+            new = s >= fresh
+            at = np.flatnonzero(new[:-1] | new[1:])
+            key, cut = (s[at] << kind(shift)) | s[at + 1], least
+        sort = np.sort(key)
         where = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(sort) else np.zeros(0, np.int64)
         pairs, times = sort[where], np.diff(np.append(where, len(sort)))
         order = np.lexsort((pairs, -times))
-        order = order[times[order] >= least]
-        best = pairs[order]
-        home = ((best * kind(spread)) >> kind(down)).astype(np.int64)
-        best = best[np.sort(np.unique(home, return_index=True)[1])][:room]  # the most frequent pair of a bucket
+        best = frequent = pairs[order[times[order] >= least]]
+        if fresh is None:
+            best = best[np.sort(np.unique(home(best), return_index=True)[1])]  # the most frequent pair of a bucket
+        whole = cut == least and len(best) == len(frequent) and len(best) <= room
+        best = best[:room]
         if not len(best):
-            break
-        home = ((best * kind(spread)) >> kind(down)).astype(np.int64)
-        owner, symbol = np.zeros(1 << 20, kind), np.zeros(1 << 20, kind)
-        owner[home], symbol[home] = best, first + len(rules) + np.arange(len(best))
-        at = at[(owner[bucket[at]] == key[at]) & (symbol[bucket[at]] > 0)]
+            if whole:
+                break
+            fresh = None
+            continue
+        symbols = first + len(rules) + np.arange(len(best), dtype=kind)
+        if fresh is None:
+            owner, symbol = np.zeros(1 << 20, kind), np.zeros(1 << 20, kind)
+            owner[home(best)], symbol[home(best)] = best, symbols
+            hit = (owner[bucket] == key) & (symbol[bucket] > 0)
+            at, given = at[hit], symbol[bucket[hit]]
+        else:
+            by_key = np.argsort(best)
+            place = np.minimum(np.searchsorted(best[by_key], key), len(best) - 1)
+            hit = best[by_key][place] == key
+            at, given = at[hit], symbols[by_key][place[hit]]
         start = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of runs of overlapping pairs
         odd = (np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))) % 2
-        at = at[odd == 0]
-        s[at] = symbol[bucket[at]]
+        at, given = at[odd == 0], given[odd == 0]
+        s[at] = given
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
+        fresh = kind(first + len(rules)) if whole else None
         rules += [(int(p) >> shift, int(p) & ((1 << shift) - 1)) for p in best]
     return s.astype(np.int64), np.array(rules, np.int64).reshape(-1, 2)
 
 
+def rule_sizes(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    sizes = [1] * first
+    for a, b in rules.tolist():
+        sizes.append(sizes[a] + sizes[b])
+    return np.array(sizes, np.int64)
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat, starts, sizes) of all symbols' ids: a terminal is itself."""
     sizes = np.ones(first + len(rules), np.int64)
@@ -216,14 +271,14 @@ def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray], first: int) -
     """A shard file: magic, header length, JSON header, then the arrays that the header names."""
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
     symbols, rules = re_pair(ids, first)
-    table = expansions(rules, first)
-    ends = np.cumsum(table[2][symbols])
+    each = rule_sizes(rules, first)
+    ends = np.cumsum(each[symbols])
     width = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
     arrays = {
         "doc_ids": np.array([NO_ID if x is None else x for x in doc_ids], "<i8"),
         "doc_sizes": np.array([len(x) for x in docs], "<u4"),
         "rules": rules.astype("<u4"),
-        "rule_sizes": table[2][first:].astype("<u4"),
+        "rule_sizes": each[first:].astype("<u4"),
         "samples": (np.concatenate([[0], ends])[:-1:SAMPLE] if len(symbols) else np.zeros(0)).astype("<i8"),
         "symbols": symbols.astype(width),
     }
@@ -331,7 +386,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         before[r.part], total = total, total + r.n
     offsets = spark.sparkContext.broadcast(before)
     running = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(running), F.lit(0))).repartition(files.readers(manifest.count()), "path")
+    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(running), F.lit(0))).repartition(files.readers(-(-manifest.count() // READ_FILES)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
