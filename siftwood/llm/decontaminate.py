@@ -25,11 +25,11 @@ from .common import arrow_rows, shared_dir, tidy
 #: Words of a window; items of fewer words are one window.
 WINDOW = 10
 #: Words of a shard's index, and documents in it.
-SHARD_WORDS, SHARD_DOCS = 2_000_000, 20_000
+SHARD_WORDS, SHARD_DOCS = 500_000, 20_000
 #: Every this many suffix positions are sampled.
 SAMPLE = 16
 #: Bytes of text that a shard holds.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
 

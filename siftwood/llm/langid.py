@@ -30,7 +30,7 @@ SPARE = 4
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[: 0x80] = [c if chr(c).isalpha() else 32 for c in range(0x80)]
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK_BYTES, _CHUNK_DOCS = 1 << 20, 256
+_CHUNK_BYTES, _CHUNK_DOCS = 1 << 19, 128
 
 
 def has_letter(text: str | None) -> bool:
