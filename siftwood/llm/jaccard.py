@@ -299,9 +299,10 @@ def _sets(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
 
 
 def promising(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sketches leave room for the threshold; no pair that reaches it is lost."""
+    """The pairs (a, b) whose sketches leave room for the threshold; no pair that reaches it is lost. Pairs of a frequent a are dealt to tasks."""
     side = lambda c: base.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).filter(F.col(c).isNotNull()).dropDuplicates([c])
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+    rows = dealt_join(pairs, side("a").join(sizes, "a"), ["a"], "pairs", pairs.count()).join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -381,8 +382,8 @@ def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: st
 def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, work: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Blocks of members meet one copy of their leader a."""
     members = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("salt"), F.lit(1).alias("member"))
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = members.join(sizes.withColumnRenamed("a", "leader"), "leader").select("doc_id", "leader", F.pmod("salt", "blocks").alias("block"), "member")
+    sizes = pairs.groupBy(F.col("a").alias("leader")).agg(F.count("*").alias("pairs")).withColumn("blocks", F.ceil(F.col("pairs") / BLOCK).cast("long"))
+    members = dealt_join(members, sizes, ["leader"], "pairs", pairs.count()).select("doc_id", "leader", F.pmod("salt", "blocks").alias("block"), "member")
     members = saved(members, f"{work}/members")
     leaders = members.select("leader", "block").distinct().select(F.col("leader").alias("doc_id"), "leader", "block", F.lit(0).alias("member"))
     needs = members.unionByName(leaders)
@@ -445,7 +446,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     open_rows = posts.select("sig", "id", "n").join(parts, F.col("id") == F.col("node"), "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
     spread = "over (partition by sig)"
     open_rows = saved(open_rows.withColumn("lo", F.expr(f"min(part) {spread}")).withColumn("hi", F.expr(f"max(part) {spread}")).filter("lo <> hi").select("sig", "id", "n", "part"), f"{work}/open")
-    rest = crossing(open_rows, base, num, den, f"{work}/facts").join(stars, ["a", "b"], "left_anti")
+    rest = saved(crossing(open_rows, base, num, den, f"{work}/facts").join(stars, ["a", "b"], "left_anti"), f"{work}/met")
     rest = saved(promising(rest, base, num, den), f"{work}/rest")
     for old in ("posts", "open", "facts", "hopeful1"):
         removed(spark, f"{work}/{old}")
