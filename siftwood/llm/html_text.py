@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, tidy
 
 # Tag names of HTML, by what they do here.
 RAW = frozenset("script style textarea iframe".split())
@@ -338,17 +338,17 @@ def trained() -> Tree:
     return Tree(*labelled())
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, tree: Tree | None = None) -> str:
     """The main text of a page: its content blocks, in order, joined by an empty line.
 
     Where nothing is left, names may have misled: the page is read again without those that hint at other things.
     """
-    blocks = text_blocks(page or "")
+    blocks, tree = text_blocks(page or ""), tree or trained()
     if not blocks:
         return ""
-    keep = trained().predict(features(blocks)) >= 0.5
+    keep = tree.predict(features(blocks)) >= 0.5
     if not keep.any():
-        keep = trained().predict(features(blocks, hints=False)) >= 0.5
+        keep = tree.predict(features(blocks, hints=False)) >= 0.5
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
@@ -360,12 +360,13 @@ def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     arrow_rows(pages.sparkSession, 512)
     names = [c for c in (keep or ["page_id", "url"]) if c not in ("text", "n_chars", "n_blocks")]
+    tree = pages.sparkSession.sparkContext.broadcast(trained())  # some hundred nodes
     schema = pages.select(*names).schema.add("text", "string").add("n_chars", "long").add("n_blocks", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(x) for x in b.column("_html").to_pylist()]
+            text = [main_text(x, tree.value) for x in b.column("_html").to_pylist()]
             counts = [[len(t) for t in text], [t.count("\n\n") + 1 if t else 0 for t in text]]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(text, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=[*names, "text", "n_chars", "n_blocks"])
 
-    return pages.select(*names, F.col("html").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*names, F.col("html").alias("_html")).mapInArrow(tidy(run), schema)
