@@ -114,7 +114,7 @@ class WordHashes:
     def __init__(self):
         self.power, self.inverse = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def _grow(self, n: int) -> None:
+    def grow(self, n: int) -> None:
         if n > len(self.power):
             n = max(n, PIECE + PIECE // 4)
             for name, base in (("power", _MULTIPLIER), ("inverse", pow(_MULTIPLIER, -1, 1 << 64))):
@@ -127,7 +127,7 @@ class WordHashes:
         if not data:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         b = np.frombuffer(data.lower(), np.uint8)
-        self._grow(len(b) + 1)
+        self.grow(len(b) + 1)
         white = np.ones(len(b) + 2, bool)
         white[1:-1] = _WHITE[b]
         edge = np.flatnonzero(white[1:] != white[:-1])
@@ -191,17 +191,18 @@ def unpacked_sorted(data: bytes, dtype) -> np.ndarray:
 PIECES, LEAST_PIECE = 10_000, 64
 
 
-def dealt_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def dealt_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, by: list[str] | None = None) -> DataFrame:
     """Inner join of rows with facts, one row a key, where single keys may hold a large share of rows.
 
     facts.count says how many rows a key has, of total. Keys of more rows than a piece, at most
     PIECES of them, are dealt to several pieces and their facts repeated once a piece, so facts grow
-    by 2 * PIECES rows at most and no task meets a whole hot key.
+    by 2 * PIECES rows at most and no task meets a whole hot key. A row's piece is a hash of its columns
+    in `by` (default all), so a repeated task deals its rows as before.
     """
     piece = max(LEAST_PIECE, -(-total // PIECES))
     hot = facts.filter(F.col(count) > piece).select(*keys, F.ceil(F.col(count) / piece).cast("int").alias("_n"))
     n = F.coalesce("_n", F.lit(1))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.pmod(F.monotonically_increasing_id(), n).cast("int")).drop("_n")
+    left = rows.join(F.broadcast(hot), keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*(by or rows.columns)), n).cast("int")).drop("_n")
     n = F.greatest(F.lit(1), F.ceil(F.col(count) / piece).cast("int"))
     n = F.when(F.col(count) > piece, n).otherwise(F.lit(1))
     right = facts.withColumn("_piece", F.explode(F.sequence(F.lit(0), n - 1)))

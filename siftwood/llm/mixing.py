@@ -70,7 +70,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     draws = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda j: _uniform(F.lit(str(seed)), name, j.cast("string")))
     keyed = docs.withColumn("_key", F.coalesce("source", F.lit(NO_SOURCE)))
-    drawn = keyed.join(F.broadcast(rates), "_key") if short else dealt_join(keyed, rates, ["_key"], "_rows", known.rows)
+    drawn = keyed.join(F.broadcast(rates), "_key") if short else dealt_join(keyed, rates, ["_key"], "_rows", known.rows, ["doc_id"])
     # Generators, so that numbers are drawn and compared once a row whatever later filters say.
     drawn = drawn.select("*", F.inline(F.array(F.struct(draws.alias("_u")))))
     count = F.aggregate("_u", F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c < u)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import arrow_rows, saved, shared_dir, tidy
+from .common import WordHashes, arrow_rows, mixed, saved, shared_dir, tidy
 
 #: Ids of a shard, at least, but for the last of a partition.
 SHARD_IDS = 1_000_000
@@ -24,8 +24,10 @@ SHARD_IDS = 1_000_000
 ROUNDS, MAX_RULES, LEAST_COUNT = 4, 15_000, 16
 #: Every this many symbols the expanded position is stored.
 SAMPLE = 1024
-#: Words whose ids a worker remembers, and longer pieces that it doesn't.
-MEMORY, LONGEST_PIECE = 200_000, 64
+#: Pieces whose ids a worker remembers; texts with a longer piece, in bytes, are encoded whole.
+MEMORY, LONGEST_PIECE = 400_000, 256
+#: Bytes of text whose pieces are looked up at once.
+GROUP = 1 << 18
 #: Shards that a task reads back.
 READ_FILES = 6
 MAGIC = b"SWRP1\n"
@@ -33,6 +35,9 @@ MAGIC = b"SWRP1\n"
 # White space runs in which cutting before a space could split a piece of the tokenizer's pattern.
 _RUN = re.compile(r"\s \s|\s \Z")
 _TWO = re.compile(r"\s\s")
+#: Slots of the table of pieces; values of the bytes in the two hashes.
+SLOTS = 1 << 20
+VALUES = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Encoder:
@@ -52,6 +57,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.powers = WordHashes()
         self.opens = np.array([x.startswith(("\u0120", "\u010a")) for x in names])  # the byte-level signs of a space and a line feed
         self._clear()
 
@@ -63,45 +69,57 @@ class Encoder:
         return cls._made[path]
 
     def _clear(self) -> None:
-        encoder = self
-
-        class Places(dict):
-            def __missing__(self, word):
-                encoder.new.append(word)
-                self[word] = n = len(self)
-                return n
+        self.flat, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.starts, self.sizes, self.met = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.uint32)
+        self.hash, self.other = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
+        self.table, self.slot = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the pieces held, or -1: probing from the hash's own slot on."""
+        out = np.full(len(h), -1, np.int64)
+        at, left = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            here = self.table[at[left]]
+            hit = here == h[left]
+            out[left[hit]] = self.slot[at[left[hit]]]
+            left = left[~hit & (here != 0)]
+            at[left] = (at[left] + 1) % SLOTS
+        return out
 
-        self.places, self.new = Places(), []
-        self.flat, self.starts, self.sizes, self.used, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
-        self.met = np.zeros(1 << 14, np.uint32)
+    def _insert(self, h: np.ndarray, place: np.ndarray) -> None:
+        """Put distinct new hashes into the first free slots from their own on."""
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.table[at[left]] == 0]
+            self.table[at[free]], self.slot[at[free]] = h[free], place[free]
+            left = left[self.table[at[left]] != h[left]]
+            at[left] = (at[left] + 1) % SLOTS
+
+    def _hold(self, h: np.ndarray, other: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Add pieces, by two hashes, with their ids, behind those that are held; starts count from there."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.held + len(sizes) > len(self.starts):
+            self.starts, self.sizes, self.met, self.hash, self.other = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met, self.hash, self.other))
+        new = slice(self.held, self.held + len(sizes))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[new], self.sizes[new], self.hash[new], self.other[new] = self.used + starts, sizes, h, other
+        self._insert(h, np.arange(new.start, new.stop))
+        self.used, self.held = self.used + len(flat), new.stop
 
     def _forget(self) -> None:
         """Keep the pieces that were met again, at most half of MEMORY: those met most."""
         met = self.met[: self.held]
         order = np.argsort(met, kind="stable")[::-1][: MEMORY // 2]
         keep = np.sort(order[met[order] > 1])
-        words, sizes = list(self.places), self.sizes[keep]
-        kept = " ".join([words[i] for i in keep.tolist()])  # no piece holds a space; made again below, side by side in memory
-        del words
+        sizes, h, other, again = self.sizes[keep], self.hash[keep], self.other[keep], met[keep] // 2
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        again = met[keep] // 2
         self._clear()
-        self.places.update(zip(kept.split(" ") if len(keep) else [], range(len(keep)), strict=True))
-        self._hold(flat, ends - sizes, sizes)
+        self._hold(h, other, flat, ends - sizes, sizes)
         self.met[: self.held] = again
 
-    def _hold(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Add the ids of pieces, behind those that are held; starts count from there."""
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.held + len(sizes) > len(self.starts):
-            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[self.held : self.held + len(sizes)] = self.used + starts
-        self.sizes[self.held : self.held + len(sizes)] = sizes
-        self.used, self.held = self.used + len(flat), self.held + len(sizes)
-
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -122,52 +140,90 @@ class Encoder:
             sizes.append(n)
         return [np.concatenate(ids), np.concatenate(sizes).astype(np.int64)]
 
-    def _learn(self) -> None:
-        """Encode the pieces met for the first time; those with white space inside come last, so that they don't hold up the others."""
-        if not self.new:
-            return
-        inside = np.array([w[1:].split() != [w[1:]] if len(w) > 1 else not w.strip() for w in self.new]) if len(" ".join(self.new).split()) != len(self.new) or "" in self.new else np.zeros(len(self.new), bool)
-        order = np.argsort(inside, kind="stable")
-        flat, size = self._pieces([self.new[i] for i in order.tolist()])
-        ends = np.cumsum(size)
-        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        starts[order], sizes[order] = ends - size, size
-        self._hold(flat, starts, sizes)
-        self.new.clear()
+    def _hashes(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of the pieces of a run of bytes: polynomials with other values for the bytes."""
+        self.powers.grow(len(b) + 1)
+        out, total = [], np.zeros(len(b) + 1, np.uint64)
+        for values in VALUES:
+            np.cumsum(values[b] * self.powers.power[: len(b)], out=total[1:])
+            out.append(mixed((total[ends] - total[starts]) * self.powers.inverse[starts] + (ends - starts).astype(np.uint64)))
+        return np.maximum(out[0], np.uint64(1)), out[1]  # 0 marks a free slot
+
+    def _group(self, parts: list[tuple[bytes, bool]]) -> list[np.ndarray | None]:
+        """Ids of parts of texts, pieces apart by one space each; the flag says that a part starts its text. None where a piece is too long."""
+        data = b" ".join([x for x, _ in parts])
+        b = np.frombuffer(data, np.uint8)
+        gaps = np.flatnonzero(b == 32)
+        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(b)]])
+        size = np.array([len(x) + 1 for x, _ in parts])
+        first = np.searchsorted(starts, np.cumsum(size) - size)
+        part = np.repeat(np.arange(len(parts)), np.diff(np.append(first, len(starts))))
+        bad = np.maximum.reduceat(ends - starts, first) > LONGEST_PIECE
+        opening = np.array([x for _, x in parts])
+        use = ~bad[part]
+        use[first[opening]] = False  # a text's first piece has no space before it
+        where = np.flatnonzero(use)
+        h, other = (x[where] for x in self._hashes(b, starts, ends))
+        at = self._find(h)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new, one, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            places = where[miss[one]]
+            words = [data[i:j].decode() for i, j in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
+            flat, sizes = self._pieces(words)
+            at[miss] = self.held + which
+            self._hold(new, other[miss[one]], flat, np.cumsum(sizes) - sizes, sizes)
+        bad[part[where[self.other[at] != other]]] = True  # another piece of that hash
+        sizes = self.sizes[at]
+        ends_at = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[at] - ends_at + sizes, sizes) + np.arange(int(sizes.sum()))]
+        cuts = np.concatenate([[0], ends_at])[np.concatenate([[0], np.cumsum(np.bincount(part[where], minlength=len(parts)))])]
+        heads = iter(self._plain([data[i:j].decode() for i, j in zip(starts[first[opening]].tolist(), ends[first[opening]].tolist(), strict=True)]))
+        out: list[np.ndarray | None] = []
+        for k, opens in enumerate(opening):
+            x = ids[cuts[k] : cuts[k + 1]]
+            out.append(np.concatenate([next(heads), x]) if opens else x)
+        self.met[: self.held] += np.bincount(at, minlength=self.held).astype(np.uint32)
+        if self.held > MEMORY:
+            self._forget()
+        return [None if b else x for b, x in zip(bad, out, strict=True)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        split, words = [], []
+        found: dict[int, list] = {}
+        group, size = [], 0
+
+        def flush() -> None:
+            nonlocal group, size
+            for (i, *_), x in zip(group, self._group([(raw, opens) for _, raw, opens in group]), strict=True):
+                found[i].append(x)
+            group, size = [], 0
+
         for i, t in enumerate(texts):
             if not t:
-                out[i] = np.zeros(0, np.uint32)
                 continue
             if not _TWO.search(t) and not t[-1].isspace() and t[0] != "\n":
-                pieces = t.replace("\n", " \n").split(" ")
+                raw = t.replace("\n", " \n").encode()
+            elif " \n" not in t and not _RUN.search(t):
+                raw = t.encode()
             else:
-                pieces = t.split(" ") if " \n" not in t and not _RUN.search(t) else [t]
-            if len(pieces) == 1 or max(map(len, pieces)) > LONGEST_PIECE:
                 continue
-            split.append((i, len(words), len(words) + len(pieces) - 1, pieces[0]))
-            words += pieces[1:]
-        whole = [i for i in range(len(texts)) if out[i] is None and texts[i]]
-        cut = {i for i, *_ in split}
-        whole = [i for i in whole if i not in cut]
+            found[i], at = [], 0
+            while at <= len(raw):  # long texts in parts that end before a space
+                end = raw.find(b" ", at + GROUP) if at + GROUP < len(raw) else len(raw)
+                end = len(raw) if end < 0 else end
+                group.append((i, raw[at:end], at == 0))
+                size, at = size + end - at, end + 1
+                if size >= GROUP:
+                    flush()
+        if group:
+            flush()
+        out: list = [np.zeros(0, np.uint32)] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and (i not in found or any(x is None for x in found[i]))]
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if split:
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            self._learn()
-            heads = self._plain([head for *_, head in split])
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-            ends = np.concatenate([[0], ends])
-            for (i, a, b, _), head in zip(split, heads, strict=True):
-                out[i] = np.concatenate([head, ids[ends[a] : ends[b]]])
-            self.met[: self.held] += np.bincount(at, minlength=self.held).astype(np.uint32)
-            if len(self.places) > MEMORY:
-                self._forget()
+        for i, parts in found.items():
+            if all(x is not None for x in parts):
+                out[i] = np.concatenate(parts) if len(parts) > 1 else parts[0]
         return out
 
 
