@@ -25,9 +25,9 @@ ROUNDS, MAX_RULES, LEAST_COUNT = 4, 15_000, 16
 #: Every this many symbols the expanded position is stored.
 SAMPLE = 1024
 #: Pieces whose ids a worker remembers; texts with a longer piece, in bytes, are encoded whole.
-MEMORY, LONGEST_PIECE = 400_000, 256
+MEMORY, LONGEST_PIECE = 1_000_000, 256
 #: Bytes of text whose pieces are looked up at once.
-GROUP = 1 << 18
+GROUP = 1 << 19
 #: Shards that a task reads back.
 READ_FILES = 6
 MAGIC = b"SWRP1\n"
@@ -36,7 +36,7 @@ MAGIC = b"SWRP1\n"
 _RUN = re.compile(r"\s \s|\s \Z")
 _TWO = re.compile(r"\s\s")
 #: Slots of the table of pieces; values of the bytes in the two hashes.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 VALUES = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -126,8 +126,8 @@ class Encoder:
     def _pieces(self, words: list[str]) -> list[np.ndarray]:
         """Ids of all pieces one after another, and how many each has: those without white space inside many at a time."""
         ids, sizes = [], []
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
+        for i in range(0, len(words), 64):
+            part = words[i : i + 64]
             whole = [w if w[:1] == "\n" else " " + w for w in part]
             text = "".join(whole)
             plain = len(text.split()) == len(part) and "" not in part
