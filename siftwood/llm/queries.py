@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, token_ids, warc
+from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, token_ids, turns, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,5 +189,39 @@ from v join comp on node = vec_id left join degree d on d.x = vec_id
 """
 
 
-QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources}
-ORACLES = {"op1_embedding_neardup": OP1_SQL, "op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL}
+def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = turns.reassemble(turns.dealt_arrivals(_table(spark, sf_dir, "conversations")))
+    said = F.when(F.col("event") == "close", F.concat_ws(",", F.transform("unreleased", lambda t: t.cast("string")))).otherwise(F.col("payload"))
+    return events.select("event", F.sha2(said, 256).alias("sha256"), "conv_id", "turn", F.col("batch").cast("long").alias("batch"), "n_missing", "n_breaks")
+
+
+OP13_SQL = """
+with named as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text,
+    ('0x' || substr(sha256(coalesce(conv_id::varchar, '') || ':' || turn), 1, 8))::bigint h
+  from conversations where turn is not null),
+sent as (
+  select conv_id, turn, role, role || '|' || text payload, h % 10 batch from named
+  union all select conv_id, turn, 'user', 'user|' || text, (h + 5) % 10 from named where h % 7 < 2),
+arrivals as (
+  select * from sent qualify row_number() over (partition by conv_id, turn, batch order by payload, role) = 1),
+firsts as (select conv_id, min(turn) first from named group by 1),
+active as (select conv_id, batch, lead(batch) over (partition by conv_id order by batch) following from (select distinct conv_id, batch from arrivals)),
+lasts as (select conv_id, min(batch) last, min(least(batch + 2, 10)) closed from active where following is null or following > batch + 2 group by 1),
+kept as (
+  select a.*, f.first, l.closed from arrivals a join lasts l on a.conv_id is not distinct from l.conv_id join firsts f on a.conv_id is not distinct from f.conv_id
+  where a.batch <= l.last qualify row_number() over (partition by a.conv_id, a.turn order by a.batch) = 1),
+placed as (
+  select *, turn - first + 1 = row_number() over w run, max(batch) over w free, coalesce(lag(turn) over w = turn - 1 and lag(role) over w = role, false) broken
+  from kept window w as (partition by conv_id order by turn))
+select 'release' event, sha256(payload) sha256, conv_id, turn, free::bigint batch, null::bigint n_missing, null::bigint n_breaks from placed where run
+union all
+select 'reject', sha256(payload), a.conv_id, turn, batch::bigint, null, null from arrivals a join lasts l on a.conv_id is not distinct from l.conv_id where a.batch > l.last
+union all
+select 'close', sha256(coalesce(string_agg(turn::varchar, ',' order by turn) filter (where not run), '')), conv_id, -1, min(closed)::bigint,
+  (max(turn) - min(first) + 1 - count(*))::bigint, count(*) filter (where broken)::bigint from placed group by conv_id
+"""
+
+
+QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources, "op13_turn_reassembly": op13_turn_reassembly}
+ORACLES = {"op1_embedding_neardup": OP1_SQL, "op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL, "op13_turn_reassembly": OP13_SQL}
