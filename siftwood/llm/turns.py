@@ -13,9 +13,12 @@ from .common import saved, shared_dir, shuffle_partitions
 #: Batches of a run, and how many batches in a row without an arrival close a conversation.
 BATCHES, IDLE = 10, 2
 EVENTS = "conv_id long, event string, turn long, batch int, role string, payload string, unreleased array<long>, n_missing long, n_breaks long"
+#: For the state of the stream alone: stores of runs that have ended go soon, and hold no space ahead.
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
