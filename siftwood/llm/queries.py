@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, token_ids, turns, warc
+from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, negatives, token_ids, turns, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -223,5 +223,25 @@ select 'close', sha256(coalesce(string_agg(turn::varchar, ',' order by turn) fil
 """
 
 
-QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources, "op13_turn_reassembly": op13_turn_reassembly}
-ORACLES = {"op1_embedding_neardup": OP1_SQL, "op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL, "op13_turn_reassembly": OP13_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.quantised(F.col("embedding")).alias("v"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding::double[], lambda x: floor(256 * x)) v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id anchor_id, b.vec_id other_id, a.label = b.label same, coalesce(list_dot_product(a.v, b.v), 0)::bigint score
+  from usable a join usable b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0),
+positives as (select * from scored where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.other_id positive_id, (row_number() over w)::int "rank", n.other_id negative_id, p.score positive_score, n.score negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score
+window w as (partition by p.anchor_id, p.other_id order by n.score desc, n.other_id) qualify row_number() over w <= 5
+"""
+
+
+QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources, "op11_hard_negatives": op11_hard_negatives, "op13_turn_reassembly": op13_turn_reassembly}
+ORACLES = {"op1_embedding_neardup": OP1_SQL, "op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_turn_reassembly": OP13_SQL}
