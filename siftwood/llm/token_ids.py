@@ -234,12 +234,13 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
     left to right; rules may hold nonterminals of earlier rounds. The first rounds share out the rules;
     more follow until no pair is left that occurs `least` times, or no rule. Once a round has replaced
     all frequent pairs, only pairs with a symbol of the round before can have become frequent, and
-    just these are counted. rules[k] is the pair of symbol first + k.
+    just these are counted. rules[k] is the pair of symbol first + k. Pairs are counted in buckets first, about one for each id;
+    where the pairs of the fullest buckets turn out to be rare, those of all buckets that can hold a frequent pair are counted.
     """
-    wide = first + max_rules > 1 << 16
-    kind, shift, spread, down = (np.uint64, 32, 0x9E3779B97F4A7C15, 44) if wide else (np.uint32, 16, 0x9E3779B1, 12)
+    wide, bits = first + max_rules > 1 << 16, min(26, max(20, len(ids).bit_length()))
+    kind, shift, spread, down = (np.uint64, 32, 0x9E3779B97F4A7C15, 64 - bits) if wide else (np.uint32, 16, 0x9E3779B1, 32 - bits)
     home = lambda keys: ((keys * kind(spread)) >> kind(down)).astype(np.int64)
-    s, rules, fresh = ids.astype(kind), [], None
+    s, rules, fresh, all_buckets = ids.astype(kind), [], None, False
     for r in count_from(0):
         room = (max_rules - len(rules)) // max(1, rounds - r)
         if len(s) < 2 or room <= 0:
@@ -247,9 +248,9 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
         if fresh is None:
             key = (s[:-1] << kind(shift)) | s[1:]
             bucket = home(key)
-            count = np.bincount(bucket, minlength=1 << 20)
+            count = np.bincount(bucket, minlength=1 << bits)
             above = np.cumsum(np.bincount(np.minimum(count, 1 << 12))[::-1])[::-1]  # buckets of at least so many pairs
-            cut = max(least, int(np.flatnonzero(above >= 2 * room).max(initial=0)))  # pairs of rarer buckets are rarer still
+            cut = least if all_buckets else max(least, int(np.flatnonzero(above >= 2 * room).max(initial=0)))  # pairs of rarer buckets are rarer still
             at = np.flatnonzero((count >= cut)[bucket])
             key, bucket = key[at], bucket[at]
         else:
@@ -268,11 +269,11 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
         if not len(best):
             if whole:
                 break
-            fresh = None
+            fresh, all_buckets = None, True
             continue
         symbols = first + len(rules) + np.arange(len(best), dtype=kind)
         if fresh is None:
-            owner, symbol = np.zeros(1 << 20, kind), np.zeros(1 << 20, kind)
+            owner, symbol = np.zeros(1 << bits, kind), np.zeros(1 << bits, kind)
             owner[home(best)], symbol[home(best)] = best, symbols
             hit = (owner[bucket] == key) & (symbol[bucket] > 0)
             at, given = at[hit], symbol[bucket[hit]]
@@ -323,10 +324,10 @@ def decoded(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray
 NO_ID = -(1 << 63)
 
 
-def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray], first: int) -> bytes:
+def shard_bytes(doc_ids: list[int | None], docs: list[np.ndarray], first: int, max_rules: int = MAX_RULES, least: int = LEAST_COUNT) -> bytes:
     """A shard file: magic, header length, JSON header, then the arrays that the header names."""
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    symbols, rules = re_pair(ids, first)
+    symbols, rules = re_pair(ids, first, max_rules=max_rules, least=least)
     each = rule_sizes(rules, first)
     ends = np.cumsum(each[symbols])
     width = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
@@ -393,7 +394,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS, max_rules: int = MAX_RULES, least: int = LEAST_COUNT) -> DataFrame:
     """Encode whole texts and write shards in ascending doc_id order; returns the manifest of committed files.
 
     docs: doc_id, text; other columns are ignored. Rows that share a doc_id are ordered by text;
@@ -414,7 +415,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         def flush():
             uri = f"{folder}/shard-{part:06d}-{seq:06d}.ids"
-            files.commit(uri, shard_bytes(ids, docs, first))
+            files.commit(uri, shard_bytes(ids, docs, first, max_rules, least))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": uri, "n_docs": len(docs), "n_ids": size}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for b in batches:
@@ -460,6 +461,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return shards.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, path string, shard_start long")
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write the shards of docs into a fresh shared folder and return what is read back."""
-    return read_shards(write_shards(docs, shared_dir(docs.sparkSession) + "/ids", tokenizer, end_id))
+def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS, max_rules: int = MAX_RULES, least: int = LEAST_COUNT) -> DataFrame:
+    """Write the shards of docs into a fresh shared folder and return what is read back.
+
+    Larger shards, more rules and rarer pairs shorten the files and cost time; the ids read back are the same.
+    """
+    return read_shards(write_shards(docs, shared_dir(docs.sparkSession) + "/ids", tokenizer, end_id, shard_ids, max_rules, least))

@@ -73,3 +73,14 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark):
     assert t.token_table(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_re_pair_ends_on_long_diverse_texts():
+    """Millions of ids whose buckets are full although no pair is frequent, alone and before repeats."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, 12_000_000).astype(np.uint32)
+    symbols, rules = t.re_pair(ids, 50_257)
+    assert not len(rules) and np.array_equal(symbols, ids)
+    ids = np.concatenate([ids[:6_000_000], np.tile(np.arange(100, dtype=np.uint32), 1000)])
+    symbols, rules = t.re_pair(ids, 50_257)
+    assert len(rules) and len(symbols) < 6_010_000 and np.array_equal(t.decoded(symbols, t.expansions(rules, 50_257)), ids)
