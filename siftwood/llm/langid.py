@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +28,12 @@ SPARE = 4
 
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[: 0x80] = [c if chr(c).isalpha() else 32 for c in range(0x80)]
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK_BYTES, _CHUNK_DOCS = 1 << 19, 128
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a letter of any script; digits of other kinds, such as fractions, are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def ngram_counts(texts: list[str]) -> np.ndarray:

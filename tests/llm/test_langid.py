@@ -76,3 +76,10 @@ def test_sample_is_bounded_whatever_repeats(spark):
     df = spark.range(3000).selectExpr("id % 7 as doc_id", "concat('some words here ', id % 11) as text", "'aa' as lang").withColumn("counts", F.lit(1))
     model = langid.train(df, per_lang=5)
     assert model.langs == ["aa"] and len(model.centroids) <= langid.CENTROIDS
+
+
+def test_numbers_of_any_kind_are_no_letters(spark):
+    model = langid.fitted(["some english words here", "quelques mots en la langue"], ["en", "fr"])
+    docs = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ① 七"), (3, "½ a")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] != "und" and got[3][0] != "und"
