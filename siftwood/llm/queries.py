@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, negatives, token_ids, turns, warc
+from . import chat, decontaminate, embeddings, html_text, jaccard, langid, lm, mixing, negatives, packing, token_ids, turns, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,6 +189,10 @@ from v join comp on node = vec_id left join degree d on d.x = vec_id
 """
 
 
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = turns.reassemble(turns.dealt_arrivals(_table(spark, sf_dir, "conversations")))
     said = F.when(F.col("event") == "close", F.concat_ws(",", F.transform("unreleased", lambda t: t.cast("string")))).otherwise(F.col("payload"))
@@ -243,5 +247,5 @@ window w as (partition by p.anchor_id, p.other_id order by n.score desc, n.other
 """
 
 
-QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources, "op11_hard_negatives": op11_hard_negatives, "op13_turn_reassembly": op13_turn_reassembly}
+QUERIES = {"op1_embedding_neardup": op1_embedding_neardup, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op4_lm_score": op4_lm_score, "op9_token_ids": op9_token_ids, "op5_decontaminate": op5_decontaminate, "op10_ngram_jaccard": op10_ngram_jaccard, "op2_chat_format": op2_chat_format, "op3_language_id": op3_language_id, "op6_mix_sources": op6_mix_sources, "op11_hard_negatives": op11_hard_negatives, "op12_pack": op12_pack, "op13_turn_reassembly": op13_turn_reassembly}
 ORACLES = {"op1_embedding_neardup": OP1_SQL, "op8_warc": OP8_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op2_chat_format": OP2_SQL, "op6_mix_sources": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_turn_reassembly": OP13_SQL}
