@@ -19,8 +19,10 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def _millis(batch: int) -> int:
@@ -49,22 +51,29 @@ class Reassembly(StatefulProcessor):
     def _event(self, key, event: str, turn: int, batch: int, role=None, payload=None, unreleased=None, missing=None, breaks=None) -> Row:
         return Row(conv_id=key[0], event=event, turn=turn, batch=batch, role=role, payload=payload, unreleased=unreleased, n_missing=missing, n_breaks=breaks)
 
+    @staticmethod
+    def _waits(head: tuple | None) -> bool:
+        """Whether a kept turn waits behind a gap."""
+        return head is not None and head[4] > head[1] - head[0]
+
     def _close(self, key, head: tuple, batch: int) -> Row:
         first, _, _, top, n_kept, n_breaks, _ = head
-        left = sorted(turn for (turn,) in self.waiting.keys())
+        left = sorted(turn for (turn,) in self.waiting.keys()) if self._waits(head) else []
         self.head.clear()
-        self.waiting.clear()
+        if left:
+            self.waiting.clear()
         self.closed.update((batch,))
         return self._event(key, "close", -1, batch, unreleased=left, missing=top - first + 1 - n_kept if n_kept else 0, breaks=n_breaks)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[1]:  # the batch's own row, which only moves the watermark
             return
-        head = self.head.get() if self.head.exists() else None
-        gone, timer, some = head is None and self.closed.exists(), None if head is None else head[6] + self.idle, head is not None and self.waiting.exists()
+        head = self.head.get()
+        gone, timer, some = head is None and self.closed.exists(), None if head is None else head[6] + self.idle, self._waits(head)
         for row in rows:
             if head is not None and row.batch > head[6] + self.idle:  # its timer is due, and fires behind this batch's rows
-                self.handle.deleteTimer(_millis(timer))
+                if timer is not None:
+                    self.handle.deleteTimer(_millis(timer))
                 yield self._close(key, head, head[6] + self.idle)
                 head, gone, timer, some = None, True, None, False
             if gone:
@@ -103,7 +112,7 @@ class Reassembly(StatefulProcessor):
             self.head.update(head)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        head = self.head.get() if self.head.exists() else None
+        head = self.head.get()
         if head is not None:
             yield self._close(key, head, min(head[6] + self.idle, self.end))
 
@@ -145,8 +154,8 @@ def reassemble(arrivals: DataFrame, batches: int = BATCHES, idle: int = IDLE) ->
     spark.checkpoint.dir, a folder a batch, and the folders are moved one after another to where a stateful
     query looks for them, which is started anew for each on one checkpoint, so it may also be ended and
     started between any two. Every folder holds one more row that moves the watermark, which
-    counts batches, even if nothing arrives; the last two move it past the end and let the timers behind it fire. A timer
-    fires behind the rows of the batch after its own; rows of that batch that come first close the conversation themselves.
+    counts batches, even if nothing arrives; the last holds another that moves it past the end, and an empty batch behind it lets all timers
+    fire. Before, a timer fires behind the rows of the batch after its own; rows of that batch that come first close the conversation themselves.
 
     release (conv_id, turn, batch, role, payload): a turn of the gapless run from `first`, once; the first arrival
     of a turn counts. close: after `idle` batches in a row without arrivals, in the last of them, or at the
@@ -159,20 +168,21 @@ def reassemble(arrivals: DataFrame, batches: int = BATCHES, idle: int = IDLE) ->
     fields = ["conv_id", "turn", "role", "payload", "batch", "first"]
     kind = arrivals.schema["conv_id"].dataType
     rows = arrivals.select(*fields, F.lit(False).alias("tick"))
-    ticks = spark.range(batches + 2).select(F.lit(None).cast(kind).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("payload"), F.col("id").cast("int").alias("batch"), F.lit(0).cast("long").alias("first"), F.lit(True).alias("tick"))
+    ticks = spark.range(batches + 1).select(F.lit(None).cast(kind).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("role"), F.lit("").alias("payload"), F.col("id").cast("int").alias("batch"), F.lit(0).cast("long").alias("first"), F.lit(True).alias("tick"))
     at = F.when(F.col("batch") < batches, F.col("batch")).otherwise(batches + idle)
     pieces = max(1, shuffle_partitions(spark) // batches)
-    rows = rows.union(ticks).withColumn("at", F.timestamp_seconds(at + 1)).withColumn("folder", F.col("batch"))
-    rows = rows.repartition("batch", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(pieces)))
+    rows = rows.union(ticks).withColumn("at", F.timestamp_seconds(at + 1)).withColumn("folder", F.least("batch", F.lit(batches - 1)))
+    rows = rows.repartition("folder", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(pieces)))
     rows.write.partitionBy("folder").parquet(f"{work}/batches")
     schema = rows.drop("folder").schema
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{work}/arrived")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    held = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    held = {k: spark.conf.get(k, None) for k in [*_SETTINGS, _EMPTY_BATCHES]}
     try:
         for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
-        for b in range(batches + 2):
+        for b in range(batches):
+            spark.conf.set(_EMPTY_BATCHES, str(b == batches - 1).lower())
             _moved(spark, f"{work}/batches/folder={b}", f"{work}/arrived/{b:06d}")
             found = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{work}/arrived").withWatermark("at", "0 seconds")
             events = found.groupBy("conv_id", "tick").transformWithState(Reassembly(idle, batches), EVENTS, "Append", "EventTime")
