@@ -19,8 +19,6 @@ FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 BLOOM_MAGIC, BLOOM_VERSION = b"SBLM", 1
 LEVELS, SYMBOL_BUDGET = 12, 2000
-#: Ids of a side in a hash range, on average, and symbols asked of a range.
-RANGE_IDS, RANGE_SYMBOLS = 256, 240
 
 
 def fnv(items: list[bytes], start: np.ndarray | None = None) -> np.ndarray:
@@ -198,61 +196,11 @@ def reconciled(local: DataFrame, remote: DataFrame, batch: int = 100, budget: in
     raise ValueError("symbol budget is used up")
 
 
-def _range_symbols(ids: DataFrame, ranges: int, count: int) -> DataFrame:
-    """Rows (range, symbols) of a set ids(id binary(32)): the first symbols of each hash range, and behind them the sum of the whole range."""
+def reconciled_ranges(local: DataFrame, remote: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Rows (id, side) of two sets of 32-byte ids, as set_difference() gives them, by exchanging symbols of hash ranges; see reconcile.rateless()."""
+    from siftwood.operators.reconcile import rateless
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        raw = sorted({bytes(x) for x in f["id"]})
-        keys = fnv(raw)
-        values = np.column_stack([np.ones(len(raw), np.uint64), keys, np.frombuffer(b"".join(raw), "<u8").reshape(-1, 4)])
-        on = contributes(keys[:, None], np.arange(count)[None, :])
-        total = np.zeros((count + 1, 6), np.uint64)
-        for s in range(count + 1):
-            part = values[on[:, s]] if s < count else values
-            total[s, 0], total[s, 1:] = len(part), np.bitwise_xor.reduce(part[:, 1:], axis=0)
-        return pd.DataFrame({"range": [int(key[0])], "symbols": [total.tobytes()]})
-
-    rows = ids.filter("id is not null").select(F.pmod(F.xxhash64("id"), F.lit(ranges)).alias("range"), "id")
-    return rows.groupBy("range").applyInPandas(run, "range long, symbols binary")
-
-
-def reconciled_ranges(local: DataFrame, remote: DataFrame, ranges: int | None = None, count: int = RANGE_SYMBOLS) -> DataFrame:
-    """Rows (id, side) of two sets of 32-byte ids, as set_difference() gives them, by exchanging symbols of hash ranges.
-
-    Ranges are as many as keep RANGE_IDS ids of a side in each; they peel in tasks, and nothing of them
-    comes to the driver. The sum of a whole range tells whether all of its difference was found; ranges
-    whose difference is too large for their symbols are compared by the exact join.
-    """
-    if ranges is None:
-        ranges = max(1, -(-max(local.count(), remote.count()) // RANGE_IDS))
-    a = _range_symbols(local, ranges, count).withColumnRenamed("symbols", "mine")
-    pairs = a.join(_range_symbols(remote, ranges, count).withColumnRenamed("symbols", "theirs"), "range", "full")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        side = lambda x: np.frombuffer(x, np.uint64).reshape(-1, 6) if x is not None else np.zeros((count + 1, 6), np.uint64)
-        for f in frames:
-            out = []
-            for r, x, y in zip(f["range"], f["mine"], f["theirs"], strict=True):
-                x, y = side(x), side(y)
-                diff = x ^ y
-                diff[:, 0] = y[:, 0] - x[:, 0]
-                added, removed, done = peeled(diff[:count])
-                found = added + removed
-                if done and found:
-                    sums = np.bitwise_xor.reduce(np.column_stack([fnv(found), np.frombuffer(b"".join(found), "<u8").reshape(-1, 4)]), axis=0)
-                    done = bool((sums == diff[count, 1:]).all())
-                elif done:
-                    done = not diff[count].any()
-                if done and int(diff[count, 0].astype(np.int64)) == len(added) - len(removed):
-                    out += [(r, i, "added") for i in added] + [(r, i, "removed") for i in removed]
-                else:
-                    out.append((r, None, "open"))
-            yield pd.DataFrame(out, columns=["range", "id", "side"])
-
-    met = pairs.mapInPandas(run, "range long, id binary, side string").persist()
-    left = F.broadcast(met.filter("side = 'open'").select("range"))
-    within = lambda x: x.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges))).join(left, "range", "left_semi")
-    return met.filter("side <> 'open'").select("id", "side").unionByName(set_difference(within(local), within(remote)))
+    return rateless(local, remote, ranges)[0]
 
 
 def set_difference(local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:

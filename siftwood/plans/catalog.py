@@ -511,8 +511,8 @@ def _ids(spark, d, keep):
 
 
 @query("set_diff_both", f"""
-with {RECORDS}, a as (select distinct {ID} id from records where seq % 10 < 7), b as (select distinct {ID} id from records where seq % 10 > 2)
-select id, 'added' side from b where id not in (select id from a) union all select id, 'removed' from a where id not in (select id from b)""")
+with {RECORDS}, ids as materialized (select seq, {ID} id from records), a as (select id from ids where seq % 10 < 7), b as (select id from ids where seq % 10 > 2)
+select id, 'added' side from (select id from b except select id from a) union all select id, 'removed' from (select id from a except select id from b)""")
 def set_diff_both(spark, d):
     return sketches.set_difference(_ids(spark, d, "doc_id % 10 < 7"), _ids(spark, d, "doc_id % 10 > 2"))
 
@@ -526,8 +526,8 @@ def need_and_missing(spark, d):
 
 
 @query("riblt_reconcile", f"""
-with {RECORDS}, a as (select distinct {ID} id from records where seq % 100 < 97), b as (select distinct {ID} id from records where seq % 100 > 2)
-select id, 'added' side from b where id not in (select id from a) union all select id, 'removed' from a where id not in (select id from b)""")
+with {RECORDS}, ids as materialized (select seq, {ID} id from records), a as (select id from ids where seq % 100 < 97), b as (select id from ids where seq % 100 > 2)
+select id, 'added' side from (select id from b except select id from a) union all select id, 'removed' from (select id from a except select id from b)""")
 def riblt_reconcile(spark, d):
     binary = lambda keep: _ids(spark, d, keep).select(F.unhex("id").alias("id"))
     diff = sketches.reconciled_ranges(binary("doc_id % 100 < 97"), binary("doc_id % 100 > 2"))
@@ -771,7 +771,7 @@ def human_sizes(spark, d):
     return table(spark, d, "part").select("p_partkey", T.human_bytes(F.col("p_size").cast("long") * F.col("p_partkey")).alias("shown"))
 
 
-from siftwood.plans import formats, state  # noqa: E402  they add queries of their own
+from siftwood.plans import formats, state, streams  # noqa: E402  they add queries of their own
 
-QUERIES.update(formats.queries() | state.QUERIES)
-ORACLES.update(formats.oracles() | state.ORACLES)
+QUERIES.update(formats.queries() | state.QUERIES | streams.QUERIES)
+ORACLES.update(formats.oracles() | state.ORACLES | streams.ORACLES)

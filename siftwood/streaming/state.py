@@ -86,3 +86,16 @@ def answered_stream(queries: DataFrame, answers: DataFrame, seconds: int = 3) ->
     a = answers.withWatermark("answered_at", "1 minute").withColumnRenamed("txid", "_txid")
     near = (F.col("txid") == F.col("_txid")) & (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + F.expr(f"interval {seconds} seconds"))
     return q.join(a, near).drop("_txid")
+
+
+def gathered_stream(asked: DataFrame, answers: DataFrame, seconds: int = 3, late: str = "1 minute") -> DataFrame:
+    """asked(txid, peer, asked_at) with the answers(txid, peer, answered_at, rejected) that come within the deadline, or one timeout.
+
+    outcome: answered, rejected or timeout; a timeout is told once the watermark, `late` behind the newest rows of
+    both streams, has passed the deadline. Answers to nobody and late ones are dropped, and state with them.
+    """
+    q = asked.withWatermark("asked_at", late)
+    a = answers.select(F.col("txid").alias("_txid"), F.col("peer").alias("_peer"), "answered_at", "rejected").withWatermark("answered_at", late)
+    near = (F.col("txid") == F.col("_txid")) & (F.col("peer") == F.col("_peer")) & (F.col("answered_at") >= F.col("asked_at")) & (F.col("answered_at") <= F.col("asked_at") + F.expr(f"interval {seconds} seconds"))
+    outcome = F.when(F.col("_txid").isNull(), "timeout").when(F.col("rejected"), "rejected").otherwise("answered")
+    return q.join(a, near, "left_outer").withColumn("outcome", outcome).drop("_txid", "_peer")
