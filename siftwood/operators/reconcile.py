@@ -2,7 +2,8 @@
 
 A task adds its ids to the first symbols of all ranges and passes on the symbols, not the ids: what is shuffled depends on
 ranges and symbols, and hardly on the sets. A range peels on with what it had found before whenever it
-gets more symbols, whose number doubles until its difference is found; ids meet only where that doesn't pay.
+gets more symbols, at least twice as many as before and as many as its empty symbols suggest, until its difference is found; ids meet only
+where that doesn't pay.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.operators.sketches import contributes, fnv, set_difference
+from siftwood.operators.sketches import LEVELS, contributes, fnv, set_difference
 from siftwood.session import work_dir
 
 #: Ids of both sides for each hash range, on average, and the most ranges; a task holds the symbols of all of them.
-RANGE_IDS, MOST_RANGES = 16_384, 2048
-#: Symbols of a range in the first round, and at most (twice as many in each round); ids folded at once.
+RANGE_IDS, MOST_RANGES = 2048, 16_384
+#: Symbols of a range in the first round, and at most; ids folded at once.
 FIRST_SYMBOLS, MOST_SYMBOLS, FOLD_IDS = 32, 2048, 1 << 16
 WORDS = 6  # of a symbol: count, key, four lanes of the id
 
@@ -95,8 +96,17 @@ def peel(count: np.ndarray, rest: np.ndarray, found: dict[bytes, int], first: in
         waiting += list(np.flatnonzero(on & (np.abs(count) == 1)))
 
 
+def guessed(count: np.ndarray, rest: np.ndarray) -> int:
+    """How many items are left in symbols: the share that takes part halves from one level to the next, until half of a level's symbols are empty."""
+    empty = (count == 0) & ~rest.any(1)
+    for level in range(LEVELS):
+        if empty[level::LEVELS].mean() >= 0.5:
+            return 1 << level
+    return 1 << LEVELS
+
+
 def _peeled(parts: DataFrame, first: int, last: int) -> DataFrame:
-    """A row per range and round: range, n (symbols so far), done, found (ids, then their signs) and rest (what is left of the symbols)."""
+    """A row per range and round: range, n (symbols so far), done, found (ids, then their signs), rest (what is left of the symbols) and about how many items that holds."""
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         new, state = np.zeros((last - first + 1, WORDS), np.uint64), None
@@ -120,9 +130,9 @@ def _peeled(parts: DataFrame, first: int, last: int) -> DataFrame:
             sums = np.bitwise_xor.reduce(np.column_stack([fnv(ids), np.frombuffer(b"".join(ids), "<u8").reshape(-1, 4)]), axis=0) if ids else np.zeros(5, np.uint64)
             done = sum(held.values()) == int(new[-1, :1].view(np.int64)[0]) and bool((sums == new[-1, 1:]).all())
         left = b"" if done else np.column_stack([count.view(np.uint64), rest]).tobytes()
-        return pd.DataFrame({"range": [int(key[0])], "n": [last], "done": [done], "found": [b"".join(held) + np.array(list(held.values()), np.int8).tobytes()], "rest": [left]})
+        return pd.DataFrame({"range": [int(key[0])], "n": [last], "done": [done], "found": [b"".join(held) + np.array(list(held.values()), np.int8).tobytes()], "rest": [left], "about": [0 if done else guessed(count, rest)]})
 
-    return parts.groupBy("range").applyInPandas(run, "range long, n int, done boolean, found binary, rest binary")
+    return parts.groupBy("range").applyInPandas(run, "range long, n int, done boolean, found binary, rest binary, about long")
 
 
 def rateless(local: DataFrame, remote: DataFrame, ranges: int | None = None, first: int = FIRST_SYMBOLS, most: int = MOST_SYMBOLS) -> tuple[DataFrame, DataFrame]:
@@ -141,17 +151,20 @@ def rateless(local: DataFrame, remote: DataFrame, ranges: int | None = None, fir
         ranges = max(1, min(MOST_RANGES, -(-both.count() // RANGE_IDS)))
     start, stop, wanted, state, finished = 0, first, None, None, None
     while True:
-        parts = _folded(both, ranges, start, stop, wanted).withColumn("found", F.lit(None).cast("binary")).withColumn("rest", F.lit(None).cast("binary"))
+        parts = _folded(both, ranges, start, stop, wanted)
+        parts = parts.withColumn("found", F.lit(None).cast("binary")).withColumn("rest", F.lit(None).cast("binary"))
         if state is not None:
             parts = parts.unionByName(state.select("range", F.lit(None).cast("binary").alias("symbols"), "found", "rest"))
         _peeled(parts, start, stop).write.parquet(f"{work}/round{stop}")
         now = spark.read.parquet(f"{work}/round{stop}")
         done, state = now.filter("done"), now.filter("not done")
         finished = done if finished is None else finished.unionByName(done)
-        wanted = sorted(r["range"] for r in state.select("range").collect())  # MOST_RANGES at most
-        if not wanted or stop * 2 > most:
+        left = sorted((r["range"], r["about"]) for r in state.select("range", "about").collect())  # MOST_RANGES at most
+        wanted = [r for r, _ in left]
+        if not left or stop >= most:
             break
-        start, stop = stop, stop * 2
+        typical = sorted(n for _, n in left)[len(left) // 2]
+        start, stop = stop, min(most, max(2 * stop, stop + 2 * typical))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -15,6 +15,28 @@ def file_spans(files: DataFrame, piece_length: int) -> DataFrame:
     return at.withColumn("piece_begin", begin).withColumn("piece_end", end)
 
 
+def wide_spans(files: DataFrame, piece_length: int) -> DataFrame:
+    """What file_spans() gives, also for sets of any number of files: sums within ranges of files, then of ranges.
+
+    A range of (infohash, file_index) is summed in its task; only a row for each range and set meets the others of its set. Rows of
+    one place are laid in any order.
+    """
+    from siftwood.session import work_dir
+
+    spark, work = files.sparkSession, work_dir(files.sparkSession)
+    ranged = files.repartitionByRange("infohash", "file_index").withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(work)
+    ranged = spark.read.parquet(work)
+    order = Window.partitionBy("infohash", "_range").orderBy("file_index").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("infohash", "_range").agg(F.sum("length").alias("_total"))
+    before = Window.partitionBy("infohash").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("infohash", "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    at = ranged.withColumn("_own", F.coalesce(F.sum("length").over(order), F.lit(0))).join(totals, ["infohash", "_range"]).withColumn("offset", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+    begin = F.floor(F.col("offset") / piece_length).cast("long")
+    end = F.when(F.col("length") > 0, F.floor((F.col("offset") + F.col("length") - 1) / piece_length).cast("long") + 1).otherwise(begin)
+    return at.withColumn("piece_begin", begin).withColumn("piece_end", end)
+
+
 def file_pieces(spans: DataFrame) -> DataFrame:
     """A row per (file, piece): the interval join by generating each file's own pieces."""
     return spans.filter("piece_end > piece_begin").withColumn("piece", F.explode(F.sequence(F.col("piece_begin"), F.col("piece_end") - 1)))

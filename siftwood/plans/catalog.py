@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions import text as T
-from siftwood.operators import documents, merge, peers, postings, records, search, sketches, snapshot, transfers, trust
+from siftwood.operators import documents, merge, pages, peers, postings, records, search, sketches, snapshot, transfers, trust
 from siftwood.session import table, work_dir
+from siftwood.sources import paged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -505,6 +506,37 @@ def paged_tree(spark, d):
     return records.tree_query(records.signed(rows, bytes(range(32)), bits=2), "k1", page_size=1024, min_bits=2).select("t")
 
 
+def _tree(spark, d) -> tuple[str, dict]:
+    folder = work_dir(spark)
+    return folder, pages.write_tree(_records(spark, d), folder, bytes(range(32)))
+
+
+@query("record_tree", f"with {RECORDS} select kw, lower(hex(ih)) ih, t from records where kw[1:3] = 'ent'")
+def record_tree(spark, d):
+    """All records as one paged tree, of which a prefix query reads the leaves that may hold it."""
+    found = paged.read_tree(spark, _tree(spark, d)[0]).filter(F.col("kw").startswith("ent"))
+    return found.select("kw", F.lower(F.hex("ih")).alias("ih"), "t")
+
+
+#: Bytes of an encoded record, of those of a page, and its place in the order.
+SIZED = """sized as (
+  select kw, 158 + strlen(kw) + length(strlen(kw)::varchar) + length(t::varchar) + case when 158 + strlen(kw) + length(strlen(kw)::varchar) + length(t::varchar) > 127 then 2 else 1 end size,
+    row_number() over (order by encode(kw), ih, pk, t) rn from records),
+summed as (select kw, rn, sum(size) over (order by rn)::bigint s from sized union all select null, 0, 0),
+ends as (select rn, max(rn) over (order by s range between current row and {0} following) e from summed)""".format(pages.capacity(16 << 10))
+
+
+@query("record_tree_leaves", f"""
+with recursive {RECORDS}, {SIZED},
+leaves(leaf, i) as (select 0::bigint, 0::bigint union all select leaf + 1, e from leaves join ends on rn = i where e < (select count(*) from records))
+select leaf, e - i as n, kw first from leaves join ends on ends.rn = i join summed on summed.rn = i + 1""")
+def record_tree_leaves(spark, d):
+    """The leaves of the tree of all records: each is as full as the sequential rule makes it."""
+    folder, facts = _tree(spark, d)
+    rows = paged.read_tree(spark, folder).groupBy("page").agg(F.count("*").alias("n"), F.min("kw").alias("first"))
+    return rows.select((F.col("page") - sum(facts["levels"][1:])).alias("leaf"), "n", "first")
+
+
 def _ids(spark, d, keep):
     r = _records(spark, d, keep)
     return r.select(records.identity(F.col("pk"), F.col("kw"), F.col("ih"), F.col("t")).alias("id"))

@@ -64,26 +64,21 @@ class Pages:
             raise ValueError("bad trailer")
         return out
 
-    def leaf(self, bound: bytes | None, first: bool) -> int:
-        """The leaf on the way down to a bound: the first that may hold keys from it on, or the last that may hold keys below it (None: the last)."""
+    def leaf(self, bound: bytes | None) -> int:
+        """The leaf where a bound would lie, the last that begins below it: keys from the bound on begin there, or keys below it end there (None: the last leaf)."""
         i = 0
         while True:
             kind, _, payload = opened(self.one(i))
             if kind == LEAF:
                 return i
             below = _items(payload, 4)
-            if bound is None:
-                j = len(below) - 1
-            elif first:  # keys equal to a page's first may also end the page before
-                j = max(0, sum(k < bound for k, _ in below) - 1)
-            else:
-                j = max(0, sum(k < bound for k, _ in below) - 1)
+            j = len(below) - 1 if bound is None else max(0, sum(k < bound for k, _ in below) - 1)
             i = struct.unpack("<I", below[j][1])[0]
 
     def overlap(self, prefix: str) -> tuple[int, int]:
         """Leaves [start, stop) that may hold keywords with the prefix."""
         low = prefix.encode()
-        return self.leaf(low, True), self.leaf(next_prefix(low) if low else None, False) + 1
+        return self.leaf(low), self.leaf(next_prefix(low) if low else None) + 1
 
 
 class Run(InputPartition):

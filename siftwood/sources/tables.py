@@ -36,13 +36,14 @@ def file_pieces(files: DataFrame, piece_length: int) -> DataFrame:
 
 def metainfo_pieces(files: DataFrame, piece_length: int) -> DataFrame:
     """files(path, content) laid end to end in order of path: piece, sha1. Pieces go over the bounds of files; one is built of the parts that lie in it."""
-    from siftwood.operators.transfers import file_pieces, file_spans
+    from siftwood.operators.transfers import file_pieces, wide_spans
 
     rows = files.select(F.lit("").alias("infohash"), F.col("path").alias("file_index"), F.octet_length("content").cast("long").alias("length"))
-    parts = file_pieces(file_spans(rows, piece_length)).select(F.col("file_index").alias("path"), "offset", "piece")
+    spans = wide_spans(rows, piece_length).select(F.col("file_index").alias("path"), "offset", "piece_begin", "piece_end")
     begin = F.greatest(F.lit(0), F.col("piece") * piece_length - F.col("offset"))
     end = (F.col("piece") + 1) * piece_length - F.col("offset")
-    cut = parts.join(files.select("path", "content"), "path").select("piece", "offset", F.substring(F.col("content"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    # a file's bytes travel once, to its span; positions within them fit an int
+    cut = file_pieces(spans.join(files.select("path", "content"), "path")).select("piece", "offset", F.substring(F.col("content"), (begin + 1).cast("int"), F.least(end - begin, F.lit(2**31 - 1)).cast("int")).alias("part"))
     whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: F.hex(x.part)), ""))
     return cut.groupBy("piece").agg(F.sha1(whole).alias("sha1"))
 
