@@ -267,11 +267,15 @@ def write_index(docs: DataFrame, key: str, text_fields: list[str], folder: str,
     docs.select(*kept, *lengths).write.mode("overwrite").parquet(f"{folder}/documents")
 
 
-def search_index(spark: SparkSession, folder: str, query: str, key: str, text_fields: list[str], exact_fields: list[str] = (), limit: int = DEFAULT_LIMIT, stored: list[str] = ()) -> DataFrame:
+def search_index(spark: SparkSession, folder: str, query: str, key: str, text_fields: list[str], exact_fields: list[str] = (), limit: int = DEFAULT_LIMIT, stored: list[str] = (), dictionary: bool = False) -> DataFrame:
     """The hits that search() gives, from an index written by write_index(): key, score, stored fields.
 
-    Only postings of the query's words are read; their frequencies meet the documents by an equi-join.
+    Only postings of the query's words are read; their frequencies meet the documents by an equi-join. With a
+    dictionary, which terms.write_terms() adds to the index, patterns and fuzzy words are expanded to terms first, and
+    only the postings of these are read; otherwise they are tested on all.
     """
+    from siftwood.operators.terms import matching
+
     clauses = parse(query)
     docs = spark.read.parquet(f"{folder}/documents")
     parts = _parts(clauses, docs.schema, text_fields, exact_fields)
@@ -280,7 +284,10 @@ def search_index(spark: SparkSession, folder: str, query: str, key: str, text_fi
         c = clauses[p.clause]
         if p.test is not None:
             continue
-        here = [(F.col("field") == p.field) & _is(c, w, F.col("term")) for w in p.words]
+        tests = [_is(c, w, F.col("term")) for w in p.words]
+        if dictionary and c.kind in ("fuzzy", "wild", "regex"):
+            tests = [matching(spark, folder, p.field, c.kind, c.text, w, c.edits, x) for w, x in zip(p.words, tests, strict=True)]
+        here = [(F.col("field") == p.field) & x for x in tests]
         for x in here:
             wanted = wanted | x
         if c.kind == "phrase" and len(here) > 1:

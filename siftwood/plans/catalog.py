@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions import text as T
-from siftwood.operators import documents, merge, pages, peers, postings, records, search, sketches, snapshot, transfers, trust
+from siftwood.operators import documents, merge, pages, peers, postings, records, search, sketches, snapshot, terms, transfers, trust
 from siftwood.session import table, work_dir
 from siftwood.sources import paged
 
@@ -116,15 +116,23 @@ def _index(spark, d):
     return search.indexed(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id", ["text"], ["lang", "source"])
 
 
-def _search(name: str, q: str, where: str, parts: list[tuple[str, float]], limit: int = 20) -> None:
-    """Register a search with SQL that states its match and the BM25 of its scored parts."""
+def _search(name: str, q: str, where: str, parts: list[tuple[str, float]], limit: int = 20, run=None) -> None:
+    """Register a search with SQL that states its match and the BM25 of its scored parts; run(spark, d, q, limit) if it isn't a search of texts."""
     score = " + ".join(f"{b} * ln(1 + (n - df{i} + 0.5::double) / (df{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for i, (_, b) in enumerate(parts)) or "0"
     sql = f"""
 with a as (select doc_id, lang, source, {ANALYSED.format('text')} w from documents),
 c as (select *, len(w) len, {', '.join(f'({x})::double n{i}' for i, (x, _) in enumerate(parts))} from a),
 s as (select count(*)::double n, avg(len) mean, {', '.join(f'count(*) filter (where n{i} > 0)::double df{i}' for i in range(len(parts)))} from c)
 select doc_id, round({score}, 6) score from c, s where {where} order by 2 desc, 1 limit {limit}"""
-    query(name, sql)(lambda spark, d: search.search(_index(spark, d), q, "doc_id", ["text"], ["lang", "source"], limit))
+    query(name, sql)((lambda spark, d: run(spark, d, q, limit)) if run else lambda spark, d: search.search(_index(spark, d), q, "doc_id", ["text"], ["lang", "source"], limit))
+
+
+def _by_dictionary(spark, d, q: str, limit: int) -> DataFrame:
+    """Ingest, index, dictionary, then a search of the stored postings of the terms that the query's patterns stand for."""
+    folder = work_dir(spark)
+    search.write_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"], folder)
+    terms.write_terms(spark, folder)
+    return search.search_index(spark, folder, q, "doc_id", ["text"], limit=limit, dictionary=True)
 
 
 _n = lambda w: f"len(list_filter(w, lambda t: t = '{w}'))"
@@ -134,6 +142,7 @@ _search("search_phrase", '"anea eriner"', "n0 > 0", [("len(list_filter(range(1,
 _search("search_wildcard", "erin*", "n0 > 0", [("len(list_filter(w, lambda t: starts_with(t, 'erin')))", 1.0)])
 _search("search_regex", "/th[ae]+n/", "n0 > 0", [("len(list_filter(w, lambda t: regexp_full_match(t, 'th[ae]+n')))", 1.0)])
 _search("search_fuzzy", "thtion~1", "n0 > 0", [("len(list_filter(w, lambda t: levenshtein(t, 'thtion') <= 1))", 1.0)])
+_search("search_stored_patterns", "/th[ae]+n/ erin* +thtion~1", "n2 > 0", [("len(list_filter(w, lambda t: regexp_full_match(t, 'th[ae]+n')))", 1.0), ("len(list_filter(w, lambda t: starts_with(t, 'erin')))", 1.0), ("len(list_filter(w, lambda t: levenshtein(t, 'thtion') <= 1))", 1.0)], 200, _by_dictionary)
 _search("search_boost", "die^3 que", "n0 > 0 or n1 > 0", [(_n("die"), 3.0), (_n("que"), 1.0)])
 
 
