@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.session import table
-from siftwood.sources import extractors
+from siftwood.sources import extractors, table_function
 
 
 def _zip(files: dict[str, str]) -> bytes:
@@ -152,10 +152,30 @@ def _query(ext: str):
     return run
 
 
+def _fields(data: bytes) -> str:
+    """The text of a file of name=value lines."""
+    return data.decode().replace("=", ": ")
+
+
+def extract_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """Files of two formats that are made known at run time, and of one that nobody knows, through the table function of SQL."""
+    more = [("fields", lambda mime, ext, size: ext == "fields", _fields), ("shout", lambda mime, ext, size: ext == "shout", lambda data: data.decode().upper())]
+    table_function.register(spark, more)
+    kind = F.element_at(F.array(F.lit("fields"), F.lit("shout"), F.lit("unknown")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    content = F.when(kind == "fields", F.concat(F.lit("name="), "p_name", F.lit("\ntype="), "p_type")).otherwise(F.col("p_name")).cast("binary")
+    table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/files/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content")).createOrReplaceTempView("siftwood_files")
+    return spark.sql("select f.id, e.extractor, e.outcome, e.text from siftwood_files f, lateral extract_file(f.path, f.content) e")
+
+
+LATERAL_SQL = """
+select p_partkey id, case p_partkey % 3 when 0 then 'fields' when 1 then 'shout' else '' end extractor, case p_partkey % 3 when 2 then 'skipped' else 'extracted' end outcome,
+  case p_partkey % 3 when 0 then 'name: ' || p_name || chr(10) || 'type: ' || p_type when 1 then upper(p_name) end as text from part"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"extract_{ext}": _query(ext) for ext in FORMATS}
+    return {f"extract_{ext}": _query(ext) for ext in FORMATS} | {"extract_lateral": extract_lateral}
 
 
 def oracles() -> dict[str, str]:
     rows = "(select p_partkey id, p_name a, p_type b, p_brand c from part)"
-    return {f"extract_{ext}": f"select '/files/' || id || '.{ext}' as path, '{name}' extractor, 'extracted' outcome, {text} as text from {rows}" for ext, (name, _, text) in FORMATS.items()}
+    return {f"extract_{ext}": f"select '/files/' || id || '.{ext}' as path, '{name}' extractor, 'extracted' outcome, {text} as text from {rows}" for ext, (name, _, text) in FORMATS.items()} | {"extract_lateral": LATERAL_SQL}

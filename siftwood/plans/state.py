@@ -246,14 +246,14 @@ def pagination(spark, d):
 # Lists and state tables.
 
 
-@query("trust_list", "select distinct lower(p_brand) publisher from part order by 1 limit 20")
+@query("trust_list", "select distinct lower(p_brand) publisher from part")
 def trust_list(spark, d):
-    return trust.listed(table(spark, d, "part").select(F.lower("p_brand").alias("publisher")).distinct()).limit(20)
+    return trust.listed(table(spark, d, "part").select(F.lower("p_brand").alias("publisher")).distinct())
 
 
-@query("manifest_list", "select distinct p_name keyword from part order by 1 limit 30")
+@query("manifest_list", "select distinct p_name keyword from part")
 def manifest_list(spark, d):
-    return postings.manifest_keywords(table(spark, d, "part").select(F.col("p_name").alias("keyword"))).limit(30)
+    return postings.manifest_keywords(table(spark, d, "part").select(F.col("p_name").alias("keyword")))
 
 
 _SORTS = {"name": ("name", False), "status": ("status", True), "progress": ("progress", False), "size": ("size", True), "peers": ("peers", False), "down_rate": ("down_rate", True), "up_rate": ("up_rate", False), "indexing": ("indexing", False), "signed_by": ("signed_by", False)}

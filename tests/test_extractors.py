@@ -96,3 +96,15 @@ def test_files(spark, tmp_path):
     rows = x.extracted(x.read_files(spark, str(tmp_path))).collect()
     assert {r.path.rsplit("/", 1)[-1] for r in rows if r.outcome == "extracted"} == set(CASES)
     assert x.folder_bytes(spark, str(tmp_path)).first().files == len(CASES) + 1
+
+
+def test_table_function_of_sql(spark):
+    """Own extractors travel with the function; null files are skipped; texts come in chunks."""
+    from siftwood.sources import table_function
+
+    before = list(x.REGISTRY)
+    table_function.register(spark, [("own", lambda mime, ext, size: ext == "own", lambda data: ["one", data.decode()])], "extract_own")
+    spark.createDataFrame([(1, "a.own", b"two"), (2, "b.txt", b"plain"), (3, None, b"x"), (4, "c.own", None), (5, "d.bin", b"\0")], "id int, path string, content binary").createOrReplaceTempView("own_files")
+    rows = spark.sql("select id, e.extractor, e.outcome, e.chunk_index, e.text from own_files f, lateral extract_own(f.path, f.content) e").collect()
+    assert {tuple(r) for r in rows} == {(1, "own", "extracted", 0, "one"), (1, "own", "extracted", 1, "two"), (2, "plaintext", "extracted", 0, "plain"), (3, "", "skipped", None, None), (4, "", "skipped", None, None), (5, "", "skipped", None, None)}
+    assert x.REGISTRY == before
