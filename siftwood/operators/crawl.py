@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from siftwood.functions import bencode, ed25519
 from siftwood.operators import documents, snapshot
+from siftwood.session import spread
 
 #: Keys of a metainfo's publisher and signature, and what precedes the info hash in the signed message.
 KEY_FIELD, SIG_FIELD, DOMAIN = b"publisher.pubkey", b"publisher.sig", b"siftwood-metainfo-v1:"
@@ -30,13 +31,18 @@ def sampled(responses: DataFrame) -> DataFrame:
 
 def signed_metainfo(info: bytes, seed: bytes) -> bytes:
     """A metainfo with this encoded info dictionary, signed."""
-    sig = ed25519.sign(seed, DOMAIN + hashlib.sha1(info).digest())
-    parts = {b"info": info, KEY_FIELD: bencode.encode(ed25519.public_key(seed)), SIG_FIELD: bencode.encode(sig)}
-    return b"d" + b"".join(bencode.encode(k) + v for k, v in sorted(parts.items())) + b"e"
+    return signed_metainfos([info], seed)[0]
 
 
-def metainfo_class(raw: bytes | None) -> tuple[str, bytes | None]:
-    """(class, publisher) of a fetched metainfo; the publisher of a bad signature is the claimed one."""
+def signed_metainfos(infos: list[bytes], seed: bytes) -> list[bytes]:
+    """Metainfos with these encoded info dictionaries, signed."""
+    key, sigs = bencode.encode(ed25519.public_key(seed)), ed25519.sign_all(seed, [DOMAIN + hashlib.sha1(i).digest() for i in infos])
+    parts = [{b"info": i, KEY_FIELD: key, SIG_FIELD: bencode.encode(s)} for i, s in zip(infos, sigs, strict=True)]
+    return [b"d" + b"".join(bencode.encode(k) + v for k, v in sorted(p.items())) + b"e" for p in parts]
+
+
+def _opened(raw: bytes | None) -> tuple[str | None, tuple[bytes, bytes, bytes] | None]:
+    """(class, None) of a fetched metainfo, or (None, (key, message, signature)) where its signature decides."""
     if raw is None:
         return "fetch_error", None
     try:
@@ -51,20 +57,34 @@ def metainfo_class(raw: bytes | None) -> tuple[str, bytes | None]:
             return "malformed", None
     except (ValueError, KeyError, TypeError, IndexError, AttributeError):
         return "malformed", None
-    return ("forwarded" if ed25519.verify(key, DOMAIN + hashlib.sha1(info).digest(), sig) else "bad_signature"), key
+    return None, (key, DOMAIN + hashlib.sha1(info).digest(), sig)
+
+
+def metainfo_classes(raws: list[bytes | None]) -> list[tuple[str, bytes | None]]:
+    """(class, publisher) of fetched metainfos; the publisher of a bad signature is the claimed one."""
+    found = [_opened(r) for r in raws]
+    valid = iter(ed25519.verify_all([s for _, s in found if s]))
+    return [(kind, None) if s is None else ("forwarded" if next(valid) else "bad_signature", s[0]) for kind, s in found]
+
+
+def metainfo_class(raw: bytes | None) -> tuple[str, bytes | None]:
+    return metainfo_classes([raw])[0]
 
 
 def crawled(samples: DataFrame, fetched: DataFrame) -> DataFrame:
-    """samples(infohash) with class and publisher (hex): fetched(infohash, raw binary) holds what could be fetched, once an infohash."""
-    rows = samples.join(fetched.select("infohash", "raw"), "infohash", "left")
-    columns = samples.columns
+    """samples(infohash) with class and publisher (hex): fetched(infohash, raw binary) holds what could be fetched, once an infohash.
+
+    What was fetched is classed before it meets the samples, so that an infohash sampled often is verified once.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [metainfo_class(bytes(x) if x is not None else None) for x in f["raw"]]
-            yield f[columns].assign(**{"class": [k for k, _ in found], "publisher": [p.hex() if p else None for _, p in found]})
+            found = metainfo_classes([bytes(x) if x is not None else None for x in f["raw"]])
+            yield pd.DataFrame({"infohash": f["infohash"], "class": [k for k, _ in found], "publisher": [p.hex() if p else None for _, p in found]})
 
-    return rows.select(*columns, "raw").mapInPandas(run, StructType([*samples.schema]).add("class", "string").add("publisher", "string"))
+    classed = spread(fetched.select("infohash", "raw")).mapInPandas(run, StructType([fetched.schema["infohash"]]).add("class", "string").add("publisher", "string"))
+    rows = samples.join(classed, "infohash", "left")
+    return rows.select(*samples.columns, F.coalesce("class", F.lit("fetch_error")).alias("class"), "publisher")
 
 
 def outcomes(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwood.functions import bencode
 from siftwood.functions import text as T
 from siftwood.operators import crawl, documents, merge, peers, postings, records, sketches, snapshot, transfers, trust
-from siftwood.session import table, work_dir
+from siftwood.session import spread, table, work_dir
 from siftwood.sources import extractors, tables
 from siftwood.streaming import state as streams
 
@@ -49,14 +49,15 @@ def _crawled(spark: SparkSession, d: str) -> DataFrame:
 
     def make(frames):
         for f in frames:
-            raw = []
-            for k in f.k:
-                info = bencode.encode({"length": int(k) + 1, "name": f"n{k}"})
-                good = crawl.signed_metainfo(info, bytes([k % 3 + 1]) * 32)
-                raw.append({0: good, 1: good.replace(b"4:name", b"4:nome"), 2: b"d4:info" + info + b"e", 3: b"d4:info"}.get(k % 5))
+            keys, infos = f.k.tolist(), [bencode.encode({"length": k + 1, "name": f"n{k}"}) for k in f.k.tolist()]
+            raw = [{2: b"d4:info" + info + b"e", 3: b"d4:info"}.get(k % 5) for k, info in zip(keys, infos, strict=True)]
+            for s in range(3):
+                own = [i for i, k in enumerate(keys) if k % 5 < 2 and k % 3 == s]
+                for i, good in zip(own, crawl.signed_metainfos([infos[i] for i in own], bytes([s + 1]) * 32), strict=True):
+                    raw[i] = good.replace(b"4:name", b"4:nome") if keys[i] % 5 else good
             yield pd.DataFrame({"infohash": f.infohash, "raw": raw})
 
-    fetched = rows.mapInPandas(make, "infohash string, raw binary").filter("raw is not null")
+    fetched = spread(rows).mapInPandas(make, "infohash string, raw binary").filter("raw is not null")
     return crawl.crawled(rows, fetched)
 
 

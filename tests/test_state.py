@@ -43,6 +43,19 @@ def test_metainfo_classes():
     assert crawl.metainfo_class(short) == ("malformed", None)
 
 
+def test_metainfos_are_classed_by_many_tasks_and_once_each(spark):
+    infos = [bencode.encode({"length": i, "name": "n"}) for i in range(20)]
+    raws = crawl.signed_metainfos(infos, B)
+    assert raws[3] == crawl.signed_metainfo(infos[3], B)
+    raws[5] = raws[5].replace(b"1:n", b"1:m")
+    fetched = spark.createDataFrame([(str(i), r) for i, r in enumerate(raws)], "infohash string, raw binary").coalesce(1)
+    samples = spark.createDataFrame([(str(i), n) for i in range(21) for n in range(3)], "infohash string, node int")
+    out = crawl.crawled(samples, fetched)
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().toString()
+    assert {(r.infohash, r["class"]) for r in out.collect()} == {(str(i), {5: "bad_signature", 20: "fetch_error"}.get(i, "forwarded")) for i in range(21)}
+    assert out.count() == 63
+
+
 def test_samples_and_gossip(spark):
     rows = spark.createDataFrame([("n", A[:20] + B[:20] + b"x", 1, 2), ("m", b"", 1, 0), ("k", None, 1, 0)], "node string, samples binary, interval int, num int")
     assert [(r.node, r.place, r.infohash) for r in crawl.sampled(rows).orderBy("place").collect()] == [("n", 0, "01" * 20), ("n", 1, "02" * 20)]
