@@ -41,6 +41,26 @@ def test_signatures():
     assert ed25519.verify(ed25519.public_key(seed), b"", sig) and not ed25519.verify(ed25519.public_key(seed), b"x", sig)
 
 
+def test_many_signatures_at_once():
+    seeds = [bytes([i]) * 32 for i in range(3)]
+    texts = [b"%d" % i for i in range(30)]
+    sigs = [ed25519.sign_all(s, texts) for s in seeds]
+    assert all(sigs[k][i] == ed25519.sign(seeds[k], texts[i]) for k in range(3) for i in range(30))
+    rows = [(ed25519.public_key(s), t, x) for s, many in zip(seeds, sigs, strict=True) for t, x in zip(texts, many, strict=True)]
+    rows[4] = (rows[4][0], b"other", rows[4][2])
+    rows[50] = (rows[50][0], rows[50][1], rows[50][2][:32] + bytes([rows[50][2][32] ^ 1]) + rows[50][2][33:])
+    rows[70] = (b"short", *rows[70][1:])
+    rows[71] = ((2**255 - 1).to_bytes(32, "little"), *rows[71][1:])  # no point
+    assert [i for i, ok in enumerate(ed25519.verify_all(rows)) if not ok] == [4, 50, 70, 71]
+
+
+def test_records_are_signed_by_many_tasks(spark):
+    rows = spark.createDataFrame([("kw", bytes(20), i) for i in range(9)], "kw string, ih binary, t long").coalesce(1)
+    signed = records.signed(rows, bytes(32))
+    assert signed.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert records.verified(signed).count() == 9
+
+
 def test_bencode():
     value = {"b": [1, -2, b"x"], "a": {"k": "v"}}
     assert bencode.encode(value) == b"d1:ad1:k1:ve1:bli1ei-2e1:xee" and bencode.encode(bencode.decode(bencode.encode(value))) == bencode.encode(value)
