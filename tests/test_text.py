@@ -54,3 +54,8 @@ def test_small_helpers(spark):
     assert T.sanitised(b"\xef\xbb\xbfa\xffb") == "a�b" and T.squeezed_lines("a \n\n\n b\n") == "a\n\n b"
     out = spark.range(1).select(T.highlight(F.lit("Two herons stood by the weir until dusk."), ["weir"]).alias("h")).first().h
     assert "<mark>weir</mark>" in out[0]
+
+
+def test_references_without_a_semicolon():
+    assert T.html_text("<p>a&amp<b>b</b> &amp; &#39;&lt;i&gt; &amp x & &nosuch; &copy</p>") == "a&b & '<i> & x & &nosuch; ©"
+    assert T.html_text("<p>a&amp<b>b</b> &amp; &#39;&lt;i&gt; &amp x & &nosuch; &copy</p>", open_references=False) == "a&ampb & '<i> &amp x & &nosuch; &copy"
