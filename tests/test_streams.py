@@ -3,8 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
+from siftwood.plans import streams as plans
 from siftwood.streaming import feeds, keyed
 from siftwood.streaming import state as streams
 
@@ -118,3 +120,13 @@ def test_deadlines(spark, slices):
 def test_no_rows(spark):
     table = feeds.time_slices(spark.createDataFrame([], "node string, peer string, ts timestamp, seq long, kind string"), "ts", 2)
     assert feeds.fed(table, 2, keyed.peer_books).count() == 0
+
+
+def test_deadlines_of_the_last_minute_are_told(spark, tmp_path):
+    rows = ", ".join(f"({i}, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {i * 10}), {i % 5})" for i in range(40))
+    spark.sql(f"select cast(c1 as long) event_id, c2 ts, cast(c3 as long) user_id from values {rows} as t(c1, c2, c3)").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(plans.ORACLES["stream_deadlines"]).fetchall()
+    assert len(want) == 20 and (36, "1", "timeout") in want
+    assert sorted(tuple(r) for r in plans.QUERIES["stream_deadlines"](spark, str(tmp_path)).collect()) == sorted(want)
