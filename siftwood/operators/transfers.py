@@ -53,15 +53,16 @@ def completed_files(spans: DataFrame, pieces: DataFrame) -> DataFrame:
     return out.select("infohash", "file_index", "completed_at")
 
 
-def rates(samples: DataFrame, least_ms: int = 100) -> DataFrame:
+def rates(samples: DataFrame, least_ms: int = 100, order: list[str] | None = None) -> DataFrame:
     """Transfer rate by sample: bytes since the one before over the seconds between, not below 0.
 
-    A sample less than least_ms after the one before holds the last known rate; the first has 0.
+    A sample less than least_ms after the one before holds the last known rate and isn't `measured`; the first has 0.
+    order: what samples follow each other by, where times alone (ts) leave ties.
     """
-    w = Window.partitionBy("infohash").orderBy("ts")
+    w = Window.partitionBy("infohash").orderBy(*(order or ["ts"]))
     ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.lag("ts").over(w).cast("timestamp"))
     moved = F.greatest(F.col("bytes") - F.lag("bytes").over(w), F.lit(0))
-    known = samples.withColumn("_rate", F.when(ms >= least_ms, moved * 1000.0 / ms))
+    known = samples.withColumn("_rate", F.when(ms >= least_ms, moved * 1000.0 / ms)).withColumn("measured", F.coalesce(ms >= least_ms, F.lit(True)))
     held = F.last("_rate", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return known.withColumn("rate", F.coalesce(held, F.lit(0.0))).drop("_rate")
 

@@ -113,6 +113,35 @@ def test_bloom(spark):
         sketches.bloom_from(sketches.bloom_bytes(array, bits, k)[:-1])
 
 
+@pytest.mark.parametrize("name", ["bloom_estimate", "bloom_flag"])
+def test_bloom_queries_hold_where_an_even_filter_would_not(spark, tmp_path, name):
+    """3409 items would get 32676 bits, and the probes of an even number overlap."""
+    import duckdb
+
+    from siftwood.plans import catalog
+
+    spark.range(10000).select(F.col("id").alias("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(3409).select((F.col("id") * 2).alias("doc_id"), F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()] == con.execute(catalog.ORACLES[name]).fetchall()
+    assert all(sketches.bloom_size(n, 0.01)[0] % 2 for n in range(1, 99))
+
+
+def test_transfer_rate_leaves_out_samples_too_near(spark, tmp_path):
+    import duckdb
+
+    from siftwood.plans import catalog
+
+    rows = "(1, timestamp_ntz'2024-01-01 00:00:00', 1, 5D), (2, timestamp_ntz'2024-01-01 00:00:00.05', 1, 6D), (4, timestamp_ntz'2024-01-01 00:00:01', 1, 9D), (3, timestamp_ntz'2024-01-01 00:00:01', 1, 7D), (5, timestamp_ntz'2024-01-01 00:00:03', 1, 10D)"
+    spark.sql(f"select * from values {rows} as t(event_id, ts, user_id, value)").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["transfer_rate"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.QUERIES["transfer_rate"](spark, str(tmp_path)).collect()) == sorted(want) and len(want) == 3
+
+
 @pytest.mark.parametrize("shared,remote,local", [(10, 5, 3), (500, 50, 50), (5, 0, 0), (0, 3, 0)])
 def test_reconciliation(spark, shared, remote, local):
     ids = lambda kind, n: [(sketches.element(f"{kind}{i}"),) for i in range(n)]
