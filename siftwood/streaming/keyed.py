@@ -194,7 +194,10 @@ CACHE_EVENTS = "cache string, ts timestamp, seq long, id string, action string,
 
 
 class RecordCache(StatefulProcessor):
-    """The records of one cache: a bounded map from ids to their place in the queue; places of removed records stay in the queue until they come up."""
+    """The records of one cache: a bounded map from ids to their place in the queue; places of removed records stay in the queue until they come up.
+
+    A batch asks the state once for each id and each old place that comes up, and writes back what has changed in the end.
+    """
 
     def __init__(self, places: int):
         self.most = places
@@ -206,27 +209,44 @@ class RecordCache(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         head, tail, n = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        start, stop = head, tail
+        before: dict[str, bool] = {}  # whether an id was held
+        held: dict[str, tuple | None] = {}  # its value now, () for that of before, None if it isn't held
+        new: dict[int, str] = {}  # places of this batch
+
+        def holds(id: str) -> bool:
+            if id not in before:
+                before[id] = self.held.containsKey((id,))
+                held[id] = () if before[id] else None
+            return held[id] is not None
+
         for r in _ordered(rows):
             action, evicted = "ignored", None
-            known = self.held.containsKey((r.id,))
+            known = holds(r.id)
             if r.kind == "add":
                 action = "repeated" if known else "added"
                 if not known:
                     while n >= self.most > 0 and head < tail:
-                        (first,) = self.queue.getValue((head,))
-                        self.queue.removeKey((head,))
+                        first = new.pop(head) if head >= stop else self.queue.getValue((head,))[0]
                         head += 1
-                        if self.held.containsKey((first,)):
-                            self.held.removeKey((first,))
-                            evicted, n = first, n - 1
+                        if holds(first):
+                            held[first], evicted, n = None, first, n - 1
                             break
-                    self.queue.updateValue((tail,), (r.id,))
+                    new[tail] = r.id
                     tail, n = tail + 1, n + 1
-                self.held.updateValue((r.id,), (r.t or 0,))
+                held[r.id] = (r.t or 0,)
             elif r.kind == "remove" and known:
-                action, n = "removed", n - 1
-                self.held.removeKey((r.id,))
+                action, n, held[r.id] = "removed", n - 1, None
             yield Row(cache=key[0], ts=r.ts, seq=r.seq, id=r.id, action=action, evicted=evicted, n_held=n)
+        for place in range(start, min(head, stop)):
+            self.queue.removeKey((place,))
+        for place, id in new.items():
+            self.queue.updateValue((place,), (id,))
+        for id, value in held.items():
+            if value is None and before[id]:
+                self.held.removeKey((id,))
+            elif value:
+                self.held.updateValue((id,), value)
         self.ends.update((head, tail, n))
 
     def close(self) -> None:

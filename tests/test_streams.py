@@ -130,3 +130,44 @@ def test_deadlines_of_the_last_minute_are_told(spark, tmp_path):
     want = con.execute(plans.ORACLES["stream_deadlines"]).fetchall()
     assert len(want) == 20 and (36, "1", "timeout") in want
     assert sorted(tuple(r) for r in plans.QUERIES["stream_deadlines"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_a_cache_asks_its_state_once_for_each_id():
+    from pyspark.sql import Row
+
+    class Held(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            self.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            self.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            self.calls += 1
+            del self[k]
+
+    class Ends:
+        now = None
+        exists = lambda self: self.now is not None
+        get = lambda self: self.now
+
+        def update(self, v):
+            self.now = v
+
+    rnd = random.Random(1)
+    rows = [Row(id=str(rnd.randrange(12)), t=i, ts=at(i), seq=i, kind=rnd.choice(["add", "add", "remove"])) for i in range(3000)]
+    runs = []
+    for step in (1, 1000):  # a batch for each row, and large batches
+        cache = keyed.RecordCache(4)
+        cache.held, cache.queue, cache.ends = Held(), Held(), Ends()
+        runs.append(([tuple(r) for i in range(0, len(rows), step) for r in cache.handleInputRows(("c",), iter(rows[i : i + step]), None)], dict(cache.held), dict(cache.queue), cache.ends.now))
+    assert runs[0] == runs[1] and len(runs[1][0]) == 3000
+    assert cache.held.calls + cache.queue.calls < 300
