@@ -97,6 +97,27 @@ def _numbered(items: DataFrame, entries: dict[int, tuple[int, int]], room: int)
     return rows.mapInPandas(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in items.schema.fields) + ", page long, opens boolean")
 
 
+def _placed(items: DataFrame, entries: dict[int, tuple[int, int]], opening: DataFrame) -> DataFrame:
+    """items with the number of their page, from the places (at_part, at_place) where pages open: rows are neither shuffled nor sorted.
+
+    Tasks get two numbers for each page, which are to its records as 16 bytes are to 16 KiB.
+    """
+    at = opening.select("at_part", "at_place").toPandas().sort_values(["at_part", "at_place"])
+    opens = {int(p): f.to_numpy() for p, f in at.groupby("at_part")["at_place"]}
+    sent = items.sparkSession.sparkContext.broadcast({p: (number, opens.get(p, np.zeros(0, np.int64))) for p, (_, number) in entries.items()})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts, place, numbers = f["part"].to_numpy(), f["place"].to_numpy(), np.zeros(len(f), np.int64)
+            for p in np.unique(parts):
+                number, places = sent.value[int(p)]
+                on = parts == p
+                numbers[on] = number - 1 + np.searchsorted(places, place[on], "right")
+            yield f.assign(page=numbers)
+
+    return items.mapInPandas(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in items.schema.fields) + ", page long")
+
+
 def _commit(folder: str, name: str, data: bytes) -> None:
     """A file under a temporary name, then moved to its place."""
     system, path = fs.FileSystem.from_uri(folder)
@@ -108,7 +129,10 @@ def _commit(folder: str, name: str, data: bytes) -> None:
 
 
 def _written(numbered: DataFrame, folder: str, kind: int, level: int, start: int, page_size: int) -> DataFrame:
-    """Write a level's pages from numbered(part, place, page, opens, key, code, digest): rows (page, key, digest, path, first, n), path only at the first page of a file."""
+    """Write a level's pages from numbered(part, place, page, key, code, digest): rows (page, key, digest, path, first, n), path only at the first page of a file.
+
+    Leaves have no column digest: what counts of a record is its code behind the length.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, pages, rows, codes, digests, at, key = None, [], [], [], [], None, None
@@ -129,7 +153,8 @@ def _written(numbered: DataFrame, folder: str, kind: int, level: int, start: int
             return out
 
         for f in frames:
-            for number, k, code, digest in zip(f["page"].tolist(), f["key"], f["code"], f["digest"], strict=True):
+            own = f["digest"] if kind != LEAF else [_behind_length(bytes(c)) for c in f["code"]]
+            for number, k, code, digest in zip(f["page"].tolist(), f["key"], f["code"], own, strict=True):
                 if number != at:
                     close_page()
                     if number // FILE_PAGES != file:
@@ -144,7 +169,14 @@ def _written(numbered: DataFrame, folder: str, kind: int, level: int, start: int
             yield close_file()
 
     rows = numbered.withColumn("file", F.floor(F.col("page") / FILE_PAGES)).repartition("file").sortWithinPartitions("page", "part", "place")
-    return rows.select("page", "key", "code", "digest").mapInPandas(run, "page long, key binary, digest binary, path string, first long, n long")
+    return rows.select("page", "key", "code", *(["digest"] if kind != LEAF else [])).mapInPandas(run, "page long, key binary, digest binary, path string, first long, n long")
+
+
+def _behind_length(code: bytes) -> bytes:
+    at = 0
+    while code[at] & 0x80:
+        at += 1
+    return code[at + 1 :]
 
 
 def _saved(df: DataFrame, path: str) -> DataFrame:
@@ -166,20 +198,21 @@ def write_tree(records: DataFrame, folder: str, seed: bytes, seq: int = 1, creat
             raw = [encoded(bytes(r.pk), r.kw, bytes(r.ih), int(r.t), int(r.pow), bytes(r.sig)) for r in f.itertuples(index=False)]
             framed = [uvarint(len(x)) + x for x in raw]
             keys = [kw.encode() + b"\0" + bytes(ih) for kw, ih in zip(f["kw"], f["ih"], strict=True)]
-            yield pd.DataFrame({"part": f["part"], "place": np.arange(place, place + len(f)), "size": [len(x) for x in framed], "key": keys, "code": framed, "digest": raw})
+            yield pd.DataFrame({"part": f["part"], "place": np.arange(place, place + len(f)), "size": [len(x) for x in framed], "key": keys, "code": framed})
             place += len(f)
 
     rows = in_order(well_formed(records)).select("pk", "kw", "ih", "t", "pow", "sig").withColumn("part", F.spark_partition_id())
-    items = _saved(rows.mapInPandas(code, "part int, place long, size int, key binary, code binary, digest binary"), f"{work}/items")
-    plans, level_items = [], items
+    items = _saved(rows.mapInPandas(code, "part int, place long, size int, key binary, code binary"), f"{work}/items")
+    plans, level_items, leaves = [], items, None
     while not plans or plans[-1][2] > 1 or len(plans) < 2:
         entries, n = _entries(level_items, room)
         if not n:
             raise ValueError("no records")
         plans.append((level_items, entries, n))
         opening = _numbered(level_items.select("part", "place", "size", "key"), entries, room).filter("opens")
-        below = opening.select((F.col("page") / 65536).cast("int").alias("part"), F.col("page").alias("place"), _key_bytes(F.octet_length("key")).alias("size"), "key")
+        below = opening.select((F.col("page") / 65536).cast("int").alias("part"), F.col("page").alias("place"), _key_bytes(F.octet_length("key")).alias("size"), "key", F.col("part").alias("at_part"), F.col("place").alias("at_place"))
         level_items = _saved(below, f"{work}/keys{len(plans)}")
+        leaves = level_items if leaves is None else leaves
     starts = np.cumsum([0] + [n for *_, n in plans[:0:-1]]).tolist()[::-1]  # of the levels from the leaves up
     manifest, digests = None, None
     for level, (these, entries, n) in enumerate(plans):
@@ -187,7 +220,11 @@ def write_tree(records: DataFrame, folder: str, seed: bytes, seq: int = 1, creat
             child = F.col("place") + starts[level - 1]
             number = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(child), 8, "0"), 7 - 2 * i, 2) for i in range(4)]))
             these = these.join(digests.select(F.col("page").alias("place"), "digest"), "place").withColumn("code", F.concat(_varint(F.octet_length("key")), "key", number))
-        made = _written(_numbered(these.select("part", "place", "size", "key", "code", "digest"), entries, room), folder, LEAF if not level else ROOT if level == len(plans) - 1 else INTERIOR, level, starts[level], page_size)
+        if level:
+            numbered = _numbered(these.select("part", "place", "size", "key", "code", "digest"), entries, room)
+        else:
+            numbered = _placed(these.select("part", "place", "key", "code"), entries, leaves)
+        made = _written(numbered, folder, LEAF if not level else ROOT if level == len(plans) - 1 else INTERIOR, level, starts[level], page_size)
         digests = _saved(made, f"{work}/level{level}")
         files = digests.filter("path is not null").select(F.lit(level).alias("level"), "path", "first", "n", "key")
         manifest = files if manifest is None else manifest.unionByName(files)
@@ -196,6 +233,8 @@ def write_tree(records: DataFrame, folder: str, seed: bytes, seq: int = 1, creat
     fields = _TRAILER.pack(MERKLE_VERSION, ed25519.public_key(seed), seq, created, 0, pages, count, min_bits, root)
     _commit(folder, f"pages-{pages - 1:012d}", page(TRAILER, 0, fields + ed25519.sign(seed, fields), page_size))
     manifest.write.parquet(f"{folder}/_manifest")
+    path = spark._jvm.org.apache.hadoop.fs.Path(work)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return {"pages": pages, "records": count, "levels": [n for *_, n in plans], "fingerprint": root.hex()}
 
 

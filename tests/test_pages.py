@@ -103,3 +103,16 @@ def test_bad_records_fall_out_when_verified(spark):
 def test_no_records(spark):
     with pytest.raises(ValueError):
         pages.write_tree(made(spark, 1).limit(0), work_dir(spark), SEED)
+
+
+def test_leaves_are_placed_without_a_shuffle(spark):
+    """Records go to their leaves once, in one form: no sort by part before the one by file, no second copy of the bytes."""
+    items = spark.range(0, 500, 1, 3).select((F.col("id") % 3).cast("int").alias("part"), F.floor(F.col("id") / 3).alias("place"), (F.col("id") % 7 + 3).cast("int").alias("size")).localCheckpoint()
+    entries, _ = pages._entries(items, 40)
+    numbered = pages._numbered(items, entries, 40)
+    opening = numbered.filter("opens").select(F.col("part").alias("at_part"), F.col("place").alias("at_place"))
+    placed = pages._placed(items, entries, opening)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.part, r.place, r.page) for r in df.collect())
+    assert rows(placed) == rows(numbered)
+    assert pages._behind_length(b"\x85\x01abc") == b"abc" and pages._behind_length(b"\x03abc") == b"abc"
