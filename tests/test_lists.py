@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwood.operators import records, sketches
+from siftwood.operators import reconcile, records, sketches
 from siftwood.plans import catalog
 
 PK, OTHER, A, B = b"p" * 32, b"q" * 32, b"a" * 20, b"b" * 20
@@ -36,6 +36,7 @@ def test_differences_as_single_records(spark, sides):
     for a, b in (sides, sides[::-1], (sides[0], sides[0]), (sides[0], sides[1].limit(0))):
         want = sorted(sketches.set_difference(ids(a), ids(b)).collect())
         assert sorted(records.difference_of_lists(a, b).collect()) == want
+        assert sorted(reconcile.reconciled_lists(a, b).collect()) == want
 
 
 def test_records_are_not_shuffled(spark, tmp_path):
