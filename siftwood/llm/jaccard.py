@@ -31,8 +31,9 @@ FLUSH = 6_000_000
 BLOCK = 256
 #: Rows of a bucket that meet in one piece of a task.
 MEETING = 512
-#: Bins of the sketches, and first signatures, that such a row carries.
+#: Bins of the sketches, and first signatures, that such a row carries; bins of two bits that stand for sketches of up to CAPPED bins.
 FOLDED, FIRSTS = 128, 8
+NARROW, CAPPED, CAP = 512, 1024, 3
 #: Bits a document, and the least and most bits, of the filter for documents that verification needs.
 FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
@@ -76,6 +77,34 @@ def folded(x: bytes, bins: int) -> bytes:
     return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
 
 
+def carried(x: bytes) -> bytes:
+    """A sketch in at most 2 + NARROW / 4 bytes: middle ones as counts of two bits, four a byte, behind the sum of what is above CAP; long ones folded."""
+    if not FOLDED < len(x) <= CAPPED:
+        return folded(x, FOLDED)
+    count = np.frombuffer(x, np.uint8).reshape(-1, min(len(x), NARROW)).sum(0, dtype=np.int64)
+    low = np.minimum(count, CAP)
+    return int((count - low).sum()).to_bytes(2, "little") + (low.reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8).tobytes()
+
+
+class Carried:
+    """Carried sketches of several sets, for upper bounds of intersections."""
+
+    def __init__(self, rows: list[bytes]):
+        self.over, plain = np.zeros(len(rows), np.int64), []
+        for i, x in enumerate(rows):
+            if len(x) % 4 == 2:  # plain ones have a power of two of bins, 16 at least
+                self.over[i] = int.from_bytes(x[:2], "little")
+                x = ((np.frombuffer(x, np.uint8, offset=2)[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & CAP).astype(np.uint8).tobytes()
+            plain.append(x)
+        self.sketches = Sketches(plain)
+
+    def bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The most tokens that sets x and y can share. What is above CAP only meets its like in equal bins; else it may meet anything."""
+        a, b, bins = self.over[x], self.over[y], self.sketches.bins
+        same = (bins[x] == bins[y]) & (bins[x] > FOLDED)
+        return self.sketches.bound(x, y) + np.where(same, np.minimum(a, b), a + b)
+
+
 class Sketches:
     """Sketches of several sets, for upper bounds of intersections."""
 
@@ -317,7 +346,7 @@ def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: st
     """Distinct pairs (a, b) of one bucket that lie in different parts and that sizes and sketches leave room for.
 
     open_rows: sig, id, n, part. Buckets are cut into blocks that meet pairwise, and a task compares
-    folded sketches of the blocks that it holds, so only pairs that may be links leave it. A row
+    short sketches of the blocks that it holds, so only pairs that may be links leave it. A row
     carries its document's first signatures: a pair that shares an earlier one of them is left to
     that bucket, so few pairs leave twice.
     """
@@ -326,7 +355,7 @@ def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: st
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("firsts"), pa.array([folded(v, FOLDED) for v in x.column("sketch").to_pylist()], pa.binary())], names=["id", "firsts", "sketch"])
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("firsts"), pa.array([carried(v) for v in x.column("sketch").to_pylist()], pa.binary())], names=["id", "firsts", "sketch"])
 
     facts = saved(facts.select("id", "firsts", "sketch").mapInArrow(fold, "id long, firsts array<long>, sketch binary"), work)
     rows = open_rows.withColumn("blocks", F.ceil(F.expr("count(*) over (partition by sig)") / MEETING).cast("int")).join(facts, "id")
@@ -339,7 +368,7 @@ def crossing(open_rows: DataFrame, base: DataFrame, num: int, den: int, work: st
         key = [t.column(k).to_numpy() for k in keys]
         block, ids, n, part = (t.column(k).to_numpy().astype(np.int64) for k in ("block", "id", "n", "part"))
         group = np.cumsum(np.concatenate([[False], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
-        apart, known, out = key[1] != key[2], Sketches(t.column("sketch").to_pylist()), []
+        apart, known, out = key[1] != key[2], Carried(t.column("sketch").to_pylist()), []
         firsts = np.full((len(t), FIRSTS), np.iinfo(np.int64).max)
         for i, x in enumerate(t.column("firsts").to_pylist()):
             firsts[i, : len(x)] = x

@@ -108,3 +108,27 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (3, "A B C D E F"), (None, "a b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in jaccard.near_duplicates(df).collect())
     assert got == [(False, 3, 3), (False, 7, 3), (False, 7, 3), (True, 0, 3)]
+
+
+def test_carried_sketches_bound_intersections():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), np.uint64)) for n in rng.integers(1, 1500, 120)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 7 // 8], rng.integers(0, 1 << 63, len(x) // 8 + 1, np.uint64)])) for x in sets]
+    sets += [np.arange(300, dtype=np.uint64) << np.uint64(20), np.arange(700, dtype=np.uint64) << np.uint64(9)]  # all in one bin, or a few
+    rows = [jaccard.carried(jaccard.sketch(x)) for x in sets]
+    assert max(map(len, rows)) <= 2 + jaccard.NARROW // 4
+    x, y = np.triu_indices(len(sets))
+    most = jaccard.Carried(rows).bound(x, y)
+    assert all(m >= len(np.intersect1d(sets[i], sets[j])) for i, j, m in zip(x.tolist(), y.tolist(), most.tolist(), strict=True))
+
+
+def test_sets_below_the_threshold_do_not_leave_a_bucket(spark, tmp_path):
+    """400 tokens, of which any two share seven in ten: none of the pairs is a link, and none leaves; those that share more do."""
+    rng = np.random.default_rng(6)
+    new = lambda n: rng.integers(0, 1 << 62, n, np.uint64)
+    core = new(280)
+    sets = [np.concatenate([core, new(120)]) for _ in range(40)]
+    sets += [np.concatenate([sets[0][:380], new(20)])]
+    base = spark.createDataFrame([(i, len(x), 0, bytearray(jaccard.sketch(x))) for i, x in enumerate(sets)], "doc_id long, n int, digest long, sketch binary")
+    rows = spark.createDataFrame([(7, i, len(x), i) for i, x in enumerate(sets)], "sig long, id long, n int, part long")
+    assert [tuple(r) for r in jaccard.crossing(rows, base, 80, 100, f"file://{tmp_path}/facts").collect()] == [(0, 40)]
