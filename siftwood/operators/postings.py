@@ -39,10 +39,10 @@ def bounded_lists(hits: DataFrame, budget: int = LIST_BYTES) -> DataFrame:
 
     hits: publisher, keyword, infohash, name, seeders, size, files, seq. A later posting of an
     infohash replaces the earlier one in its place (its first seq); the oldest go until the list's
-    encoded size fits. Equal seqs are ordered by infohash.
+    encoded size fits. Equal seqs are ordered by infohash. Postings are shuffled once, by their list.
     """
     keys = ["publisher", "keyword"]
-    one = hits.groupBy(*keys, "infohash").agg(F.min("seq").alias("place"), F.max_by(F.struct("name", "seeders", "size", "files"), F.struct("seq", "name")).alias("r")).select(*keys, "infohash", "place", "r.*")
+    one = hits.repartition(*keys).groupBy(*keys, "infohash").agg(F.min("seq").alias("place"), F.max_by(F.struct("name", "seeders", "size", "files"), F.struct("seq", "name")).alias("r")).select(*keys, "infohash", "place", "r.*")
     one = one.withColumn("bytes", encoded_size(F.col("name"), F.col("seeders"), F.col("size"), F.col("files")))
     newest = Window.partitionBy(*keys).orderBy(F.desc("place"), F.desc("infohash")).rowsBetween(Window.unboundedPreceding, 0)
     return one.withColumn("used", F.sum("bytes").over(newest) + LIST_FRAME).filter(F.col("used") <= budget)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwood.operators import reconcile, records, sketches
+from siftwood.operators import postings, reconcile, records, sketches
 from siftwood.plans import catalog
 
 PK, OTHER, A, B = b"p" * 32, b"q" * 32, b"a" * 20, b"b" * 20
@@ -45,3 +45,9 @@ def test_records_are_not_shuffled(spark, tmp_path):
     for name in ("record_identity_dedupe", "set_diff_both", "need_and_missing"):
         plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(id" not in plan and "hashpartitioning(pk" in plan
+
+
+def test_postings_are_shuffled_once(spark):
+    hits = spark.createDataFrame([(1, "k", "h", "n", 1, 1, 0, 1)], "publisher long, keyword string, infohash string, name string, seeders long, size long, files long, seq long")
+    for rows in (postings.as_lists(postings.bounded_lists(hits)), postings.bounded_lists(hits)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
