@@ -111,12 +111,12 @@ class WordHashes:
     divided by the power of its place, so it depends on the word alone.
     """
 
-    def __init__(self):
-        self.power, self.inverse = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def __init__(self, least: int = PIECE + PIECE // 4):
+        self.power, self.inverse, self.least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), least
 
     def grow(self, n: int) -> None:
         if n > len(self.power):
-            n = max(n, PIECE + PIECE // 4)
+            n = max(n, self.least)
             for name, base in (("power", _MULTIPLIER), ("inverse", pow(_MULTIPLIER, -1, 1 << 64))):
                 steps = np.full(n, base, np.uint64)
                 steps[0] = 1

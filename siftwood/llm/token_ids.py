@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
-from .common import WordHashes, arrow_rows, mixed, saved, shared_dir, tidy
+from .common import WordHashes, arrow_rows, mixed, saved, shared_dir, tidy, trim
 
 #: Ids of a shard, at least, but for the last of a partition.
 SHARD_IDS = 1_000_000
@@ -27,7 +27,7 @@ SAMPLE = 1024
 #: Pieces whose ids a worker remembers; texts with a longer piece, in bytes, are encoded whole.
 MEMORY, LONGEST_PIECE = 1_000_000, 256
 #: Bytes of text whose pieces are looked up at once.
-GROUP = 1 << 19
+GROUP = 1 << 17
 #: Shards that a task reads back.
 READ_FILES = 6
 MAGIC = b"SWRP1\n"
@@ -35,8 +35,8 @@ MAGIC = b"SWRP1\n"
 # White space runs in which cutting before a space could split a piece of the tokenizer's pattern.
 _RUN = re.compile(r"\s \s|\s \Z")
 _TWO = re.compile(r"\s\s")
-#: Slots of the table of pieces; values of the bytes in the two hashes.
-SLOTS = 1 << 21
+#: Slots of the table of pieces at first, it doubles when half full; values of the bytes in the two hashes.
+SLOTS = 1 << 16
 VALUES = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -57,7 +57,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.powers = WordHashes()
+        self.powers = WordHashes(GROUP + GROUP // 4)
         self.opens = np.array([x.startswith(("\u0120", "\u010a")) for x in names])  # the byte-level signs of a space and a line feed
         self._clear()
 
@@ -77,24 +77,26 @@ class Encoder:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the pieces held, or -1: probing from the hash's own slot on."""
         out = np.full(len(h), -1, np.int64)
-        at, left = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        slots = len(self.table)
+        at, left = (h & np.uint64(slots - 1)).astype(np.int64), np.arange(len(h))
         while len(left):
             here = self.table[at[left]]
             hit = here == h[left]
             out[left[hit]] = self.slot[at[left[hit]]]
             left = left[~hit & (here != 0)]
-            at[left] = (at[left] + 1) % SLOTS
+            at[left] = (at[left] + 1) % slots
         return out
 
     def _insert(self, h: np.ndarray, place: np.ndarray) -> None:
         """Put distinct new hashes into the first free slots from their own on."""
-        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        slots = len(self.table)
+        at = (h & np.uint64(slots - 1)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
             free = left[self.table[at[left]] == 0]
             self.table[at[free]], self.slot[at[free]] = h[free], place[free]
             left = left[self.table[at[left]] != h[left]]
-            at[left] = (at[left] + 1) % SLOTS
+            at[left] = (at[left] + 1) % slots
 
     def _hold(self, h: np.ndarray, other: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Add pieces, by two hashes, with their ids, behind those that are held; starts count from there."""
@@ -105,8 +107,13 @@ class Encoder:
         new = slice(self.held, self.held + len(sizes))
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[new], self.sizes[new], self.hash[new], self.other[new] = self.used + starts, sizes, h, other
-        self._insert(h, np.arange(new.start, new.stop))
         self.used, self.held = self.used + len(flat), new.stop
+        if 2 * self.held > len(self.table):
+            slots = 1 << (2 * self.held).bit_length()
+            self.table, self.slot = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+            self._insert(self.hash[: self.held], np.arange(self.held))
+        else:
+            self._insert(h, np.arange(new.start, new.stop))
 
     def _forget(self) -> None:
         """Keep the pieces that were met again, at most half of MEMORY: those met most."""
@@ -252,14 +259,15 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
             above = np.cumsum(np.bincount(np.minimum(count, 1 << 12))[::-1])[::-1]  # buckets of at least so many pairs
             cut = least if all_buckets else max(least, int(np.flatnonzero(above >= 2 * room).max(initial=0)))  # pairs of rarer buckets are rarer still
             at = np.flatnonzero((count >= cut)[bucket])
-            key, bucket = key[at], bucket[at]
+            bucket = count = above = None
+            key = key[at]
         else:
             new = s >= fresh
             at = np.flatnonzero(new[:-1] | new[1:])
             key, cut = (s[at] << kind(shift)) | s[at + 1], least
         sort = np.sort(key)
         where = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(sort) else np.zeros(0, np.int64)
-        pairs, times = sort[where], np.diff(np.append(where, len(sort)))
+        pairs, times, sort = sort[where], np.diff(np.append(where, len(sort))), None
         order = np.lexsort((pairs, -times))
         best = frequent = pairs[order[times[order] >= least]]
         if fresh is None:
@@ -275,6 +283,7 @@ def re_pair(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int =
         if fresh is None:
             owner, symbol = np.zeros(1 << bits, kind), np.zeros(1 << bits, kind)
             owner[home(best)], symbol[home(best)] = best, symbols
+            bucket = home(key)
             hit = (owner[bucket] == key) & (symbol[bucket] > 0)
             at, given = at[hit], symbol[bucket[hit]]
         else:
@@ -415,7 +424,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         def flush():
             uri = f"{folder}/shard-{part:06d}-{seq:06d}.ids"
+            trim()  # what encoding left, before the shard's own arrays
             files.commit(uri, shard_bytes(ids, docs, first, max_rules, least))
+            trim()
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": uri, "n_docs": len(docs), "n_ids": size}], pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for b in batches:

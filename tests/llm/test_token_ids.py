@@ -84,3 +84,14 @@ def test_re_pair_ends_on_long_diverse_texts():
     ids = np.concatenate([ids[:6_000_000], np.tile(np.arange(100, dtype=np.uint32), 1000)])
     symbols, rules = t.re_pair(ids, 50_257)
     assert len(rules) and len(symbols) < 6_010_000 and np.array_equal(t.decoded(symbols, t.expansions(rules, 50_257)), ids)
+
+
+def test_encoder_holds_little_and_grows_with_its_pieces():
+    encoder = t.Encoder(t.default_tokenizer())
+    texts = [" ".join(f"w{i}x" for i in range(a, a + 5000)) for a in range(0, 60_000, 5000)]
+    held = lambda: sum(x.nbytes for x in (encoder.table, encoder.slot, encoder.powers.power, encoder.powers.inverse))
+    encoder(texts[:1])
+    assert held() < 6 << 20  # 45 MB before, whatever the texts
+    for got, want in zip(encoder(texts), encoder._plain(texts), strict=True):
+        assert np.array_equal(got, want)
+    assert 2 * encoder.held <= len(encoder.table) and encoder.held > 50_000
