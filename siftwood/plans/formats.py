@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
 import tarfile
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.session import table
+from siftwood.session import spread, table
 from siftwood.sources import extractors, table_function
 
 
@@ -27,10 +28,10 @@ def _zip(files: dict[str, str]) -> bytes:
 
 def _tar(names: list[str]) -> bytes:
     out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w:gz") as t:
+    with tarfile.open(fileobj=out, mode="w") as t:
         for n in names:
             t.addfile(tarfile.TarInfo(n), io.BytesIO())
-    return out.getvalue()
+    return gzip.compress(out.getvalue(), 1)
 
 
 def _office(tag: str, paragraphs: list[str], inner: str = "") -> str:
@@ -131,7 +132,7 @@ FORMATS: dict[str, tuple[str, Callable[[str, str, str], bytes], str]] = {
 
 
 def files_of(rows: DataFrame, ext: str) -> DataFrame:
-    """rows(id, a, b, c) as files of a format: path, length, content."""
+    """rows(id, a, b, c) as files of a format: path, length, content; made by many tasks, however few bytes the rows are."""
     make = FORMATS[ext][1]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +140,7 @@ def files_of(rows: DataFrame, ext: str) -> DataFrame:
             data = [make(a, b, c) for a, b, c in zip(f.a, f.b, f.c, strict=True)]
             yield pd.DataFrame({"path": [f"/files/{i}.{ext}" for i in f.id], "length": [len(x) for x in data], "content": data})
 
-    return rows.mapInPandas(run, "path string, length long, content binary")
+    return spread(rows).mapInPandas(run, "path string, length long, content binary")
 
 
 def _query(ext: str):
@@ -163,7 +164,7 @@ def extract_lateral(spark: SparkSession, d: str) -> DataFrame:
     table_function.register(spark, more)
     kind = F.element_at(F.array(F.lit("fields"), F.lit("shout"), F.lit("unknown")), (F.col("p_partkey") % 3 + 1).cast("int"))
     content = F.when(kind == "fields", F.concat(F.lit("name="), "p_name", F.lit("\ntype="), "p_type")).otherwise(F.col("p_name")).cast("binary")
-    table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/files/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content")).createOrReplaceTempView("siftwood_files")
+    spread(table(spark, d, "part")).select(F.col("p_partkey").alias("id"), F.concat(F.lit("/files/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content")).createOrReplaceTempView("siftwood_files")
     return spark.sql("select f.id, e.extractor, e.outcome, e.text from siftwood_files f, lateral extract_file(f.path, f.content) e")
 
 

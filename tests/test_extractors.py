@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 
+from siftwood.plans import formats
 from siftwood.sources import extractors as x
 
 
@@ -108,3 +109,8 @@ def test_table_function_of_sql(spark):
     rows = spark.sql("select id, e.extractor, e.outcome, e.chunk_index, e.text from own_files f, lateral extract_own(f.path, f.content) e").collect()
     assert {tuple(r) for r in rows} == {(1, "own", "extracted", 0, "one"), (1, "own", "extracted", 1, "two"), (2, "plaintext", "extracted", 0, "plain"), (3, "", "skipped", None, None), (4, "", "skipped", None, None), (5, "", "skipped", None, None)}
     assert x.REGISTRY == before
+
+
+def test_files_are_made_by_many_tasks(spark):
+    rows = spark.range(100).coalesce(1).selectExpr("id", "'a' a", "'b' b", "'c' c")
+    assert formats.files_of(rows, "odp").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
