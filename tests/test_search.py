@@ -57,3 +57,12 @@ def test_patterns_ranges_and_stored_index(spark, tmp_path):
         two = search.search_index(spark, str(tmp_path), q, "id", fields, exact, stored=["name"]).collect()
         assert sorted(r.id for r in one) == ids and [(r.id, r.score) for r in one] == [(r.id, r.score) for r in two], q
     assert two[0].name and search.search(index, "ring", "id", fields, exact, limit=1, stored=["size", "signed_by"]).columns == ["id", "score", "size", "signed_by"]
+
+
+def test_postings_of_single_rows_are_not_shuffled_and_shared_keys_meet(spark):
+    rows = [(1, "river maps river ink"), (2, "maps"), (3, ""), (4, None), (None, "ink ink"), (None, "pears ink")]
+    index = search.indexed(spark.createDataFrame(rows, "id long, text string"), "id", ["text"])
+    one = search.postings(index.filter("id is not null"), "id", "text")
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id or 0, r.term, r.tf, r.positions) for r in search.postings(index, "id", "text").collect())
+    assert got == [(0, "ink", 3, [0, 1, 1]), (0, "pears", 1, [0]), (1, "ink", 1, [3]), (1, "maps", 1, [1]), (1, "river", 2, [0, 2]), (2, "maps", 1, [0])]
