@@ -66,3 +66,12 @@ def test_postings_of_single_rows_are_not_shuffled_and_shared_keys_meet(spark):
     assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.id or 0, r.term, r.tf, r.positions) for r in search.postings(index, "id", "text").collect())
     assert got == [(0, "ink", 3, [0, 1, 1]), (0, "pears", 1, [0]), (1, "ink", 1, [3]), (1, "maps", 1, [1]), (1, "river", 2, [0, 2]), (2, "maps", 1, [0])]
+
+
+def test_index_is_analysed_once_and_leaves_no_scratch(spark, tmp_path):
+    rows = [(1, "river maps river"), (2, "maps ink")]
+    search.write_index(spark.createDataFrame(rows, "id long, text string"), "id", ["text"], f"file://{tmp_path}/i", stored=["text"])
+    assert sorted(p.name for p in (tmp_path / "i").iterdir() if p.is_dir()) == ["documents", "postings"]
+    got = sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/i/postings").select("field", "term", "key", "tf", "positions").collect())
+    assert got == [("text", "ink", 2, 1, [1]), ("text", "maps", 1, 1, [1]), ("text", "maps", 2, 1, [0]), ("text", "river", 1, 2, [0, 2])]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/i/documents").select("id", "text", "_len_text").collect()) == [(1, "river maps river", 3), (2, "maps ink", 2)]
