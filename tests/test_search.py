@@ -75,3 +75,9 @@ def test_index_is_analysed_once_and_leaves_no_scratch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/i/postings").select("field", "term", "key", "tf", "positions").collect())
     assert got == [("text", "ink", 2, 1, [1]), ("text", "maps", 1, 1, [1]), ("text", "maps", 2, 1, [0]), ("text", "river", 1, 2, [0, 2])]
     assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/i/documents").select("id", "text", "_len_text").collect()) == [(1, "river maps river", 3), (2, "maps ink", 2)]
+
+
+def test_records_of_a_sorted_table_are_made_by_many_tasks(spark):
+    from siftwood.plans import catalog
+
+    assert catalog._records(spark, "/root/testdata/sf0.001", dealt=True).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
