@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,86 +26,108 @@ def _ordered(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r.ts, r.seq))
 
 
-def _millis(ts) -> int:
-    return round(ts.timestamp() * 1000)
-
-
-SESSION_EVENTS = "peer string, txid long, ts timestamp, seq long, event string, detail string, symbols long, records long, refused long"
+SESSION_EVENTS = "peer string, txid long, at long, seq long, event string, detail string, symbols long, records long, refused long"
+#: Sessions are kept in so many groups by a hash of their key; fixed for the life of a checkpoint.
+SESSION_GROUPS = 512
 
 
 class Sessions(StatefulProcessor):
-    """The responder's state of one session (peer, txid)."""
+    """The responder's state of the open sessions (peer, txid) of one group, as one list: a batch reads and writes it once, however many sessions it touches.
+
+    A group has one timer, at or before the first time that one of its sessions has been idle for long enough.
+    """
 
     def __init__(self, idle: int, most: int):
-        self.idle, self.most = idle, most
+        self.idle, self.most = idle * 1_000_000, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "phase int, budget long, symbols long, records long, refused long, last timestamp, seq long")
-
-    def _said(self, key, ts, seq, event: str, detail: str | None, s: tuple | None) -> Row:
-        return Row(peer=key[0], txid=key[1], ts=ts, seq=seq, event=event, detail=detail, symbols=s and s[2], records=s and s[3], refused=s and s[4])
-
-    def _refusal(self, s: tuple | None, r: Row) -> str | None:
+        self.state = handle.getValueState("sessions", "timer long, held array<struct<peer:string,txid:long,phase:int,budget:long,symbols:long,records:long,refused:long,last:long,seq:long>>")
+
+    def _held(self) -> tuple[int | None, dict[tuple, tuple]]:
+        """The expiry of the group's timer and its sessions by (peer, txid)."""
+        x = self.state.get()
+        return (None, {}) if x is None else (x[0], {(h[0], h[1]): tuple(h)[2:] for h in x[1]})
+
+    def _keep(self, timer: int | None, held: dict[tuple, tuple]) -> None:
+        if not held:
+            self.state.clear()  # a timer that is left finds nothing
+            return
+        first = (min(s[5] for s in held.values()) + self.idle) // 1000
+        if timer is None or first < timer:
+            self.handle.registerTimer(first)
+            timer = first
+        self.state.update((timer, [(*k, *s) for k, s in held.items()]))
+
+    def _said(self, key: tuple, at: int, seq: int | None, event: str, detail: str | None, s: tuple | None) -> tuple:
+        return (*key, at, seq, event, detail, *(s[2:5] if s else (None, None, None)))
+
+    def _refusal(self, s: tuple | None, kind: str | None, n: int, element_bytes: int) -> str | None:
         """Why a frame is refused, or None."""
-        n = r.n or 0
-        if r.kind == "begin":
-            return "element_size" if r.element_bytes != ELEMENT_BYTES else None
-        if r.kind not in ("symbols", "need", "records", "end"):
+        if kind == "begin":
+            return "element_size" if element_bytes != ELEMENT_BYTES else None
+        if kind not in ("symbols", "need", "records", "end"):
             return "unknown_frame"
         if s is None:
-            return None if r.kind == "end" else "unknown_session"
-        if r.kind == "symbols":
+            return None if kind == "end" else "unknown_session"
+        if kind == "symbols":
             return "phase" if s[0] > 1 else "budget" if s[2] + n > s[1] else None
-        if r.kind == "need":
+        if kind == "need":
             return "too_many_ids" if n > FRAME_IDS else None
-        return "too_many_records" if r.kind == "records" and n > FRAME_RECORDS else None
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        s = self.session.get() if self.session.exists() else None
-        timer = None if s is None else s[5]
-        for r in _ordered(rows):
-            if s is not None and _millis(r.ts) >= _millis(s[5]) + self.idle * 1000:
-                yield self._said(key, s[5], s[6], "expired", PHASES[s[0]], s)
-                s = None
-            why = self._refusal(s, r)
+        return "too_many_records" if kind == "records" and n > FRAME_RECORDS else None
+
+    def _frames(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """Frames in the order of (at, seq), those without a seq first."""
+        t = pd.concat(list(rows), ignore_index=True)
+        t = t.iloc[np.lexsort((t["seq"], t["has_seq"], t["at"]))]
+        return zip(*(t[c].tolist() for c in ("peer", "txid", "has_txid", "at", "seq", "has_seq", "kind", "n", "most_symbols", "element_bytes")), strict=True)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (timer, held), out = self._held(), []
+        for peer, txid, has_txid, at, seq, has_seq, kind, n, asked, element_bytes in self._frames(rows):
+            k, seq = (peer, txid if has_txid else None), seq if has_seq else None
+            s = held.get(k)
+            if s is not None and at >= s[5] + self.idle:
+                out.append(self._said(k, s[5], s[6], "expired", PHASES[s[0]], s))
+                s = held.pop(k) and None
+            why = self._refusal(s, kind, n, element_bytes)
             if why:
-                yield self._said(key, r.ts, r.seq, "refused", why, None)
+                out.append(self._said(k, at, seq, "refused", why, None))
                 if s is not None:
-                    s = (*s[:4], s[4] + 1, r.ts, r.seq)
-                continue
-            if r.kind == "begin":
+                    held[k] = (*s[:4], s[4] + 1, at, seq)
+            elif kind == "begin":
                 if s is not None:
-                    yield self._said(key, r.ts, r.seq, "replaced", PHASES[s[0]], s)
-                asked = r.most_symbols or 0
-                s = (0, asked if 0 < asked < self.most else self.most, 0, 0, 0, r.ts, r.seq)
-            elif s is not None and r.kind == "end":
-                yield self._said(key, r.ts, r.seq, "ended", PHASES[s[0]], s)
-                s = None
+                    out.append(self._said(k, at, seq, "replaced", PHASES[s[0]], s))
+                held[k] = (0, asked if 0 < asked < self.most else self.most, 0, 0, 0, at, seq)
+            elif s is not None and kind == "end":
+                out.append(self._said(k, at, seq, "ended", PHASES[s[0]], s))
+                del held[k]
             elif s is not None:
-                n = r.n or 0
-                phase = {"symbols": 1, "need": 3, "records": 3}[r.kind]  # what a need asks for is answered at once
-                s = (phase, s[1], s[2] + n * (r.kind == "symbols"), s[3] + n * (r.kind == "records"), s[4], r.ts, r.seq)
-        if timer is not None and (s is None or s[5] != timer):
-            self.handle.deleteTimer(_millis(timer) + self.idle * 1000)
-        if s is None:
-            self.session.clear()
-        else:
-            if s[5] != timer:
-                self.handle.registerTimer(_millis(s[5]) + self.idle * 1000)
-            self.session.update(s)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        s = self.session.get() if self.session.exists() else None
-        if s is not None:
-            self.session.clear()
-            yield self._said(key, s[5], s[6], "expired", PHASES[s[0]], s)
+                phase = {"symbols": 1, "need": 3, "records": 3}[kind]  # what a need asks for is answered at once
+                held[k] = (phase, s[1], s[2] + n * (kind == "symbols"), s[3] + n * (kind == "records"), s[4], at, seq)
+        self._keep(timer, held)
+        yield _table(out, SESSION_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, held = self._held()
+        past = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        gone = {k: s for k, s in held.items() if (s[5] + self.idle) // 1000 <= past}
+        self._keep(None, {k: s for k, s in held.items() if k not in gone})
+        yield _table([self._said(k, s[5], s[6], "expired", PHASES[s[0]], s) for k, s in gone.items()], SESSION_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def sessions(frames: DataFrame, idle: int = 30, most_symbols: int = MOST_SYMBOLS) -> DataFrame:
+SESSION_COLUMNS = [c.split()[0] for c in SESSION_EVENTS.split(", ")]
+
+
+def _table(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as objects, so that integers may be missing."""
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def sessions(frames: DataFrame, idle: int = 30, most_symbols: int = MOST_SYMBOLS, groups: int = SESSION_GROUPS) -> DataFrame:
     """The events of sync sessions in a stream of frames received from peers.
 
     frames: peer, txid, ts, seq, kind (begin, symbols, need, records, end), n (symbols, ids or records of the frame),
@@ -111,10 +135,16 @@ def sessions(frames: DataFrame, idle: int = 30, most_symbols: int = MOST_SYMBOLS
     its budget of symbols. Refused, with the reason as detail: other element sizes, frames without an open session, symbols
     once records were asked for or beyond the budget, frames of too many ids or records, unknown kinds; the session stays as it is. Events:
     refused; ended, replaced and expired (no frame for `idle` seconds: ts is that of the last frame), with the phase as detail and the session's
-    counts. An end without a session does nothing. Null times are dropped.
+    counts. An end without a session does nothing. Null times are dropped. A task holds the open sessions of one of `groups` groups at a time.
     """
-    rows = frames.filter("ts is not null").select("peer", "txid", "ts", "seq", "kind", F.col("n").cast("long").alias("n"), F.col("most_symbols").cast("long").alias("most_symbols"), F.col("element_bytes").cast("int").alias("element_bytes"))
-    return rows.withWatermark("ts", "0 seconds").groupBy("peer", "txid").transformWithState(Sessions(idle, most_symbols), SESSION_EVENTS, "Append", "EventTime")
+    number = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)).alias(c)
+    rows = frames.filter("ts is not null").withWatermark("ts", "0 seconds")
+    rows = rows.select(
+        F.pmod(F.xxhash64("peer", "txid"), F.lit(groups)).cast("int").alias("_group"), "peer", number("txid", "long"), F.col("txid").isNotNull().alias("has_txid"), F.unix_micros("ts").alias("at"), number("seq", "long"), F.col("seq").isNotNull().alias("has_seq"),
+        "kind", number("n", "long"), number("most_symbols", "long"), number("element_bytes", "int"), "ts",
+    )
+    said = rows.groupBy("_group").transformWithStateInPandas(Sessions(idle, most_symbols), SESSION_EVENTS, "Append", "EventTime")
+    return said.select("peer", "txid", F.timestamp_micros("at").alias("ts"), *SESSION_COLUMNS[3:])
 
 
 BOOK_EVENTS = "node string, ts timestamp, seq long, peer string, action string, evicted string, successes long, failures long, n_new int, n_tried int"

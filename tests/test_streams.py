@@ -39,6 +39,27 @@ def test_sessions(spark):
     }
 
 
+def test_sessions_of_a_group_share_their_state():
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a))
+
+    held = keyed.Sessions(30, 2000)
+    held.init(Handle())
+    rows = [("p", i, True, i * 1_000_000, i, True, "begin", 0, 0, 32) for i in range(20)]
+    t = pd.DataFrame(rows, columns=["peer", "txid", "has_txid", "at", "seq", "has_seq", "kind", "n", "most_symbols", "element_bytes"])
+    assert sum(map(len, held.handleInputRows((0,), iter([t[:5], t[5:]]), None))) == 0
+    assert [c[0] for c in calls] == ["get", "registerTimer", "update"]
+    assert calls[1][1] == 30_000 and len(calls[2][1][1]) == 20
+
+
 def book(contacts, new_places, tried_places):
     fresh, tried, out = {}, {}, []
     for node, peer, _, seq, kind in contacts:
