@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions import bencode
 from siftwood.functions import text as T
 from siftwood.operators import crawl, documents, merge, peers, postings, records, sketches, snapshot, transfers, trust
-from siftwood.session import spread, table, work_dir
+from siftwood.session import spread, table, text_rows, work_dir
 from siftwood.sources import extractors, tables
 from siftwood.streaming import state as streams
 
@@ -518,11 +520,15 @@ def stream_answers(spark, d):
 def chunk_places(spark, d):
     """Chunks stand at their offsets, are of bounded size, and hold all that isn't white space."""
 
+    text_rows(spark)
+    white = re.compile(rb"\s*")
+
     def check(text):
         data, parts = text.encode(), T.chunks(text)
         squeezed = lambda s: "".join(s.split())
         first = lambda s: s.split("\n\n")[0].split("\n")[0].encode()
-        return [{"in_place": all(data[o:].lstrip().startswith(first(x).lstrip()) for x, o in parts), "within_bound": all(len(x.encode()) <= T.CHUNK_BYTES * 3 // 2 for x, _ in parts), "whole": squeezed("".join(x for x, _ in parts)) == squeezed(text)}]
+        behind = lambda o: white.match(data, o).end()
+        return [{"in_place": all(data.startswith(first(x).lstrip(), behind(o)) for x, o in parts), "within_bound": all(len(x.encode()) <= T.CHUNK_BYTES * 3 // 2 for x, _ in parts), "whole": squeezed("".join(x for x, _ in parts)) == squeezed(text)}]
 
     rows = table(spark, d, "documents").filter(F.regexp_replace("text", r"\s+", "") != "")
     return rows.select("doc_id", F.inline(F.udf(check, "array<struct<in_place:boolean,within_bound:boolean,whole:boolean>>", useArrow=True)("text")))

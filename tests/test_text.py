@@ -59,3 +59,13 @@ def test_small_helpers(spark):
 def test_references_without_a_semicolon():
     assert T.html_text("<p>a&amp<b>b</b> &amp; &#39;&lt;i&gt; &amp x & &nosuch; &copy</p>") == "a&b & '<i> & x & &nosuch; ©"
     assert T.html_text("<p>a&amp<b>b</b> &amp; &#39;&lt;i&gt; &amp x & &nosuch; &copy</p>", open_references=False) == "a&ampb & '<i> &amp x & &nosuch; &copy"
+
+
+def test_texts_reach_python_in_short_batches(spark, tmp_path):
+    from siftwood.plans import state as plans
+
+    spark.createDataFrame([(1, "one short note"), (2, " \n"), (3, "\n\n".join("lake " * n for n in (300, 900, 20)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = plans.QUERIES["chunk_places"](spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    assert sorted(map(tuple, rows.collect())) == [(1, True, True, True), (3, True, True, True)]
