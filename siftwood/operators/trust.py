@@ -46,13 +46,18 @@ def attributed(marks: DataFrame, hits: DataFrame, publishers: DataFrame, fallbac
 
     A mark falls on the publishers that returned its infohash; one without any falls on every known
     publisher (fallback "all") or on none ("none"). Marks without a source are only counted, so the
-    fallback adds one number to each publisher and no pair is ever made.
+    fallback adds one number to each publisher and no pair is ever made. Marks are counted by infohash first, so
+    hits without a mark go before any are grouped.
     """
-    known = hits.select("infohash", "publisher").distinct()
-    direct = marks.join(known, "infohash").groupBy("publisher").agg(F.count("*").alias("n"))
-    lost = marks.join(known.select("infohash").distinct(), "infohash", "left_anti").count() if fallback == "all" else 0
-    every = publishers.select("publisher").distinct().join(direct, "publisher", "left")
-    return every.select("publisher", (F.coalesce("n", F.lit(0)) + lost).alias("n")).filter("n > 0")
+    counted = marks.groupBy("infohash").agg(F.count("*").alias("n"))
+    pairs = hits.select("infohash", "publisher").join(counted, "infohash").groupBy("infohash", "publisher").agg(F.first("n").alias("n"))
+    direct = pairs.groupBy("publisher").agg(F.sum("n").alias("n"))
+    every = publishers.select("publisher").distinct().join(direct, "publisher", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if fallback == "all":
+        found = pairs.groupBy("infohash").agg(F.first("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
+        every = every.join(F.broadcast(counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("marks")))).join(F.broadcast(found))  # tables of one row
+        every = every.withColumn("n", F.col("n") + F.col("marks") - F.col("found"))
+    return every.select("publisher", "n").filter("n > 0")
 
 
 def is_trusted(rows: DataFrame, trusted: DataFrame) -> DataFrame:

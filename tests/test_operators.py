@@ -210,3 +210,14 @@ def test_random_difference_is_symmetric(spark):
     b = {rng.randrange(60) for _ in range(30)}
     diff = sketches.set_difference(spark.createDataFrame([(x,) for x in a], "id long"), spark.createDataFrame([(x,) for x in b], "id long")).collect()
     assert {d.id for d in diff if d.side == "added"} == b - a and {d.id for d in diff if d.side == "removed"} == a - b
+
+
+def test_marks_are_attributed_in_one_plan(spark):
+    from siftwood.operators import trust
+
+    marks = spark.createDataFrame([("a",), ("a",), ("b",), ("x",), (None,)], "infohash string")
+    hits = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 2), ("c", 3), (None, 3)], "infohash string, publisher long")
+    publishers = spark.createDataFrame([(1,), (2,), (3,), (3,)], "publisher long")
+    count = lambda fallback: sorted(map(tuple, trust.attributed(marks, hits, publishers, fallback).collect()))
+    assert count("all") == [(1, 4), (2, 5), (3, 2)] and count("none") == [(1, 2), (2, 3)]
+    trust.attributed(marks, hits.withColumn("infohash", F.raise_error(F.lit("read while planning")).cast("string")), publishers)
