@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.llm import decontaminate, jaccard, langid, mixing, token_ids
-from siftwood.llm.common import removed, saved, shared_dir
+from siftwood.llm.common import released, removed, saved, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Shingles of this many words link documents at this similarity (percent).
@@ -84,4 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = saved(stage(spark, docs, sf_dir), f"{work}/stage{k}")
         if k:
             removed(spark, f"{work}/stage{k - 1}")
+        released(spark)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -49,6 +50,12 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that its heap shrinks and the shuffle files and broadcasts of ended steps go; for rounds of many jobs."""
+    gc.collect()  # Python's references to plans and broadcasts
+    spark._jvm.System.gc()
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches short enough for whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
@@ -239,5 +246,6 @@ def connected(edges: DataFrame, work: str, rounds: int = 200) -> DataFrame:
         now = saved(now.join(first, "a").join(second, "b").select(F.col("p").alias("a"), F.col("q").alias("b")).filter("a <> b").distinct(), f"{work}/edges{k}")
         for old in (f"edges{k - 1}", f"labels{k - 1}", f"first{k}"):
             removed(spark, f"{work}/{old}")
+        released(spark)
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_rows, connected, dealt_join, mixed, packed, packed_sorted, removed, saved, shared_dir, tidy, unpacked, unpacked_sorted
+from .common import WordHashes, arrow_rows, connected, dealt_join, mixed, packed, packed_sorted, released, removed, saved, shared_dir, tidy, unpacked, unpacked_sorted
 
 #: A token in more documents than this counts as frequent.
 FREQUENT = 32
@@ -456,6 +456,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     arrow_rows(spark)
     work = shared_dir(spark)
     rows = saved(profiles(docs, size), f"{work}/profiles")
+    released(spark)
     base = rows.filter("range is null").select("doc_id", "n", "digest", "sketch")
     frequent = frequent_tokens(rows)
     fits = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
@@ -465,11 +466,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     leader = F.expr("min(struct(id, n)) over (partition by sig)")
     posts = posts.withColumn("lead", leader).withColumn("size", F.expr("count(*) over (partition by sig)")).filter("size > 1")
     posts = saved(posts.select("sig", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), f"{work}/posts")
+    released(spark)
 
     stars = posts.filter(F.col("id") != F.col("lead")).filter(fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     stars = saved(stars, f"{work}/stars")
     hopeful = saved(promising(stars, base, num, den), f"{work}/hopeful1")
     links = saved(verified(hopeful, docs, size, num, den, f"{work}/v1"), f"{work}/links1")
+    released(spark)
     parts = saved(connected(links, f"{work}/c1"), f"{work}/parts1")
 
     open_rows = posts.select("sig", "id", "n").join(parts, F.col("id") == F.col("node"), "left").select("sig", "id", "n", F.coalesce("component", "id").alias("part"))
@@ -479,6 +482,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10)
     rest = saved(promising(rest, base, num, den), f"{work}/rest")
     for old in ("posts", "open", "facts", "hopeful1"):
         removed(spark, f"{work}/{old}")
+    released(spark)
     if not rest.isEmpty():
         more = saved(verified(rest, docs, size, num, den, f"{work}/v2"), f"{work}/links2")
         parts = saved(connected(links.union(more), f"{work}/c2"), f"{work}/parts2")
