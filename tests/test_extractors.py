@@ -1,12 +1,14 @@
 """Extractors on files made in memory."""
 
 import io
+import lzma
 import struct
 import tarfile
 import zipfile
 import zlib
 
 import pytest
+import zstandard
 
 from siftwood.plans import formats
 from siftwood.sources import extractors as x
@@ -114,3 +116,36 @@ def test_table_function_of_sql(spark):
 def test_files_are_made_by_many_tasks(spark):
     rows = spark.range(100).coalesce(1).selectExpr("id", "'a' a", "'b' b", "'c' c")
     assert formats.files_of(rows, "odp").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def zim_file(clusters):
+    """A ZIM file of plain articles: (compression, articles) by cluster."""
+    packs = {1: bytes, 4: lzma.compress, 5: zstandard.compress, 9: bytes}
+    bodies, entries = [], []
+    for n, (kind, articles) in enumerate(clusters):
+        ends = [4 * (len(articles) + 1)]
+        for a in articles:
+            ends.append(ends[-1] + len(a))
+        bodies.append(bytes([kind]) + packs[kind](struct.pack(f"<{len(ends)}I", *ends) + b"".join(articles)))
+        entries += [struct.pack("<HBBIII", 0, 0, ord("A"), 0, n, i) for i in range(len(articles))]
+    types, at = b"text/plain\0\0", 92
+    places = [at + 16 * i for i in range(len(entries))]
+    urls = at + 16 * len(entries)
+    starts = [urls + 8 * len(entries) + 8 * len(bodies)]
+    for b in bodies:
+        starts.append(starts[-1] + len(b))
+    head = bytearray(80)
+    head[:4] = b"ZIM\x04"
+    struct.pack_into("<II", head, 24, len(entries), len(bodies))
+    struct.pack_into("<QQQQ", head, 32, urls, 0, urls + 8 * len(entries), 80)
+    return bytes(head) + types + b"".join(entries) + struct.pack(f"<{len(places)}Q", *places) + struct.pack(f"<{len(bodies)}Q", *starts[:-1]) + b"".join(bodies)
+
+
+def test_zim_has_no_cap():
+    """More articles than 5,000, more text than 32 MB, a cluster above 64 MB, in every compression; a cluster that can't be read costs its own articles only."""
+    many, long = [b"article %d" % i for i in range(6000)], [b"a" * (33 << 20), b"b" * (34 << 20), b"behind"]
+    data = zim_file([(1, many), (9, [b"unknown"]), (5, long), (4, [b"last"])])
+    _, extractor, outcome, parts = x.extract("a.zim", data)
+    want = [a.decode() for a in [*many, *long, b"last"]]
+    assert (extractor, outcome, len(parts)) == ("zim", "extracted", len(want)) and [t for t, _ in parts] == want
+    assert x.claimed("a.zim", 3 << 30)[1] == "zim"
