@@ -37,9 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftwood-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
+def saved(df: DataFrame, path: str, **options) -> DataFrame:
     """Write df as Parquet below a shared folder and read it again, which cuts its lineage."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

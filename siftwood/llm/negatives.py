@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, removed, saved, shared_dir, tidy
+from .common import arrow_rows, packed, removed, saved, shared_dir, tidy, unpacked
 
 #: Rows that the centroids are fitted on, the most centroids, and the rounds of fitting. Every row is indexed.
 SAMPLE, MOST_LISTS, STEPS = 20_000, 1024, 6
@@ -25,8 +25,12 @@ SAMPLE, MOST_LISTS, STEPS = 20_000, 1024, 6
 BLOCK, GROUP, SLICE = 4096, 512, 16
 #: Lists visited in the first round, and how many times more in each further one.
 FIRST, GROWTH = 16, 8
+#: Bytes of a row group of blocks.
+BLOCK_BYTES = 16 << 20
 #: Anchors whose scores with a block are held at once.
 CHUNK = 128
+#: Rows that hold whole blocks or groups which are sent to Python, or read from Parquet, at once.
+FEW, FEW_READ = 4, 16
 #: Lists of vectors of another length have other numbers.
 _WIDTH = 1 << 16
 _NO_ID = (1 << 63) - 1
@@ -65,15 +69,39 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @contextmanager
-def _short_batches(spark: SparkSession, rows: int):
-    """Arrow batches of few rows, for rows that hold whole blocks."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
+def _short_batches(spark: SparkSession):
+    """Batches of few rows, for rows that hold whole blocks: in Arrow, and in the Parquet reader, which otherwise holds 4,096 rows of a task decoded at once."""
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": FEW, "spark.sql.parquet.columnarReaderBatchSize": FEW_READ}
+    held = {name: spark.conf.get(name, None) for name in few}
+    for name, rows in few.items():
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+        for name, old in held.items():
+            spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+_TYPES = {2: "<i2", 4: "<i4", 8: "<f8"}
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers in the shortest type that holds all of them exactly."""
+    with np.errstate(invalid="ignore"):
+        for kind in ("<i2", "<i4"):
+            if np.array_equal(short := x.astype(kind), x):
+                return short
+    return x.astype("<f8")
+
+
+def _shut(x: np.ndarray) -> bytes:
+    """Numbers as packed bytes behind the size of their type."""
+    return bytes([x.itemsize]) + packed(x.reshape(-1))
+
+
+def _open(data: bytes, n: int) -> np.ndarray:
+    """What _shut() packed, as n rows in double precision."""
+    return unpacked(data[1:], _TYPES[data[0]]).astype(np.float64).reshape(n, -1)
 
 
 def _assigned(rows: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
@@ -95,7 +123,7 @@ def _assigned(rows: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _blocked(assigned: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """The inverted lists as blocks: list, slice, n, radius, ids, labels and vectors, each block ordered by id."""
+    """The inverted lists as blocks: list, slice, n, radius, ids, labels and vectors (packed), each block ordered by id."""
     pieces = F.create_map(*[F.lit(x) for kv in sorted((k, -(-n // BLOCK)) for k, n in sizes.items() if n > BLOCK) for x in kv]) if any(n > BLOCK for n in sizes.values()) else None
     piece = F.lit(0) if pieces is None else F.pmod(F.xxhash64("vec_id", "label", "v"), F.coalesce(pieces[F.col("list")], F.lit(1))).cast("int")
     rows = assigned.withColumn("piece", piece).repartition("list", "piece").sortWithinPartitions("list", "piece", "vec_id")
@@ -103,7 +131,7 @@ def _blocked(assigned: DataFrame, sizes: dict[int, int]) -> DataFrame:
     def block(key: tuple, rows: list) -> dict:
         order = sorted(rows, key=lambda r: r[0])
         ids, labels, v, far = zip(*order, strict=True)
-        return {"list": key[0], "slice": key[1] // SLICE, "n": len(ids), "radius": max(far), "ids": np.array(ids, np.int64).tobytes(), "labels": np.array(labels, np.int64).tobytes(), "vectors": b"".join(v)}
+        return {"list": key[0], "slice": key[1] // SLICE, "n": len(ids), "radius": max(far), "ids": packed(np.array(ids, np.int64)), "labels": packed(np.array(labels, np.int64)), "vectors": _shut(_narrow(np.frombuffer(b"".join(v))))}
 
     schema = pa.schema([("list", pa.int64()), ("slice", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("ids", pa.binary()), ("labels", pa.binary()), ("vectors", pa.binary())])
 
@@ -129,6 +157,7 @@ def _requests(groups: DataFrame, index: dict[int, tuple], start: int, stop: int)
     index: by vector length, the numbers, centroids, radii and slices of lists. An anchor visits the lists of ranks
     start to stop by falling upper bound that may hold a row for one of its targets: the bound reaches
     the lower end of the target's window and the worst score kept for it, and the least possible score is not beyond the upper end.
+    Besides their aids, members come packed: vec_ids, labels and vectors, and by target its number, lowest and highest score.
     """
     sent = groups.sparkSession.sparkContext.broadcast(index)
 
@@ -149,21 +178,29 @@ def _requests(groups: DataFrame, index: dict[int, tuple], start: int, stop: int)
                     slack = 1e-9 * (length * np.sqrt((centroids * centroids).sum(1)) + reach) + 1e-6
                     upper, lower = middle + reach + slack, middle - reach - slack
                     rank = np.argsort(np.argsort(-upper, axis=1, kind="stable"), axis=1, kind="stable")
+                    shape = (len(part), max(len(m["targets"]) for m in part))
+                    target, low, high = np.full(shape, -1, np.int32), np.full(shape, np.inf), np.full(shape, -np.inf)
+                    for i, m in enumerate(part):
+                        for j, t in enumerate(m["targets"]):
+                            target[i, j], low[i, j], high[i, j] = t["target"], max(t["low"], t["worst"]), t["high"]
                     want = np.zeros(upper.shape, bool)
-                    targets = max(len(m["targets"]) for m in part)
-                    for j in range(targets):
-                        low = np.array([max(m["targets"][j]["low"], m["targets"][j]["worst"]) if j < len(m["targets"]) else np.inf for m in part])[:, None]
-                        high = np.array([m["targets"][j]["high"] if j < len(m["targets"]) else -np.inf for m in part])[:, None]
-                        want |= (upper >= low) & (lower <= high)
+                    for j in range(shape[1]):
+                        want |= (upper >= low[:, j, None]) & (lower <= high[:, j, None])
                     want &= (rank >= start) & (rank < stop)
+                    aids, labels = (np.array([m[c] for m in part], np.int64) for c in ("aid", "label"))
+                    ids, short = np.array([_NO_ID if m["vec_id"] is None else m["vec_id"] for m in part], np.int64), _narrow(a)
                     for c in np.flatnonzero(want.any(0)):
-                        who = [part[i] for i in np.flatnonzero(want[:, c])]
+                        who = np.flatnonzero(want[:, c])
+                        row = [pa.array([x], pa.binary()) for x in (packed(ids[who]), packed(labels[who]), _shut(short[who]), *(packed(x[who].reshape(-1)) for x in (target, low, high)))]
+                        own = pa.ListArray.from_arrays(pa.array([0, len(who)], pa.int32()), pa.StructArray.from_arrays([pa.array(aids[who])], ["aid"]))
                         for s in range(slices[c]):
-                            yield pa.RecordBatch.from_pylist([{"list": int(names[c]), "slice": s, "members": who}], schema)
+                            yield pa.RecordBatch.from_arrays([pa.array([names[c]], pa.int64()), pa.array([s], pa.int32()), own, *row], names=["list", "slice", "members", *_MEMBERS])
+
+    return groups.mapInArrow(tidy(run), f"list long, slice int, members array<struct<aid:long>>, {', '.join(f'{x} binary' for x in _MEMBERS)}")
+
 
-    field = pa.list_(pa.struct([("aid", pa.int64()), ("vec_id", pa.int64()), ("label", pa.int64()), ("v", pa.binary()), ("targets", pa.list_(pa.struct([("target", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("worst", pa.float64())])))]))
-    schema = pa.schema([("list", pa.int64()), ("slice", pa.int32()), ("members", field)])
-    return groups.mapInArrow(tidy(run), f"list long, slice int, members {groups.schema['members'].dataType.simpleString()}")
+#: Packed columns of a request.
+_MEMBERS = ("vec_ids", "own_labels", "anchors", "targets", "lows", "highs")
 
 
 def _best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,33 +224,30 @@ def _scored(pairs: DataFrame, same: bool, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for members, ids, labels, vectors in zip(*(b.column(c).to_pylist() for c in ("members", "ids", "labels", "vectors")), strict=True):
-                ids, labels = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64)
-                rows = np.frombuffer(vectors).reshape(len(ids), -1)
+            for members, *own, ids, labels, vectors in zip(b.column("members"), *(b.column(c).to_pylist() for c in (*_MEMBERS, "ids", "labels", "vectors")), strict=True):
+                aids, n = members.values.field("aid").to_numpy(), len(members.values)
+                vec_ids, own_labels = (unpacked(x, np.int64) for x in own[:2])
+                anchors, targets, lows, highs = _open(own[2], n), *(unpacked(x, kind).reshape(n, -1) for x, kind in zip(own[3:], (np.int32, np.float64, np.float64), strict=True))
+                ids, labels = unpacked(ids, np.int64), unpacked(labels, np.int64)
+                rows = _open(vectors, len(ids))
                 found = []
-                for start in range(0, len(members), CHUNK):
-                    part = members[start : start + CHUNK]
-                    a = np.frombuffer(b"".join(m["v"] for m in part)).reshape(len(part), -1)
-                    scores = a @ rows.T
-                    label = np.array([m["label"] for m in part])[:, None]
+                for start in range(0, n, CHUNK):
+                    part = slice(start, start + CHUNK)
+                    scores, aid = anchors[part] @ rows.T, aids[part]
+                    label = own_labels[part, None]
                     fit = labels == label if same else labels != label
                     if same:
-                        fit &= ids != np.array([_NO_ID if m["vec_id"] is None else m["vec_id"] for m in part])[:, None]
-                    aid = np.array([m["aid"] for m in part])
-                    for j in range(max(len(m["targets"]) for m in part)):
-                        each = [m["targets"][j] if j < len(m["targets"]) else None for m in part]
-                        low = np.array([np.inf if t is None else max(t["low"], t["worst"]) for t in each])[:, None]
-                        high = np.array([-np.inf if t is None else t["high"] for t in each])[:, None]
-                        use = fit & (scores >= low) & (scores <= high)
+                        fit &= ids != vec_ids[part, None]
+                    for j in range(targets.shape[1]):
+                        use = fit & (scores >= lows[part, j, None]) & (scores <= highs[part, j, None])
                         some = np.flatnonzero(use.any(1))
                         i, c = _best_of(np.where(use[some], scores[some], -np.inf), k)
                         i = some[i]
-                        target = np.array([-1 if t is None else t["target"] for t in each], np.int32)
-                        found.append((aid[i], target[i], ids[c], np.clip(scores[i, c], -9.2e18, 9.2e18).astype(np.int64)))
+                        found.append((aid[i], targets[part, j][i], ids[c], np.clip(scores[i, c], -9.2e18, 9.2e18).astype(np.int64)))
                 aid, target, near, score = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(aid), pa.array(target), pa.array(near), pa.array(score)], names=["aid", "target", "id", "score"])
 
-    return pairs.select("members", "ids", "labels", "vectors").mapInArrow(tidy(run), "aid long, target int, id long, score long")
+    return pairs.select("members", *_MEMBERS, "ids", "labels", "vectors").mapInArrow(tidy(run), "aid long, target int, id long, score long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -234,13 +268,13 @@ def _search(anchors: DataFrame, targets: DataFrame, blocks: DataFrame, index: di
             worst = targets.join(full.select("aid", "target", "least"), ["aid", "target"], "left").withColumn("worst", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))))
         each = worst.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("target", "low", "high", "worst"))).alias("targets"))  # k of them at most
         groups = anchors.join(each, "aid").groupBy("group").agg(F.collect_list(F.struct("aid", "vec_id", "label", "v", "targets")).alias("members"))
-        with _short_batches(spark, 4):
-            asked = saved(_requests(groups.select("members"), index, start, stop), f"{work}/asked{r}")
-            found = _scored(asked.join(blocks, ["list", "slice"]), same, k)
+        with _short_batches(spark):
+            # groups are few and short, what they ask for is neither: they are dealt to all cores, and the planner may not broadcast their requests
+            asked = _requests(groups.select("members").repartition(spark.sparkContext.defaultParallelism), index, start, stop)
+            found = _scored(asked.join(blocks.hint("merge"), ["list", "slice"]), same, k)
             if best is not None:
                 found = found.unionByName(best.drop("rank"))
             best = saved(_top(found, k), f"{work}/best{r}")
-        removed(spark, f"{work}/asked{r}")
         if r:
             removed(spark, f"{work}/best{r - 1}")
         if stop >= most:
@@ -272,8 +306,9 @@ def mine(vectors: DataFrame, anchor, positives: int = 5, negatives: int = 5, low
     sample = rows.select("v", F.xxhash64("v", "vec_id", "label").alias("h")).orderBy("h").limit(SAMPLE).select("v")
     centroids = fitted([np.array(r.v, np.float64) for r in sample.collect()], max(1, min(MOST_LISTS, round(n**0.5))))
     assigned = saved(_assigned(rows, centroids), f"{work}/assigned")
+    removed(spark, f"{work}/rows")
     sizes = {r["list"]: r["n"] for r in assigned.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    blocks = saved(_blocked(assigned, sizes), f"{work}/blocks")
+    blocks = saved(_blocked(assigned, sizes), f"{work}/blocks", **{"parquet.block.size": BLOCK_BYTES})
     index: dict[int, tuple] = {}
     stats = sorted(map(tuple, blocks.groupBy("list").agg(F.max("radius"), F.max("slice")).collect()))
     for width in {x[0] // _WIDTH for x in stats}:
@@ -284,6 +319,7 @@ def mine(vectors: DataFrame, anchor, positives: int = 5, negatives: int = 5, low
     count = chosen.count()
     group = F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(max(1, -(-count // GROUP))))
     anchors = saved(chosen.select(F.monotonically_increasing_id().alias("aid"), "vec_id", "label", "v", group.alias("group")), f"{work}/anchors")
+    removed(spark, f"{work}/assigned")
     whole = anchors.select("aid", F.lit(0).alias("target"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
     near = _search(anchors, whole, blocks, index, True, positives, f"{work}/positives")
     hundredth = F.col("score").cast("decimal(38,0)")

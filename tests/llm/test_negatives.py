@@ -75,3 +75,36 @@ def test_bounds_skip_lists(spark):
     kind = "members array<struct<aid:long,vec_id:long,label:long,v:binary,targets:array<struct<target:int,low:double,high:double,worst:double>>>>"
     asked = negatives._requests(spark.createDataFrame([(member,)], kind), index, 0, 3).collect()
     assert sorted((r.list, tuple(m.aid for m in r.members)) for r in asked) == [(0, (0,)), (1, (1,))]
+
+
+def test_requests_are_packed_and_wide_rows_are_read_few_at_a_time(spark):
+    """A request holds some 2 bytes a component of its anchors, not 8 in nested rows, of which a task would decode thousands at once."""
+    import pickle
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = np.floor(rng.normal(0, 40, (200, 64)))
+    member = [(i, i, 1, x.tobytes(), [(j, 0.0, 9e4, float("-inf")) for j in range(5)]) for i, x in enumerate(v)]
+    kind = "members array<struct<aid:long,vec_id:long,label:long,v:binary,targets:array<struct<target:int,low:double,high:double,worst:double>>>>"
+    index = {64: (np.arange(2), np.zeros((2, 64)), np.full(2, 1e6), [1, 1])}
+    asked = negatives._requests(spark.createDataFrame([(member,)], kind), index, 0, 2).collect()
+    assert [len(r.members) for r in asked] == [200, 200]
+    assert max(len(pickle.dumps([bytes(x) for x in r if isinstance(x, bytes | bytearray)] + [m.asDict(True) for m in r.members])) for r in asked) < 200 * 200
+    assert (negatives._open(asked[0].anchors, 200) == v).all()
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    with negatives._short_batches(spark):
+        assert int(spark.conf.get(name)) <= 64
+    assert spark.conf.get(name) == before
+
+
+def test_large_whole_numbers_stay_exact(spark):
+    """Components beyond 16 and 32 bits are packed as they are."""
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(i, i % 3, [rng.choice([1, 200, 1e4]) * rng.choice([0.5, 1.0, -1.0]), rng.random()], "", "") for i in range(120)]
+    assert mined(spark, rows, 10) == brute(rows, 10)
+    for x in ([0.0, -32768.0], [32768.0, 1.0], [2.0**31, 1.0], [0.5, 1e300]):
+        assert negatives._open(negatives._shut(negatives._narrow(np.array(x))), 1).tolist() == [x]
