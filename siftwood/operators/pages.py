@@ -6,12 +6,16 @@ which of its first items opens a page. So each part of the sorted items says, fo
 it opens and what it leaves used; these short tables are put together in order, and then each part knows its
 pages. Levels above are packed the same way from the first keys of the pages below.
 
-Pages lie in files of FILE_PAGES pages, named by a manifest, root first, leaves and trailer last. The fingerprint is a Merkle
+Records are kept once, sorted, in their columns, until their leaves are written: a file of leaves begins where one of its pages opens,
+so its task needs no more than the place of that record and reads on from there. Neither encoded records nor pages are shuffled.
+
+Pages lie in files of FILE_PAGES pages, compressed FRAME at a time, named by a manifest, root first, leaves and trailer last. The fingerprint is a Merkle
 root: a leaf's digest is that of its records, an interior page's that of the digests below it.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
 import uuid
@@ -19,16 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.functions import ed25519
-from siftwood.operators.records import _TRAILER, HEADER, INTERIOR, LEAF, ROOT, TRAILER, encoded, in_order, page, uvarint, well_formed
+from siftwood.operators.records import _TRAILER, HEADER, INTERIOR, LEAF, MAX_RECORD, ROOT, TRAILER, in_order, page, uvarint, well_formed
 from siftwood.session import work_dir
 
 #: Pages of a file; version of trailers whose fingerprint is a Merkle root.
 FILE_PAGES, MERKLE_VERSION = 2048, 2
+#: Pages that are compressed together; bytes of a row group of stored records, and rows that are read of it at once.
+FRAME, GROUP_BYTES, ROWS = 8, 4 << 20, 4096
+_FRAMES = [uvarint(n) for n in range(MAX_RECORD + 1)]
 
 
 def capacity(page_size: int) -> int:
@@ -118,6 +128,12 @@ def _placed(items: DataFrame, entries: dict[int, tuple[int, int]], opening: Data
     return items.mapInPandas(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in items.schema.fields) + ", page long")
 
 
+def packed(pages: list[bytes]) -> bytes:
+    """A file of pages: compressed frames of FRAME pages, the ends of the frames, and how many frames and pages of a frame there are."""
+    frames = [zstandard.compress(b"".join(pages[i : i + FRAME])) for i in range(0, len(pages), FRAME)]
+    return b"".join(frames) + struct.pack(f"<{len(frames)}QII", *np.cumsum([len(x) for x in frames]).tolist(), len(frames), FRAME)
+
+
 def _commit(folder: str, name: str, data: bytes) -> None:
     """A file under a temporary name, then moved to its place."""
     system, path = fs.FileSystem.from_uri(folder)
@@ -129,10 +145,7 @@ def _commit(folder: str, name: str, data: bytes) -> None:
 
 
 def _written(numbered: DataFrame, folder: str, kind: int, level: int, start: int, page_size: int) -> DataFrame:
-    """Write a level's pages from numbered(part, place, page, key, code, digest): rows (page, key, digest, path, first, n), path only at the first page of a file.
-
-    Leaves have no column digest: what counts of a record is its code behind the length.
-    """
+    """Write the pages of a level above the leaves from numbered(part, place, page, key, code, digest): rows (page, key, digest, path, first, n), path only at the first page of a file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, pages, rows, codes, digests, at, key = None, [], [], [], [], None, None
@@ -147,14 +160,13 @@ def _written(numbered: DataFrame, folder: str, kind: int, level: int, start: int
 
         def close_file() -> pd.DataFrame:
             name = f"pages-{start + file * FILE_PAGES:012d}"
-            _commit(folder, name, b"".join(pages))
+            _commit(folder, name, packed(pages))
             out = pd.DataFrame(rows, columns=["page", "key", "digest"]).assign(path=None, first=start + file * FILE_PAGES, n=len(pages))
             out.loc[0, "path"] = name
             return out
 
         for f in frames:
-            own = f["digest"] if kind != LEAF else [_behind_length(bytes(c)) for c in f["code"]]
-            for number, k, code, digest in zip(f["page"].tolist(), f["key"], f["code"], own, strict=True):
+            for number, k, code, digest in zip(f["page"].tolist(), f["key"], f["code"], f["digest"], strict=True):
                 if number != at:
                     close_page()
                     if number // FILE_PAGES != file:
@@ -169,7 +181,106 @@ def _written(numbered: DataFrame, folder: str, kind: int, level: int, start: int
             yield close_file()
 
     rows = numbered.withColumn("file", F.floor(F.col("page") / FILE_PAGES)).repartition("file").sortWithinPartitions("page", "part", "place")
-    return rows.select("page", "key", "code", *(["digest"] if kind != LEAF else [])).mapInPandas(run, "page long, key binary, digest binary, path string, first long, n long")
+    return rows.select("page", "key", "code", "digest").mapInPandas(run, _ROWS)
+
+
+#: Rows that a level's writer returns.
+_ROWS = "page long, key binary, digest binary, path string, first long, n long"
+_ROW = 1 << 33  # places of a task in monotonically_increasing_id()
+
+
+def _sized(stored: DataFrame) -> DataFrame:
+    """(part, place, size) of stored records: the bytes of each in a page, from its lengths alone."""
+    text = F.octet_length("kw")
+    n = F.lit(157) + text + F.length(text.cast("string")) + F.length(F.conv(F.hex("pow"), 16, 10)) + F.length(F.col("t").cast("string"))
+    n = F.when(n <= MAX_RECORD, n).otherwise(F.raise_error(F.lit("record length")).cast("int"))  # also where time or proof are unknown
+    return stored.select(F.floor(F.col("at") / _ROW).cast("int").alias("part"), (F.col("at") % _ROW).alias("place"), (n + F.when(n > 127, 2).otherwise(1)).cast("int").alias("size"))
+
+
+def _file_starts(sized: DataFrame, entries: dict[int, tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """(page, at) of the pages that begin a file, with the record that opens each."""
+    sent, every = sized.sparkSession.sparkContext.broadcast(entries), FILE_PAGES
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        total = np.concatenate([[0], np.cumsum(f.sort_values("place")["size"].to_numpy())])
+        after = np.searchsorted(total, total[:-1] + room, "right") - 1
+        part, out = int(key[0]), []
+        i, number = sent.value[part]
+        while i < len(after):
+            if number % every == 0:
+                out.append((number, part * _ROW + i))
+            i, number = int(after[i]), number + 1
+        return pd.DataFrame(out, columns=["page", "at"], dtype="int64")
+
+    return sorted(map(tuple, sized.groupBy("part").applyInPandas(run, "page long, at long").collect()))
+
+
+def _stored_rows(path: str, start: int, stop: int) -> Iterator[tuple]:
+    """Rows start to stop of a file of records, as (ih, kw, pk, pow, sig, t); row groups outside are not read."""
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        file, at = pq.ParquetFile(f), 0
+        for g in range(file.num_row_groups):
+            n = file.metadata.row_group(g).num_rows
+            if at < stop and at + n > start:
+                low = at
+                for b in file.iter_batches(ROWS, row_groups=[g], columns=["ih", "kw", "pk", "pow", "sig", "t"]):
+                    own = b.slice(max(0, start - low), max(0, min(stop, low + len(b)) - max(start, low)))
+                    low += len(b)
+                    yield from zip(*(own.column(c).cast(pa.binary()).to_pylist() if c == "kw" else own.column(c).to_pylist() for c in ("ih", "kw", "pk", "pow", "sig", "t")), strict=True)
+            at += n
+
+
+def _leaves(units: DataFrame, folder: str, page_size: int) -> DataFrame:
+    """Write a file of leaves, named by its first leaf, for each unit (first, n, ranges of stored records): rows as _written() has them."""
+    room = capacity(page_size)
+
+    def made(unit: dict) -> pa.RecordBatch:
+        pages, keys, digests, codes, used = [], [], [], [], room + 1
+
+        def close() -> None:
+            if codes:
+                digests.append(hashlib.sha256(b"".join(codes)).digest())
+                pages.append(page(LEAF, 0, struct.pack("<H", len(codes)) + b"".join([_FRAMES[len(c)] + c for c in codes]), page_size))
+                codes.clear()
+
+        for r in unit["ranges"]:
+            for ih, kw, pk, pow_, sig, t in _stored_rows(r["path"], r["start"], r["stop"]):
+                code = b"d2:ih20:%b2:kw%d:%b2:pk32:%b3:powi%de3:sig64:%b1:ti%dee" % (ih, len(kw), kw, pk, pow_ % (1 << 64), sig, t)
+                size = len(code) + len(_FRAMES[len(code)])
+                if used + size > room:
+                    close()
+                    keys.append(kw + b"\0" + ih)
+                    used = 0
+                codes.append(code)
+                used += size
+        close()
+        if len(pages) != unit["n"]:
+            raise ValueError(f"{len(pages)} leaves from {unit['first']} on where {unit['n']} were planned")
+        name, n = f"leaves-{unit['first']:012d}", len(pages)
+        _commit(folder, name, packed(pages))
+        columns = [range(unit["first"], unit["first"] + n), keys, digests, [name] + [None] * (n - 1), [unit["first"]] * n, [n] * n]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page", "key", "digest", "path", "first", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from map(made, b.to_pylist())
+
+    return units.mapInArrow(run, _ROWS)
+
+
+def _units(stored: DataFrame, starts: list[tuple[int, int]], n: int) -> DataFrame:
+    """A row for each file of leaves: its first leaf, how many it has, and the files and rows of its records; some facts of each file pass the driver."""
+    spark = stored.sparkSession
+    files = sorted(map(tuple, stored.groupBy(F.input_file_name().alias("path")).agg(F.min("at").alias("first"), F.count("*").alias("n")).select("first", "n", "path").collect()))
+    firsts, out = [x[0] for x in files], []
+    for k, (number, low) in enumerate(starts):
+        last, high = starts[k + 1] if k + 1 < len(starts) else (n, firsts[-1] + files[-1][1])
+        own = files[max(0, int(np.searchsorted(firsts, low, "right")) - 1) : int(np.searchsorted(firsts, high, "left"))]
+        ranges = [(path, max(0, low - first), min(rows, high - first)) for first, rows, path in own if low < first + rows]
+        out.append((number, last - number, ranges))
+    return spark.createDataFrame(out, "first long, n long, ranges array<struct<path:string,start:long,stop:long>>").repartition(max(1, len(out)))
 
 
 def _behind_length(code: bytes) -> bytes:
@@ -179,8 +290,8 @@ def _behind_length(code: bytes) -> bytes:
     return code[at + 1 :]
 
 
-def _saved(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _saved(df: DataFrame, path: str, **options) -> DataFrame:
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -188,56 +299,63 @@ def write_tree(records: DataFrame, folder: str, seed: bytes, seq: int = 1, creat
     """Write the paged tree of well-formed records below folder, which executors share; returns the trailer's facts.
 
     Page boundaries are those of packing all records one after another. Nothing but a page's worth of numbers for each part of the sorted
-    records, the manifest and the root's digest reach the driver. An empty table raises ValueError.
+    records, the place of each file's first record, the manifest and the root's digest reach the driver. Records of unknown time, and an
+    empty table, raise an error. Disk holds the sorted records and first their shuffle, then the tree.
     """
     spark, work, room = records.sparkSession, work_dir(records.sparkSession), capacity(page_size)
-
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = 0
-        for f in frames:
-            raw = [encoded(bytes(r.pk), r.kw, bytes(r.ih), int(r.t), int(r.pow), bytes(r.sig)) for r in f.itertuples(index=False)]
-            framed = [uvarint(len(x)) + x for x in raw]
-            keys = [kw.encode() + b"\0" + bytes(ih) for kw, ih in zip(f["kw"], f["ih"], strict=True)]
-            yield pd.DataFrame({"part": f["part"], "place": np.arange(place, place + len(f)), "size": [len(x) for x in framed], "key": keys, "code": framed})
-            place += len(f)
-
-    rows = in_order(well_formed(records)).select("pk", "kw", "ih", "t", "pow", "sig").withColumn("part", F.spark_partition_id())
-    items = _saved(rows.mapInPandas(code, "part int, place long, size int, key binary, code binary"), f"{work}/items")
-    plans, level_items, leaves = [], items, None
-    while not plans or plans[-1][2] > 1 or len(plans) < 2:
+    rows = in_order(well_formed(records)).select("pk", "kw", "ih", "t", "pow", "sig").withColumn("at", F.monotonically_increasing_id())
+    stored = _saved(rows, f"{work}/records", compression="zstd", **{"parquet.block.size": GROUP_BYTES})
+    _released(spark)
+    sized = _sized(stored)
+    entries, n = _entries(sized, room)
+    if not n:
+        raise ValueError("no records")
+    plans: list[tuple] = [(None, None, n)]
+    units = _units(stored, _file_starts(sized, entries, room), n)
+    _released(spark)
+    leaves = _saved(_leaves(units, folder, page_size), f"{work}/level0")
+    count = stored.count()
+    _dropped(spark, f"{work}/records")
+    below = lambda rows: rows.select((F.col("page") / 65536).cast("int").alias("part"), F.col("page").alias("place"), _key_bytes(F.octet_length("key")).alias("size"), "key")
+    level_items = below(leaves)
+    while plans[-1][2] > 1 or len(plans) < 2:
         entries, n = _entries(level_items, room)
-        if not n:
-            raise ValueError("no records")
         plans.append((level_items, entries, n))
-        opening = _numbered(level_items.select("part", "place", "size", "key"), entries, room).filter("opens")
-        below = opening.select((F.col("page") / 65536).cast("int").alias("part"), F.col("page").alias("place"), _key_bytes(F.octet_length("key")).alias("size"), "key", F.col("part").alias("at_part"), F.col("place").alias("at_place"))
-        level_items = _saved(below, f"{work}/keys{len(plans)}")
-        leaves = level_items if leaves is None else leaves
+        level_items = _saved(below(_numbered(level_items, entries, room).filter("opens")), f"{work}/keys{len(plans)}")
     starts = np.cumsum([0] + [n for *_, n in plans[:0:-1]]).tolist()[::-1]  # of the levels from the leaves up
-    manifest, digests = None, None
-    for level, (these, entries, n) in enumerate(plans):
-        if level:
-            child = F.col("place") + starts[level - 1]
-            number = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(child), 8, "0"), 7 - 2 * i, 2) for i in range(4)]))
-            these = these.join(digests.select(F.col("page").alias("place"), "digest"), "place").withColumn("code", F.concat(_varint(F.octet_length("key")), "key", number))
-        if level:
-            numbered = _numbered(these.select("part", "place", "size", "key", "code", "digest"), entries, room)
-        else:
-            numbered = _placed(these.select("part", "place", "key", "code"), entries, leaves)
-        made = _written(numbered, folder, LEAF if not level else ROOT if level == len(plans) - 1 else INTERIOR, level, starts[level], page_size)
+    system, path = fs.FileSystem.from_uri(folder)
+    for r in leaves.filter("path is not null").select("path", "first").collect():
+        system.move(f"{path}/{r.path}", f"{path}/pages-{starts[0] + r['first']:012d}")
+    first = F.col("first") + starts[0]
+    digests = leaves
+    manifest = leaves.filter("path is not null").select(F.lit(0).alias("level"), F.format_string("pages-%012d", first).alias("path"), first.alias("first"), "n", "key")
+    for level, (these, entries, _) in enumerate(plans[1:], 1):
+        child = F.col("place") + starts[level - 1]
+        number = F.unhex(F.concat(*[F.substring(F.lpad(F.hex(child), 8, "0"), 7 - 2 * i, 2) for i in range(4)]))
+        these = these.join(digests.select(F.col("page").alias("place"), "digest"), "place").withColumn("code", F.concat(_varint(F.octet_length("key")), "key", number))
+        numbered = _numbered(these.select("part", "place", "size", "key", "code", "digest"), entries, room)
+        made = _written(numbered, folder, ROOT if level == len(plans) - 1 else INTERIOR, level, starts[level], page_size)
         digests = _saved(made, f"{work}/level{level}")
-        files = digests.filter("path is not null").select(F.lit(level).alias("level"), "path", "first", "n", "key")
-        manifest = files if manifest is None else manifest.unionByName(files)
-    root = bytes(digests.first().digest)
-    count, pages = items.count(), sum(n for *_, n in plans) + 1
+        manifest = manifest.unionByName(digests.filter("path is not null").select(F.lit(level).alias("level"), "path", "first", "n", "key"))
+    root, pages = bytes(digests.first().digest), sum(n for *_, n in plans) + 1
     fields = _TRAILER.pack(MERKLE_VERSION, ed25519.public_key(seed), seq, created, 0, pages, count, min_bits, root)
-    _commit(folder, f"pages-{pages - 1:012d}", page(TRAILER, 0, fields + ed25519.sign(seed, fields), page_size))
+    _commit(folder, f"pages-{pages - 1:012d}", packed([page(TRAILER, 0, fields + ed25519.sign(seed, fields), page_size)]))
     manifest.write.parquet(f"{folder}/_manifest")
-    path = spark._jvm.org.apache.hadoop.fs.Path(work)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _dropped(spark, work)
     return {"pages": pages, "records": count, "levels": [n for *_, n in plans], "fingerprint": root.hex()}
 
 
+def _released(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that the shuffle files of ended steps go before the next step writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _key_bytes(length):
     """Bytes of a framed key of that length with its page number (keys are shorter than 128 bytes)."""
     return (length + 5).cast("int")

@@ -15,6 +15,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
@@ -34,7 +35,7 @@ class Pages:
 
     def __init__(self, folder: str, page_size: int):
         self.system, self.path = fs.FileSystem.from_uri(folder)
-        self.size, self.reads = page_size, 0
+        self.size, self.reads, self.ends = page_size, 0, {}
         names = [x.base_name for x in self.system.get_file_info(fs.FileSelector(self.path)) if x.base_name.startswith("pages-")]
         self.first = sorted(int(n.removeprefix("pages-")) for n in names)
         if not self.first:
@@ -46,11 +47,25 @@ class Pages:
             k = bisect_right(self.first, start) - 1
             end = min(stop, self.first[k + 1] if k + 1 < len(self.first) else stop)
             with self.system.open_input_file(f"{self.path}/pages-{self.first[k]:012d}") as f:
-                f.seek((start - self.first[k]) * self.size)
-                for i in range(start, end):
-                    self.reads += 1
-                    yield i, f.read(self.size)
-            start = end
+                ends, per = self.ends.get(k) or self.frames(f, k)
+                while start < end:
+                    j, skip = divmod(start - self.first[k], per)
+                    f.seek(ends[j - 1] if j else 0)
+                    data = zstandard.decompress(f.read(ends[j] - (ends[j - 1] if j else 0)))
+                    for i in range(start, min(end, start - skip + per)):
+                        self.reads += 1
+                        yield i, data[skip * self.size : (skip + 1) * self.size]
+                        skip += 1
+                    start = i + 1
+
+    def frames(self, f, k: int) -> tuple[tuple[int, ...], int]:
+        """The ends of a file's compressed frames, and the pages of a frame."""
+        size = f.size()
+        f.seek(size - 8)
+        n, per = struct.unpack("<II", f.read(8))
+        f.seek(size - 8 - 8 * n)
+        self.ends[k] = struct.unpack(f"<{n}Q", f.read(8 * n)), per
+        return self.ends[k]
 
     def one(self, i: int) -> bytes:
         return next(self.read(i, i + 1))[1]

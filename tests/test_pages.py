@@ -116,3 +116,26 @@ def test_leaves_are_placed_without_a_shuffle(spark):
     rows = lambda df: sorted((r.part, r.place, r.page) for r in df.collect())
     assert rows(placed) == rows(numbered)
     assert pages._behind_length(b"\x85\x01abc") == b"abc" and pages._behind_length(b"\x03abc") == b"abc"
+
+
+def test_files_of_pages_are_small(spark, tmp_path):
+    """Pages are compressed on disk, a frame at a time, and scratch is gone in the end; any page can still be read alone."""
+    folder = work_dir(spark)
+    facts = pages.write_tree(made(spark, 3000), folder, SEED, page_size=4096)
+    tree = paged.Pages(folder, 4096)
+    files = [x for x in tree.system.get_file_info(pages.fs.FileSelector(tree.path)) if x.base_name.startswith("pages-")]
+    assert len(files) == len(tree.first) and sum(x.size for x in files) < facts["pages"] * 4096 / 3
+    assert [i for i, _ in tree.read(3, facts["pages"])] == list(range(3, facts["pages"])) and all(len(tree.one(i)) == 4096 for i in range(facts["pages"]))
+
+
+def test_sizes_are_those_of_encoded_records(spark):
+    """Also with proofs above 63 bits, times below 0 and letters of two bytes; what can't be encoded raises an error."""
+    rows = [(bytes(32), kw, bytes(20), t, p, bytes(64)) for kw in ("a", "éé", "x" * 64) for t in (0, -7, 10**12) for p in (0, 9, 10**15, -1) if len(kw) < 60 or p < 10]
+    rows = [r for r in rows if not (len(r[1]) == 64 and r[4] < 0)]
+    stored = spark.createDataFrame(rows, records.SCHEMA).coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    want = [len(c) + len(records.uvarint(len(c))) for c in (records.encoded(*r) for r in rows)]
+    assert [r["size"] for r in pages._sized(stored).orderBy("place").collect()] == want
+    for t, p in ((-(10**18), -1), (None, 0)):
+        bad = spark.createDataFrame([(bytes(32), "x" * 64, bytes(20), t, p, bytes(64))], records.SCHEMA)
+        with pytest.raises(Exception, match="record length"):
+            pages.write_tree(bad, work_dir(spark), SEED)
