@@ -139,3 +139,19 @@ def test_sizes_are_those_of_encoded_records(spark):
         bad = spark.createDataFrame([(bytes(32), "x" * 64, bytes(20), t, p, bytes(64))], records.SCHEMA)
         with pytest.raises(Exception, match="record length"):
             pages.write_tree(bad, work_dir(spark), SEED)
+
+
+def test_leaves_are_written_from_sorted_columns(spark, monkeypatch, tmp_path):
+    """When leaves are written, scratch holds the records' columns and not their encoded bytes; behind it only the tree is left, its leaves as full as the sequential rule makes them."""
+    table, folder, seen, write = made(spark, 3000), f"file://{tmp_path}/tree", [], pages._leaves
+    held = lambda name: sum(x.stat().st_size for x in (tmp_path / name).rglob("*") if x.is_file())
+    monkeypatch.setattr(pages, "FILE_PAGES", 16)
+    monkeypatch.setattr(pages, "work_dir", lambda spark: f"file://{tmp_path}/work")
+    monkeypatch.setattr(pages, "_leaves", lambda *a: (seen.append(held("work")), write(*a))[1])
+    facts = pages.write_tree(table.repartition(6), folder, SEED, page_size=2048)
+    rows = sorted((r.kw.encode(), bytes(r.ih), records.encoded(bytes(r.pk), r.kw, bytes(r.ih), r.t, r.pow, bytes(r.sig))) for r in table.collect())
+    sizes = [len(c) + 2 for *_, c in rows]
+    assert 0 < seen[0] < sum(sizes) / 2 and held("work") == 0
+    opens = greedy(sizes, pages.capacity(2048))
+    got = paged.read_tree(spark, folder, 2048).groupBy("page").count().orderBy("page").collect()
+    assert [r["count"] for r in got] == np.diff([*opens, len(rows)]).tolist() and facts["levels"][0] == len(opens)
