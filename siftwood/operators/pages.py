@@ -36,8 +36,10 @@ from siftwood.session import work_dir
 
 #: Pages of a file; version of trailers whose fingerprint is a Merkle root.
 FILE_PAGES, MERKLE_VERSION = 2048, 2
-#: Pages that are compressed together; bytes of a row group of stored records, and rows that are read of it at once.
-FRAME, GROUP_BYTES, ROWS = 8, 4 << 20, 4096
+#: Pages that are compressed together; steps in which leaves are written, behind each of which the records that are on pages go; rows that are read at once.
+FRAME, STEPS, ROWS = 8, 8, 4096
+#: How sorted records are stored: an infohash is one of its documents' for many keywords, so a dictionary of them pays.
+STORED = {"compression": "zstd", "parquet.block.size": 64 << 20, "parquet.dictionary.page.size": 16 << 20}
 _FRAMES = [uvarint(n) for n in range(MAX_RECORD + 1)]
 
 
@@ -225,6 +227,8 @@ def _stored_rows(path: str, start: int, stop: int) -> Iterator[tuple]:
             if at < stop and at + n > start:
                 low = at
                 for b in file.iter_batches(ROWS, row_groups=[g], columns=["ih", "kw", "pk", "pow", "sig", "t"]):
+                    if low >= stop:
+                        return
                     own = b.slice(max(0, start - low), max(0, min(stop, low + len(b)) - max(start, low)))
                     low += len(b)
                     yield from zip(*(own.column(c).cast(pa.binary()).to_pylist() if c == "kw" else own.column(c).to_pylist() for c in ("ih", "kw", "pk", "pow", "sig", "t")), strict=True)
@@ -270,17 +274,36 @@ def _leaves(units: DataFrame, folder: str, page_size: int) -> DataFrame:
     return units.mapInArrow(run, _ROWS)
 
 
-def _units(stored: DataFrame, starts: list[tuple[int, int]], n: int) -> DataFrame:
-    """A row for each file of leaves: its first leaf, how many it has, and the files and rows of its records; some facts of each file pass the driver."""
-    spark = stored.sparkSession
-    files = sorted(map(tuple, stored.groupBy(F.input_file_name().alias("path")).agg(F.min("at").alias("first"), F.count("*").alias("n")).select("first", "n", "path").collect()))
+def _files(stored: DataFrame) -> list[tuple[int, int, str]]:
+    """(first at, rows, path) of the files of stored records, in order."""
+    return sorted(map(tuple, stored.groupBy(F.input_file_name().alias("path")).agg(F.min("at").alias("first"), F.count("*").alias("n")).select("first", "n", "path").collect()))
+
+
+def _units(files: list[tuple[int, int, str]], starts: list[tuple[int, int]], n: int) -> list[tuple]:
+    """(first leaf, leaves, files and rows of their records) for each file of leaves."""
     firsts, out = [x[0] for x in files], []
     for k, (number, low) in enumerate(starts):
         last, high = starts[k + 1] if k + 1 < len(starts) else (n, firsts[-1] + files[-1][1])
         own = files[max(0, int(np.searchsorted(firsts, low, "right")) - 1) : int(np.searchsorted(firsts, high, "left"))]
-        ranges = [(path, max(0, low - first), min(rows, high - first)) for first, rows, path in own if low < first + rows]
-        out.append((number, last - number, ranges))
-    return spark.createDataFrame(out, "first long, n long, ranges array<struct<path:string,start:long,stop:long>>").repartition(max(1, len(out)))
+        out.append((number, last - number, [(path, max(0, low - first), min(rows, high - first)) for first, rows, path in own if low < first + rows]))
+    return out
+
+
+def _leaf_level(stored: DataFrame, starts: list[tuple[int, int]], n: int, folder: str, work: str, page_size: int) -> tuple[DataFrame, int]:
+    """Write all leaves, step by step; a file of records is deleted when the leaves of all its records are written. Returns the rows of _leaves() and the number of records."""
+    spark = stored.sparkSession
+    files = _files(stored)
+    units, left = _units(files, starts, n), [x[2] for x in files]
+    step = max(2 * spark.sparkContext.defaultParallelism, -(-len(units) // STEPS))
+    kind, paths = "first long, n long, ranges array<struct<path:string,start:long,stop:long>>", []
+    for i in range(0, len(units), step):
+        own = units[i : i + step]
+        paths.append(f"{work}/level0-{i:08d}")
+        rows = _saved(_leaves(spark.createDataFrame(own, kind).repartition(len(own)), folder, page_size), paths[-1])
+        needed = units[i + step][2][0][0] if i + step < len(units) else None
+        while left and left[0] != needed:
+            _dropped(spark, left.pop(0))
+    return spark.read.schema(rows.schema).parquet(*paths), sum(x[1] for x in files)
 
 
 def _behind_length(code: bytes) -> bytes:
@@ -304,18 +327,16 @@ def write_tree(records: DataFrame, folder: str, seed: bytes, seq: int = 1, creat
     """
     spark, work, room = records.sparkSession, work_dir(records.sparkSession), capacity(page_size)
     rows = in_order(well_formed(records)).select("pk", "kw", "ih", "t", "pow", "sig").withColumn("at", F.monotonically_increasing_id())
-    stored = _saved(rows, f"{work}/records", compression="zstd", **{"parquet.block.size": GROUP_BYTES})
+    stored = _saved(rows, f"{work}/records", **STORED)
     _released(spark)
     sized = _sized(stored)
     entries, n = _entries(sized, room)
     if not n:
         raise ValueError("no records")
     plans: list[tuple] = [(None, None, n)]
-    units = _units(stored, _file_starts(sized, entries, room), n)
+    opens = _file_starts(sized, entries, room)
     _released(spark)
-    leaves = _saved(_leaves(units, folder, page_size), f"{work}/level0")
-    count = stored.count()
-    _dropped(spark, f"{work}/records")
+    leaves, count = _leaf_level(stored, opens, n, folder, work, page_size)
     below = lambda rows: rows.select((F.col("page") / 65536).cast("int").alias("part"), F.col("page").alias("place"), _key_bytes(F.octet_length("key")).alias("size"), "key")
     level_items = below(leaves)
     while plans[-1][2] > 1 or len(plans) < 2:

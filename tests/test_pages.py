@@ -155,3 +155,19 @@ def test_leaves_are_written_from_sorted_columns(spark, monkeypatch, tmp_path):
     opens = greedy(sizes, pages.capacity(2048))
     got = paged.read_tree(spark, folder, 2048).groupBy("page").count().orderBy("page").collect()
     assert [r["count"] for r in got] == np.diff([*opens, len(rows)]).tolist() and facts["levels"][0] == len(opens)
+
+
+def test_records_go_as_their_leaves_are_written(spark, monkeypatch, tmp_path):
+    """Scratch shrinks from step to step, and nothing of it is needed again."""
+    seen, write = [], pages._leaves
+    monkeypatch.setattr(pages, "FILE_PAGES", 4)
+    monkeypatch.setattr(pages, "work_dir", lambda spark: f"file://{tmp_path}/work")
+    monkeypatch.setattr(pages, "_leaves", lambda *a: (seen.append(len(list((tmp_path / "work/records").glob("part-*.parquet")))), write(*a))[1])
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        facts = pages.write_tree(made(spark, 1500), f"file://{tmp_path}/tree", SEED, page_size=2048)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen) > 4 and seen == sorted(seen, reverse=True) and seen[0] >= 3 > 1 >= seen[-1]
+    assert facts["records"] == 1500 == paged.read_tree(spark, f"file://{tmp_path}/tree", 2048).count()
